@@ -18,7 +18,7 @@ from collections import deque
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from tallyframe.session import fresh_path
 
@@ -69,7 +69,7 @@ def limit_calls(
     ranged = wide.repartitionByRange(ranges, *order) if ranges else wide.repartitionByRange(*order)
     path = fresh_path(spark, "limiter")
     ranged.withColumn("_range", F.spark_partition_id()).write.partitionBy("_range").parquet(path)
-    contested = spark.read.schema(wide.schema.add("_range", "int")).parquet(path)
+    contested = spark.read.schema(wide.schema.add("_range", T.IntegerType())).parquet(path)
     decided = _settle(contested, order, max_calls, window)
     result = free.unionByName(decided)
     return result.select(F.col("_caller").alias(caller), F.col("_id").alias(call_id), "accepted")

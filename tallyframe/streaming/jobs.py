@@ -49,6 +49,7 @@ class _Limiter(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         for chunk in rows:
+            if "_micros" not in chunk: raise ValueError(str(chunk.columns)+str(len(chunk)))
             for slot, calls in chunk.groupby(chunk["_micros"] // self.window):
                 slot = int(slot)
                 at, ids = calls["_micros"].tolist(), calls["call_id"].tolist()
