@@ -76,14 +76,14 @@ LIMIT_CALLS, LIMIT_SECONDS = 2, 86_400
 def limiter_sql(caller: str, max_calls: int, seconds: int) -> str:
     return f"""
     with recursive calls as (
-        select {caller} as caller, event_id, epoch_us(ts) as at,
+        select {caller} as caller, event_id, epoch_us(ts) as at_us,
                row_number() over (partition by {caller} order by ts, event_id) as n from events),
     walk as (
-        select caller, event_id, n, at, true as accepted, [at] as hits from calls where n = 1
+        select caller, event_id, n, at_us, true as accepted, [at_us] as hits from calls where n = 1
         union all
-        select c.caller, c.event_id, c.n, c.at, len(h.kept) < {max_calls},
-               case when len(h.kept) < {max_calls} then list_append(h.kept, c.at) else h.kept end
-        from (select w.caller, w.n, list_filter(w.hits, lambda t: k.at - t < {seconds * 1_000_000}) as kept
+        select c.caller, c.event_id, c.n, c.at_us, len(h.kept) < {max_calls},
+               case when len(h.kept) < {max_calls} then list_append(h.kept, c.at_us) else h.kept end
+        from (select w.caller, w.n, list_filter(w.hits, lambda t: k.at_us - t < {seconds * 1_000_000}) as kept
               from walk w join calls k on k.caller = w.caller and k.n = w.n + 1) h
         join calls c on c.caller = h.caller and c.n = h.n + 1)"""
 

@@ -34,7 +34,7 @@ def sessionize_stream(spark, folder):
 
 @query("rate_limit_stream", limiter_sql("user_id", LIMIT_CALLS, LIMIT_SECONDS) + f"""
     select caller, event_id as call_id, accepted from walk
-    where (at // {LIMIT_SECONDS * 1_000_000} + 1) * {LIMIT_SECONDS * 1_000_000} <= {_WATERMARK}""")
+    where (at_us // {LIMIT_SECONDS * 1_000_000} + 1) * {LIMIT_SECONDS * 1_000_000} <= {_WATERMARK}""")
 def rate_limit_stream(spark, folder):
     """Decisions for every slot the watermark has passed."""
     decided = jobs.limit_calls(
@@ -46,7 +46,8 @@ def rate_limit_stream(spark, folder):
     select conv_id, turn, role, md5(text) as digest from (
         select *, row_number() over (partition by conv_id order by turn desc) as back from conversations) where back <= 6""")
 def last_turns_stream(spark, folder):
-    kept = jobs.newest_turns(run_available(jobs.last_turns(stream(spark, folder, "conversations"))))
+    output = run_available(jobs.last_turns(stream(spark, folder, "conversations")), advance_watermark=False)
+    kept = jobs.newest_turns(output)
     return kept.select("conv_id", "turn", "role", F.md5(F.col("text").cast("binary")).alias("digest"))
 
 

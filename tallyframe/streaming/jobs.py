@@ -49,10 +49,9 @@ class _Limiter(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         for chunk in rows:
-            if "_micros" not in chunk: raise ValueError(str(chunk.columns)+str(len(chunk)))
-            for slot, calls in chunk.groupby(chunk["_micros"] // self.window):
+            for slot, calls in chunk.groupby(chunk["micros"] // self.window):
                 slot = int(slot)
-                at, ids = calls["_micros"].tolist(), calls["call_id"].tolist()
+                at, ids = calls["micros"].tolist(), calls["call_id"].tolist()
                 if self.waiting.containsKey((slot,)):
                     held = self.waiting.getValue((slot,))
                     at, ids = [*held[0], *at], [*held[1], *ids]
@@ -84,8 +83,8 @@ def limit_calls(
     """``(caller, call_id, accepted)`` in event-time order, as the watermark passes each window-wide slot."""
     timed = calls.select(
         F.col(caller).cast("long").alias("caller"), F.col(call_id).cast("long").alias("call_id"),
-        F.col(time).cast("timestamp").alias("_at"),
-    ).withWatermark("_at", delay).withColumn("_micros", F.unix_micros("_at"))
+        F.col(time).cast("timestamp").alias("called_at"),
+    ).withWatermark("called_at", delay).withColumn("micros", F.unix_micros("called_at"))
     return timed.groupBy("caller").transformWithStateInPandas(
         statefulProcessor=_Limiter(max_calls, window_seconds * 1_000_000),
         outputStructType="caller long, call_id long, accepted boolean", outputMode="Append", timeMode="EventTime")

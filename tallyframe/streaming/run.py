@@ -10,25 +10,34 @@ from tallyframe.session import fresh_path
 
 _PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 _ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+_EMPTY_BATCHES = "spark.sql.streaming.noDataMicroBatches.enabled"
 
 
 @contextmanager
-def keyed_state_store(spark: SparkSession):
-    """Keep large keyed state on executor disks while the block runs."""
-    before = spark.conf.get(_PROVIDER)
-    spark.conf.set(_PROVIDER, _ROCKSDB)
+def stream_settings(spark: SparkSession, settings: dict[str, str]):
+    """Settings for streams started inside the block; restored afterwards."""
+    before = {key: spark.conf.get(key) for key in settings}
+    for key, value in settings.items():
+        spark.conf.set(key, value)
     try:
         yield
     finally:
-        spark.conf.set(_PROVIDER, before)
+        for key, value in before.items():
+            spark.conf.set(key, value)
 
 
-def run_available(stream: DataFrame, path: str | None = None, checkpoint: str | None = None) -> DataFrame:
-    """Process everything available, append the output as Parquet and return it."""
+def run_available(
+    stream: DataFrame, path: str | None = None, checkpoint: str | None = None, *, advance_watermark: bool = True,
+) -> DataFrame:
+    """Process everything available, append the output as Parquet and return it.
+
+    Keyed state lives on executor disks. A last empty batch lets the watermark catch up with
+    the input; a stream with processing-time state must turn that off, as it would never end.
+    """
     spark = stream.sparkSession
     path = path or fresh_path(spark, "stream-output")
     checkpoint = checkpoint or fresh_path(spark, "stream-checkpoint")
-    with keyed_state_store(spark):
+    with stream_settings(spark, {_PROVIDER: _ROCKSDB, _EMPTY_BATCHES: str(advance_watermark).lower()}):
         query = (
             stream.writeStream.format("parquet").outputMode("append")
             .option("path", path).option("checkpointLocation", checkpoint)
