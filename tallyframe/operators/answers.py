@@ -19,10 +19,8 @@ def clean_suggestions(suggestions: Column, asked: list[Column]) -> Column:
     usable = F.filter(trimmed, lambda s: (F.length(s) > 0) & (F.length(s) <= MAX_SUGGESTION_LENGTH)
                       & ~F.array_contains(asked_keys, F.lower(s)))
     keys = F.transform(usable, lambda s: F.lower(s))
-    # keep an entry when its first occurrence (by lower case) is its own position
-    first = F.filter(F.arrays_zip(usable.alias("text"), F.transform(usable, lambda _, i: i + 1).alias("at")),
-                     lambda z: F.array_position(keys, F.lower(z["text"])) == z["at"])
-    return F.slice(F.transform(first, lambda z: z["text"]), 1, MAX_SUGGESTIONS)
+    first = F.slice(F.array_distinct(keys), 1, MAX_SUGGESTIONS)
+    return F.transform(first, lambda key: F.element_at(usable, F.array_position(keys, key).cast("int")))
 
 
 def check_chart(kind: Column, x: Column, y: Column, columns: Column) -> Column:

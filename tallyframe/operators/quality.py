@@ -12,7 +12,6 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from tallyframe.contract import TABLES, Table
 from tallyframe.operators import joins
-from tallyframe.operators.metrics import average  # noqa: F401  (re-exported for profiles)
 
 REPORT_KEY = ["table_name", "check_name", "column_name"]
 _HEX_DIGITS = 15  # 60 bits, so the number fits a signed 64-bit integer
@@ -116,20 +115,24 @@ def _side_by_side(*single_rows: DataFrame) -> DataFrame:
     return merged.agg(*[F.max(F.when(F.col("counter") == c, F.col("value"))).alias(c) for c in names])
 
 
+def _profile(time: Column, amount: Column, errors: Column) -> dict[str, Column]:
+    money = "decimal(38,2)"
+    return {
+        "first_timestamp": F.min(time),
+        "last_timestamp": F.max(time),
+        "net_amount": F.sum(amount).cast(money),
+        "positive_amount_total": F.sum(F.when(amount > 0, amount)).cast(money),
+        "negative_amount_magnitude": F.sum(F.when(amount < 0, -amount)).cast(money),
+        "negative_count": F.count_if(amount < 0),
+        "zero_count": F.count_if(amount == 0),
+        "error_count": F.count_if(errors.isNotNull()),
+    }
+
+
 def transaction_profile(transactions: DataFrame) -> DataFrame:
     """Time span, totals and sign/error counts of the fact table in one scan."""
-    amount = F.col("amount")
-    money = "decimal(38,2)"
-    return transactions.agg(
-        F.min("transaction_at").alias("first_timestamp"),
-        F.max("transaction_at").alias("last_timestamp"),
-        F.sum(amount).cast(money).alias("net_amount"),
-        F.sum(F.when(amount > 0, amount)).cast(money).alias("positive_amount_total"),
-        F.sum(F.when(amount < 0, -amount)).cast(money).alias("negative_amount_magnitude"),
-        F.count_if(amount < 0).alias("negative_count"),
-        F.count_if(amount == 0).alias("zero_count"),
-        F.count_if(F.col("errors").isNotNull()).alias("error_count"),
-    )
+    profile = _profile(F.col("transaction_at"), F.col("amount"), F.col("errors"))
+    return transactions.agg(*[value.alias(name) for name, value in profile.items()])
 
 
 def coverage_profile(df: DataFrame, key: str, time: str, amount: str, errors: str) -> DataFrame:
@@ -199,23 +202,30 @@ def as_report(row: DataFrame, table: str, check: str | None = None) -> DataFrame
     )
 
 
+def _table_report(df: DataFrame, table: Table) -> DataFrame:
+    """Counts, keys, signature and null counts of one table, and the profile of the facts, from one scan."""
+    checks = {
+        ("row_count", ""): F.count(F.lit(1)),
+        ("distinct_keys", ""): F.count_distinct(table.key),
+        ("null_keys", ""): F.count_if(F.col(table.key).isNull()),
+        ("signature", ""): F.coalesce(F.bit_xor(row_hash([F.col(c) for c in table.raw_names])), F.lit(0)),
+        **{("null_count", c.canonical): F.count_if(F.col(c.raw).isNull()) for c in table.exposed},
+    }
+    if table.name == "transactions":
+        raw = {c.canonical: F.col(c.raw) for c in table.exposed}
+        checks |= {(name, ""): value for name, value in
+                   _profile(raw["transaction_at"], raw["amount"], raw["errors"]).items()}
+    counted = df.agg(*[value.cast("string").alias(f"c{i}") for i, value in enumerate(checks.values())])
+    return counted.select(F.inline(F.array(*[
+        F.struct(F.lit(table.source).alias("table_name"), F.lit(check).alias("check_name"),
+                 F.lit(column).alias("column_name"), F.col(f"c{i}").alias("value"))
+        for i, (check, column) in enumerate(checks)])))
+
+
 def quality_report(sources: dict[str, DataFrame], canonical: dict[str, DataFrame]) -> DataFrame:
     """The full report of a prepared snapshot: counts, keys, signatures, nulls, references, profile."""
-    parts = []
-    for name, df in sources.items():
-        table: Table = TABLES[name]
-        # one scan for counts, keys and signature
-        parts.append(as_report(df.agg(
-            F.count(F.lit(1)).alias("row_count"),
-            F.count_distinct(table.key).alias("distinct_keys"),
-            F.count_if(F.col(table.key).isNull()).alias("null_keys"),
-            F.coalesce(F.bit_xor(row_hash([F.col(c) for c in table.raw_names])), F.lit(0)).alias("signature"),
-        ), table.source))
-        view = canonical[name]
-        nulls = view.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in view.columns])
-        parts.append(as_report(nulls, name, "null_count"))
+    parts = [_table_report(df, TABLES[name]) for name, df in sources.items()]
     parts.append(as_report(relationship_report(*[canonical[t] for t in TABLES]), "relationships"))
-    parts.append(as_report(transaction_profile(canonical["transactions"]), "transactions"))
     return reduce(DataFrame.unionByName, parts)
 
 

@@ -204,7 +204,7 @@ def export_json_safe(spark, folder):
     select 'users_data' as table_name, 'row_count' as check_name, cast(count(*) as varchar) as value from customer
     union all select 'transactions_data', 'row_count', cast(count(*) as varchar) from orders
     union all select 'cards_data', 'row_count', cast(count(*) as varchar) from orders
-    union all select 'transactions', 'net_amount',
+    union all select 'transactions_data', 'net_amount',
            cast(cast(sum(cast(o_totalprice as decimal(18,2))) as decimal(38,2)) as varchar) from orders
     union all select 'relationships', 'cards_without_users', '0'
     union all select 'relationships', 'transaction_card_owner_mismatches', '0'""")
@@ -226,5 +226,5 @@ def prepare_warehouse(spark, folder):
         spark, f"{base}-warehouse", f"{base}-copy", approved_fingerprints=approved, approved_rows=rows)
     wanted = F.col("check_name").isin("row_count") & (F.col("table_name") != "mcc_codes")
     named = F.concat_ws(".", "table_name", "check_name").isin(
-        "transactions.net_amount", "relationships.cards_without_users", "relationships.transaction_card_owner_mismatches")
+        "transactions_data.net_amount", "relationships.cards_without_users", "relationships.transaction_card_owner_mismatches")
     return report.where(wanted | named).select("table_name", "check_name", "value")
