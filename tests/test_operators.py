@@ -126,20 +126,18 @@ def test_recall_without_cases_is_undefined(spark):
     assert row.questions == 0 and row.all_sources_found is None and row.source_recall is None
 
 
-class Recorder:
-    def __init__(self):
-        self.failures = 1
-
-    def embed(self, texts):
-        if self.failures:
-            self.failures -= 1
-            raise TimeoutError("try again")
-        return [[float(len(texts))] for _ in texts]
+def test_embedding_batches_and_retry(spark):
+    class Flaky:
+        failures = 1
 
+        def embed(self, texts):
+            if self.failures:
+                self.failures -= 1
+                raise TimeoutError("try again")
+            return [[float(len(texts))] for _ in texts]
 
-def test_embedding_batches_and_retry(spark):
     df = spark.createDataFrame([(i, f"text {i}") for i in range(5)], "i long, t string").coalesce(1)
-    sizes = [r.vector[0] for r in vectors.embed(df, Recorder(), "t", batch_size=2).orderBy("i").collect()]
+    sizes = [r.vector[0] for r in vectors.embed(df, Flaky(), "t", batch_size=2).orderBy("i").collect()]
     assert sizes == [2, 2, 2, 2, 1]
 
 
