@@ -16,6 +16,8 @@ _SETTINGS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # recording the call site of every expression costs more than building it
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 _local_dirs: dict[str, str] = {}
 
