@@ -33,7 +33,8 @@ def blank_to_null(text: Column) -> Column:
 
 def strip(text: Column) -> Column:
     """Remove white space of every kind from both ends (``trim`` removes spaces only)."""
-    return F.regexp_replace(text, r"(?U)^\s+|\s+\z", "")
+    # the lookbehind lets each run of white space be tried once, however long it is
+    return F.regexp_replace(text, r"(?U)^\s+|(?<!\s)\s+\z", "")
 
 
 def _token(pattern: str, prepare: Callable[[Column], Column], kind: str) -> Callable[[Column], Column]:

@@ -7,8 +7,9 @@ a dot must stop at line feeds only.
 from __future__ import annotations
 
 from collections.abc import Mapping
+from functools import reduce
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from tallyframe.functions.convert import full_match, strip
 
@@ -43,17 +44,42 @@ PASSED_FIELDS = (
 _URL_NAMESPACE = "6ba7b8119dad11d180b400c04fd430c8"
 
 
-def screen(text: Column) -> Column:
-    """``struct<route, reason_code>``: clarify when blank, abstain on the first rule that matches, else allow."""
-    question = F.coalesce(F.lower(strip(text)), F.lit(""))
+# Each rule needs one of these words; looking for them first spares most texts the pattern.
+_GUARD_WORDS: dict[str, tuple[str, ...]] = {
+    "credential_request": ("token", "api", "password", "secret", "credential"),
+    "private_source_request": ("source",),
+    "file_or_url_request": ("file", "csv", "parquet", "json", "http"),
+    "instruction_injection": ("ignore", "bypass", "override"),
+    "raw_pii_request": ("card number", "cvv", "pin", "home address", "precise location"),
+}
 
-    def verdict(route: str, reason: str) -> Column:
+
+def request_text(text: Column) -> Column:
+    """The form of a request that screening looks at."""
+    return F.coalesce(F.lower(strip(text)), F.lit(""))
+
+
+def verdict(request: Column) -> Column:
+    """``struct<route, reason_code>`` of a ``request_text``: the first rule that matches decides."""
+
+    def outcome(route: str, reason: str) -> Column:
         return F.struct(F.lit(route).alias("route"), F.lit(reason).alias("reason_code"))
 
-    outcome = F.when(question == "", verdict("clarify", "blank_question"))
+    decided = F.when(request == "", outcome("clarify", "blank_question"))
     for reason, pattern in GUARD_RULES:
-        outcome = outcome.when(question.rlike("(?Ud)" + pattern), verdict("abstain", reason))
-    return outcome.otherwise(verdict("allow", "allowed"))
+        mentioned = reduce(lambda a, b: a | b, [request.contains(word) for word in _GUARD_WORDS[reason]])
+        decided = decided.when(mentioned & request.rlike("(?Ud)" + pattern), outcome("abstain", reason))
+    return decided.otherwise(outcome("allow", "allowed"))
+
+
+def screen(requests: DataFrame, text: str) -> DataFrame:
+    """Add ``route`` and ``reason_code``: clarify when blank, abstain on the first rule that matches, else allow.
+
+    The request text is prepared in a step of its own, so it is computed once per row.
+    """
+    prepared = requests.withColumn("_request", request_text(F.col(text)))
+    return prepared.withColumn("_verdict", verdict(F.col("_request"))).select(
+        *requests.columns, "_verdict.route", "_verdict.reason_code")
 
 
 def redact_turn(text: Column) -> Column:

@@ -12,15 +12,20 @@ CHART_TYPES = ("bar", "line")
 MAX_CHART_POINTS = 25
 
 
-def clean_suggestions(suggestions: Column, asked: list[Column]) -> Column:
-    """Trimmed, non-blank, short enough, not the asked question, no repeats (any case); the first three."""
-    asked_keys = F.array(*[F.coalesce(F.lower(strip(a)), F.lit("")) for a in asked])
-    trimmed = F.transform(F.array_compact(suggestions), lambda s: strip(s))
-    usable = F.filter(trimmed, lambda s: (F.length(s) > 0) & (F.length(s) <= MAX_SUGGESTION_LENGTH)
-                      & ~F.array_contains(asked_keys, F.lower(s)))
-    keys = F.transform(usable, lambda s: F.lower(s))
-    first = F.slice(F.array_distinct(keys), 1, MAX_SUGGESTIONS)
-    return F.transform(first, lambda key: F.element_at(usable, F.array_position(keys, key).cast("int")))
+def clean_suggestions(df: DataFrame, suggestions: str, asked: list[str]) -> DataFrame:
+    """Trimmed, non-blank, short enough, not the asked question, no repeats (any case); the first three.
+
+    Done in steps, so that each list is built once per row.
+    """
+    asked_keys = F.array(*[F.coalesce(F.lower(strip(F.col(a))), F.lit("")) for a in asked])
+    trimmed = df.withColumn("_trimmed", F.transform(F.array_compact(suggestions), lambda s: strip(s))).withColumn(
+        "_asked", asked_keys)
+    usable = trimmed.withColumn("_usable", F.filter("_trimmed", lambda s: (
+        (F.length(s) > 0) & (F.length(s) <= MAX_SUGGESTION_LENGTH) & ~F.array_contains("_asked", F.lower(s)))))
+    keyed = usable.withColumn("_keys", F.transform("_usable", lambda s: F.lower(s)))
+    first = keyed.withColumn("_first", F.slice(F.array_distinct("_keys"), 1, MAX_SUGGESTIONS))
+    return first.withColumn(suggestions, F.transform(
+        "_first", lambda key: F.element_at("_usable", F.array_position("_keys", key).cast("int")))).select(*df.columns)
 
 
 def check_chart(kind: Column, x: Column, y: Column, columns: Column) -> Column:

@@ -108,11 +108,10 @@ def _sum_where(condition: Column) -> Column:
 
 
 def _side_by_side(*single_rows: DataFrame) -> DataFrame:
-    """One-row aggregates placed in one row by merging named counters, not by a product of tables."""
-    counters = [unpivot(df, "counter", "value") for df in single_rows]
+    """One-row aggregates placed in one row: stacked with gaps, then the only value of each column taken."""
     names = [c for df in single_rows for c in df.columns]
-    merged = reduce(DataFrame.unionByName, counters)
-    return merged.agg(*[F.max(F.when(F.col("counter") == c, F.col("value"))).alias(c) for c in names])
+    stacked = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), single_rows)
+    return stacked.agg(*[F.max(c).alias(c) for c in names])
 
 
 def _profile(time: Column, amount: Column, errors: Column) -> dict[str, Column]:
@@ -136,13 +135,19 @@ def transaction_profile(transactions: DataFrame) -> DataFrame:
 
 
 def coverage_profile(df: DataFrame, key: str, time: str, amount: str, errors: str) -> DataFrame:
-    return df.agg(
-        F.count(F.lit(1)).alias("row_count"), F.count_distinct(key).alias("distinct_ids"),
+    """Row and key counts with the ranges of time and amount.
+
+    Keys are counted apart from the rest: next to a distinct count of a nearly unique key, every
+    other aggregate would cross the shuffle once per key.
+    """
+    ranges = df.agg(
+        F.count(F.lit(1)).alias("row_count"),
         F.min(time).alias("first_at"), F.max(time).alias("last_at"),
         F.min(amount).alias("min_amount"), F.max(amount).alias("max_amount"),
         F.count_if(F.col(amount) < 0).alias("negative_count"), F.count_if(F.col(amount) == 0).alias("zero_count"),
         F.count_if(F.col(amount) > 0).alias("positive_count"), F.count_if(F.col(errors).isNotNull()).alias("error_count"),
     )
+    return _side_by_side(ranges, df.agg(F.count_distinct(key).alias("distinct_ids")))
 
 
 def frequencies(df: DataFrame, columns: list[str], *, drop_null: bool = False) -> DataFrame:
@@ -203,10 +208,12 @@ def as_report(row: DataFrame, table: str, check: str | None = None) -> DataFrame
 
 
 def _table_report(df: DataFrame, table: Table) -> DataFrame:
-    """Counts, keys, signature and null counts of one table, and the profile of the facts, from one scan."""
+    """Counts, signature, null counts and, for the facts, the profile from one scan; keys from another.
+
+    The second scan reads the key column only and shuffles nothing but keys.
+    """
     checks = {
         ("row_count", ""): F.count(F.lit(1)),
-        ("distinct_keys", ""): F.count_distinct(table.key),
         ("null_keys", ""): F.count_if(F.col(table.key).isNull()),
         ("signature", ""): F.coalesce(F.bit_xor(row_hash([F.col(c) for c in table.raw_names])), F.lit(0)),
         **{("null_count", c.canonical): F.count_if(F.col(c.raw).isNull()) for c in table.exposed},
@@ -216,10 +223,11 @@ def _table_report(df: DataFrame, table: Table) -> DataFrame:
         checks |= {(name, ""): value for name, value in
                    _profile(raw["transaction_at"], raw["amount"], raw["errors"]).items()}
     counted = df.agg(*[value.cast("string").alias(f"c{i}") for i, value in enumerate(checks.values())])
-    return counted.select(F.inline(F.array(*[
+    rows = counted.select(F.inline(F.array(*[
         F.struct(F.lit(table.source).alias("table_name"), F.lit(check).alias("check_name"),
                  F.lit(column).alias("column_name"), F.col(f"c{i}").alias("value"))
         for i, (check, column) in enumerate(checks)])))
+    return rows.unionByName(as_report(df.agg(F.count_distinct(table.key).alias("distinct_keys")), table.source))
 
 
 def quality_report(sources: dict[str, DataFrame], canonical: dict[str, DataFrame]) -> DataFrame:

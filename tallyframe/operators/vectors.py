@@ -94,6 +94,7 @@ def top_k(
     queries are sent to the tasks and the catalogue is read once, unshuffled, each task keeping
     ``k`` candidates per query. Beyond that both sides are cut into blocks that meet pairwise,
     so memory per task stays bounded and again only ``k`` candidates per query and block survive.
+    Ids are unique on both sides, as ``upsert`` keeps them.
     """
     if isinstance(k, bool) or not isinstance(k, int) or k < 1:
         raise ValueError("k must be at least one")
@@ -104,8 +105,9 @@ def top_k(
     types = (q.schema["query_id"].dataType.simpleString(), c.schema["item_id"].dataType.simpleString())
     schema = f"query_id {types[0]}, item_id {types[1]}, score double"
     limit = max_sent // size
-    if q.limit(limit + 1).count() <= limit:
-        candidates = _scan(q, c, k, schema)
+    few = q.limit(limit + 1).toArrow()
+    if few.num_rows <= limit:
+        candidates = _scan(few, c, k, schema)
     else:
         candidates = _by_blocks(q, c, k, schema, block_rows)
     window = Window.partitionBy("query_id").orderBy(F.desc("score"), "item_id")
@@ -161,12 +163,11 @@ class _Best:
         return tuple(list(c) for c in zip(*flat)) if flat else ([], [], [])
 
 
-def _scan(queries: DataFrame, catalog: DataFrame, k: int, schema: str) -> DataFrame:
+def _scan(queries: pa.Table, catalog: DataFrame, k: int, schema: str) -> DataFrame:
     """One pass over the catalogue; the queries (checked to be few) travel with the task."""
-    table = queries.toArrow()
-    ids = table.column("query_id").to_pylist()
-    matrix = _matrix(table.column("vector"), len(ids))
-    sent = queries.sparkSession.sparkContext.broadcast((ids, matrix))
+    ids = queries.column("query_id").to_pylist()
+    matrix = _matrix(queries.column("vector"), len(ids))
+    sent = catalog.sparkSession.sparkContext.broadcast((ids, matrix))
     layout = T._parse_datatype_string(schema)
     from pyspark.sql.pandas.types import to_arrow_schema
 

@@ -75,9 +75,9 @@ def validate_null_counts(spark, folder):
     return quality.null_counts(star.transactions(spark, folder))
 
 
-_KNOWN_USERS = "client_id % 50 <> 0"
+_KNOWN_USERS = "segment <> 'MACHINERY'"
 _OWNERS = "case when card_brand = 'P' then client_id + 1 else client_id end"
-_KNOWN_CARDS = "card_id % 40 <> 0"
+_KNOWN_CARDS = "card_type <> '5-LOW'"
 
 
 @query("validate_relationships", sql(TX, CARDS, USERS, MCC, f"""

@@ -57,7 +57,7 @@ _ROUTE_SQL = "case reason_code when 'blank_question' then 'clarify' when 'allowe
 @query("guard_verdict", sql(QUESTIONS, _REQUESTS) + f"""
     select id, reason_code, {_ROUTE_SQL} from (select id, {_guard_sql("text")} as reason_code from requests)""")
 def guard_verdict(spark, folder):
-    return _requests(spark, folder).select("id", tx.screen(F.col("text")).alias("v")).select("id", "v.reason_code", "v.route")
+    return tx.screen(_requests(spark, folder), "text").select("id", "reason_code", "route")
 
 
 @query("guard_documents", f"""
@@ -65,9 +65,8 @@ def guard_verdict(spark, folder):
     from (select {_guard_sql("text")} as reason_code from documents) group by 1""")
 def guard_documents(spark, folder):
     """The same screening over whole documents."""
-    verdict = tx.screen(F.col("text"))
-    return star.table(spark, folder, "documents").groupBy(verdict["reason_code"].alias("reason_code")).agg(
-        F.count(F.lit(1)).alias("documents"))
+    screened = tx.screen(star.table(spark, folder, "documents").select("text"), "text")
+    return screened.groupBy("reason_code").agg(F.count(F.lit(1)).alias("documents"))
 
 
 _EMAIL_SQL = r"[\pL\pN_][^\s@]*@[^\s@]+\.[^\s@]*[\pL\pN_]"
@@ -255,8 +254,9 @@ def suggest_clean(spark, folder):
     proposed = F.array(
         F.concat(F.lit("  "), user, F.lit(" ")), F.lower(user), F.lit("  "), F.lit(None).cast("string"),
         F.repeat(F.col("event_type"), 100), F.upper("question"), F.col("event_type"), more, F.lit("Never reached?"))
-    return star.questions(spark, folder).select("event_id", F.array_join(
-        answers.clean_suggestions(proposed, [F.col("question")]), "|").alias("suggestions"))
+    listed = star.questions(spark, folder).select("event_id", "question", proposed.alias("suggestions"))
+    return answers.clean_suggestions(listed, "suggestions", ["question"]).select(
+        "event_id", F.array_join("suggestions", "|").alias("suggestions"))
 
 
 @query("chart_spec_check", """
@@ -329,11 +329,11 @@ def complaint_documents_query(spark, folder):
     return complaint_documents(complaints).select("source_id", "product", "company", "received_year", "text")
 
 
-@query("current_chunks", "select vec_id from embeddings where label in (1, 2) and vec_id % 3 <> 0 and vec_id % 2 = 0")
+@query("current_chunks", "select vec_id from embeddings where label in (1, 2) and embedding[1] > 0 and embedding[2] > 0")
 def current_chunks_query(spark, folder):
     chunks = star.table(spark, folder, "embeddings").select(
         "vec_id", F.concat(F.lit("team-"), F.col("label").cast("string")).alias("access_scope"),
-        F.when(F.col("vec_id") % 3 != 0, "active").otherwise("withdrawn").alias("status"),
-        (F.col("vec_id") % 2 == 0).alias("is_current"))
+        F.when(F.col("embedding")[0] > 0, "active").otherwise("withdrawn").alias("status"),
+        (F.col("embedding")[1] > 0).alias("is_current"))
     return current_chunks(chunks, ["team-1", "team-2"]).select("vec_id")
 

@@ -71,10 +71,15 @@ MANIFEST_COLUMNS = [
 
 
 def keep_last(rows: DataFrame, key: str) -> DataFrame:
-    """One row per key, the last in file order; combined map-side before the shuffle."""
+    """One row per key of a file source, the last in file order; combined map-side before the shuffle.
+
+    The place of a row is its file, its block in the file and its position in the block, because
+    Spark may read blocks in another order than they are stored.
+    """
     others = [c for c in rows.columns if c != key]
-    numbered = rows.withColumn("_position", F.monotonically_increasing_id())
-    last = numbered.groupBy(key).agg(F.max_by(F.struct(*others), "_position").alias("_row"))
+    place = F.struct("_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id())
+    placed = rows.select("*", place.alias("_place"))
+    last = placed.groupBy(key).agg(F.max_by(F.struct(*others), "_place").alias("_row"))
     return last.select(key, *[F.col(f"_row.{c}").alias(c) for c in others])
 
 
