@@ -18,12 +18,12 @@ def clean_suggestions(df: DataFrame, suggestions: str, asked: list[str]) -> Data
     Done in steps, so that each list is built once per row.
     """
     asked_keys = F.array(*[F.coalesce(F.lower(strip(F.col(a))), F.lit("")) for a in asked])
-    trimmed = df.withColumn("_trimmed", F.transform(F.array_compact(suggestions), lambda s: strip(s))).withColumn(
-        "_asked", asked_keys)
-    usable = trimmed.withColumn("_usable", F.filter("_trimmed", lambda s: (
-        (F.length(s) > 0) & (F.length(s) <= MAX_SUGGESTION_LENGTH) & ~F.array_contains("_asked", F.lower(s)))))
+    trimmed = F.transform(F.array_compact(suggestions), lambda s: strip(s))
+    usable = df.withColumn("_usable", F.filter(
+        trimmed, lambda s: (F.length(s) > 0) & (F.length(s) <= MAX_SUGGESTION_LENGTH)))
     keyed = usable.withColumn("_keys", F.transform("_usable", lambda s: F.lower(s)))
-    first = keyed.withColumn("_first", F.slice(F.array_distinct("_keys"), 1, MAX_SUGGESTIONS))
+    # a set difference keeps the order of first occurrences and drops repeats
+    first = keyed.withColumn("_first", F.slice(F.array_except("_keys", asked_keys), 1, MAX_SUGGESTIONS))
     return first.withColumn(suggestions, F.transform(
         "_first", lambda key: F.element_at("_usable", F.array_position("_keys", key).cast("int")))).select(*df.columns)
 
