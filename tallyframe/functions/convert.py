@@ -20,6 +20,7 @@ MONEY_TOKEN = r"[$]?-?([0-9]+|[0-9]{1,3}(,[0-9]{3})+)([.][0-9]{1,2})?"
 POSTAL_TOKEN = r"[0-9]{1,5}([.]0)?"
 TIMESTAMP_TOKEN = r"[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}([ T][0-9]{1,2}:[0-9]{2}(:[0-9]{2}([.][0-9]{1,6})?)?)?"
 MONTH_TOKEN = r"[0-9]{1,2}/[0-9]{4}"
+DOUBLE_TOKEN = r"[+-]?(([0-9]+([.][0-9]*)?|[.][0-9]+)([eE][+-]?[0-9]+)?|NaN|Infinity)"
 
 
 def full_match(text: Column, pattern: str) -> Column:
@@ -78,7 +79,8 @@ PARSERS: dict[str, Callable[[Column], Column]] = {
     "timestamp": _token(TIMESTAMP_TOKEN, _unchanged, "timestamp"),
     "flag": _flag,
     "month": _month,
-    "double": lambda text: blank_to_null(text).try_cast("double"),
+    # the cast alone would also read suffixed numbers such as 5d
+    "double": _token(DOUBLE_TOKEN, _unchanged, "double"),
     "postal": _postal,
     "text": blank_to_null,
     "verbatim": _unchanged,

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
-from tallyframe.functions.convert import strip
+from tallyframe.functions.convert import parse, strip
 from tallyframe.operators.linking import MAX_SUGGESTION_LENGTH, MAX_SUGGESTIONS
 
 FALLBACK_ANSWER = "The result is shown in the table/chart above; ask a narrower question for a written summary."
@@ -39,8 +39,10 @@ def chart_points(results: DataFrame, by: list[str], position: str, x: str, y: st
 
     A missing label becomes a dash, a missing value zero; text that is no finite number is dropped.
     """
-    number = F.when(F.trim(F.col(y).cast("string")) == "", F.lit(0.0)).otherwise(
-        F.coalesce(F.col(y).cast("string").try_cast("double"), F.when(F.col(y).isNull(), F.lit(0.0))))
+    if isinstance(results.schema[y].dataType, T.BooleanType):
+        results = results.withColumn(y, F.col(y).cast("int"))
+    text = F.coalesce(F.trim(F.col(y).cast("string")), F.lit(""))
+    number = F.when(text == "", F.lit(0.0)).otherwise(parse(text, "double"))
     window = Window.partitionBy(*by).orderBy(position)
     first = results.withColumn("_n", F.row_number().over(window)).where(F.col("_n") <= MAX_CHART_POINTS)
     points = first.select(*by, position, F.coalesce(F.col(x).cast("string"), F.lit("—")).alias("label"), number.alias("value"))

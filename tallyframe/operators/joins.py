@@ -32,8 +32,11 @@ def related_totals(
 
 
 def with_activity(entities: DataFrame, activity: DataFrame, key: str) -> DataFrame:
-    """Entities that have at least one activity row (EXISTS); each entity once."""
-    return entities.join(activity.select(key), key, "left_semi")
+    """Entities that have at least one activity row (EXISTS); each entity once.
+
+    Activity is reduced to its keys before the shuffle, so a very active entity costs one row per task.
+    """
+    return entities.join(activity.select(key).distinct(), key, "left_semi")
 
 
 def orphans(children: DataFrame, parents: DataFrame, key: str) -> DataFrame:

@@ -149,7 +149,7 @@ def src_fingerprint(spark, folder):
     return found.select(F.regexp_replace("path", "^.*/", "").alias("file"), "length", "sha256")
 
 
-@query("fingerprint_changes", "select 'customer' as part, true as content_differs where exists (select 1 from customer)")
+@query("fingerprint_changes", "select 'customer.csv' as part, true as content_differs where exists (select 1 from customer)")
 def fingerprint_changes(spark, folder):
     """The same export twice is equal file by file; one changed value changes its file's fingerprint."""
     source = users_source(spark, folder).coalesce(1)
@@ -158,7 +158,8 @@ def fingerprint_changes(spark, folder):
     _write_csv(source.withColumn("credit_score", F.when(F.col("id") == "1", "1").otherwise(F.col("credit_score"))), f"{path}/after")
 
     def prints(part: str):
-        return files.fingerprints(files.list_files(spark, f"{path}/{part}", "*.csv")).withColumn("path", F.lit("customer"))
+        return files.fingerprints(files.list_files(spark, f"{path}/{part}", "*.csv")).withColumn(
+            "path", F.regexp_replace("path", "^.*[.]", "customer."))
 
     return files.fingerprint_changes(prints("before"), prints("after")).select(
         F.col("path").alias("part"), (F.col("expected") != F.col("actual")).alias("content_differs"))
