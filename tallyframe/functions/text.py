@@ -82,11 +82,21 @@ def screen(requests: DataFrame, text: str) -> DataFrame:
         *requests.columns, "_verdict.route", "_verdict.reason_code")
 
 
+# Finds exactly what EMAIL finds, but starts once per word instead of at every word border, so a
+# very long word (encoded data, for instance) costs one pass and not one per border.
+_EMAIL_SCAN = (
+    r"(?U)(?:(?<![^\s@])([^\w\s@]*+)(?=\w)|\G(?<!^)(?=[^\s@]))[^\s@]++@[^\s@]+\.[^\s@]+\b"
+)
+
+
+def redact_emails(text: Column) -> Column:
+    # the containment test spares the pattern on most rows
+    return F.when(text.contains("@"), F.regexp_replace(text, _EMAIL_SCAN, "$1" + EMAIL_MARK)).otherwise(text)
+
+
 def redact_turn(text: Column) -> Column:
     """E-mail addresses first, then long digit runs; the rest of the text is kept whole."""
-    # the cheap containment test spares the regex on most rows
-    mailed = F.when(text.contains("@"), F.regexp_replace(text, "(?U)" + EMAIL, EMAIL_MARK)).otherwise(text)
-    return F.regexp_replace(mailed, "(?U)" + LONG_NUMBER, NUMBER_MARK)
+    return F.regexp_replace(redact_emails(text), "(?U)" + LONG_NUMBER, NUMBER_MARK)
 
 
 def redact_scalar(text: Column) -> Column:
@@ -149,9 +159,8 @@ def point_id(doc_id: Column) -> Column:
     )
 
 
-# Wider redaction for complaint narratives, applied in this order.
+# Wider redaction for complaint narratives, applied in this order after e-mail addresses.
 COMPLAINT_MARKS: tuple[tuple[str, str], ...] = (
-    (EMAIL, "[redacted email]"),
     (r"\b\d{3}-\d{2}-\d{4}\b", "[redacted ssn]"),
     (r"\b(?:\d[ -]?){13,16}\b", "[redacted card]"),
     (r"\b(?:\+?1[ .-]?)?\(?\d{3}\)?[ .-]\d{3}[ .-]\d{4}\b", "[redacted phone]"),
@@ -160,6 +169,7 @@ COMPLAINT_MARKS: tuple[tuple[str, str], ...] = (
 
 
 def redact_complaint(text: Column) -> Column:
+    text = redact_emails(text)
     for pattern, mark in COMPLAINT_MARKS:
         text = F.regexp_replace(text, "(?U)" + pattern, mark)
     return text

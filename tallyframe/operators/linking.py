@@ -27,8 +27,11 @@ def label_words(label: str) -> list[str]:
 
 def label_matches(label: str, question: Column) -> Column:
     """A distinctive label word starts a word of the (lower-case) question."""
-    words = "|".join(label_words(label))
-    return question.rlike(rf"(?U)\b(?:{words})") if words else F.lit(False)
+    words = label_words(label)
+    if not words:
+        return F.lit(False)
+    # most questions contain none of the words anywhere and never meet the pattern
+    return _any(question, tuple(words)) & question.rlike(rf"(?U)\b(?:{'|'.join(words)})")
 
 
 def _any(question: Column, phrases: tuple[str, ...]) -> Column:

@@ -1,6 +1,7 @@
 """Operators against brute force and hand-checked cases."""
 
 import random
+import re
 from collections import deque
 from datetime import datetime, timedelta
 from uuid import NAMESPACE_URL, uuid5
@@ -172,6 +173,18 @@ def test_redaction(spark):
     assert one(spark, tx.redact_secrets(F.col("t"), "abc"), t="abc eyJx.y") == "[redacted] [redacted]"
 
 
+def test_email_scan_finds_what_the_definition_finds(spark):
+    random.seed(7)
+    texts = ["".join(random.choice("ab1é_.)-@@@.. \n") for _ in range(random.randrange(1, 40))) for _ in range(6000)]
+    texts += ["a@b.c)@d.e", "(x@y.z)", "a@b@c.d", "@a@b.c", ".@a.b", "a@b.c@d.e.f", "x" * 50 + "+" * 50]
+    df = spark.createDataFrame(list(enumerate(texts)), "i long, t string")
+    found = {r.i: r.t for r in df.select("i", tx.redact_emails(F.col("t")).alias("t")).collect()}
+    expected = {i: re.sub(tx.EMAIL, tx.EMAIL_MARK, t) for i, t in enumerate(texts)}
+    assert found == expected
+    long_word = spark.createDataFrame([("a/b+" * 250_000 + " x@y.z",)], "t string")
+    assert long_word.select(tx.redact_emails(F.col("t")).alias("t")).first().t.endswith("+ [redacted email]")
+
+
 @pytest.mark.parametrize("question,prior,relations", [
     ("Show spending by merchant category", ["main.cards"], ["main.transactions", "main.mcc_codes"]),
     ("what is the credit limit of cards?", None, ["main.cards"]),
