@@ -99,7 +99,9 @@ def relationship_report(transactions: DataFrame, cards: DataFrame, users: DataFr
     per_mcc = transactions.groupBy("mcc").agg(F.count(F.lit(1)).alias("n"))
     by_mcc = joins.orphans(per_mcc, mcc_codes, "mcc").agg(
         F.coalesce(F.sum("n"), F.lit(0)).alias("transactions_without_mcc_descriptions"))
-    by_card = joins.orphans(cards, users, "client_id").agg(F.count(F.lit(1)).alias("cards_without_users"))
+    per_owner = cards.groupBy("client_id").agg(F.count(F.lit(1)).alias("n"))
+    by_card = joins.orphans(per_owner, users, "client_id").agg(
+        F.coalesce(F.sum("n"), F.lit(0)).alias("cards_without_users"))
     return _side_by_side(by_pair, by_mcc, by_card)
 
 

@@ -76,14 +76,15 @@ def src_json_map(spark, folder):
 def src_json_map_problems(spark, folder):
     """Repeated keys survive the reader, so they can be reported instead of being overwritten."""
     part = star.table(spark, folder, "part")
-    entries = part.select(F.lpad((F.col("p_partkey") % 50).cast("string"), 4, "0").alias("mcc"), "p_name").unionByName(
-        part.select(F.col("p_size").cast("string").alias("mcc"), "p_name"))
+    # a block covers 500 part numbers, so an object stays small however many parts there are
+    block = F.floor(F.col("p_partkey") / 500).alias("block")
+    entries = part.select(block, F.lpad((F.col("p_partkey") % 50).cast("string"), 4, "0").alias("mcc"), "p_name").unionByName(
+        part.select(block, F.col("p_size").cast("string").alias("mcc"), "p_name"))
     path = fresh_path(spark, "json-map")
-    line = F.concat(F.lit('{"'), "mcc", F.lit('":"'), "p_name", F.lit('"}'))
-    block = F.pmod(F.xxhash64("mcc", "p_name"), F.lit(16))
-    lines = entries.groupBy(block.alias("block")).agg(F.concat(F.lit("{"), F.array_join(F.collect_list(
-        F.regexp_replace(line, r"^\{|\}$", "")), ","), F.lit("}")).alias("value"))
-    lines.repartitionByRange(16, "block").select("value").write.option("maxRecordsPerFile", 1).text(path)
+    member = F.concat(F.lit('"'), "mcc", F.lit('":"'), "p_name", F.lit('"'))
+    objects = entries.groupBy("block").agg(
+        F.concat(F.lit("{"), F.array_join(F.collect_list(member), ","), F.lit("}")).alias("value"))
+    objects.select("value").write.option("maxRecordsPerFile", 1).text(path)
     return readers.json_entry_problems(readers.json_entries(spark, path))
 
 
