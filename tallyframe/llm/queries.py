@@ -6,12 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyframe.llm import mixing, sharding
+from tallyframe.llm import mixing, rules, sharding
 from tallyframe.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_rules(spark: SparkSession, folder: str) -> DataFrame:
+    return rules.judge(table(spark, folder, "documents")).drop("lang", "source")
+
+
 def op6_shards(spark: SparkSession, folder: str) -> DataFrame:
     return sharding.shard_by_bytes(table(spark, folder, "documents"))
 
@@ -21,7 +25,7 @@ def op7_mix(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {q.__name__: q for q in (op6_shards, op7_mix)}
+    return {q.__name__: q for q in (op1_rules, op6_shards, op7_mix)}
 
 
 def oracle_sql() -> dict[str, str]:
