@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyframe.llm import mixing, rules, sharding
+from tallyframe.llm import bpe, mixing, rules, sharding
 from tallyframe.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,6 +17,10 @@ def op1_rules(spark: SparkSession, folder: str) -> DataFrame:
     return rules.judge(table(spark, folder, "documents")).drop("lang", "source")
 
 
+def op4_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    return bpe.digests(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op6_shards(spark: SparkSession, folder: str) -> DataFrame:
     return sharding.shard_by_bytes(table(spark, folder, "documents"))
 
@@ -25,7 +30,7 @@ def op7_mix(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {q.__name__: q for q in (op1_rules, op6_shards, op7_mix)}
+    return {q.__name__: q for q in (op1_rules, op4_bpe, op6_shards, op7_mix)}
 
 
 def oracle_sql() -> dict[str, str]:
