@@ -15,6 +15,8 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+import sys
+from array import array
 from dataclasses import dataclass
 
 import numpy as np
@@ -71,6 +73,12 @@ class Vocabulary:
         return cls(tokens, parts, special)
 
 
+def _little(numbers: array) -> bytes:
+    if sys.byteorder == "big":
+        numbers.byteswap()
+    return numbers.tobytes()
+
+
 class Encoder:
     def __init__(self, vocabulary: Vocabulary):
         import ahocorasick
@@ -84,11 +92,12 @@ class Encoder:
             self._matches.add_word(token.decode("latin-1"), (len(token), number))
         self._matches.make_automaton()
         self._shorter: dict[int, int] = {}
-        self._compatible: dict[tuple[int, int], bool] = {}
+        self._compatible: dict[int, bool] = {}
         self._tokens, self._special = vocabulary.tokens, vocabulary.special
         self._cut = re.compile("(" + "|".join(map(re.escape, sorted(self._special, key=len, reverse=True))) + ")") if self._special else None
         self._runs, self._pieces = re.compile(_RUNS), regex.compile(_PIECES)
         self._seen: dict[str, bytes] = {}
+        self._ids_of: dict[str, bytes] = {}
 
     def _next_shorter(self, token: int) -> int:
         """The longest token that is a proper prefix of this one, or -1."""
@@ -106,10 +115,7 @@ class Encoder:
         first. A merge of the two that touch at some time takes place if it is older than the merge that
         ends its left part, and no younger than the one that ends its right part.
         """
-        key = (left, right)
-        known = self._compatible.get(key)
-        if known is not None:
-            return known
+        key = left << 32 | right
         left_end = right_end = len(self._parts)
         apart = True
         while True:
@@ -129,19 +135,21 @@ class Encoder:
         self._compatible[key] = apart
         return apart
 
-    def _piece(self, piece: bytes) -> list[int]:
-        longest: list[tuple[int, int]] = [(0, -1)] * (len(piece) + 1)
-        for end, match in self._matches.iter(piece.decode("latin-1")):
-            start = end + 1 - match[0]
-            if match > longest[start]:
-                longest[start] = match
-        dead, out, place, token = bytearray(len(piece) + 1), [], 0, longest[0][1]
+    def _piece(self, piece: str) -> list[int]:
+        letters = piece if piece.isascii() else piece.encode().decode("latin-1")
+        size, tokens, known = len(letters), self._tokens, self._compatible
+        longest = [-1] * size
+        for end, (length, number) in self._matches.iter(letters):
+            longest[end + 1 - length] = number  # ends ascend, so the longest match from a start comes last
+        dead, out, place, token, last = bytearray(size + 1), [], 0, longest[0], -1
         while token >= 0:
-            end = place + len(self._tokens[token])
-            if not dead[end] and (not out or self._stay_apart(out[-1], token)):
-                out.append(token)
-                place, token = end, longest[end][1] if end < len(piece) else -1
-                continue
+            end = place + len(tokens[token])
+            if not dead[end]:
+                apart = last < 0 or known.get(last << 32 | token)
+                if self._stay_apart(last, token) if apart is None else apart:
+                    out.append(token)
+                    last, place, token = token, end, longest[end] if end < size else -1
+                    continue
             token = self._next_shorter(token)
             if token < 0:
                 # no way leads on from here: the token before is tried again and, its end being dead, shortened
@@ -149,18 +157,27 @@ class Encoder:
                 if not out:
                     raise ValueError("The vocabulary lacks single bytes")
                 token = out.pop()
-                place -= len(self._tokens[token])
+                place -= len(tokens[token])
+                last = out[-1] if out else -1
         return out
 
     def _run(self, run: str) -> bytes:
-        ids = [i for piece in self._pieces.findall(run) for i in self._piece(piece.encode())]
-        found = np.array(ids, dtype="<u4").tobytes()
+        """One run; its pieces are looked up too, as a word occurs with many marks behind it."""
+        found = b"".join(self._ids_of.get(piece) or self._new(piece) for piece in self._pieces.findall(run))
         if len(run) <= REMEMBERED_CHARS:
             if len(self._seen) >= REMEMBERED:
                 self._seen.clear()
             self._seen[run] = found
         return found
 
+    def _new(self, piece: str) -> bytes:
+        found = _little(array("I", self._piece(piece)))
+        if len(piece) <= REMEMBERED_CHARS:
+            if len(self._ids_of) >= REMEMBERED:
+                self._ids_of.clear()
+            self._ids_of[piece] = found
+        return found
+
     def encode(self, text: str | None) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
         out, seen = [], self._seen
