@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyframe.llm import bpe, mixing, pii, rules, sharding
+from tallyframe.llm import bpe, mixing, neardup, pii, rules, sharding
 from tallyframe.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -17,6 +17,10 @@ def op1_rules(spark: SparkSession, folder: str) -> DataFrame:
     return rules.judge(table(spark, folder, "documents")).drop("lang", "source")
 
 
+def op2_simhash(spark: SparkSession, folder: str) -> DataFrame:
+    return neardup.classes(table(spark, folder, "documents"))
+
+
 def op3_pii(spark: SparkSession, folder: str) -> DataFrame:
     return pii.digests(pii.find(table(spark, folder, "documents")))
 
@@ -34,7 +38,7 @@ def op7_mix(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {q.__name__: q for q in (op1_rules, op3_pii, op4_bpe, op6_shards, op7_mix)}
+    return {q.__name__: q for q in (op1_rules, op2_simhash, op3_pii, op4_bpe, op6_shards, op7_mix)}
 
 
 def oracle_sql() -> dict[str, str]:
