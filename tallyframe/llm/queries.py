@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyframe.llm import bpe, mixing, neardup, pii, rules, sharding
+from tallyframe.llm import bpe, mixing, neardup, pii, rules, sharding, simhash
 from tallyframe.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -37,8 +37,12 @@ def op7_mix(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix(table(spark, folder, "documents"))
 
 
+def op10_simhash(spark: SparkSession, folder: str) -> DataFrame:
+    return simhash.compare(table(spark, folder, "documents"))
+
+
 def queries() -> dict[str, Query]:
-    return {q.__name__: q for q in (op1_rules, op2_simhash, op3_pii, op4_bpe, op6_shards, op7_mix)}
+    return {q.__name__: q for q in (op1_rules, op2_simhash, op3_pii, op4_bpe, op6_shards, op7_mix, op10_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:
