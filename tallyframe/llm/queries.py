@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyframe.llm import bpe, mixing, neardup, pii, quality, rules, sharding, simhash, toxicity
+from tallyframe.llm import bpe, language, mixing, neardup, pii, quality, rules, sharding, simhash, toxicity
 from tallyframe.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -45,12 +45,16 @@ def op8_quality(spark: SparkSession, folder: str) -> DataFrame:
     return quality.score(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
 
+def op9_language(spark: SparkSession, folder: str) -> DataFrame:
+    return language.identify(table(spark, folder, "documents"))
+
+
 def op10_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.compare(table(spark, folder, "documents"))
 
 
 def queries() -> dict[str, Query]:
-    return {q.__name__: q for q in (op1_rules, op2_simhash, op3_pii, op4_bpe, op5_toxicity, op6_shards, op7_mix, op8_quality, op10_simhash)}
+    return {q.__name__: q for q in (op1_rules, op2_simhash, op3_pii, op4_bpe, op5_toxicity, op6_shards, op7_mix, op8_quality, op9_language, op10_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:
