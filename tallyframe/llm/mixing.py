@@ -8,7 +8,7 @@ divided by inclusion odds, and the lowest ranks are taken until the source's wor
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tallyframe.llm.common import ranked, word_count
 from tallyframe.session import materialise
@@ -48,16 +48,20 @@ def source_targets(rows: DataFrame) -> DataFrame:
     return weighed.select("source", "source_size", F.least(cap, F.col("weight") * F.lit(level)).alias("target"))
 
 
+def number(id: str = "doc_id", text: str = "text", source: str = "source", seed: int = SEED) -> Column:
+    """A row's random number."""
+    return F.xxhash64(F.lit(seed), F.col(id).cast("string"), F.col(text), F.col(source), F.col(source).isNull())
+
+
 def mix(documents: DataFrame, *, id: str = "doc_id", text: str = "text", source: str = "source", seed: int = SEED) -> DataFrame:
-    """(doc_id, size, source_size, target, taken, copies): how many words of each row the mix takes.
+    """(doc_id, size, source_size, target, taken, copies, number): how many words of each row the mix takes.
 
     Null text and empty text have no words and are never taken; a null source is a source of its
-    own; repeated rows (one id and text) share their random number and so lie side by side in the ranking; an empty table gives an empty
+    own; repeated rows (one id, text and source) share their random number and so lie side by side in the ranking; an empty table gives an empty
     result; other columns are ignored. Reruns agree, as random numbers are hashes of the rows.
     """
-    number = F.xxhash64(F.lit(seed), F.col(id).cast("string"), F.col(text))
     rows = materialise(documents.select(
-        F.col(id).alias("doc_id"), F.col(source).alias("source"), word_count(text).alias("size"), number.alias("number"),
+        F.col(id).alias("doc_id"), F.col(source).alias("source"), word_count(text).alias("size"), number(id, text, source, seed).alias("number"),
         F.greatest(F.lit(0.8), F.least(F.lit(1.25), F.pow(F.lit(USUAL_WORDS) / F.greatest(word_count(text), F.lit(1)), F.lit(0.125)))).alias("liking"),
     ), "mixrows")
     targets = source_targets(rows)
@@ -88,7 +92,7 @@ def mix(documents: DataFrame, *, id: str = "doc_id", text: str = "text", source:
     # the ranks at which a source's words run out: at most LAST_ROWS documents but for repeated rows
     edge = edge.groupBy("from").applyInPandas(_until_full, edge.schema)
     copies = F.col("whole") + F.col("extra")
-    return sure.unionByName(edge).select("doc_id", "size", "source_size", "target", (copies * F.col("size")).alias("taken"), copies.alias("copies"))
+    return sure.unionByName(edge).select("doc_id", "size", "source_size", "target", (copies * F.col("size")).alias("taken"), copies.alias("copies"), "number")
 
 
 def _narrower(parted: DataFrame, state: DataFrame) -> DataFrame:

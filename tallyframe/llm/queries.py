@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
@@ -14,7 +15,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def op1_rules(spark: SparkSession, folder: str) -> DataFrame:
-    return rules.judge(table(spark, folder, "documents")).drop("lang", "source")
+    return rules.judge(table(spark, folder, "documents"))
 
 
 def op2_simhash(spark: SparkSession, folder: str) -> DataFrame:
@@ -53,8 +54,13 @@ def op10_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.compare(table(spark, folder, "documents"))
 
 
+def pipeline(spark: SparkSession, folder: str) -> DataFrame:
+    return corpus_pipeline.run(spark, folder)
+
+
 def queries() -> dict[str, Query]:
-    return {q.__name__: q for q in (op1_rules, op2_simhash, op3_pii, op4_bpe, op5_toxicity, op6_shards, op7_mix, op8_quality, op9_language, op10_simhash)}
+    return {q.__name__: q for q in (
+        op1_rules, op2_simhash, op3_pii, op4_bpe, op5_toxicity, op6_shards, op7_mix, op8_quality, op9_language, op10_simhash, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:

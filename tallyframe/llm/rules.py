@@ -169,15 +169,15 @@ def _cells(rows: DataFrame, least: int) -> DataFrame:
 
 
 def judge(documents: DataFrame, *, id: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source",
-          least_rows: int = LEAST_ROWS, tail: float = TAIL) -> DataFrame:
-    """One row per document: the counts, base_failed, distance and kept.
+          keep: list[str] | None = None, least_rows: int = LEAST_ROWS, tail: float = TAIL) -> DataFrame:
+    """One row per document: the counts, base_failed, kept, distance, and the columns named in ``keep``.
 
     Null text counts as empty and fails the base; a null language or source is a value of its own;
     rows that repeat are judged alike; an empty table gives an empty result; other columns are
     ignored. Where even all rows together are fewer than ``least_rows``, the base alone decides
     (distance null).
     """
-    rows = counted(documents.select(F.col(id).alias("doc_id"), F.col(text).alias("text"), F.col(lang).alias("lang"), F.col(source).alias("source")))
+    rows = counted(documents.select(F.col(id).alias("doc_id"), F.col(text).alias("text"), F.col(lang).alias("lang"), F.col(source).alias("source"), *(keep or [])))
     failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
     rows = rows.select("*", failed.alias("base_failed"), *(x.alias(f"x{i}") for i, x in enumerate(_statistics().values())))
     rows = materialise(rows, "rules")
@@ -196,4 +196,4 @@ def judge(documents: DataFrame, *, id: str = "doc_id", text: str = "text", lang:
     judged = _distance(rows, materialise(estimates, "estimates"))
     far = F.coalesce(F.col("distance") > chi_square_quantile(1 - tail, _N), F.lit(False))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
-                         "base_failed", (~F.col("base_failed") & ~far).alias("kept"), "distance", "lang", "source")
+                         "base_failed", (~F.col("base_failed") & ~far).alias("kept"), "distance", *(keep or []))
