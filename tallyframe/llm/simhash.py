@@ -125,12 +125,15 @@ def edited(documents: DataFrame, *, id: str = "doc_id", text: str = "text") -> D
     ends = needs.agg(F.min("doc_id"), F.max("n")).first()
     follows = follows.select("doc_id", F.coalesce("next", F.lit(ends[0]).cast("long")).alias("next"))
     wanted = needs.join(follows, "doc_id").select(F.col("doc_id").alias("before"), F.col("next").alias("doc_id"), "quarter")
-    starts = rows.join(wanted, "doc_id").select(F.col("before").alias("doc_id"), F.col("doc_id").alias("next"), F.expr("substr(text, 1, quarter)").alias("start"), F.xxhash64("text").alias("own"))
+    # the same rows stand in both joins, so their texts are dealt out by id once
+    known = rows.where("doc_id is not null")
+    starts = known.join(wanted, "doc_id").select(F.col("before").alias("doc_id"), F.col("doc_id").alias("next"), F.expr("substr(text, 1, quarter)").alias("start"), F.xxhash64("text").alias("own"))
     if (ends[1] or 0) > 1:
         starts = starts.groupBy("doc_id", "next").agg(F.min_by("start", "own").alias("start"))
     kept = F.expr("substr(text, 1, char_length(text) - cast(floor(char_length(text) / 4) as int))")
     end = F.expr("substr(start, 1, cast(floor(char_length(text) / 4) as int))")
-    return rows.join(starts, "doc_id", "left").select("doc_id", "text", F.concat(kept, F.coalesce(end, F.lit(""))).alias("edited"), "next")
+    followed = known.join(starts, "doc_id").select("doc_id", "text", F.concat(kept, end).alias("edited"), "next")
+    return followed.unionByName(rows.where("doc_id is null").select("doc_id", "text", kept.alias("edited"), F.lit(None).cast("long").alias("next")))
 
 
 def compare(documents: DataFrame, *, id: str = "doc_id", text: str = "text", every: int = 50) -> DataFrame:
