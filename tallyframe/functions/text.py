@@ -29,7 +29,7 @@ EMAIL_MARK, NUMBER_MARK, SCALAR_MARK = "[redacted email]", "[redacted number]",
 MAX_FACT_LENGTH = 160
 SIGNED_TOKEN = r"eyJ[A-Za-z0-9_.-]+"
 SECRET_KEY = r"^sk-[A-Za-z0-9_-]{16,400}$"
-SECRET_KEY_IN_TEXT = r"sk-[A-Za-z0-9_-]{16,400}"
+SECRET_KEY_IN_TEXT = r"(?<![A-Za-z0-9_-])sk-[A-Za-z0-9_-]{16,400}(?![A-Za-z0-9_-])"
 
 # Filter names that may not be remembered.
 FORBIDDEN_FILTERS = ("rows", "row", "sql", "raw_sql", "prompt", "question", "answer", "content", "narrative")
@@ -44,13 +44,13 @@ PASSED_FIELDS = (
 _URL_NAMESPACE = "6ba7b8119dad11d180b400c04fd430c8"
 
 
-# Each rule needs one of these words; looking for them first spares most texts the pattern.
-_GUARD_WORDS: dict[str, tuple[str, ...]] = {
-    "credential_request": ("token", "api", "password", "secret", "credential"),
-    "private_source_request": ("source",),
-    "file_or_url_request": ("file", "csv", "parquet", "json", "http"),
-    "instruction_injection": ("ignore", "bypass", "override"),
-    "raw_pii_request": ("card number", "cvv", "pin", "home address", "precise location"),
+# Each rule needs a word of every group; looking for them first spares most texts the pattern.
+_GUARD_WORDS: dict[str, tuple[tuple[str, ...], ...]] = {
+    "credential_request": (("token", "api", "password", "secret", "credential"),),
+    "private_source_request": (("source",),),
+    "file_or_url_request": (("file", "csv", "parquet", "json", "http"), ("read", "scan", "open", "fetch", "download")),
+    "instruction_injection": (("ignore", "bypass", "override"), ("policy", "instructions", "guard", "rules")),
+    "raw_pii_request": (("card number", "cvv", "pin", "home address", "precise location"),),
 }
 
 
@@ -67,7 +67,8 @@ def verdict(request: Column) -> Column:
 
     decided = F.when(request == "", outcome("clarify", "blank_question"))
     for reason, pattern in GUARD_RULES:
-        mentioned = reduce(lambda a, b: a | b, [request.contains(word) for word in _GUARD_WORDS[reason]])
+        mentioned = reduce(lambda a, b: a & b, [
+            reduce(lambda a, b: a | b, [request.contains(word) for word in words]) for words in _GUARD_WORDS[reason]])
         decided = decided.when(mentioned & request.rlike("(?Ud)" + pattern), outcome("abstain", reason))
     return decided.otherwise(outcome("allow", "allowed"))
 
@@ -111,10 +112,6 @@ def sanitise_filters(filters: Column) -> Column:
     return F.transform_values(allowed, lambda _, value: redact_scalar(value))
 
 
-def is_fact_text(text: Column) -> Column:
-    return F.coalesce((strip(text) != "") & (F.length(text) <= MAX_FACT_LENGTH), F.lit(False))
-
-
 def is_digest(text: Column) -> Column:
     return full_match(text, "[a-f0-9]{64}")
 

@@ -5,24 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 
-def _doubles(vector: Column) -> Column:
-    return vector.cast("array<double>")
-
-
-def dot(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(_doubles(a), _doubles(b), lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-
-
-def norm(a: Column) -> Column:
-    return F.sqrt(dot(a, a))
-
-
-def cosine(a: Column, b: Column) -> Column:
-    """Cosine similarity; zero when either vector has no length."""
-    scale = norm(a) * norm(b)
-    return F.when(scale == 0.0, F.lit(0.0)).otherwise(dot(a, b) / scale)
-
-
 def require_size(vector: Column, size: int) -> Column:
     """The vector, or an error when its length differs."""
     stop = F.raise_error(F.lit(f"vector must have length {size}")).cast("array<float>")

@@ -20,11 +20,6 @@ def canonical(source: DataFrame, table: Table) -> DataFrame:
     ])
 
 
-def create_canonical_views(sources: dict[str, DataFrame]) -> None:
-    for name, source in sources.items():
-        canonical(source, TABLES[name]).createOrReplaceTempView(name)
-
-
 class GovernedCatalog:
     """Relations that may be read, by fully qualified name."""
 
@@ -33,30 +28,37 @@ class GovernedCatalog:
     def __init__(self, relations: dict[str, DataFrame]):
         self._relations = {f"{self.schema}.{name}".lower(): df for name, df in relations.items()}
 
-    def table(self, name: str) -> DataFrame:
+    def _relation(self, name: str) -> DataFrame:
         parts = name.lower().split(".")
         if len(parts) == 1:
-            raise AccessDenied("Every relation must be fully qualified with main")
+            raise AccessDenied(f"Name relations as {self.schema}.relation")
         relation = self._relations.get(name.lower())
         if len(parts) != 2 or relation is None:
-            raise AccessDenied(f"Relation is not in the allowed relation list: {name}")
+            raise AccessDenied(f"No such relation for you: {name}")
         return relation
 
-    def select(self, name: str, columns: list[str], limit: int | None = None) -> DataFrame:
-        """Explicit columns of one relation; a qualified name (``t.column``) must match exactly."""
-        df = self.table(name)
-        alias = name.lower().split(".")[1]
-        by_lower = {c.lower(): c for c in df.columns}
+    def _columns(self, name: str, columns: list[str]) -> list[str]:
+        available, alias = self._relation(name).columns, name.lower().split(".")[1]
+        by_lower = {c.lower(): c for c in available}
         picked = []
         for column in columns:
             if "*" in column:
-                raise AccessDenied("wildcard projections are not allowed")
+                raise AccessDenied("Columns are to be named one by one")
             prefix, _, bare = column.rpartition(".")
-            known = (bare if bare in df.columns else None) if prefix else by_lower.get(bare.lower())
+            known = (bare if bare in available else None) if prefix else by_lower.get(bare.lower())
             if known is None or (prefix and prefix.lower() != alias):
-                raise AccessDenied(f"Column is not in the allowed column list: {column}")
-            picked.append(F.col(known))
-        return bounded(df.select(*picked), limit)
+                raise AccessDenied(f"No such column for you: {column}")
+            picked.append(known)
+        return picked
+
+    def select(self, name: str, columns: list[str], limit: int | None = None) -> DataFrame:
+        """Explicit columns of one relation; a qualified name (``t.column``) must match exactly."""
+        return bounded(self._relation(name).select(*self._columns(name, columns)), limit)
+
+    def total(self, name: str, by: list[str], measures: dict[str, tuple[str, str]]) -> DataFrame:
+        """Measures (new name to allowed function and column) per combination of columns; bound the result to show it."""
+        values = {new: call(function, F.col(self._columns(name, [column])[0])) for new, (function, column) in measures.items()}
+        return self._relation(name).groupBy(*self._columns(name, by)).agg(*[v.alias(n) for n, v in values.items()])
 
 
 def bounded(df: DataFrame, limit: int | None = None, *, scalar: bool = False) -> DataFrame:
@@ -64,7 +66,7 @@ def bounded(df: DataFrame, limit: int | None = None, *, scalar: bool = False) ->
     if limit is None:
         return df if scalar else df.limit(MAX_RESULT_ROWS)
     if isinstance(limit, bool) or not isinstance(limit, int) or not 1 <= limit <= MAX_RESULT_ROWS:
-        raise AccessDenied(f"A LIMIT between 1 and {MAX_RESULT_ROWS} is required")
+        raise AccessDenied(f"Ask for 1 to {MAX_RESULT_ROWS} rows")
     return df.limit(limit)
 
 
@@ -96,7 +98,7 @@ def call(function: str, *arguments) -> Column:
     """Build an expression from an allowed function name."""
     builder = ALLOWED_FUNCTIONS.get(function.upper())
     if builder is None:
-        raise AccessDenied(f"Function is not allowed: {function.upper()}")
+        raise AccessDenied(f"No such function for you: {function.upper()}")
     return builder(*arguments)
 
 

@@ -2,11 +2,20 @@
 
 from __future__ import annotations
 
+import ast
+import hashlib
+import json
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from tallyframe.functions.convert import parse, strip
 from tallyframe.operators.linking import MAX_SUGGESTION_LENGTH, MAX_SUGGESTIONS
+from tallyframe.sources.publish import json_safe
 
+# Fixed value: what is said instead of a serialised answer.
 FALLBACK_ANSWER = "The result is shown in the table/chart above; ask a narrower question for a written summary."
 CHART_TYPES = ("bar", "line")
 MAX_CHART_POINTS = 25
@@ -50,34 +59,49 @@ def chart_points(results: DataFrame, by: list[str], position: str, x: str, y: st
     return points.where(F.col("value").isNotNull() & ~F.isnan("value") & ~infinite)
 
 
+def _serialised(answers: pd.Series) -> pd.Series:
+    def one(answer: str | None) -> bool:
+        if not answer or answer[0] not in "[{":
+            return False
+        try:
+            return isinstance(ast.literal_eval(answer), (list, dict))
+        except (ValueError, SyntaxError, MemoryError, RecursionError):
+            return False
+
+    return answers.map(one).astype(bool)
+
+
 def check_answer(answer: Column) -> Column:
     """Replace an answer that is a serialised list or object by a fixed sentence.
 
-    Serialised means: it starts with a bracket and reads as JSON once Python's spelling of
-    quotes, booleans and nothing is taken into account.
+    Serialised means: it starts with a bracket and reads as a literal of lists, dictionaries, tuples,
+    texts, numbers, booleans and nothing; only such a reader settles quotes inside quotes.
     """
-    spelled = F.regexp_replace(F.regexp_replace(F.regexp_replace(
-        answer, r"\bTrue\b", "true"), r"\bFalse\b", "false"), r"\bNone\b", "null")
-    options = {"allowSingleQuotes": "true", "mode": "PERMISSIVE"}
-    is_list = answer.startswith("[") & answer.rlike(r"\]\s*\z") & F.from_json(spelled, "array<string>", options).isNotNull()
-    is_object = answer.startswith("{") & answer.rlike(r"\}\s*\z") & (
-        F.size(F.coalesce(F.json_object_keys(F.replace(spelled, F.lit("'"), F.lit('"'))), F.array())) > 0)
-    return F.when(is_list | is_object, F.lit(FALLBACK_ANSWER)).otherwise(answer)
+    serialised = F.pandas_udf(_serialised, "boolean")
+    return F.when(serialised(answer), F.lit(FALLBACK_ANSWER)).otherwise(answer)
 
 
 def result_digest(result: DataFrame, order: list[Column]) -> DataFrame:
-    """SHA-256 of the columns and rows of a bounded result, in row order.
+    """SHA-256 of the columns and rows of a bounded result, in row order, written as compact JSON.
 
-    The result must already carry its row bound (``access.bounded``): at most 100 rows meet here.
+    Numbers are digested as numbers and dates as ISO text. The result must already carry its row bound
+    (``access.bounded``): at most 100 rows meet in one task here.
     """
-    cells = result.columns
-    row = F.to_json(F.array(*[F.col(c).cast("string") for c in cells]))
-    header = "[" + ",".join(f'"{c}"' for c in cells) + "]"
-    numbered = result.select(F.struct(*order).alias("_order"), row.alias("_row"))
-    ordered = F.transform(F.sort_array(F.collect_list(F.struct("_order", "_row"))), lambda r: r["_row"])
-    return numbered.agg(
-        F.sha2(F.concat(F.lit('{"columns":' + header + ',"rows":['), F.array_join(ordered, ","), F.lit("]}")), 256)
-        .alias("result_digest"))
+    columns = result.columns
+    numbered = result.select(F.struct(*order).alias("_order"), F.struct(*[F.col(f"`{c}`") for c in columns]).alias("_row"))
+    rows = json_safe(numbered.agg(F.transform(F.sort_array(F.collect_list(F.struct("_order", "_row"))), lambda r: r["_row"]).alias("rows")))
+
+    def digest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame({"result_digest": [hashlib.sha256(json.dumps(
+                {"columns": columns, "rows": [[_plain(r[c]) for c in columns] for r in found]},
+                sort_keys=True, separators=(",", ":"), default=str).encode()).hexdigest() for found in batch["rows"]]})
+
+    return rows.mapInPandas(digest, "result_digest string")
+
+
+def _plain(value):
+    return value.item() if isinstance(value, np.generic) else value
 
 
 def distinct_in_order(values: Column, allowed: Column) -> Column:

@@ -85,18 +85,20 @@ def relationship_report(transactions: DataFrame, cards: DataFrame, users: DataFr
     """One row of reference counters; every one must be zero in a clean snapshot.
 
     Transactions are counted per (card, client) and per category before any join, so the joins
-    see one row per combination however many rows it has; each dimension key must be unique.
+    see one row per combination however many rows it has; each dimension key must be unique. A card
+    without an owner is known, and owned by nobody.
     """
-    owners = cards.select("card_id", F.col("client_id").alias("owner_id"))
+    owners = cards.select("card_id", F.col("client_id").alias("owner_id"), F.lit(True).alias("known_card"))
     known = users.select("client_id", F.lit(True).alias("known_user"))
-    per_pair = transactions.groupBy("client_id", "card_id").agg(F.count(F.lit(1)).alias("n"))
+    combined = transactions.groupBy("client_id", "card_id", "mcc").agg(F.count(F.lit(1)).alias("n"))
+    per_pair = combined.groupBy("client_id", "card_id").agg(F.sum("n").alias("n"))
     by_pair = per_pair.join(owners, "card_id", "left").join(known, "client_id", "left").agg(
         _sum_where(F.col("known_user").isNull()).alias("transactions_without_users"),
-        _sum_where(F.col("owner_id").isNull()).alias("transactions_without_cards"),
-        _sum_where(F.col("owner_id").isNotNull() & ~F.col("client_id").eqNullSafe(F.col("owner_id")))
+        _sum_where(F.col("known_card").isNull()).alias("transactions_without_cards"),
+        _sum_where(F.col("known_card").isNotNull() & ~F.col("client_id").eqNullSafe(F.col("owner_id")))
         .alias("transaction_card_owner_mismatches"),
     )
-    per_mcc = transactions.groupBy("mcc").agg(F.count(F.lit(1)).alias("n"))
+    per_mcc = combined.groupBy("mcc").agg(F.sum("n").alias("n"))
     by_mcc = joins.orphans(per_mcc, mcc_codes, "mcc").agg(
         F.coalesce(F.sum("n"), F.lit(0)).alias("transactions_without_mcc_descriptions"))
     per_owner = cards.groupBy("client_id").agg(F.count(F.lit(1)).alias("n"))
@@ -247,11 +249,11 @@ def report_failures(report: DataFrame) -> DataFrame:
         .agg(*[F.max(F.when(F.col("check_name") == c, F.col("value").cast("long"))).alias(c)
                for c in ("row_count", "distinct_keys", "null_keys")])
         .where((F.col("row_count") != F.col("distinct_keys")) | (F.col("null_keys") > 0))
-        .select("table_name", F.lit("Duplicate or null primary keys").alias("failure"))
+        .select("table_name", F.lit("Duplicate or missing keys").alias("failure"))
     )
     references = (
         report.where((F.col("table_name") == "relationships") & (F.col("value").try_cast("long") > 0))
-        .select(F.col("check_name").alias("table_name"), F.lit("Invalid source reference or card owner mismatch").alias("failure"))
+        .select(F.col("check_name").alias("table_name"), F.lit("Broken reference or foreign card").alias("failure"))
     )
     return keys.unionByName(references)
 

@@ -12,15 +12,16 @@ from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from tallyframe.functions.text import point_id
 from tallyframe.functions.vector import require_size
+from tallyframe.session import materialise
 
 BATCH_SIZE = 16
 MAX_TOP_K = 10
 DEFAULT_TOP_K = 5
 DEFAULT_THRESHOLD = 0.35
-#: queries are sent to the tasks only up to this many numbers (32 MiB as doubles)
-MAX_SENT_NUMBERS = 4 * 1024 * 1024
-#: rows of one block in the block-wise search
-BLOCK_ROWS = 16 * 1024
+#: queries, ids included, are sent to the tasks only up to this many bytes
+MAX_SENT_BYTES = 32 * 1024 * 1024
+#: scores a task computes at a time
+MAX_CELLS = 2 * 1024 * 1024
 
 
 class Embedder(Protocol):
@@ -78,47 +79,71 @@ def points(embedded: DataFrame, doc_id: str, size: int, payload: list[str]) -> D
 
 
 def upsert(existing: DataFrame, incoming: DataFrame, key: str = "point_id") -> DataFrame:
-    """The table after replacing every incoming key; the same input twice changes nothing."""
-    kept = existing.join(incoming.select(key), key, "left_anti")
-    return kept.unionByName(incoming)
+    """The table after replacing every incoming key; the same input twice changes nothing.
 
+    A key that is repeated in ``incoming`` counts once. The incoming rows are stored before they are used
+    twice, so whatever made them (an embedder, for instance) runs once.
+    """
+    others = [c for c in incoming.columns if c != key]
+    once = incoming.groupBy(key).agg(F.max_by(F.struct(*others), F.xxhash64(*others)).alias("_row")).select(
+        key, *[F.col(f"_row.{c}").alias(c) for c in others])
+    stored = materialise(once, "upsert")
+    return existing.join(stored.select(key), key, "left_anti").unionByName(stored)
 
-def top_k(
-    queries: DataFrame, catalog: DataFrame, k: int, *, size: int, threshold: float | None = None,
-    query_id: str = "query_id", query_vector: str = "vector", item_id: str = "item_id", item_vector: str = "vector",
-    max_sent: int = MAX_SENT_NUMBERS, block_rows: int = BLOCK_ROWS,
-) -> DataFrame:
-    """``(query_id, item_id, score, rank)``: exact best ``k`` by cosine, ties by item id.
 
-    The threshold applies after the cut to ``k``. Up to a checked number of query values the
-    queries are sent to the tasks and the catalogue is read once, unshuffled, each task keeping
-    ``k`` candidates per query. Beyond that both sides are cut into blocks that meet pairwise,
-    so memory per task stays bounded and again only ``k`` candidates per query and block survive.
-    Ids are unique on both sides, as ``upsert`` keeps them.
-    """
+def _sides(queries, catalog, k, size, threshold, names):
     if isinstance(k, bool) or not isinstance(k, int) or k < 1:
         raise ValueError("k must be at least one")
     if threshold is not None and not 0.0 <= threshold <= 1.0:
         raise ValueError("threshold must be between 0 and 1")
-    q = queries.select(F.col(query_id).alias("query_id"), require_size(F.col(query_vector), size).alias("vector"))
-    c = catalog.select(F.col(item_id).alias("item_id"), require_size(F.col(item_vector), size).alias("vector"))
+    names = {"query_id": "query_id", "query_vector": "vector", "item_id": "item_id", "item_vector": "vector"} | names
+    q = queries.select(F.col(names["query_id"]).alias("query_id"), require_size(F.col(names["query_vector"]), size).alias("vector"))
+    c = catalog.select(F.col(names["item_id"]).alias("item_id"), require_size(F.col(names["item_vector"]), size).alias("vector"))
     types = (q.schema["query_id"].dataType.simpleString(), c.schema["item_id"].dataType.simpleString())
-    schema = f"query_id {types[0]}, item_id {types[1]}, score double"
-    limit = max_sent // size
-    few = q.limit(limit + 1).toArrow()
-    if few.num_rows <= limit:
-        candidates = _scan(few, c, k, schema)
-    else:
-        candidates = _by_blocks(q, c, k, schema, block_rows)
+    return q, c, f"query_id {types[0]}, item_id {types[1]}, score double"
+
+
+def _cut(candidates: DataFrame, k: int, threshold: float | None) -> DataFrame:
     window = Window.partitionBy("query_id").orderBy(F.desc("score"), "item_id")
     best = candidates.withColumn("rank", F.row_number().over(window)).where(F.col("rank") <= k)
     return best if threshold is None else best.where(F.col("score") >= threshold)
 
 
+def top_k(
+    queries: DataFrame, catalog: DataFrame, k: int, *, size: int, threshold: float | None = None, max_bytes: int = MAX_SENT_BYTES, **names: str,
+) -> DataFrame:
+    """``(query_id, item_id, score, rank)``: exact best ``k`` by cosine, ties by item id.
+
+    The threshold applies after the cut to ``k``. The queries with their ids are sent to the tasks, and
+    the catalogue is read once, unshuffled, each task keeping ``k`` candidates per query. Queries
+    beyond ``max_bytes`` are refused; ``top_k_by_blocks`` takes any number. Ids are unique on both
+    sides, as ``upsert`` keeps them. ``names`` may rename query_id, query_vector, item_id and item_vector.
+    """
+    q, c, schema = _sides(queries, catalog, k, size, threshold, names)
+    # no more rows than could fit are fetched before the bytes are looked at
+    sent = q.limit(max_bytes // (4 * size) + 1).toArrow()
+    if sent.nbytes > max_bytes or sent.num_rows > max_bytes // (4 * size):
+        raise ValueError(f"The queries take more than {max_bytes} bytes; use top_k_by_blocks")
+    return _cut(_scan(sent, c, k, schema), k, threshold)
+
+
+def top_k_by_blocks(
+    queries: DataFrame, catalog: DataFrame, k: int, *, size: int, query_blocks: int, item_blocks: int,
+    threshold: float | None = None, **names: str,
+) -> DataFrame:
+    """As ``top_k`` for any number of queries: both sides are cut into the given numbers of blocks that meet pairwise.
+
+    A task holds one block of either side, and only ``k`` candidates per query and block survive. Every
+    row is sent once per opposite block, so choose blocks as large as a task can hold.
+    """
+    q, c, schema = _sides(queries, catalog, k, size, threshold, names)
+    return _cut(_by_blocks(q, c, k, schema, query_blocks, item_blocks), k, threshold)
+
+
 def _matrix(column: pa.ChunkedArray | pa.Array, rows: int) -> np.ndarray:
     values = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    flat = values.flatten().to_numpy(zero_copy_only=False)
-    return flat.astype("float64").reshape(rows, -1)
+    flat = values.flatten().to_numpy(zero_copy_only=False).astype("float64")
+    return flat.reshape(rows, len(flat) // rows) if rows else np.zeros((0, 0))
 
 
 def _norms(matrix: np.ndarray) -> np.ndarray:
@@ -135,6 +160,12 @@ class _Best:
         self.kept: list[list[tuple]] = [[] for _ in ids]
 
     def add(self, items: list, matrix: np.ndarray) -> None:
+        """Scores are made for a bounded number of query-item cells at a time."""
+        step = max(1, MAX_CELLS // max(1, len(self.ids)))
+        for start in range(0, len(items), step):
+            self._add(items[start:start + step], matrix[start:start + step])
+
+    def _add(self, items: list, matrix: np.ndarray) -> None:
         norms = _norms(matrix)
         with np.errstate(divide="ignore", invalid="ignore"):
             rough = (self.matrix @ matrix.T) / self.norms[:, None] / norms[None, :]
@@ -183,10 +214,8 @@ def _scan(queries: pa.Table, catalog: DataFrame, k: int, schema: str) -> DataFra
     return catalog.mapInArrow(run, layout)
 
 
-def _by_blocks(queries: DataFrame, catalog: DataFrame, k: int, schema: str, block_rows: int) -> DataFrame:
+def _by_blocks(queries: DataFrame, catalog: DataFrame, k: int, schema: str, query_blocks: int, item_blocks: int) -> DataFrame:
     """Blocks of both sides meet pairwise; each pair is one bounded group."""
-    query_blocks = -(-queries.count() // block_rows)
-    item_blocks = max(1, -(-catalog.count() // block_rows))
     q = queries.withColumn("_q", F.pmod(F.xxhash64("query_id"), F.lit(query_blocks))).withColumn(
         "_c", F.explode(F.sequence(F.lit(0), F.lit(item_blocks - 1)).cast("array<bigint>")))
     c = catalog.withColumn("_c", F.pmod(F.xxhash64("item_id"), F.lit(item_blocks))).withColumn(
@@ -195,15 +224,9 @@ def _by_blocks(queries: DataFrame, catalog: DataFrame, k: int, schema: str, bloc
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if left.empty or right.empty:
             return pd.DataFrame({"query_id": [], "item_id": [], "score": []})
-        items, matrix = right["item_id"].tolist(), np.stack(right["vector"]).astype("float64")
-        parts = []
-        step = max(1, MAX_SENT_NUMBERS // len(items))
-        for start in range(0, len(left), step):
-            part = left.iloc[start:start + step]
-            best = _Best(part["query_id"].tolist(), np.stack(part["vector"]).astype("float64"), k)
-            best.add(items, matrix)
-            parts.append(pd.DataFrame(dict(zip(("query_id", "item_id", "score"), best.rows()))))
-        return pd.concat(parts)
+        best = _Best(left["query_id"].tolist(), np.stack(left["vector"]).astype("float64"), k)
+        best.add(right["item_id"].tolist(), np.stack(right["vector"]).astype("float64"))
+        return pd.DataFrame(dict(zip(("query_id", "item_id", "score"), best.rows())))
 
     return q.groupBy("_q", "_c").cogroup(c.groupBy("_q", "_c")).applyInPandas(run, schema)
 

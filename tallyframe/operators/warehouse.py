@@ -10,7 +10,7 @@ from tallyframe.operators.access import canonical
 from tallyframe.operators.quality import compare_reports, quality_report, require_clean, require_types
 from tallyframe.session import materialise
 from tallyframe.sources.files import fingerprint_changes, fingerprints, list_files
-from tallyframe.sources.publish import exists, publish
+from tallyframe.sources.publish import exists, publish, read_published
 from tallyframe.sources.readers import read_json_map, read_strict
 
 REPORT = "quality_report"
@@ -40,7 +40,7 @@ def read_sources(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
 
 def open_warehouse(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     """The stored source tables, typed by the contract."""
-    return {t.source: spark.read.schema(t.source_schema()).parquet(f"{path}/{t.source}") for t in TABLES.values()}
+    return {t.source: read_published(spark, path, t.source, t.source_schema()) for t in TABLES.values()}
 
 
 def report_of(tables: dict[str, DataFrame]) -> DataFrame:
@@ -51,25 +51,48 @@ def report_of(tables: dict[str, DataFrame]) -> DataFrame:
 def _checked_report(tables: dict[str, DataFrame]) -> DataFrame:
     for table in TABLES.values():
         require_types(tables[table.source], table.source_schema(), table.source)
-    report = materialise(report_of(tables), "quality-report")
+    types = [(t.source, "view_type", c, kind) for t in TABLES.values()
+             for c, kind in canonical(tables[t.source], t).dtypes]
+    for table in TABLES.values():
+        require_types(canonical(tables[table.source], table), table.canonical_schema(), table.name)
+    stated = report_of(tables)
+    report = materialise(stated.unionByName(stated.sparkSession.createDataFrame(types, stated.schema)), "quality-report")
     require_clean(report)
     return report
 
 
-def prepare(spark: SparkSession, folder: str, destination: str) -> DataFrame:
+def _stop_on_other_sources(approved: DataFrame | None, found: DataFrame) -> None:
+    if approved is not None and fingerprint_changes(approved, found).take(1):
+        raise ValueError("The files are not those of the approved fingerprints")
+
+
+def _stop_on_other_counts(approved: DataFrame | None, report: DataFrame) -> None:
+    if approved is not None and row_count_differences(approved, report).take(1):
+        raise ValueError("A table does not have its approved row count")
+
+
+def prepare(
+    spark: SparkSession, folder: str, destination: str, *,
+    approved_fingerprints: DataFrame | None = None, approved_rows: DataFrame | None = None,
+) -> DataFrame:
     """Import a folder of source files; returns the published quality report.
 
+    Given approved fingerprints stop files that differ before anything is written, approved row counts
+    (``table_name, row_count``) stop tables that differ before they are published.
+
     Tables, report and fingerprints appear at the destination together or not at all. Files
     are fingerprinted before and after, so a file changed during the run is noticed.
     """
     if exists(spark, destination):
         raise FileExistsError(f"Destination already exists: {destination}")
     before = materialise(source_fingerprints(spark, folder), "fingerprints")
+    _stop_on_other_sources(approved_fingerprints, before)
 
     def validate(tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
         report = _checked_report(tables)
         if fingerprint_changes(before, source_fingerprints(spark, folder)).take(1):
-            raise ValueError("Source files changed during preparation")
+            raise ValueError("A source file was changed while it was imported")
+        _stop_on_other_counts(approved_rows, report)
         return {REPORT: report, FINGERPRINTS: before}
 
     sources = read_sources(spark, folder)
@@ -84,13 +107,11 @@ def require_manifest(
     ``approved_rows`` is ``(table_name, row_count)``.
     """
     if not exists(spark, f"{path}/{REPORT}"):
-        raise ValueError("Successful preparation evidence is missing; prepare before copying")
-    if fingerprint_changes(approved_fingerprints, spark.read.parquet(f"{path}/{FINGERPRINTS}")).take(1):
-        raise ValueError("Preparation source fingerprints differ from the approved profile")
+        raise ValueError("There is no quality report beside the tables; import them first")
+    _stop_on_other_sources(approved_fingerprints, spark.read.parquet(f"{path}/{FINGERPRINTS}"))
     if compare_reports(spark.read.parquet(f"{path}/{REPORT}"), report).take(1):
-        raise ValueError("Data differs from its preparation manifest")
-    if row_count_differences(approved_rows, report).take(1):
-        raise ValueError("Prepared row count differs from the source profile")
+        raise ValueError("The tables are not those that the stored report describes")
+    _stop_on_other_counts(approved_rows, report)
 
 
 def row_count_differences(approved_rows: DataFrame, report: DataFrame) -> DataFrame:
@@ -111,5 +132,5 @@ def copy_warehouse(
     publish(tables, destination)
     actual = _checked_report(open_warehouse(spark, destination))
     if compare_reports(expected, actual).take(1):
-        raise ValueError("Copied data differs from the source validation; keep the destination for investigation")
+        raise ValueError("The copy does not have the report of its source; it is left in place to be looked at")
     return actual

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from functools import reduce
+
+from pyspark.sql import DataFrame, functions as F
 
 from tallyframe.contract import CARDS as CARD_TABLE, TRANSACTIONS
 from tallyframe.functions.convert import convert
@@ -49,8 +51,36 @@ def _catalog(spark, folder) -> access.GovernedCatalog:
 @query("governed_select", sql(TX) + """
     select client_id, mcc, cast(sum(amount) as decimal(38,2)) as total from tx group by 1, 2""")
 def governed_select(spark, folder):
-    facts = _catalog(spark, folder).table("main.transactions").select("client_id", "mcc", "amount")
-    return facts.groupBy("client_id", "mcc").agg(F.sum("amount").cast("decimal(38,2)").alias("total"))
+    totals = _catalog(spark, folder).total("main.transactions", ["client_id", "transactions.mcc"], {"total": ("sum", "amount")})
+    return totals.withColumn("total", F.col("total").cast("decimal(38,2)"))
+
+
+_REQUESTS = (
+    ("main.cards", "card_brand", 5), ("cards", "card_brand", 5), ("source.cards", "card_brand", 5), ("other.main.cards", "card_brand", 5),
+    ("main.cards", "cvv", 5), ("main.cards", "cards.CARD_BRAND", 5), ("main.cards", "cards.card_brand", 5), ("main.cards", "*", 5),
+    ("main.cards", "card_brand", 0), ("main.cards", "card_brand", 101), ("main.payments", "amount", 5), ("MAIN.users", "SEGMENT", 100),
+)
+
+
+@query("governed_refusals", """
+    select r.relation, r.column_name, cast(r.row_limit as bigint) as row_limit, r.refused,
+           case when r.refused then cast(0 as bigint) else least(r.row_limit, case when lower(r.relation) = 'main.users' then u.n else o.n end) end as row_count
+    from (values ('main.cards', 'card_brand', 5, false), ('cards', 'card_brand', 5, true), ('source.cards', 'card_brand', 5, true),
+        ('other.main.cards', 'card_brand', 5, true), ('main.cards', 'cvv', 5, true), ('main.cards', 'cards.CARD_BRAND', 5, true),
+        ('main.cards', 'cards.card_brand', 5, false), ('main.cards', '*', 5, true), ('main.cards', 'card_brand', 0, true),
+        ('main.cards', 'card_brand', 101, true), ('main.payments', 'amount', 5, true), ('MAIN.users', 'SEGMENT', 100, false)
+    ) as r(relation, column_name, row_limit, refused), (select count(*) as n from orders) o, (select count(*) as n from customer) u""")
+def governed_refusals(spark, folder):
+    """Requests inside and outside the allowlists, and how many rows each got."""
+    catalog, rows = _catalog(spark, folder), []
+    for relation, column, limit in _REQUESTS:
+        given = [F.lit(relation).alias("relation"), F.lit(column).alias("column_name"), F.lit(limit).cast("long").alias("row_limit")]
+        try:
+            shown = catalog.select(relation, [column], limit)
+            rows.append(shown.agg(*given, F.lit(False).alias("refused"), F.count(F.lit(1)).alias("row_count")))
+        except access.AccessDenied:
+            rows.append(spark.range(1).select(*given, F.lit(True).alias("refused"), F.lit(0).cast("long").alias("row_count")))
+    return reduce(DataFrame.unionByName, rows)
 
 
 @query("bounded_result", sql(CARDS) + """

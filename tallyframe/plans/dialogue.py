@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from tallyframe.operators import conversation, evaluate, ratelimit
 from tallyframe.plans import star
 from tallyframe.plans.registry import query
+from tallyframe.session import fresh_path
 
 _TS = "strftime({0}, '%Y-%m-%d %H:%M:%S.%f')"
 
@@ -155,7 +156,8 @@ _FAILURES = """,
         union all select id, 'grounding did not match' from judged where u = 3 and missing
         union all select id, 'unexpected number of citations' from judged where u = 4 and (missing or event_type = 'purchase')
         union all select id, 'citation metadata did not match' from judged where u = 4 and event_type = 'view'
-        union all select id, 'citation exposed forbidden metadata' from judged where u = 4 and high and not missing)"""
+        union all select id, 'citation exposed forbidden metadata' from judged, (values (1), (2)) as c(n)
+            where u = 4 and high and not missing and (n = 1 or event_type = 'purchase'))"""
 
 
 @query("eval_load", "with" + _CASES + """
@@ -168,8 +170,11 @@ def eval_load(spark, folder):
     cases = _cases(spark, folder).join(
         star.table(spark, folder, "events").select(F.col("event_id").cast("string").alias("id"), F.col("event_type").alias("kind")), "id")
     broken = cases.withColumn("suite", F.when(kind != "click", F.col("suite"))).withColumn(
-        "question", F.when(~kind.isin("click", "view"), F.col("question")))
-    return evaluate.missing_fields(broken).select("id", F.array_join("missing", ",").alias("missing"))
+        "question", F.when(~kind.isin("click", "view"), F.col("question"))).drop("kind")
+    path = fresh_path(spark, "cases")
+    # one JSON list per line of a text file: case files are lists
+    broken.select(F.concat(F.lit("["), F.to_json(F.struct("*")), F.lit("]")).alias("value")).write.text(path)
+    return evaluate.missing_fields(evaluate.case_rows(spark, path)).select("id", F.array_join("missing", ",").alias("missing"))
 
 
 @query("eval_cases", "with" + _CASES + _FAILURES + "select id, failure from failures")

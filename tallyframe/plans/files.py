@@ -143,29 +143,56 @@ def sink_no_overwrite(spark, folder):
     return spark.read.parquet(f"{path}/users").agg(F.lit(refused).alias("refused"), F.count(F.lit(1)).alias("kept_rows"))
 
 
-@query("src_fingerprint", None)
+@query("src_fingerprint", """
+    select 'nation-' || n_nationkey as file, cast(strlen(n_name) + 1 as bigint) as length, sha256(n_name || chr(10)) as sha256 from nation""")
 def src_fingerprint(spark, folder):
-    """SHA-256 of every file of the data folder."""
-    found = files.fingerprints(files.list_files(spark, folder, "*.parquet"))
-    return found.select(F.regexp_replace("path", "^.*/", "").alias("file"), "length", "sha256")
+    """One file per nation with its name as content."""
+    nations = star.table(spark, folder, "nation").select(F.concat(F.lit("nation-"), "n_nationkey").alias("name"), F.col("n_name").alias("value"))
+    path = fresh_path(spark, "nations")
+    nations.repartition("name").write.partitionBy("name").text(path)
+    found = files.fingerprints(files.list_files(spark, path, "*.txt"))
+    return found.select(F.regexp_extract("path", "name=([^/]+)/", 1).alias("file"), "length", "sha256")
 
 
-@query("fingerprint_changes", "select 'customer.csv' as part, true as content_differs where exists (select 1 from customer)")
+_PARTS = 16
+
+
+@query("fingerprint_changes", f"""
+    select distinct 'part=' || c_custkey % {_PARTS} as part, true as content_differs from customer where c_custkey % 5 = 1 and c_custkey % {_PARTS} < 4""")
 def fingerprint_changes(spark, folder):
-    """The same export twice is equal file by file; one changed value changes its file's fingerprint."""
-    source = users_source(spark, folder).coalesce(1)
+    """Two exports of many files; some files have changed values, and only their fingerprints differ."""
+    source = users_source(spark, folder).withColumn("part", F.col("id").cast("long") % _PARTS)
     path = fresh_path(spark, "fingerprints")
-    _write_csv(source, f"{path}/before")
-    _write_csv(source.withColumn("credit_score", F.when(F.col("id") == "1", "1").otherwise(F.col("credit_score"))), f"{path}/after")
+    changed = (F.col("id").cast("long") % 5 == 1) & (F.col("part") < 4)
+    for name, rows in (("before", source), ("after", source.withColumn("credit_score", F.when(changed, "1").otherwise(F.col("credit_score"))))):
+        # one sorted file per part, so that equal content gives equal files
+        rows.repartition(_PARTS, "part").sortWithinPartitions("part", "id").write.partitionBy("part").options(header=True, quote='"', escape='"').csv(f"{path}/{name}")
 
-    def prints(part: str):
-        return files.fingerprints(files.list_files(spark, f"{path}/{part}", "*.csv")).withColumn(
-            "path", F.regexp_replace("path", "^.*[.]", "customer."))
+    def prints(name: str):
+        return files.fingerprints(files.list_files(spark, f"{path}/{name}", "*.csv")).withColumn(
+            "path", F.regexp_extract("path", "(part=[0-9]+)/", 1))
 
     return files.fingerprint_changes(prints("before"), prints("after")).select(
         F.col("path").alias("part"), (F.col("expected") != F.col("actual")).alias("content_differs"))
 
 
+@query("src_rejects", """
+    select 'part=' || o_orderkey % 4 as part, cast(count(*) as bigint) as records,
+           cast(count(*) filter (where o_orderkey % 7 = 0) as bigint) as malformed from orders group by 1""")
+def src_rejects(spark, folder):
+    """Some records have a field too many; they are counted per file, and nothing of them is shown."""
+    key = F.col("o_orderkey")
+    line = F.concat_ws(",", key.cast("string"), F.col("o_orderstatus"), F.when(key % 7 == 0, "surplus"))
+    path = fresh_path(spark, "rejects")
+    rows = star.table(spark, folder, "orders").select((key % 4).alias("part"), key, line.alias("value"))
+    head = spark.range(4).select(F.col("id").alias("part"), F.lit(-1).cast("long").alias("o_orderkey"), F.lit("id,status").alias("value"))
+    rows.unionByName(head).repartition(4, "part").sortWithinPartitions("part", "o_orderkey").select(
+        "value", "part").write.partitionBy("part").text(path)
+    counts = readers.rejects(spark, [f"{path}/part={i}" for i in range(4)], ["id", "status"])
+    return counts.groupBy(F.regexp_extract("file", "(part=[0-9]+)/", 1).alias("part")).agg(
+        F.sum("records").alias("records"), F.sum("malformed").alias("malformed"))
+
+
 @query("sink_copy_verify", """
     select cast(0 as bigint) as missing_in_copy, cast(0 as bigint) as extra_in_copy,
            cast(count(*) as bigint) as copied_rows from lineitem""")
@@ -209,9 +236,10 @@ def export_json_safe(spark, folder):
     union all select 'transactions_data', 'net_amount',
            cast(cast(sum(cast(o_totalprice as decimal(18,2))) as decimal(38,2)) as varchar) from orders
     union all select 'relationships', 'cards_without_users', '0'
-    union all select 'relationships', 'transaction_card_owner_mismatches', '0'""")
+    union all select 'relationships', 'transaction_card_owner_mismatches', '0'
+    union all select 'sources', 'stale_refused', 'true'""")
 def prepare_warehouse(spark, folder):
-    """The whole import: headers, conversion, validation, fingerprints, one publication."""
+    """The whole import: headers, approved fingerprints, conversion, validation, one publication."""
     base = fresh_path(spark, "import")
     codes = F.lpad((F.col("p_partkey") % 120).cast("string"), 4, "0")
     _write_csv(transactions_source(spark, folder), warehouse.source_path(base, "transactions"))
@@ -220,8 +248,18 @@ def prepare_warehouse(spark, folder):
     lookup = star.table(spark, folder, "part").groupBy(codes.alias("mcc")).agg(F.min("p_name").alias("description"))
     lookup.agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("mcc", "description")))).alias("value")).coalesce(1).write.text(
         warehouse.source_path(base, "mcc_codes"))
-    report = warehouse.prepare(spark, base, f"{base}-warehouse")
+    approved = warehouse.source_fingerprints(spark, base)
+    counts = spark.createDataFrame([("users_data", star.table(spark, folder, "customer").count())], "table_name string, row_count long")
+    stale = approved.withColumn("sha256", F.reverse("sha256"))
+    try:
+        warehouse.prepare(spark, base, f"{base}-refused", approved_fingerprints=stale)
+        refused = False
+    except ValueError:
+        refused = not publish.exists(spark, f"{base}-refused")
+    report = warehouse.prepare(spark, base, f"{base}-warehouse", approved_fingerprints=approved, approved_rows=counts)
     wanted = F.col("check_name").isin("row_count") & (F.col("table_name") != "mcc_codes")
     named = F.concat_ws(".", "table_name", "check_name").isin(
         "transactions_data.net_amount", "relationships.cards_without_users", "relationships.transaction_card_owner_mismatches")
-    return report.where(wanted | named).select("table_name", "check_name", "value")
+    shown = report.where(wanted | named).select("table_name", "check_name", "value")
+    return shown.unionByName(spark.range(1).select(
+        F.lit("sources").alias("table_name"), F.lit("stale_refused").alias("check_name"), F.lit(str(refused).lower()).alias("value")))

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window, functions as F
 
 from tallyframe.functions.text import point_id
-from tallyframe.operators import access, documents as corpus, vectors
+from tallyframe.operators import access, answers, documents as corpus, vectors
 from tallyframe.plans import star
 from tallyframe.plans.registry import query
-from tallyframe.session import fresh_path
+from tallyframe.session import fresh_path, materialise
 
 SIZE = 64
 
@@ -51,20 +53,12 @@ def vec_topk_threshold(spark, folder):
     return _shown(vectors.top_k(centroids(spark, folder), catalog(spark, folder), 20, size=SIZE, threshold=0.35))
 
 
-_ALL_PAIRS = """
-    with scored as (
-        select q.vec_id as query_id, e.vec_id as item_id,
-               list_cosine_similarity(q.embedding::double[], e.embedding::double[]) as score from embeddings q, embeddings e),
-    ranked as (select *, row_number() over (partition by query_id order by score desc, item_id) as rank from scored)"""
-
-
-@query("vec_topk_blocks", _ALL_PAIRS + """
+@query("vec_topk_blocks", _CENTROIDS + """
     select query_id, item_id, round(score, 6) as score, rank from ranked where rank <= 3""")
 def vec_topk_blocks(spark, folder):
-    """Every vector against every other, block by block: the way taken when queries are many."""
-    items = catalog(spark, folder)
-    queries = items.withColumnRenamed("item_id", "query_id")
-    return _shown(vectors.top_k(queries, items, 3, size=SIZE, max_sent=0, block_rows=512))
+    """Both sides in blocks, the way for queries that are too many to be sent."""
+    return _shown(vectors.top_k_by_blocks(
+        centroids(spark, folder), catalog(spark, folder), 3, size=SIZE, query_blocks=3, item_blocks=4))
 
 
 def _payloads(spark, folder) -> DataFrame:
@@ -107,8 +101,11 @@ def doc_citations(spark, folder):
     """Answers cite the English documents, twice each, and one document that was not retrieved."""
     hits = vectors.search(centroids(spark, folder), catalog(spark, folder), size=SIZE, k=8).join(
         _payloads(spark, folder), "item_id")
-    english = hits.where("category = 'en'").select("query_id", "doc_id")
-    cited = english.unionByName(english).unionByName(english.select("query_id", F.lit("none").alias("doc_id")))
+    # what an answer names is reduced to retrieved documents, each once, in the order it names them
+    given = hits.groupBy("query_id").agg(F.collect_set("doc_id").alias("shown"), F.transform(F.sort_array(F.collect_list(
+        F.when(F.col("category") == "en", F.struct("rank", "doc_id")))), lambda h: h["doc_id"]).alias("named"))
+    named = F.concat("named", F.array(F.lit("none")), "named")
+    cited = given.select("query_id", F.explode(answers.distinct_in_order(named, F.col("shown"))).alias("doc_id"))
     return access.citations(hits, cited, ["query_id"]).withColumn("rank", F.col("rank").cast("long"))
 
 
@@ -139,22 +136,28 @@ def rank_merge(spark, folder):
     return merged.withColumn("merged_rank", F.col("merged_rank").cast("long"))
 
 
+# What a label's query should find: its vectors with the highest first number, as many as the least k.
 _EXPECTED = """,
-    expected as (select label as query_id, vec_id as item_id from embeddings),
+    expected as (select query_id, item_id from (
+        select label as query_id, vec_id as item_id, row_number() over (partition by label order by embedding[1] desc, vec_id) as n from embeddings) where n <= 4),
     per_query as (
-        select e.query_id, count(*) as expected, count(r.item_id) as found
-        from expected e left join (select * from ranked where rank <= 10) r
-          on e.query_id = r.query_id and e.item_id = r.item_id group by 1)"""
+        select k, e.query_id, count(*) as expected, count(r.item_id) as found
+        from expected e cross join (values (4), (6), (8)) as ks(k)
+        left join (select * from ranked where rank <= 8) r on e.query_id = r.query_id and e.item_id = r.item_id and r.rank <= k group by 1, 2)"""
 
 
 @query("retrieval_recall", _CENTROIDS + _EXPECTED + """
-    select cast(count(*) as bigint) as questions,
+    select cast(k as bigint) as k, cast(count(*) as bigint) as questions,
            cast(count(*) filter (where found = expected) as double) / nullif(count(*), 0) as all_sources_found,
-           cast(sum(found) as double) / nullif(sum(expected), 0) as source_recall from per_query""")
+           cast(sum(found) as double) / nullif(sum(expected), 0) as source_recall from per_query group by 1""")
 def retrieval_recall(spark, folder):
-    """Every vector of a label is expected for the label's query."""
-    retrieved = vectors.search(centroids(spark, folder), catalog(spark, folder), size=SIZE, k=10)
-    return vectors.recall(retrieved, _expected(spark, folder))
+    """Four vectors of a label are expected for its query; recall at several cuts of one search."""
+    retrieved = materialise(vectors.search(centroids(spark, folder), catalog(spark, folder), size=SIZE, k=8), "retrieved")
+    best = Window.partitionBy("label").orderBy(F.desc(F.col("embedding")[0]), "vec_id")
+    expected = star.table(spark, folder, "embeddings").withColumn("n", F.row_number().over(best)).where("n <= 4").select(
+        F.col("label").alias("query_id"), F.col("vec_id").alias("item_id"))
+    at = [vectors.recall(retrieved.where(F.col("rank") <= k), expected).withColumn("k", F.lit(k).cast("long")) for k in (4, 6, 8)]
+    return reduce(DataFrame.unionByName, at)
 
 
 @query("retrieval_misses", _CENTROIDS + """
@@ -201,6 +204,60 @@ def embed_cache(spark, folder):
     return spark.read.parquet(path).select("mcc", "text", _vector_text("vector").alias("vector"))
 
 
+_SCORED = """
+    select q.id as query_id, c.id as item_id, list_cosine_similarity(q.v, c.v) as score from q, c"""
+
+
+def _counts_sql(text: str) -> str:
+    return "[" + ", ".join(f"cast(length({text}) - length(replace({text}, '{c}', '')) as double)" for c in _LETTERS) + "]"
+
+
+@query("resolve_category", star.sql(star.MCC) + f""",
+    q as (select 'spending on ' || t as id, {_counts_sql("'spending on ' || t")} as v from (select distinct p_type as t from part)),
+    c as (select mcc as id, {_counts_sql("description")} as v from mcc),
+    s as ({_SCORED}),
+    r as (select *, row_number() over (partition by query_id order by score desc, item_id) as rank from s)
+    select query_id, item_id, round(score, 6) as score, rank from r where rank <= 5 and score >= 0.35""")
+def resolve_category(spark, folder):
+    """Questions, one per part type, against the stored category embeddings: five best, then the threshold."""
+    embedder = vectors.LetterCountEmbedder(_LETTERS)
+    codes = star.mcc_codes(spark, folder).withColumnRenamed("description", "text")
+    stored = materialise(vectors.embed(codes, embedder, "text"), "category-embeddings")
+    asked = star.table(spark, folder, "part").select(F.concat(F.lit("spending on "), "p_type").alias("query_id")).distinct()
+    embedded = vectors.embed(asked.withColumn("text", F.col("query_id")), embedder, "text")
+    return _shown(vectors.top_k(embedded, stored, vectors.DEFAULT_TOP_K, size=len(_LETTERS), threshold=vectors.DEFAULT_THRESHOLD, item_id="mcc"))
+
+
+@query("retrieve_documents", f"""
+    with q as (select item_id as qid, w, 'q' || item_id || w as id, {_counts_sql("text")} as v from (
+        select item_id, 'rewritten' as w, 'about ' || text as text from benchmark union all select item_id, 'asked', text from benchmark)),
+    c as (select doc_id as id, {_counts_sql("text")} as v from documents),
+    s as (select qid, w, item_id, case when isnan(score) then 0.0 else score end as score from (
+        select q.qid, q.w, c.id as item_id, list_cosine_similarity(q.v, c.v) as score from q, c)),
+    r as (select *, row_number() over (partition by qid, w order by score desc, cast(item_id as varchar)) as rank from s),
+    places as (select qid, item_id, min((rank, case w when 'rewritten' then 0 else 1 end)) as place from r where rank <= 6 group by 1, 2),
+    m as (select qid, item_id, row_number() over (partition by qid order by place) as rank from places)
+    select m.qid as query_id, m.rank, cast(m.item_id as varchar) as source_hash, 'Document ' || m.item_id as title, d.source as doc_type, d.lang as category
+    from m join documents d on d.doc_id = m.item_id where m.rank <= 6""")
+def retrieve_documents(spark, folder):
+    """From question to citations: documents are embedded and upserted, each question is embedded as asked and
+    as rewritten, both searches are merged, and the six best are cited through the safe payload."""
+    embedder = vectors.LetterCountEmbedder(_LETTERS)
+    documents = star.table(spark, folder, "documents").select(
+        F.col("doc_id").cast("string").alias("doc_id"), F.concat(F.lit("Document "), F.col("doc_id").cast("string")).alias("title"),
+        F.col("lang").alias("category"), F.col("source").alias("doc_type"), "text")
+    fields = ["doc_id", "title", "category", "doc_type", "text"]
+    incoming = vectors.points(vectors.embed(documents, embedder, "text"), "doc_id", len(_LETTERS), fields)
+    stored = materialise(vectors.upsert(incoming.limit(0), incoming), "document-vectors").select("payload.*", "vector")
+    asked = star.table(spark, folder, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    lists = [vectors.search(vectors.embed(q, embedder, "text"), stored, size=len(_LETTERS), k=6, item_id="doc_id") for q in (
+        asked.withColumn("text", F.concat(F.lit("about "), "text")), asked)]
+    hits = vectors.merge_rankings(lists, cap=6).withColumnsRenamed({"item_id": "doc_id", "merged_rank": "rank"}).join(stored.drop("vector"), "doc_id")
+    safe = access.safe_payload(hits)
+    shown = access.citations(safe, safe.select("query_id", "doc_id"), ["query_id"])
+    return shown.select("query_id", F.col("rank").cast("long").alias("rank"), "source_hash", "title", "doc_type", "category")
+
+
 @query("point_ids", f"select doc_id, {_POINT_ID.format('cast(doc_id as varchar)')} as point_id from documents")
 def point_ids(spark, folder):
     return star.table(spark, folder, "documents").select("doc_id", point_id(F.col("doc_id")).alias("point_id"))
@@ -210,7 +267,7 @@ def point_ids(spark, folder):
     select {_POINT_ID.format('cast(doc_id as varchar)')} as point_id, cast(doc_id as varchar) as doc_id,
            case when lang = 'en' then 'new' else 'old' end as revision, {_COUNTS} as vector from documents""")
 def vec_upsert(spark, folder):
-    """All documents are stored, then the English ones arrive again, twice."""
+    """All documents are stored, then the English ones arrive again, each twice, in two upserts."""
     embedded = _embedded(spark, folder)
 
     def stored(rows, revision):
@@ -218,6 +275,7 @@ def vec_upsert(spark, folder):
 
     first = stored(embedded, "old")
     incoming = stored(embedded.where("lang = 'en'"), "new")
+    incoming = incoming.unionByName(incoming)  # every point twice in one input
     table = vectors.upsert(vectors.upsert(first, incoming), incoming)
     return table.select("point_id", "payload.doc_id", "payload.revision", _vector_text("vector").alias("vector"))
 

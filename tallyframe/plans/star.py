@@ -22,7 +22,7 @@ def _signed_amount() -> F.Column:
 
 
 def _mcc(key: F.Column) -> F.Column:
-    return F.lpad(key.cast("string"), 4, "0")
+    return F.lpad(key.cast("string"), 9, "0")
 
 
 def transactions(spark: SparkSession, folder: str, *, client: bool = True) -> DataFrame:
@@ -40,12 +40,12 @@ def transactions(spark: SparkSession, folder: str, *, client: bool = True) -> Da
         F.col("l_orderkey").alias("card_id"), *([F.col("o_custkey").alias("client_id")] if client else []),
         F.col("l_shipdate").alias("transaction_at"), _signed_amount().alias("amount"),
         F.when(F.col("l_linestatus") == "O", "Online Transaction").otherwise("Chip Transaction").alias("transaction_method"),
-        F.col("l_suppkey").alias("merchant_id"), _mcc(F.col("l_partkey") % 120).alias("mcc"), errors.alias("errors"),
+        F.col("l_suppkey").alias("merchant_id"), _mcc(F.col("l_partkey")).alias("mcc"), errors.alias("errors"),
     )
 
 
 def mcc_codes(spark: SparkSession, folder: str) -> DataFrame:
-    part = table(spark, folder, "part").where((F.col("p_partkey") < 120) & (F.col("p_partkey") % 12 != 0))
+    part = table(spark, folder, "part").where(F.col("p_partkey") % 12 != 0)
     return part.select(_mcc(F.col("p_partkey")).alias("mcc"), F.col("p_name").alias("description"))
 
 
@@ -99,14 +99,14 @@ tx as (
          cast(case when l.l_returnflag = 'R' then -l.l_extendedprice
                    when l.l_linenumber = 7 and l.l_tax = 0 then 0 else l.l_extendedprice end as decimal(18,2)) as amount,
          case l.l_linestatus when 'O' then 'Online Transaction' else 'Chip Transaction' end as transaction_method,
-         l.l_suppkey as merchant_id, lpad(cast(l.l_partkey % 120 as varchar), 4, '0') as mcc,
+         l.l_suppkey as merchant_id, lpad(cast(l.l_partkey as varchar), 9, '0') as mcc,
          case when l.l_quantity = 1 then 'Bad PIN' when l.l_quantity = 2 then 'Bad PIN,Insufficient Balance'
               when l.l_quantity = 3 then 'Technical Glitch' end as errors
   from lineitem l left join orders o on l.l_orderkey = o.o_orderkey)"""
 MCC = """
 mcc as (
-  select lpad(cast(p_partkey as varchar), 4, '0') as mcc, p_name as description
-  from part where p_partkey < 120 and p_partkey % 12 <> 0)"""
+  select lpad(cast(p_partkey as varchar), 9, '0') as mcc, p_name as description
+  from part where p_partkey % 12 <> 0)"""
 CARDS = """
 cards as (
   select o_orderkey as card_id, o_custkey as client_id, o_orderpriority as card_type, o_orderstatus as card_brand,

@@ -13,7 +13,7 @@ from tallyframe.plans.registry import query
 from tallyframe.plans.retrieval import _COUNTS, _LETTERS, _POINT_ID, _vector_text
 from tallyframe.session import fresh_path
 from tallyframe.streaming import jobs
-from tallyframe.streaming.run import run_available
+from tallyframe.streaming.run import run_available, run_to_end
 
 
 def stream(spark, folder, name: str) -> DataFrame:
@@ -21,33 +21,47 @@ def stream(spark, folder, name: str) -> DataFrame:
     return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(folder)
 
 
-# The watermark ends ten minutes before the newest event, in whole milliseconds; later state stays open.
-_WATERMARK = "(select (epoch_ms(max(ts)) - 600000) * 1000 from events)"
+def _staged(spark, folder, name: str, purpose: str) -> tuple[str, DataFrame]:
+    """A copy of a table that a marker row may be added to, and the stream over it."""
+    path = fresh_path(spark, purpose)
+    rows = star.table(spark, folder, name)
+    rows.write.parquet(path)
+    return path, spark.readStream.schema(rows.schema).parquet(path)
 
 
-@query("sessionize_stream", SESSIONS_SQL + f"""
-    select user_id, {SESSION_COLUMNS} from sessions where epoch_us(last_at) + 1799999999 <= {_WATERMARK}""")
+_MARKER = {"event_id": -1, "user_id": -1, "event_type": "end"}
+
+
+@query("sessionize_stream", SESSIONS_SQL + f"select user_id, {SESSION_COLUMNS} from sessions")
 def sessionize_stream(spark, folder):
-    """Sessions that the end of the input has closed."""
-    return shown_times(run_available(jobs.sessions(stream(spark, folder, "events"), "user_id", "ts")))
+    """The same sessions as over the whole table at once."""
+    path, events = _staged(spark, folder, "events", "session-events")
+    return shown_times(run_to_end(path, jobs.sessions(events, "user_id", "ts"), "ts", _MARKER))
 
 
-@query("rate_limit_stream", limiter_sql("user_id", LIMIT_CALLS, LIMIT_SECONDS) + f"""
-    select caller, event_id as call_id, accepted from walk
-    where (at_us // {LIMIT_SECONDS * 1_000_000} + 1) * {LIMIT_SECONDS * 1_000_000} <= {_WATERMARK}""")
+@query("rate_limit_stream", limiter_sql("user_id", LIMIT_CALLS, LIMIT_SECONDS) + """
+    select 'user ' || caller as caller, event_id as call_id, accepted from walk""")
 def rate_limit_stream(spark, folder):
-    """Decisions for every slot the watermark has passed."""
-    decided = jobs.limit_calls(
-        stream(spark, folder, "events"), "user_id", "ts", "event_id", max_calls=LIMIT_CALLS, window_seconds=LIMIT_SECONDS)
-    return run_available(decided)
+    """The same decisions as over the whole table at once; callers are texts."""
+    path, events = _staged(spark, folder, "events", "limiter-events")
+    named = events.withColumn("caller", F.concat(F.lit("user "), F.col("user_id").cast("string")))
+    decided = jobs.limit_calls(named, "caller", "ts", "event_id", max_calls=LIMIT_CALLS, window_seconds=LIMIT_SECONDS)
+    return run_to_end(path, decided, "ts", _MARKER)
 
 
 @query("last_turns_stream", """
     select conv_id, turn, role, md5(text) as digest from (
         select *, row_number() over (partition by conv_id order by turn desc) as back from conversations) where back <= 6""")
 def last_turns_stream(spark, folder):
-    output = run_available(jobs.last_turns(stream(spark, folder, "conversations")), advance_watermark=False)
-    kept = jobs.newest_turns(output)
+    """Turns arrive out of order: odd ones first, then all of them."""
+    path = fresh_path(spark, "turns")
+    turns = star.table(spark, folder, "conversations")
+    turns.where("turn % 2 = 1").write.parquet(path)
+    checkpoint, output = fresh_path(spark, "stream-checkpoint"), fresh_path(spark, "stream-output")
+    arriving = jobs.last_turns(spark.readStream.schema(turns.schema).parquet(path))
+    run_available(arriving, output, checkpoint, advance_watermark=False)
+    turns.write.mode("append").parquet(path)
+    kept = jobs.newest_turns(run_available(arriving, output, checkpoint, advance_watermark=False))
     return kept.select("conv_id", "turn", "role", F.md5(F.col("text").cast("binary")).alias("digest"))
 
 
@@ -55,14 +69,18 @@ def last_turns_stream(spark, folder):
     select {_POINT_ID.format('cast(doc_id as varchar)')} as point_id, cast(doc_id as varchar) as doc_id, {_COUNTS} as vector
     from documents""")
 def vec_upsert_stream(spark, folder):
-    """The documents arrive, and arrive again in a second run; the table is the same as after one."""
-    path = fresh_path(spark, "vectors")
+    """A first run stores all but the French documents, English ones in an old wording; a second one, in
+    several batches, brings the English ones as they are and the French ones."""
+    documents = star.table(spark, folder, "documents").select(F.col("doc_id").cast("string").alias("doc_id"), "lang", "text")
+    path, first, second = fresh_path(spark, "vectors"), fresh_path(spark, "documents"), fresh_path(spark, "documents")
+    documents.where("lang <> 'fr'").withColumn("text", F.when(F.col("lang") == "en", "outdated").otherwise(F.col("text"))).write.parquet(first)
+    documents.where("lang in ('en', 'fr')").repartition(4, "doc_id").write.parquet(second)
 
     def prepare(batch: DataFrame) -> DataFrame:
-        texts = batch.select(F.col("doc_id").cast("string").alias("doc_id"), "text")
         return vectors.points(
-            vectors.embed(texts, vectors.LetterCountEmbedder(_LETTERS), "text"), "doc_id", len(_LETTERS), ["doc_id"])
+            vectors.embed(batch.select("doc_id", "text"), vectors.LetterCountEmbedder(_LETTERS), "text"), "doc_id", len(_LETTERS), ["doc_id"])
 
-    for _ in range(2):
-        jobs.upsert_versions(stream(spark, folder, "documents"), prepare, path)
+    for run, source in enumerate((first, second)):
+        arriving = spark.readStream.schema(documents.schema).option("maxFilesPerTrigger", 2).parquet(source)
+        jobs.upsert_versions(arriving, prepare, path, run=run, checkpoint=fresh_path(spark, "stream-checkpoint"))
     return jobs.current_versions(spark, path).select("point_id", "payload.doc_id", _vector_text("vector").alias("vector"))

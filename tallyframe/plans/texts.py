@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tallyframe.contract import AMOUNT_WORDS, GLOSSARY, METRIC_LABELS, TABLES
 from tallyframe.functions import text as tx
-from tallyframe.operators import answers, linking
+from tallyframe.operators import access, answers, linking
 from tallyframe.operators.documents import complaint_documents, current_chunks
 from tallyframe.plans import star
 from tallyframe.plans.registry import query
@@ -136,11 +136,27 @@ def redact_secrets(spark, folder):
         "doc_id", F.md5(tx.redact_secrets(text, "the").cast("binary")).alias("digest"))
 
 
-@query("secret_scan", """
-    select doc_id, unnest(regexp_extract_all(text, 'sk-[A-Za-z0-9_-]{16,400}')) as secret_key from documents""")
+# Keys of allowed and other lengths, with and without borders, set into the middle of every text by its id.
+_PLANTED = {
+    0: ("sk-", 15, ""), 1: ("sk-", 16, ""), 2: ("sk-", 400, ""), 3: ("sk-", 401, ""), 4: ("risk-", 24, ""), 5: ("(sk-", 40, ")"), 6: ("sk-", 30, ", "),
+}
+_PLANTED_SQL = " ".join(f"when {i} then ' {a}' || repeat('k', {n}) || '{b} '" for i, (a, n, b) in _PLANTED.items())
+
+
+@query("secret_scan", f"""
+    with planted as (
+        select doc_id, text || case doc_id % 8 {_PLANTED_SQL} else '' end || text as text from documents)
+    select doc_id, 'sk-' || repeat('k', case doc_id % 8 when 1 then 16 when 2 then 400 when 5 then 40 else 30 end) as secret_key
+    from planted where doc_id % 8 in (1, 2, 5, 6)
+    union all select doc_id, unnest(list_transform(list_filter(string_split_regex(text, '[^A-Za-z0-9_-]'),
+        lambda w: w like 'sk-%' and length(w) between 19 and 403 and w not like 'sk-kkkkkkkkkkkkkkkk%'), lambda w: w)) from planted""")
 def secret_scan(spark, folder):
-    """Whole texts are scanned; texts without the marker skip the pattern."""
-    marked = star.table(spark, folder, "documents").where(F.col("text").contains("sk-"))
+    """Whole texts with keys set into them are scanned; texts without the marker skip the pattern."""
+    key = F.lit("")
+    for i, (start, n, end) in _PLANTED.items():
+        key = F.when(F.col("doc_id") % 8 == i, F.concat(F.lit(f" {start}"), F.repeat(F.lit("k"), F.lit(n)), F.lit(f"{end} "))).otherwise(key)
+    texts = star.table(spark, folder, "documents").select("doc_id", F.concat("text", key, "text").alias("text"))
+    marked = texts.where(F.col("text").contains("sk-"))
     return marked.select("doc_id", F.explode(tx.secret_keys(F.col("text"))).alias("secret_key"))
 
 
@@ -286,47 +302,73 @@ def chart_points(spark, folder):
     return answers.chart_points(results, ["user_id"], "event_id", "x", "y")
 
 
+# Answers as a model may give them, and whether they are data instead of prose.
+_ANSWERS = {
+    0: ("[[", ", None], [2, 'x']]", True), 1: ("{'total': ", ", 'open': True}", True), 2: ("[FS-03] says ", "", False),
+    3: ("[1, 2", "", False), 4: ("Total ", "", False), 5: ("{", "}", True), 6: ("{'owner': \"it's ", "\"}", True),
+    7: ("[(1, ", "), (2, 3)]", True), 8: ("[", "] more words", False), 9: ("{not ", "}", False),
+}
+_ANSWER_SQL = " ".join("when {} then '{}' || {} || '{}'".format(
+    i, a.replace("'", "''"), "''" if i == 5 else "cast(user_id as varchar)", b.replace("'", "''")) for i, (a, b, _) in _ANSWERS.items())
+
+
 @query("answer_check", f"""
-    select event_id, case when event_type in ('purchase', 'click') then '{answers.FALLBACK_ANSWER}'
-           when event_type = 'view' then '[FS-03] says ' || user_id when event_type = 'error' then '[1, 2'
-           else 'Total ' || user_id end as answer from events""")
+    select event_id, case when event_id % 10 in ({", ".join(str(i) for i, x in _ANSWERS.items() if x[2])})
+        then '{answers.FALLBACK_ANSWER}' else case event_id % 10 {_ANSWER_SQL} end end as answer from events""")
 def answer_check(spark, folder):
-    kind, user = F.col("event_type"), F.col("user_id").cast("string")
-    raw = (
-        F.when(kind == "purchase", F.concat(F.lit("[["), user, F.lit(", None], [2, 'x']]")))
-        .when(kind == "click", F.concat(F.lit("{'total': "), user, F.lit(", 'open': True}")))
-        .when(kind == "view", F.concat(F.lit("[FS-03] says "), user)).when(kind == "error", F.lit("[1, 2"))
-        .otherwise(F.concat(F.lit("Total "), user)))
+    raw = F.lit(None).cast("string")
+    for i, (start, end, _) in _ANSWERS.items():
+        middle = F.lit("") if i == 5 else F.col("user_id").cast("string")
+        raw = F.when(F.col("event_id") % 10 == i, F.concat(F.lit(start), middle, F.lit(end))).otherwise(raw)
     return star.table(spark, folder, "events").select("event_id", answers.check_answer(raw).alias("answer"))
 
 
+@query("answer_check_texts", "select doc_id, md5(text) as digest from documents")
+def answer_check_texts(spark, folder):
+    """Prose of any length passes as it is."""
+    return star.table(spark, folder, "documents").select(
+        "doc_id", F.md5(answers.check_answer(F.col("text")).cast("binary")).alias("digest"))
+
+
 @query("result_digest", sql(TX, """
-    result as (select mcc, cast(sum(amount) as decimal(38,2)) as total from tx group by 1 order by total desc, mcc limit 100)""") + """
-    select sha256('{"columns":["mcc","total"],"rows":[' ||
-        string_agg('["' || mcc || '","' || total || '"]', ',' order by total desc, mcc) || ']}') as result_digest from result""")
+    result as (select mcc, cast(sum(amount) as decimal(38,2)) as total, count(*) as n from tx group by 1 order by total desc, mcc limit 100)""") + """
+    select sha256('{"columns":["mcc","total","n"],"rows":[' ||
+        string_agg('["' || mcc || '",' || cast(cast(total as double) as varchar) || ',' || n || ']', ',' order by total desc, mcc) || ']}') as result_digest
+    from result""")
 def result_digest(spark, folder):
+    """Numbers are digested as numbers."""
     totals = star.transactions(spark, folder, client=False).groupBy("mcc").agg(
-        F.sum("amount").cast("decimal(38,2)").alias("total"))
-    top = totals.orderBy(F.desc("total"), "mcc").limit(100)
+        F.sum("amount").cast("decimal(38,2)").alias("total"), F.count(F.lit(1)).alias("n"))
+    top = access.bounded(totals.orderBy(F.desc("total"), "mcc"))
     return answers.result_digest(top, [(-F.col("total")).alias("t"), F.col("mcc").alias("m")])
 
 
-@query("complaint_documents", r"""
+# The patterns once more, as DuckDB writes them; each works on what the one before left.
+_REDACTIONS = (
+    (r"\b[^\s@]+@[^\s@]+\.[^\s@]+\b", "[redacted email]"), (r"\b[0-9]{3}-[0-9]{2}-[0-9]{4}\b", "[redacted ssn]"),
+    (r"\b(?:[0-9][ -]?){13,16}\b", "[redacted card]"), (r"\b(?:\+?1[ .-]?)?\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}\b", "[redacted phone]"),
+    (r"\b[0-9][0-9 -]{7,}[0-9]\b", "[redacted account]"),
+)
+_REDACTED = "text || ' Mail a.b@c.org, ssn 123-45-6789, card 4111 1111 1111 1111, call 555-123-4567, account 123456789 ' || lang"
+for _pattern, _mark in _REDACTIONS:
+    _REDACTED = f"regexp_replace({_REDACTED}, '{_pattern}', '{_mark}', 'g')"
+
+
+@query("complaint_documents", f"""
     select sha256(cast(doc_id as varchar)) as source_id, lang as product, source as company, cast(2015 as bigint) as received_year,
-           regexp_replace('Mail a.b@c.org, ssn 123-45-6789, card 4111 1111 1111 1111, call 555-123-4567, account 123456789 ' || lang,
-               '.*', 'Mail [redacted email], ssn [redacted ssn], card [redacted card], call [redacted phone], account [redacted account] ' || lang)
-           as text from documents where lang <> 'es'""")
+           md5({_REDACTED}) as digest from documents where lang <> 'es'""")
 def complaint_documents_query(spark, folder):
-    """Consented narratives only; ids are hashed and every kind of personal number is replaced."""
-    narrative = F.concat(F.lit("Mail a.b@c.org, ssn 123-45-6789, card 4111 1111 1111 1111, call 555-123-4567, "
-                               "account 123456789 "), "lang")
+    """Consented narratives only, each a whole text with personal numbers behind it; ids are hashed."""
+    narrative = F.concat("text", F.lit(" Mail a.b@c.org, ssn 123-45-6789, card 4111 1111 1111 1111, call 555-123-4567, "
+                                       "account 123456789 "), "lang")
     consent = F.when(F.col("lang") != "es", "Consent provided").otherwise("Consent not provided")
     complaints = star.table(spark, folder, "documents").select(
         F.col("doc_id").alias("complaint_id"), consent.alias("consumer_consent_provided"),
         narrative.alias("consumer_complaint_narrative"), F.col("lang").alias("product"), F.lit("s").alias("sub_product"),
         F.lit("i").alias("issue"), F.col("source").alias("company"), F.lit("MA").alias("state"),
         F.to_date(F.lit("2015-03-01")).alias("date_received"), F.lit("02101").alias("zip"))
-    return complaint_documents(complaints).select("source_id", "product", "company", "received_year", "text")
+    return complaint_documents(complaints).select(
+        "source_id", "product", "company", "received_year", F.md5(F.col("text").cast("binary")).alias("digest"))
 
 
 @query("current_chunks", "select vec_id from embeddings where label in (1, 2) and embedding[1] > 0 and embedding[2] > 0")

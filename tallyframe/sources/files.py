@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import csv
 import hashlib
+import io
 from collections.abc import Iterator
 from urllib.parse import urlparse
 
@@ -15,7 +16,6 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 _BLOCK = 8 * 1024 * 1024
-_HEADER_LIMIT = 1024 * 1024
 
 
 def list_files(spark: SparkSession, path: str | list[str], glob: str | None = None) -> DataFrame:
@@ -49,12 +49,15 @@ def _digests(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _headers(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    csv.field_size_limit(2**31 - 1)
     for batch in batches:
         headers = []
         for path in batch["path"]:
-            with _open(path) as stream:
-                start = stream.read(_HEADER_LIMIT).decode("utf-8-sig", errors="replace")
-            headers.append(next(csv.reader(start.splitlines()), []))
+            with _open(path) as stream, io.TextIOWrapper(stream, encoding="utf-8-sig", newline="") as text:
+                try:
+                    headers.append(next(csv.reader(text), []))  # reads on to the end of the first record
+                except UnicodeDecodeError:
+                    raise ValueError(f"The header is not UTF-8: {path}") from None
         yield pd.DataFrame({"path": batch["path"], "header": headers})
 
 

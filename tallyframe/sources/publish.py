@@ -8,6 +8,10 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 
+#: the last thing a publication writes
+COMMITTED = "_COMMITTED"
+
+
 def _path(spark: SparkSession, path: str):
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
     return target.getFileSystem(spark._jsc.hadoopConfiguration()), target
@@ -28,7 +32,7 @@ def publish(
     evidence tables that are published together with the data.
 
     Nothing appears at the destination unless all tables were written and validated, and an
-    existing destination is refused. A job that dies leaves only the staging folder behind.
+    existing destination is refused. A failure removes the staging folder; only a job that is killed leaves it.
     """
     spark = next(iter(tables.values())).sparkSession
     if exists(spark, destination):
@@ -38,22 +42,50 @@ def publish(
         df.write.mode("errorifexists").parquet(f"{staging}/{name}")
         return spark.read.schema(df.schema).parquet(f"{staging}/{name}")
 
-    written = {name: write(name, df) for name, df in tables.items()}
-    if validate:
-        written |= {name: write(name, df) for name, df in (validate(dict(written)) or {}).items()}
     system, target = _path(spark, destination)
-    if system.exists(target) or not system.rename(_path(spark, staging)[1], target):
-        raise FileExistsError(f"Destination could not be published: {destination}")
-    return {name: spark.read.schema(df.schema).parquet(f"{destination}/{name}") for name, df in written.items()}
+    try:
+        written = {name: write(name, df) for name, df in tables.items()}
+        if validate:
+            written |= {name: write(name, df) for name, df in (validate(dict(written)) or {}).items()}
+        nested = _path(spark, f"{destination}/{staging.rsplit('/', 1)[1]}")[1]
+        if system.exists(target) or not system.rename(_path(spark, staging)[1], target) or system.exists(nested):
+            system.delete(nested, True)  # someone else's destination appeared meanwhile, and the rename went into it
+            raise FileExistsError(f"Destination could not be published: {destination}")
+    except BaseException:
+        system.delete(_path(spark, staging)[1], True)
+        raise
+    # where a rename is no single step, readers must not see half of it: they require this mark
+    system.create(_path(spark, f"{destination}/{COMMITTED}")[1], True).close()
+    return {name: read_published(spark, destination, name, df.schema) for name, df in written.items()}
+
+
+def read_published(spark: SparkSession, destination: str, name: str, schema: T.StructType | None = None) -> DataFrame:
+    """A table of a published destination; one whose publication did not end is refused."""
+    if not exists(spark, f"{destination}/{COMMITTED}"):
+        raise FileNotFoundError(f"Nothing was published at {destination}")
+    return (spark.read.schema(schema) if schema else spark.read).parquet(f"{destination}/{name}")
+
+
+#: row hashes are compared in this many groups before rows are
+_BUCKETS = 4096
 
 
 def copy_differences(source: DataFrame, copy: DataFrame) -> DataFrame:
     """``(side, rows)``: rows of either side that the other lacks, multiplicity included.
 
-    Rows are compared by their content, counted per distinct row on both sides in one
-    grouped pass, so one shuffle of pre-combined counts replaces two set differences.
+    Counts, sums and parities of row hashes are compared per group of hashes first, which moves a few
+    numbers per task; only rows of groups that differ are shuffled and compared by their content.
     """
     columns = source.columns
+    row = F.xxhash64(*[F.to_json(F.struct(F.col(f"`{c}`"))) for c in columns])
+    bucket = F.pmod(row, F.lit(_BUCKETS))
+
+    def summed(df: DataFrame, side: str) -> DataFrame:
+        return df.groupBy(bucket.alias("_bucket")).agg(F.struct(
+            F.count(F.lit(1)), F.sum(row.cast("decimal(38,0)")), F.bit_xor(row)).alias(side))
+
+    differing = summed(source, "_a").join(summed(copy, "_b"), "_bucket", "full_outer").where(~F.col("_a").eqNullSafe(F.col("_b"))).select("_bucket")
+    source, copy = (df.withColumn("_bucket", bucket).join(differing, "_bucket", "left_semi") for df in (source, copy))
     both = source.select(*columns, F.lit(1).alias("_n")).unionByName(copy.select(*columns, F.lit(-1).alias("_n")))
     balance = both.groupBy(*columns).agg(F.sum("_n").alias("balance"))
     return balance.agg(

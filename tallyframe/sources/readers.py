@@ -18,15 +18,37 @@ def read_text_columns(
     Quotes are escaped by doubling. Files stay splittable unless ``multiline`` is asked for;
     without it a record with a quoted line break stops the job instead of being misread.
     """
-    schema = T.StructType([T.StructField(name, T.StringType()) for name in columns])
+    return _whole(_text_records(spark, path, columns, multiline))
+
+
+#: a record that does not fit its schema is put here by Spark's readers, and named by no message
+_MALFORMED = "_malformed_record"
+
+
+def _text_records(spark: SparkSession, path: str | list[str], columns: list[str], multiline: bool) -> DataFrame:
+    schema = T.StructType([T.StructField(name, T.StringType()) for name in [*columns, _MALFORMED]])
     return (
         spark.read.schema(schema)
-        .options(header=True, quote='"', escape='"', sep=",", nullValue="", mode="FAILFAST",
+        .options(header=True, quote='"', escape='"', sep=",", nullValue="", mode="PERMISSIVE", columnNameOfCorruptRecord=_MALFORMED,
                  enforceSchema=False, multiLine=multiline, columnPruning=False, encoding="UTF-8")
         .csv(path)
     )
 
 
+def _whole(records: DataFrame) -> DataFrame:
+    """The rows, or an error that names the file of a malformed record and nothing of its content."""
+    stop = F.raise_error(F.concat(F.lit("Malformed record in "), F.col("_metadata.file_name")))
+    columns = [c for c in records.columns if c != _MALFORMED]
+    return records.where(F.when(F.col(_MALFORMED).isNotNull(), stop.cast("boolean")).otherwise(F.lit(True))).select(
+        *columns, "_metadata").select(*columns)
+
+
+def rejects(spark: SparkSession, path: str | list[str], columns: list[str], *, multiline: bool = False) -> DataFrame:
+    """``(file, records, malformed)``: how many records of each delimited file do not have the declared columns."""
+    records = _text_records(spark, path, columns, multiline).select("*", F.col("_metadata.file_path").alias("file"))
+    return records.groupBy("file").agg((F.count(columns[0]) + F.count_if(F.col(columns[0]).isNull())).alias("records"), F.count(_MALFORMED).alias("malformed"))
+
+
 def read_strict(spark: SparkSession, path: str, table: Table, *, multiline: bool = False) -> DataFrame:
     """A contract table as text; stops on header drift before any row is read."""
     require_headers(list_files(spark, path), table.raw_names)
@@ -34,11 +56,15 @@ def read_strict(spark: SparkSession, path: str, table: Table, *, multiline: bool
 
 
 def json_entries(spark: SparkSession, path: str) -> DataFrame:
-    """``(mcc, description)`` for every entry of JSON object files, repeated keys included."""
+    """``(mcc, description)`` for every entry of JSON object files, repeated keys included.
+
+    A description that is no text is null, and so reported as a problem.
+    """
     content = spark.read.text(path, wholetext=True).select(
-        F.from_json(F.regexp_replace("value", "^﻿", ""), "map<string,string>", {"mode": "FAILFAST"}).alias("m")
-    )
-    return content.select(F.explode("m").alias("mcc", "description"))
+        F.from_json(F.regexp_replace("value", "^\ufeff", ""), "map<string,variant>").alias("m"), F.col("_metadata.file_name").alias("file"))
+    entries = F.coalesce("m", F.raise_error(F.concat(F.lit("Not a JSON object: "), "file")).cast("map<string,variant>"))
+    values = content.select(F.explode(entries).alias("mcc", "v"))
+    return values.select("mcc", F.when(F.schema_of_variant("v") == "STRING", F.try_variant_get("v", "$", "string")).alias("description"))
 
 
 def json_entry_problems(entries: DataFrame) -> DataFrame:
@@ -62,7 +88,9 @@ def read_json_map(spark: SparkSession, path: str) -> DataFrame:
 
 def read_json_lines(spark: SparkSession, path: str, schema: str | T.StructType) -> DataFrame:
     """One JSON object per line; blank lines are skipped, anything else malformed stops the job."""
-    return spark.read.schema(schema).options(mode="FAILFAST").json(path)
+    declared = T._parse_datatype_string(schema) if isinstance(schema, str) else schema
+    held = T.StructType([*declared.fields, T.StructField(_MALFORMED, T.StringType())])
+    return _whole(spark.read.schema(held).options(mode="PERMISSIVE", columnNameOfCorruptRecord=_MALFORMED).json(path))
 
 
 MANIFEST_COLUMNS = [

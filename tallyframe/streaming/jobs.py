@@ -7,6 +7,7 @@ and the calls inside the watermark delay, a conversation keeps six turns.
 
 from __future__ import annotations
 
+import hashlib
 from collections import deque
 from collections.abc import Callable, Iterator
 
@@ -17,18 +18,17 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from tallyframe.functions.text import redact_turn
 from tallyframe.operators.conversation import MAX_TURNS, TTL_SECONDS
 from tallyframe.operators.ratelimit import MAX_CALLS, WINDOW_SECONDS, decide
-from tallyframe.session import fresh_path
 
-_DELAY = "10 minutes"
+DELAY_SECONDS = 600
 
 
-def sessions(events: DataFrame, key: str, time: str, ttl_seconds: int = TTL_SECONDS, delay: str = _DELAY) -> DataFrame:
+def sessions(events: DataFrame, key: str, time: str, ttl_seconds: int = TTL_SECONDS, delay_seconds: int = DELAY_SECONDS) -> DataFrame:
     """Sessions once the watermark has passed their end; a gap of exactly the TTL splits.
 
     Spark merges events exactly one gap apart, so the gap is one microsecond short of the TTL.
     """
     gap = f"{ttl_seconds - 1} seconds 999999 microseconds"
-    timed = events.withColumn("_at", F.col(time).cast("timestamp")).withWatermark("_at", delay)
+    timed = events.withColumn("_at", F.col(time).cast("timestamp")).withWatermark("_at", f"{delay_seconds} seconds")
     grouped = timed.groupBy(key, F.session_window("_at", gap).alias("_session")).agg(
         F.min("_at").alias("_first"), F.max("_at").alias("_last"), F.count(F.lit(1)).alias("n_events"))
     return grouped.select(
@@ -37,57 +37,68 @@ def sessions(events: DataFrame, key: str, time: str, ttl_seconds: int = TTL_SECO
 
 
 class _Limiter(StatefulProcessor):
-    """Calls wait, grouped by window-wide slot, until the watermark has passed the slot."""
+    """Calls wait in a list until the watermark has passed their slot; a slot is as long as the watermark lags."""
 
-    def __init__(self, max_calls: int, window: int):
-        self.max_calls, self.window = max_calls, window
+    def __init__(self, max_calls: int, window: int, slot: int, call_type: str):
+        self.max_calls, self.window, self.slot, self.call_type = max_calls, window, slot, call_type
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.hits = handle.getValueState("hits", "at array<long>")
-        self.waiting = handle.getMapState("waiting", "slot long", "at array<long>, ids array<long>")
+        self.waiting = handle.getListState("waiting", f"at long, id {self.call_type}")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         for chunk in rows:
-            for slot, calls in chunk.groupby(chunk["micros"] // self.window):
-                slot = int(slot)
-                at, ids = calls["micros"].tolist(), calls["call_id"].tolist()
-                if self.waiting.containsKey((slot,)):
-                    held = self.waiting.getValue((slot,))
-                    at, ids = [*held[0], *at], [*held[1], *ids]
-                else:
-                    self.handle.registerTimer((slot + 1) * self.window // 1000)
-                self.waiting.updateValue((slot,), ([int(a) for a in at], [int(i) for i in ids]))
-        yield pd.DataFrame({"caller": [], "call_id": [], "accepted": []})
+            calls = chunk.sort_values("micros")
+            self.waiting.appendList(list(zip(calls["micros"].astype(object).map(int), calls["call_id"].astype(object).map(_bare))))
+            for slot in (calls["micros"] // self.slot).unique():
+                self.handle.registerTimer((int(slot) + 1) * self.slot // 1000)
+        yield _decisions([], [], [])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        slot = expiredTimerInfo.getExpiryTimeInMs() * 1000 // self.window - 1
-        if not self.waiting.containsKey((slot,)):
+        end = expiredTimerInfo.getExpiryTimeInMs() * 1000
+        held = [(int(r[0]), r[1]) for r in self.waiting.get()] if self.waiting.exists() else []
+        calls, later = sorted(c for c in held if c[0] < end), [c for c in held if c[0] >= end]
+        if not calls:
             return
-        at, ids = self.waiting.getValue((slot,))
         hits = deque(self.hits.get()[0] if self.hits.exists() else [])
-        calls = sorted(zip(at, ids))
-        accepted = [decide(hits, int(a), self.max_calls, self.window) for a, _ in calls]
+        accepted = [decide(hits, at, self.max_calls, self.window) for at, _ in calls]
         self.hits.update(([int(h) for h in hits],))
-        self.waiting.removeKey((slot,))
-        yield pd.DataFrame({"caller": [key[0]] * len(calls), "call_id": [int(i) for _, i in calls], "accepted": accepted})
+        if later:
+            self.waiting.put(later)
+        else:
+            self.waiting.clear()
+        yield _decisions([key[0]] * len(calls), [i for _, i in calls], accepted)
 
     def close(self) -> None:
         pass
 
 
+def _decisions(callers: list, ids: list, accepted: list[bool]) -> pd.DataFrame:
+    # plain objects, whatever the types of callers and calls
+    return pd.DataFrame({n: pd.Series(v, dtype=object) for n, v in (("caller", callers), ("call_id", ids), ("accepted", accepted))})
+
+
+def _bare(value):
+    return value.item() if hasattr(value, "item") else value
+
+
 def limit_calls(
     calls: DataFrame, caller: str, time: str, call_id: str, *,
-    max_calls: int = MAX_CALLS, window_seconds: int = WINDOW_SECONDS, delay: str = _DELAY,
+    max_calls: int = MAX_CALLS, window_seconds: int = WINDOW_SECONDS, delay_seconds: int = DELAY_SECONDS,
 ) -> DataFrame:
-    """``(caller, call_id, accepted)`` in event-time order, as the watermark passes each window-wide slot."""
+    """``(caller, call_id, accepted)`` in event-time order, as the watermark passes the calls.
+
+    Callers and calls keep their types. The state of a caller is the accepted times of one window and
+    the calls of the time that the watermark lags.
+    """
+    kinds = [calls.schema[c].dataType.simpleString() for c in (caller, call_id)]
     timed = calls.select(
-        F.col(caller).cast("long").alias("caller"), F.col(call_id).cast("long").alias("call_id"),
-        F.col(time).cast("timestamp").alias("called_at"),
-    ).withWatermark("called_at", delay).withColumn("micros", F.unix_micros("called_at"))
+        F.col(caller).alias("caller"), F.col(call_id).alias("call_id"), F.col(time).cast("timestamp").alias("called_at"),
+    ).withWatermark("called_at", f"{delay_seconds} seconds").withColumn("micros", F.unix_micros("called_at"))
     return timed.groupBy("caller").transformWithStateInPandas(
-        statefulProcessor=_Limiter(max_calls, window_seconds * 1_000_000),
-        outputStructType="caller long, call_id long, accepted boolean", outputMode="Append", timeMode="EventTime")
+        statefulProcessor=_Limiter(max_calls, window_seconds * 1_000_000, delay_seconds * 1_000_000, kinds[1]),
+        outputStructType=f"caller {kinds[0]}, call_id {kinds[1]}, accepted boolean", outputMode="Append", timeMode="EventTime")
 
 
 class _LastTurns(StatefulProcessor):
@@ -96,55 +107,65 @@ class _LastTurns(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.kept = handle.getValueState(
-            "kept", "turn array<long>, role array<string>, text array<string>", self.ttl_ms)
+            "kept", "turn array<long>, role array<string>, text array<string>, updates long", self.ttl_ms)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        kept = list(zip(*self.kept.get())) if self.kept.exists() else []
-        for chunk in rows:
-            new = zip(chunk["turn"].tolist(), chunk["role"].tolist(), chunk["text"].tolist())
-            kept = sorted([*kept, *new], key=lambda t: t[0])[-self.n:]
-        turn, role, text = (list(c) for c in zip(*kept))
-        self.kept.update((turn, role, text))
-        yield pd.DataFrame({"conv_id": [key[0]] * len(kept), "turn": turn, "role": role, "text": text, "as_of": turn[-1]})
+        *held, updates = self.kept.get() if self.kept.exists() else ([], [], [], 0)
+        kept = {t[0]: t for t in zip(*held)}
+        for chunk in rows:  # a turn that comes again replaces itself
+            kept |= {int(t): (int(t), r, x) for t, r, x in zip(chunk["turn"], chunk["role"], chunk["text"])}
+            kept = {t: kept[t] for t in sorted(kept)[-self.n:]}
+        turn, role, text = (list(c) for c in zip(*kept.values()))
+        self.kept.update((turn, role, text, int(updates) + 1))
+        yield pd.DataFrame({"conversation": [key[0]], "update": [int(updates) + 1], "turns": [
+            [{"turn": t, "role": r, "text": x} for t, r, x in kept.values()]]})
 
     def close(self) -> None:
         pass
 
 
-def last_turns(turns: DataFrame, n: int = MAX_TURNS, ttl_seconds: int = TTL_SECONDS) -> DataFrame:
-    """The last redacted turns of every conversation that changed, stamped with its newest turn (``as_of``)."""
-    redacted = turns.select("conv_id", "turn", "role", redact_turn(F.col("text")).alias("text"))
-    return redacted.groupBy("conv_id").transformWithStateInPandas(
+_TURNS = "array<struct<turn:bigint,role:string,text:string>>"
+
+
+def last_turns(turns: DataFrame, n: int = MAX_TURNS, ttl_seconds: int = TTL_SECONDS, conversation: str = "conv_id") -> DataFrame:
+    """``(conversation, update, turns)``: the last redacted turns of every conversation that changed, and how often it did."""
+    redacted = turns.select(F.col(conversation).alias("conversation"), "turn", "role", redact_turn(F.col("text")).alias("text"))
+    kind = redacted.schema["conversation"].dataType.simpleString()
+    return redacted.groupBy("conversation").transformWithStateInPandas(
         statefulProcessor=_LastTurns(n, ttl_seconds * 1000),
-        outputStructType="conv_id long, turn long, role string, text string, as_of long",
-        outputMode="Append", timeMode="ProcessingTime")
+        outputStructType=f"conversation {kind}, update long, turns {_TURNS}", outputMode="Append", timeMode="ProcessingTime")
 
 
-def newest_turns(output: DataFrame) -> DataFrame:
-    """The latest state per conversation from everything ``last_turns`` wrote."""
-    newest = output.groupBy("conv_id").agg(F.max("as_of").alias("as_of"))
-    return output.join(newest, ["conv_id", "as_of"], "left_semi").drop("as_of").distinct()
+def newest_turns(output: DataFrame, conversation: str = "conv_id") -> DataFrame:
+    """One row per turn of the latest update of every conversation, from everything ``last_turns`` wrote."""
+    newest = output.groupBy("conversation").agg(F.max_by("turns", "update").alias("turns"))
+    return newest.select(F.col("conversation").alias(conversation), F.inline("turns"))
 
 
 def upsert_versions(
-    documents: DataFrame, prepare: Callable[[DataFrame], DataFrame], path: str,
-    checkpoint: str | None = None, on_batch: Callable[[int], None] | None = None,
+    documents: DataFrame, prepare: Callable[[DataFrame], DataFrame], path: str, *, run: int, checkpoint: str,
+    on_batch: Callable[[int], None] | None = None,
 ) -> None:
     """Append every micro-batch as a new version; no stored row is rewritten.
 
-    A repeated micro-batch replaces its own folder, so a restart neither loses nor doubles rows.
-    ``on_batch`` receives the running number of stored rows.
+    A version is the number of the run and of its batch, so later runs win over earlier ones. A run is
+    one stream with one checkpoint: continued after a failure it repeats the interrupted batch in its own
+    folder, and neither loses nor doubles rows. A run number that is used again with another checkpoint
+    writes beside the first, never over it. ``on_batch`` receives the running number of rows stored by the run.
     """
     spark = documents.sparkSession
+    writer = hashlib.sha256(checkpoint.encode()).hexdigest()[:12]
+    stored = {}
 
     def store(batch: DataFrame, number: int) -> None:
-        prepare(batch).write.mode("overwrite").parquet(f"{path}/version={number}")
+        folder = f"{path}/version={run * 1_000_000_000 + number}/writer={writer}"
+        prepare(batch).write.mode("overwrite").parquet(folder)
         if on_batch:
-            on_batch(spark.read.parquet(path).count())
+            stored[number] = spark.read.parquet(folder).count()
+            on_batch(sum(stored.values()))
 
     query = (
-        documents.writeStream.foreachBatch(store)
-        .option("checkpointLocation", checkpoint or fresh_path(spark, "stream-checkpoint"))
+        documents.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint)
         .trigger(availableNow=True).start()
     )
     query.awaitTermination()
@@ -153,11 +174,6 @@ def upsert_versions(
 def current_versions(spark: SparkSession, path: str, key: str = "point_id") -> DataFrame:
     """The newest version of every key."""
     stored = spark.read.parquet(path)
-    others = [c for c in stored.columns if c not in (key, "version")]
-    newest = stored.groupBy(key).agg(F.max_by(F.struct(*others), "version").alias("_row"))
+    others = [c for c in stored.columns if c not in (key, "version", "writer")]
+    newest = stored.groupBy(key).agg(F.max_by(F.struct(*others), F.struct("version", "writer")).alias("_row"))
     return newest.select(key, *[F.col(f"_row.{c}").alias(c) for c in others])
-
-
-def compact_versions(spark: SparkSession, path: str, destination: str, key: str = "point_id") -> None:
-    """Write the newest versions as one version of a new table."""
-    current_versions(spark, path, key).write.mode("errorifexists").parquet(f"{destination}/version=0")

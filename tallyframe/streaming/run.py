@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tallyframe.session import fresh_path
 
@@ -26,6 +26,25 @@ def stream_settings(spark: SparkSession, settings: dict[str, str]):
             spark.conf.set(key, value)
 
 
+def run_to_end(
+    files: str, stream: DataFrame, time: str, marker: dict, *, path: str | None = None, checkpoint: str | None = None,
+) -> DataFrame:
+    """Process a finite folder of files to its very end and return the output.
+
+    What waits for the watermark after the last file is released by a marker row that is written into the
+    folder with a time far behind the newest one, and read by the same stream. ``marker`` gives the row's
+    other columns; choose keys that no real row has, because its own state is never closed.
+    """
+    spark = stream.sparkSession
+    path, checkpoint = path or fresh_path(spark, "stream-output"), checkpoint or fresh_path(spark, "stream-checkpoint")
+    run_available(stream, path, checkpoint)
+    rows = spark.read.parquet(files)
+    last = rows.agg((F.max(time) + F.expr("interval 400 days")).alias("t"))
+    last.select(*[(F.col("t") if c == time else F.lit(marker.get(c))).cast(rows.schema[c].dataType).alias(c) for c in rows.columns]).where(
+        F.col(time).isNotNull()).write.mode("append").parquet(files)
+    return run_available(stream, path, checkpoint)
+
+
 def run_available(
     stream: DataFrame, path: str | None = None, checkpoint: str | None = None, *, advance_watermark: bool = True,
 ) -> DataFrame:

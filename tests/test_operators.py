@@ -1,17 +1,22 @@
 """Operators against brute force and hand-checked cases."""
 
+import hashlib
+import json
 import random
 import re
 from collections import deque
 from datetime import datetime, timedelta
+from decimal import Decimal
 from uuid import NAMESPACE_URL, uuid5
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tallyframe.functions import text as tx
-from tallyframe.operators import answers, conversation, evaluate, linking, ratelimit, vectors
+from tallyframe.operators import answers, conversation, evaluate, linking, metrics, ratelimit, vectors
 from tallyframe.session import fresh_path
+from tallyframe.sources import publish
 from tallyframe.streaming import jobs
 from tallyframe.streaming.run import run_available
 
@@ -71,19 +76,19 @@ def test_limiter_cases(spark):
     assert [r.accepted for r in found.orderBy("i").collect()] == [True, True, True, False, True, True, True]
 
 
-CATALOG = [("4511", [1.0, 0.0]), ("7011", [0.9, 0.1]), ("5411", [0.0, 1.0])]
+CATALOG = [("north", [0.0, 2.0]), ("northeast", [0.2, 1.0]), ("east", [3.0, 0.0]), ("south", [0.0, -1.0])]
 
 
 def frames(spark):
-    return (spark.createDataFrame([("q", [1.0, 0.0])], "query_id string, vector array<float>"),
+    return (spark.createDataFrame([("q", [0.0, 1.0])], "query_id string, vector array<float>"),
             spark.createDataFrame(CATALOG, "item_id string, vector array<float>"))
 
 
 def test_top_k(spark):
     q, c = frames(spark)
     ranked = vectors.top_k(q, c, 5, size=2, threshold=0.5).orderBy("rank").collect()
-    assert [r.item_id for r in ranked] == ["4511", "7011"]
-    assert [r.item_id for r in vectors.top_k(q, c, 1, size=2, threshold=0.0).collect()] == ["4511"]
+    assert [r.item_id for r in ranked] == ["north", "northeast"]
+    assert [r.item_id for r in vectors.top_k(q, c, 1, size=2, threshold=0.0).collect()] == ["north"]
     assert vectors.top_k(q, c.limit(0), 5, size=2).count() == 0
     with pytest.raises(ValueError, match="k must"):
         vectors.top_k(q, c, 0, size=2)
@@ -100,7 +105,7 @@ def test_top_k_ways_agree_with_ties_and_zero_vectors(spark):
     c = spark.createDataFrame(rows, "item_id long, vector array<float>").repartition(5)
     q = c.where("item_id % 7 = 0 or item_id = 450").withColumnRenamed("item_id", "query_id")
     scanned = vectors.top_k(q, c, 6, size=4)
-    blocked = vectors.top_k(q, c, 6, size=4, max_sent=0, block_rows=40)
+    blocked = vectors.top_k_by_blocks(q, c, 6, size=4, query_blocks=3, item_blocks=8)
     key = lambda df: sorted((r.query_id, r.rank, r.item_id, round(r.score, 9)) for r in df.collect())
     assert key(scanned) == key(blocked)
 
@@ -113,6 +118,23 @@ def test_top_k_ways_agree_with_ties_and_zero_vectors(spark):
     assert [i for _, i in best] == [r.item_id for r in scanned.where("query_id = 301").orderBy("rank").collect()]
 
 
+def test_top_k_without_queries_with_many_and_with_too_many(spark, monkeypatch):
+    items = spark.createDataFrame([(i, [float(i % 7), float(i % 5), 1.0]) for i in range(500)], "item_id long, vector array<float>")
+    none = items.limit(0).withColumnRenamed("item_id", "query_id")
+    assert vectors.top_k(none, items, 3, size=3).collect() == []
+    assert vectors.top_k_by_blocks(none, items, 3, size=3, query_blocks=2, item_blocks=2).collect() == []
+    many = spark.range(20_000).select(F.col("id").alias("query_id"), F.array(*[(F.col("id") % n).cast("float") for n in (7, 5, 2)]).alias("vector"))
+    sizes = []
+    real = vectors._Best._add
+    monkeypatch.setattr(vectors._Best, "_add", lambda self, items, matrix: (sizes.append(len(self.ids) * len(items)), real(self, items, matrix)))
+    best = vectors._Best(list(range(20_000)), np.ones((20_000, 3)), 2)
+    best.add(list(range(500)), np.ones((500, 3)))
+    assert max(sizes) <= vectors.MAX_CELLS and sum(sizes) == 20_000 * 500
+    assert vectors.top_k(many, items, 2, size=3).count() == 40_000
+    with pytest.raises(ValueError, match="top_k_by_blocks"):
+        vectors.top_k(many, items, 2, size=3, max_bytes=100_000)
+
+
 def test_rank_merge(spark):
     schema = "query_id string, item_id string, rank int"
     original = spark.createDataFrame([("q", "B", 1), ("q", "C", 2)], schema)
@@ -147,6 +169,7 @@ def test_point_ids_and_upsert(spark):
     points = vectors.points(df, "doc_id", 1, ["doc_id"])
     assert {r.point_id for r in points.collect()} == {str(uuid5(NAMESPACE_URL, d)) for d in ("FS-01", "é")}
     assert vectors.upsert(vectors.upsert(points, points), points.where("payload.doc_id = 'é'")).count() == 2
+    assert vectors.upsert(points.limit(0), points.unionByName(points)).count() == 2
     with pytest.raises(Exception, match="length 2"):
         vectors.points(df, "doc_id", 2, ["doc_id"]).collect()
 
@@ -186,19 +209,51 @@ def test_email_scan_finds_what_the_definition_finds(spark):
 
 
 @pytest.mark.parametrize("question,prior,relations", [
-    ("Show spending by merchant category", ["main.cards"], ["main.transactions", "main.mcc_codes"]),
-    ("what is the credit limit of cards?", None, ["main.cards"]),
-    ("tell me the average", ["main.cards"], ["main.cards"]), ("tell me the average", None, ["main.transactions"])])
+    ("List merchant category totals", ["main.users"], ["main.transactions", "main.mcc_codes"]),
+    ("which cards have a credit limit", None, ["main.cards"]),
+    ("and the average?", ["main.users"], ["main.users"]), ("and the average?", None, ["main.transactions"])])
 def test_linking(spark, question, prior, relations):
     df = spark.createDataFrame([(question, prior)], "question string, prior array<string>")
     assert linking.link_tables(linking.lexicon_scores(df), prior="prior").first().relations == relations
 
 
 def test_suggestions(spark):
-    proposed = ["  One?  ", "one?", "", None, "Two?", "Three?", "Four?"]
-    df = spark.createDataFrame([(proposed, "two?", "x")], "s array<string>, q string, other string")
-    assert answers.clean_suggestions(df, "s", ["other"]).first().s == ["One?", "Two?", "Three?"]
-    assert answers.clean_suggestions(df, "s", ["q"]).first().s == ["One?", "Three?", "Four?"]
+    proposed = [None, "\tWhere to? ", "WHERE TO?", " ", "How many?", "Since when?", "By whom?", "x" * 500]
+    df = spark.createDataFrame([(proposed, "how MANY?", "x")], "s array<string>, q string, other string")
+    assert answers.clean_suggestions(df, "s", ["other"]).first().s == ["Where to?", "How many?", "Since when?"]
+    assert answers.clean_suggestions(df, "s", ["q"]).first().s == ["Where to?", "Since when?", "By whom?"]
+
+
+@pytest.mark.parametrize("answer,data", [
+    ("{}", True), ("[]", True), ('{"who": "it\'s me"}', True), ("[(1, 2), 'x']", True), ("{'a': {'b': [None, True]}}", True), ("[1, 2", False),
+    ("{1, 2}", False), ("[see below]", False), ("(1, 2)", False), ("", False), (" []", False), ("[" * 5000, False), ("Total 3", False)])
+def test_answers_that_are_data(spark, answer, data):
+    assert one(spark, answers.check_answer(F.col("t")), t=answer) == (answers.FALLBACK_ANSWER if data else answer)
+
+
+def test_digest_is_that_of_compact_json(spark):
+    df = spark.createDataFrame([("é\"q", 2, Decimal("10.50"), None), ("b", 1, Decimal("3.00"), True)], 'n string, k long, `a "b"` decimal(10,2), f boolean')
+    want = json.dumps({"columns": df.columns, "rows": [["b", 1, 3.0, True], ['é"q', 2, 10.5, None]]}, sort_keys=True, separators=(",", ":"))
+    assert answers.result_digest(df, [F.col("k")]).first().result_digest == hashlib.sha256(want.encode()).hexdigest()
+
+
+def test_keys_need_borders(spark):
+    key = "sk-" + "a" * 20
+    text = f"{key} risk-management-framework ({key}) x{key} {key}, sk-{'b' * 15} sk-{'c' * 401} sk-{'d' * 400}"
+    assert one(spark, tx.secret_keys(F.col("t")), t=text) == [key, key, key, "sk-" + "d" * 400]
+
+
+def test_copy_differences(spark):
+    a = spark.createDataFrame([(i % 50, None if i % 3 else "x") for i in range(300)], "i long, t string")
+    b = a.where("i <> 7").unionByName(spark.createDataFrame([(99, "new"), (99, "new")], a.schema))
+    assert tuple(publish.copy_differences(a, a).first()) == (0, 0) and tuple(publish.copy_differences(a, b).first()) == (6, 2)
+
+
+def test_metrics_with_distinct_counts_keep_null_groups(spark):
+    rows = [(1, Decimal("1.00"), None, "a"), (1, Decimal("2.00"), None, None), (2, Decimal("-3.00"), "e", None)]
+    df = spark.createDataFrame(rows, "client_id long, amount decimal(18,2), errors string, g string")
+    found = metrics.metrics_by(df, ["transacting_customer_count", "net_amount"], ["g"]).collect()
+    assert {(r.g, r.transacting_customer_count, str(r.net_amount)) for r in found} == {("a", 1, "1.00"), (None, 2, "-1.00")}
 
 
 def test_evaluation_counts_a_case_once(spark):
@@ -208,11 +263,11 @@ def test_evaluation_counts_a_case_once(spark):
             "forbidden_citation_metadata": ["zipcode"]}
     result = {"id": "c", "route": "answered", "sql": "select", "repairs": 1, "specialist_path": ["b"],
               "suggested_questions": ["1", "2", "3", "4"], "result_digest": "e", "grounding": "[]",
-              "citations": [{"source_hash": "other", "zipcode": "02101"}]}
+              "citations": [{"source_hash": "other", "zipcode": "02101"}, {"zipcode": "1"}]}
     cases = spark.createDataFrame([case, {**case, "id": "missing"}], evaluate.CASE_SCHEMA)
     report = evaluate.report(cases, spark.createDataFrame([result], evaluate.RESULT_SCHEMA)).first()
     assert (report.total, report.passed, report.failed) == (2, 0, 2)
-    assert evaluate.failures(cases.where("id = 'c'"), spark.createDataFrame([result], evaluate.RESULT_SCHEMA)).count() == 11
+    assert evaluate.failures(cases.where("id = 'c'"), spark.createDataFrame([result], evaluate.RESULT_SCHEMA)).count() == 12
 
 
 def test_streams_over_several_batches(spark):
@@ -226,11 +281,28 @@ def test_streams_over_several_batches(spark):
     assert [(r.turn, r.text) for r in kept] == [(t, f"mail [redacted email] {t}") for t in range(3, 9)]
 
 
-def test_versions_keep_the_newest_row(spark):
-    folder, path = fresh_path(spark, "docs"), fresh_path(spark, "versions")
-    totals = []
-    for text in ("old", "new"):
-        spark.createDataFrame([("d", text)], "point_id string, text string").coalesce(1).write.mode("append").parquet(folder)
-        stream = spark.readStream.schema("point_id string, text string").parquet(folder)
-        jobs.upsert_versions(stream, lambda batch: batch, path, checkpoint=folder + "-state", on_batch=totals.append)
-    assert [tuple(r) for r in jobs.current_versions(spark, path).collect()] == [("d", "new")] and totals == [1, 2]
+def test_late_and_repeated_turns_keep_six(spark):
+    folder, checkpoint, output = (fresh_path(spark, p) for p in ("turns", "checkpoint", "output"))
+    schema = "talk string, turn long, role string, text string"
+    jobs_stream = None
+    for part in ((1, 2, 3, 4, 6, 7), (5, 7)):
+        spark.createDataFrame([("k", t, "user", f"t{t}") for t in part], schema).coalesce(1).write.mode("append").parquet(folder)
+        jobs_stream = jobs_stream or jobs.last_turns(spark.readStream.schema(schema).parquet(folder), conversation="talk")
+        written = run_available(jobs_stream, output, checkpoint, advance_watermark=False)
+    assert sorted((r.talk, r.turn) for r in jobs.newest_turns(written, "talk").collect()) == [("k", t) for t in (2, 3, 4, 5, 6, 7)]
+
+
+def test_versions_of_later_runs_win_and_lose_nothing(spark):
+    path, totals = fresh_path(spark, "versions"), []
+    for run, rows in enumerate(([("d", "old"), ("e", "kept")], [("d", "new")], [("f", "late")])):
+        folder = fresh_path(spark, "docs")
+        spark.createDataFrame(rows, "point_id string, text string").write.parquet(folder)
+        stream = spark.readStream.schema("point_id string, text string").option("maxFilesPerTrigger", 1).parquet(folder)
+        jobs.upsert_versions(stream, lambda batch: batch, path, run=run, checkpoint=folder + "-state", on_batch=totals.append)
+        jobs.upsert_versions(stream, lambda batch: batch, path, run=run, checkpoint=folder + "-state")  # nothing is left to do
+    assert sorted(tuple(r) for r in jobs.current_versions(spark, path).collect()) == [("d", "new"), ("e", "kept"), ("f", "late")]
+    assert max(totals) == 2
+    other = fresh_path(spark, "docs")
+    spark.createDataFrame([("g", "same run number")], "point_id string, text string").write.parquet(other)
+    jobs.upsert_versions(spark.readStream.schema("point_id string, text string").parquet(other), lambda batch: batch, path, run=0, checkpoint=other + "-state")
+    assert jobs.current_versions(spark, path).count() == 4
