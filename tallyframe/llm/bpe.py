@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from tallyframe.llm.common import map_batches
 
 #: pieces a task remembers before it starts anew, and the longest piece it remembers
-REMEMBERED = 400_000
+REMEMBERED = 200_000
 REMEMBERED_CHARS = 64
 
 # white space as Unicode defines it, which differs from Python's \s in U+001C to U+001F
