@@ -51,7 +51,8 @@ def previous_rows(
     The key's integer order is cut into slices; a row looks back within its slice, and into
     the tails of earlier slices through a small table with one row per slice.
     """
-    sliced = df.withColumn("_slice", F.floor(F.col(order) / slice_size)).withColumn("_value", value)
+    # wrapped, because a list of bare values would leave out nulls and so look back too far
+    sliced = df.withColumn("_slice", F.floor(F.col(order) / slice_size)).withColumn("_value", F.struct(value.alias("v")))
     inside = Window.partitionBy(key, "_slice").orderBy(order)
     near = sliced.withColumn("_near", F.collect_list("_value").over(inside.rowsBetween(-n, -1)))
     back = Window.partitionBy(key, "_slice").orderBy(F.desc(order))
@@ -64,7 +65,7 @@ def previous_rows(
     before = Window.partitionBy(key).orderBy("_slice").rowsBetween(-n, -1)
     halo = tails.select(key, "_slice", F.flatten(F.collect_list("_tail").over(before)).alias("_halo"))
     both = F.concat(F.coalesce("_halo", F.array().cast(near.schema["_near"].dataType)), F.col("_near"))
-    recent = F.slice(both, F.greatest(F.size(both) - n + 1, F.lit(1)), n)
+    recent = F.transform(F.slice(both, F.greatest(F.size(both) - n + 1, F.lit(1)), n), lambda r: r["v"])
     return near.join(halo, [key, "_slice"], "left").withColumn(name, recent).select(*df.columns, name)
 
 
@@ -75,8 +76,10 @@ def recent_questions(
 
     ``previous_question`` is the most recent of them.
     """
-    seen = previous_rows(turns, key, order, F.struct(role, text), MAX_TURNS, "_seen")
-    asked = F.transform(F.filter("_seen", lambda t: t[role] == "user"), lambda t: t[text])
+    # only questions are carried along; the texts of other turns are not needed to look back
+    question = F.struct((F.col(role) == "user").alias("asked"), F.when(F.col(role) == "user", F.col(text)).alias("text"))
+    seen = previous_rows(turns, key, order, question, MAX_TURNS, "_seen")
+    asked = F.transform(F.filter("_seen", lambda t: t["asked"]), lambda t: t["text"])
     kept = seen.where(F.col(role) == "user").withColumn("_asked", asked)
     recent = F.slice("_asked", F.greatest(F.size("_asked") - MAX_QUESTIONS + 1, F.lit(1)), MAX_QUESTIONS)
     return kept.withColumn("recent_questions", recent).withColumn(
