@@ -35,6 +35,9 @@ TAIL = 1e-9
 #: statistics and the least spread each is given, so that equal texts do not make a cell infinitely narrow
 STATISTICS = {"symbols": 0.35, "repeats": 0.2, "lines": 0.2, "variety": 0.015, "marks": 0.3, "length": 0.1, "capitals": 0.12, "top": 0.3}
 
+#: estimates of at most this many cells (about 400 bytes each) are sent to all tasks; more are joined by cell
+SENT_CELLS = 20_000
+
 _COUNTS = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_distinct", "n_upper", "n_top", "n_marks")
 _N = len(STATISTICS)
 _PAIRS = [(i, j) for i in range(_N) for j in range(i + 1)]
@@ -97,8 +100,11 @@ def _triangle(mean: np.ndarray, covariance: np.ndarray) -> dict[str, float]:
 _ESTIMATE = ["cell string", *(f"m{i} double" for i in range(_N)), *(f"w{i}_{j} double" for i, j in _PAIRS)]
 
 
-def _distance(rows: DataFrame, estimates: DataFrame) -> DataFrame:
-    """Rows with ``distance``, the squared Mahalanobis distance to their cell's estimate."""
+def _distance(rows: DataFrame, estimates: DataFrame, sent: bool) -> DataFrame:
+    """Rows with ``distance``, the squared Mahalanobis distance to their cell's estimate.
+
+    Sent estimates leave the rows where they are, so that a cell with many rows stays spread over the tasks.
+    """
     gap = [F.col(f"x{i}") - F.col(f"m{i}") for i in range(_N)]
     square = F.lit(0.0)
     for i in range(_N):
@@ -106,7 +112,7 @@ def _distance(rows: DataFrame, estimates: DataFrame) -> DataFrame:
         for j in range(i + 1):
             unit = unit + F.col(f"w{i}_{j}") * gap[j]
         square = square + unit * unit
-    joined = rows.join(estimates, "cell", "left").withColumn("distance", square)
+    joined = rows.join(F.broadcast(estimates) if sent else estimates, "cell", "left").withColumn("distance", square)
     return joined.drop(*(c.split()[0] for c in _ESTIMATE[1:]))
 
 
@@ -184,6 +190,7 @@ def judge(documents: DataFrame, *, id: str = "doc_id", text: str = "text", lang:
     cells = _cells(rows, least_rows)
     rows = rows.join(cells, rows["lang"].eqNullSafe(cells["of_lang"]) & rows["source"].eqNullSafe(cells["of_source"])).drop("of_lang", "of_source")
     rows = materialise(rows, "cells")
+    sent = cells.select("cell").distinct().count() <= SENT_CELLS
 
     schema = ", ".join(_ESTIMATE)
     quartiles = rows.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), *(
@@ -191,9 +198,9 @@ def judge(documents: DataFrame, *, id: str = "doc_id", text: str = "text", lang:
     estimates = quartiles.where(F.col("n") >= least_rows).groupBy("cell").applyInPandas(_start, schema)
     for step in range(STEPS + 1):
         estimates = materialise(estimates, "estimates")
-        bands = _moments(_distance(rows, estimates))
+        bands = _moments(_distance(rows, estimates, sent))
         estimates = bands.groupBy("cell").applyInPandas(_concentrate if step < STEPS else _reweigh, schema)
-    judged = _distance(rows, materialise(estimates, "estimates"))
+    judged = _distance(rows, materialise(estimates, "estimates"), sent)
     far = F.coalesce(F.col("distance") > chi_square_quantile(1 - tail, _N), F.lit(False))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
                          "base_failed", (~F.col("base_failed") & ~far).alias("kept"), "distance", *(keep or []))
