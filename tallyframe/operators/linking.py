@@ -95,6 +95,7 @@ def resolve_metric(question: Column) -> Column:
     return outcome
 
 
+# The sentences that are proposed.
 _FALLBACK_SUGGESTION = "Show recorded transaction count by transaction method."
 MAX_SUGGESTIONS = 3
 MAX_SUGGESTION_LENGTH = 200

@@ -17,6 +17,7 @@ from __future__ import annotations
 from collections import deque
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
@@ -36,6 +37,23 @@ def decide(hits: deque, at: int, max_calls: int, window: int) -> bool:
     return True
 
 
+def decide_all(hits: deque, times: np.ndarray, max_calls: int, window: int) -> np.ndarray:
+    """Decisions for calls of one burst in order; refused calls are jumped over, so the work follows the accepted ones."""
+    accepted, i = np.zeros(len(times), dtype=bool), 0
+    while i < len(times):
+        at = int(times[i])
+        if decide(hits, at, max_calls, window):
+            accepted[i] = True
+            i += 1
+        else:
+            i = max(i + 1, int(np.searchsorted(times, hits[0] + window)))
+    return accepted
+
+
+def _bare(value):
+    return value.item() if isinstance(value, np.generic) else value
+
+
 def _bursts(calls: DataFrame, caller: str, time: str, max_calls: int, window: int) -> DataFrame:
     """Calls with their burst and whether the burst can reach the limit at all."""
     at = F.unix_micros(F.col(time).cast("timestamp"))
@@ -86,8 +104,12 @@ def _walk(max_calls: int, window: int, starts: dict[int, tuple], summary: bool):
         hits: deque = deque()
         ends = []
         for batch in batches:
-            accepted = []
-            for caller, number, at, part in zip(batch["_caller"], batch["_burst"], batch["_at"], batch["_range"]):
+            accepted = np.zeros(len(batch), dtype=bool)
+            keys = batch[["_range", "_caller", "_burst"]]
+            times = batch["_at"].to_numpy()
+            firsts = np.flatnonzero((keys != keys.shift()).any(axis=1).to_numpy())
+            for start, end in zip(firsts, [*firsts[1:], len(batch)]):
+                part, caller, number = (_bare(v) for v in keys.iloc[start])
                 if part != current:
                     if current is not None:
                         ends.append(state(current, opening, burst, hits))
@@ -96,7 +118,7 @@ def _walk(max_calls: int, window: int, starts: dict[int, tuple], summary: bool):
                     hits = deque(held)
                 if (caller, number) != burst:
                     burst, hits = (caller, number), deque()
-                accepted.append(decide(hits, at, max_calls, window))
+                accepted[start:end] = decide_all(hits, times[start:end], max_calls, window)
             if not summary:
                 yield batch[["_caller", "_id"]].assign(accepted=accepted)
         if summary and current is not None:

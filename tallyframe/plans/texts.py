@@ -240,6 +240,36 @@ def metric_resolve(spark, folder):
     return star.questions(spark, folder).select("event_id", linking.resolve_metric(F.col("question")).alias("resolved_metric"))
 
 
+# Every document asks for one of the metrics, or for none, in the middle of its text.
+_ASKED = [f" what was the {label}? " for label in METRIC_LABELS.values()] + [" and so on "]
+_ASKING_SQL = "text || case doc_id % {} {} end || text".format(
+    len(_ASKED), " ".join(f"when {i} then '{t}'" for i, t in enumerate(_ASKED)))
+
+
+@query("metric_resolve_texts", f"""
+    select doc_id, {_METRIC_CASE} as resolved_metric from (select doc_id, {_ASKING_SQL} as question from documents)""")
+def metric_resolve_texts(spark, folder):
+    """Whole texts, with a label set into each."""
+    asked = F.get(F.array(*[F.lit(t) for t in _ASKED]), (F.col("doc_id") % len(_ASKED)).cast("int"))
+    texts = star.table(spark, folder, "documents").select("doc_id", F.concat("text", asked, "text").alias("question"))
+    return texts.select("doc_id", linking.resolve_metric(F.col("question")).alias("resolved_metric"))
+
+
+@query("suggest_conversations", """
+    select conv_id, turn, coalesce(nullif(concat_ws('|',
+        case when contains(lower(text), 'spend') or contains(lower(text), 'amount') then
+             'Compare net signed recorded amount with positive recorded amounts for the selected period.' end,
+        case when contains(lower(text), 'category') then 'Break the recorded amounts down by merchant category.' end), ''),
+        'Show recorded transaction count by transaction method.') as suggestions
+    from (select conv_id, turn, text || case turn % 3 when 0 then ' AMOUNT' when 1 then ' by category' else '' end as text from conversations)""")
+def suggest_conversations(spark, folder):
+    """Follow-ups for the texts of all turns, some of which end in a word that a rule looks for."""
+    end = F.when(F.col("turn") % 3 == 0, " AMOUNT").when(F.col("turn") % 3 == 1, " by category").otherwise("")
+    turns = star.table(spark, folder, "conversations").withColumn("text", F.concat("text", end))
+    found = linking.suggest(F.col("text"), F.array(F.lit("main.cards")), F.lit(None).cast("string"))
+    return turns.select("conv_id", "turn", F.array_join(found, "|").alias("suggestions"))
+
+
 @query("suggest_rules", sql(QUESTIONS) + """
     select event_id, coalesce(nullif(concat_ws('|',
         case when event_type in ('purchase', 'error') then 'Show monthly recorded transaction count for ' ||
