@@ -27,8 +27,8 @@ LEAST_WORDS = 50
 MOST_REPEATED = 50
 #: a cell with fewer rows is estimated together with others
 LEAST_ROWS = 100
-#: share of a cell's rows that a concentration step keeps
-CORE = 0.75
+#: share of a cell's rows that a concentration step keeps; odd rows up to nearly the other half do not enter it
+CORE = 0.5
 STEPS = 4
 #: probability that a normal vector would be rejected
 TAIL = 1e-9
@@ -42,6 +42,8 @@ _COUNTS = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_re
 _N = len(STATISTICS)
 _PAIRS = [(i, j) for i in range(_N) for j in range(i + 1)]
 _BANDS = 160
+#: quantiles from which a cell's first medians and absolute deviations are taken
+_QUANTILES = [(k + 0.5) / 32 for k in range(32)]
 
 
 def counted(documents: DataFrame, text: str = "text") -> DataFrame:
@@ -157,9 +159,12 @@ def _reweigh(bands: pd.DataFrame) -> pd.DataFrame:
 
 
 def _start(cell: pd.DataFrame) -> pd.DataFrame:
+    """Medians and median absolute deviations, which nearly half of the rows being odd does not carry off."""
     row = cell.iloc[0]
-    return pd.DataFrame([{"cell": row["cell"], **_triangle(
-        np.array([row[f"q{i}"][1] for i in range(_N)]), np.diag([((row[f"q{i}"][2] - row[f"q{i}"][0]) / 1.349) ** 2 for i in range(_N)]))}])
+    values = np.array([list(row[f"q{i}"]) for i in range(_N)])
+    medians = np.median(values, axis=1)
+    deviations = np.median(np.abs(values - medians[:, None]), axis=1) / 0.6745
+    return pd.DataFrame([{"cell": row["cell"], **_triangle(medians, np.diag(deviations ** 2))}])
 
 
 def _cells(rows: DataFrame, least: int) -> DataFrame:
@@ -193,9 +198,9 @@ def judge(documents: DataFrame, *, id: str = "doc_id", text: str = "text", lang:
     sent = cells.select("cell").distinct().count() <= SENT_CELLS
 
     schema = ", ".join(_ESTIMATE)
-    quartiles = rows.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), *(
-        F.percentile_approx(f"x{i}", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), 1000).alias(f"q{i}") for i in range(_N)))
-    estimates = quartiles.where(F.col("n") >= least_rows).groupBy("cell").applyInPandas(_start, schema)
+    quantiles = rows.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), *(
+        F.percentile_approx(f"x{i}", F.array(*(F.lit(q) for q in _QUANTILES)), 1000).alias(f"q{i}") for i in range(_N)))
+    estimates = quantiles.where(F.col("n") >= least_rows).groupBy("cell").applyInPandas(_start, schema)
     for step in range(STEPS + 1):
         estimates = materialise(estimates, "estimates")
         bands = _moments(_distance(rows, estimates, sent))

@@ -110,6 +110,18 @@ def test_rules_reject_what_lies_far_off(spark):
     assert not any(r["base_failed"] for r in found.values())
 
 
+def test_copies_of_a_bad_text_in_a_third_of_a_cell_are_rejected(spark):
+    random.seed(12)
+    vocabulary = ["".join(random.choices("abcdefghij", k=random.randint(2, 9))) for _ in range(3000)]
+    clean = [(i, " ".join(random.choices(vocabulary, k=random.randint(60, 300))) + ".", "en", "s") for i in range(400)]
+    short = [(1000 + i, " ".join(random.choices(vocabulary, k=30)), "en", "s") for i in range(80)]
+    bad = " ".join(w + "#" * (i % 5 == 0) for i, w in enumerate(random.choices(vocabulary, k=150)))
+    copies = [(2000 + i, bad, "en", "s") for i in range(240)]
+    found = {r["doc_id"]: r for r in rules.judge(spark.createDataFrame([*clean, *short, *copies], "doc_id long, text string, lang string, source string")).collect()}
+    assert not any(found[i]["base_failed"] for i, *_ in [*clean, *copies])
+    assert all(found[i]["kept"] for i, *_ in clean) and not any(found[i]["kept"] for i, *_ in copies)
+
+
 def test_equal_texts_do_not_make_a_cell_narrow(spark):
     random.seed(3)
     vocabulary = ["".join(random.choices("abcdefghij", k=random.randint(2, 9))) for _ in range(3000)]
