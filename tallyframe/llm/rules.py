@@ -7,8 +7,8 @@ lie nearest, then one step weighs the inner rows. A text is rejected when its sq
 distance is beyond a far quantile of the chi-square distribution.
 
 Each concentration step is one grouped aggregation: moments are summed per cell and distance band,
-so a step moves a few rows per cell and no cell is gathered in a task. Cells with few rows are
-estimated with the rest of their language, languages with few rows with all other such rows.
+so a step moves a few rows per cell and no cell is gathered in a task. Cells with few rows use the
+estimate of their whole language, or of the whole table where the language has few rows too.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ from tallyframe.session import materialise
 
 LEAST_WORDS = 50
 MOST_REPEATED = 50
-#: a cell with fewer rows is estimated together with others
+#: a cell with fewer rows uses the estimate of its language or of all rows
 LEAST_ROWS = 100
 #: share of a cell's rows that a concentration step keeps; odd rows up to nearly the other half do not enter it
 CORE = 0.5
@@ -102,11 +102,16 @@ def _triangle(mean: np.ndarray, covariance: np.ndarray) -> dict[str, float]:
 _ESTIMATE = ["cell string", *(f"m{i} double" for i in range(_N)), *(f"w{i}_{j} double" for i, j in _PAIRS)]
 
 
-def _distance(rows: DataFrame, estimates: DataFrame, sent: bool) -> DataFrame:
+def _distance(rows: DataFrame, estimates: DataFrame, sent: bool | None) -> DataFrame:
     """Rows with ``distance``, the squared Mahalanobis distance to their cell's estimate.
 
     Sent estimates leave the rows where they are, so that a cell with many rows stays spread over the tasks.
+    Estimates of languages and the whole table, which most rows may feed, are always sent;
+    ``sent`` None joins all by cell.
     """
+    if sent is False:
+        wide = F.col("cell") >= "2"
+        return _distance(rows.where(~wide), estimates.where(~wide), None).unionByName(_distance(rows.where(wide), estimates.where(wide), True))
     gap = [F.col(f"x{i}") - F.col(f"m{i}") for i in range(_N)]
     square = F.lit(0.0)
     for i in range(_N):
@@ -168,15 +173,23 @@ def _start(cell: pd.DataFrame) -> pd.DataFrame:
 
 
 def _cells(rows: DataFrame, least: int) -> DataFrame:
-    """Which estimate a language and source use: their own, their language's rest, or that of all the rest."""
+    """Which estimate a language and source use (``cell``), and all that their rows are summed for (``feeds``).
+
+    A small cell uses the estimate of all rows of its language, or of all rows where those are few too;
+    wider estimates are made only where a small cell uses them.
+    """
     pairs = rows.groupBy("lang", "source").agg(F.count(F.lit(1)).alias("n"))
     small = F.col("n") < least
-    languages = pairs.where(small).groupBy("lang").agg(F.sum("n").alias("rest"))
-    named = pairs.alias("p").join(languages.alias("l"), F.col("p.lang").eqNullSafe(F.col("l.lang")), "left")
+    languages = pairs.groupBy("lang").agg(F.sum("n").alias("rows"), F.max(small).alias("asked"))
+    whole = languages.agg(F.coalesce(F.max(F.col("asked") & (F.col("rows") < least)), F.lit(False)).alias("whole"))
+    named = pairs.alias("p").join(languages.alias("l"), F.col("p.lang").eqNullSafe(F.col("l.lang"))).crossJoin(F.broadcast(whole))
     part = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c)), F.lit("-"))
-    return named.select(F.col("p.lang").alias("of_lang"), F.col("p.source").alias("of_source"), F.when(
-        ~small, F.concat(F.lit("1"), part("p.lang"), F.lit("\x00"), part("p.source"))).when(
-        F.col("rest") >= least, F.concat(F.lit("2"), part("p.lang"))).otherwise("3").alias("cell"))
+    own, language = F.concat(F.lit("1"), part("p.lang"), F.lit("\x00"), part("p.source")), F.concat(F.lit("2"), part("p.lang"))
+    several = F.col("rows") >= least
+    return named.select(
+        F.col("p.lang").alias("of_lang"), F.col("p.source").alias("of_source"),
+        F.when(~small, own).when(several, language).otherwise("3").alias("cell"),
+        F.array_compact(F.array(F.when(~small, own), F.when(several & F.col("asked"), language), F.when(F.col("whole"), F.lit("3")))).alias("feeds"))
 
 
 def judge(documents: DataFrame, *, id: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source",
@@ -185,8 +198,8 @@ def judge(documents: DataFrame, *, id: str = "doc_id", text: str = "text", lang:
 
     Null text counts as empty and fails the base; a null language or source is a value of its own;
     rows that repeat are judged alike; an empty table gives an empty result; other columns are
-    ignored. Where even all rows together are fewer than ``least_rows``, the base alone decides
-    (distance null).
+    ignored. Every row is judged by its language and source, its language or the whole table, the first
+    that has ``least_rows``; only where even all rows together are fewer, the base alone decides (distance null).
     """
     rows = counted(documents.select(F.col(id).alias("doc_id"), F.col(text).alias("text"), F.col(lang).alias("lang"), F.col(source).alias("source"), *(keep or [])))
     failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
@@ -195,15 +208,16 @@ def judge(documents: DataFrame, *, id: str = "doc_id", text: str = "text", lang:
     cells = _cells(rows, least_rows)
     rows = rows.join(cells, rows["lang"].eqNullSafe(cells["of_lang"]) & rows["source"].eqNullSafe(cells["of_source"])).drop("of_lang", "of_source")
     rows = materialise(rows, "cells")
+    summed = rows.select(F.explode("feeds").alias("cell"), *(f"x{i}" for i in range(_N)))
     sent = cells.select("cell").distinct().count() <= SENT_CELLS
 
     schema = ", ".join(_ESTIMATE)
-    quantiles = rows.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), *(
+    quantiles = summed.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), *(
         F.percentile_approx(f"x{i}", F.array(*(F.lit(q) for q in _QUANTILES)), 1000).alias(f"q{i}") for i in range(_N)))
     estimates = quantiles.where(F.col("n") >= least_rows).groupBy("cell").applyInPandas(_start, schema)
     for step in range(STEPS + 1):
         estimates = materialise(estimates, "estimates")
-        bands = _moments(_distance(rows, estimates, sent))
+        bands = _moments(_distance(summed, estimates, sent))
         estimates = bands.groupBy("cell").applyInPandas(_concentrate if step < STEPS else _reweigh, schema)
     judged = _distance(rows, materialise(estimates, "estimates"), sent)
     far = F.coalesce(F.col("distance") > chi_square_quantile(1 - tail, _N), F.lit(False))

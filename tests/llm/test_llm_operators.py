@@ -122,6 +122,20 @@ def test_copies_of_a_bad_text_in_a_third_of_a_cell_are_rejected(spark):
     assert all(found[i]["kept"] for i, *_ in clean) and not any(found[i]["kept"] for i, *_ in copies)
 
 
+@pytest.mark.parametrize("sent", [20_000, 0])
+def test_small_cells_use_their_language_or_the_whole_table(spark, monkeypatch, sent):
+    monkeypatch.setattr(rules, "SENT_CELLS", sent)
+    random.seed(13)
+    vocabulary = ["".join(random.choices("abcdefghij", k=random.randint(2, 9))) for _ in range(3000)]
+    text = lambda mark="": " ".join(w + mark for w in random.choices(vocabulary, k=random.randint(60, 300))) + "."
+    large = [(i, text(), "en", "s") for i in range(200)]
+    small = [(1000 + i, text(), *of) for i, of in enumerate([("en", "t"), ("de", "s"), (None, None)] * 6)]
+    bad = [(2000 + i, text("###"), *of) for i, of in enumerate([("en", "t"), ("de", "s"), (None, None)])]
+    found = {r["doc_id"]: r for r in rules.judge(spark.createDataFrame([*large, *small, *bad], "doc_id long, text string, lang string, source string")).collect()}
+    assert len(found) == 221 and all(r["distance"] is not None for r in found.values())
+    assert all(found[i]["kept"] for i, *_ in [*large, *small]) and not any(found[i]["kept"] for i, *_ in bad)
+
+
 def test_equal_texts_do_not_make_a_cell_narrow(spark):
     random.seed(3)
     vocabulary = ["".join(random.choices("abcdefghij", k=random.randint(2, 9))) for _ in range(3000)]
