@@ -26,6 +26,8 @@ TERMS = 5_000
 #: a term must be this unlikely (as a negative logarithm) to gather in toxic documents by chance
 SURPRISE = 12.0
 PURITY = 0.8
+#: letters of a term at least; shorter words only count as neighbours
+LEAST_LETTERS = 3
 #: words that must share a beginning for it to become an entry
 SHARING = 3
 PARTS = 5
@@ -39,7 +41,7 @@ _ADDRESSED = re.compile(r"\b(?:you|your|du|dich|dein|ihr|tu|te|toi|vous|usted|er
 
 
 def _edits(length: int) -> int:
-    return 0 if length < 5 else 1 if length < 9 else 2
+    return 1 if length < 9 else 2
 
 
 class FuzzyLexicon:
@@ -120,6 +122,16 @@ class FuzzyLexicon:
         self._steps[state][letter] = found
         return found
 
+    def within(self, word: str) -> list[tuple[str, int]]:
+        """Every full term that tolerates the edits to this word, and their number."""
+        state = self._start
+        for letter in word:
+            following = self._steps[state].get(letter)
+            state = self._step(state, letter) if following is None else following
+            if state < 0:
+                return []
+        return [(self._ends[n], e) for n, e in self._sets[state] if self._ends[n] is not None and e <= self._allowed[n]]
+
     def match(self, word: str) -> tuple[str, int] | None:
         """The nearest entry and its edits, or None."""
         known = self._words.get(word, 0)
@@ -172,11 +184,12 @@ def lexicon_terms(sample: DataFrame) -> dict[str, tuple[float, int]]:
     """Entries with their log-odds and the edits they tolerate, from (text, y) rows.
 
     Documents that open alike are near copies and count once, so that their shared rare words are not
-    taken for evidence. An entry whose neighbours by edits occur in clean documents tolerates no edits. The table of counts stays in Spark; only accepted entries reach the driver.
+    taken for evidence. An entry whose neighbours by edits occur in clean documents tolerates no edits, whatever its
+    length. Beginnings stand beside the full terms, and each needs evidence without its strongest word. The table of counts stays in Spark; only accepted entries reach the driver.
     """
     opening = F.xxhash64(F.substring("text", 1, 80))
     once = sample.groupBy(opening.alias("opening")).agg(F.min_by("text", F.xxhash64("text")).alias("text"), F.max("y").alias("y"))
-    words = once.select("opening", "y", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}_]{3,}"), F.lit(0)))).alias("word"))
+    words = once.select("opening", "y", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0)))).alias("word"))
     counts = materialise(words.groupBy("word").agg(F.sum(F.col("y").cast("long")).alias("toxic"), F.sum(1 - F.col("y")).cast("long").alias("clean")), "words")
     totals = once.agg(F.sum(F.col("y").cast("long")), F.sum(1 - F.col("y").cast("long"))).first()
     if not totals[0] or not totals[1]:
@@ -184,24 +197,27 @@ def lexicon_terms(sample: DataFrame) -> dict[str, tuple[float, int]]:
     base = totals[0] / (totals[0] + totals[1])
     begins = counts.select(F.explode(F.transform(F.sequence(F.lit(4), F.lit(7)), lambda n: F.when(
         F.char_length("word") > n, F.concat(F.substring("word", F.lit(1), n), F.lit("*"))))).alias("word"), "toxic", "clean").where("word is not null")
-    begins = begins.groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"), F.count_if(F.col("toxic") > 0).alias("sharing")).where(F.col("sharing") >= SHARING).drop("sharing")
-    share = F.col("toxic") / (F.col("toxic") + F.col("clean"))
-    surprise = (F.col("toxic") + F.col("clean")) * (
-        share * F.log(share / base) + F.when(share < 1, (1 - share) * F.log((1 - share) / (1 - base))).otherwise(0.0))
+    begins = begins.groupBy("word").agg(
+        F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"), F.count_if(F.col("toxic") > 0).alias("sharing"),
+        F.max(F.struct("toxic", "clean")).alias("top")).where(F.col("sharing") >= SHARING)
+    def gathers(toxic, clean):
+        share = F.try_divide(toxic, toxic + clean)
+        surprise = (toxic + clean) * (share * F.log(share / base) + F.when(share < 1, (1 - share) * F.log((1 - share) / (1 - base))).otherwise(0.0))
+        return (toxic > 0) & (share >= PURITY) & (share > base) & (surprise >= SURPRISE)
+
+    begins = begins.where(gathers(F.col("toxic") - F.col("top.toxic"), F.col("clean") - F.col("top.clean"))).select("word", "toxic", "clean")
     weight = F.log((F.col("toxic") + 0.1) / (F.col("clean") + 0.1) * (1 - base) / base)
-    rows = counts.unionByName(begins).where((F.col("toxic") > 0) & (share >= PURITY) & (share > base) & (surprise >= SURPRISE)).select(
+    full = counts.where(F.char_length("word") >= LEAST_LETTERS)
+    rows = full.unionByName(begins).where(gathers(F.col("toxic"), F.col("clean"))).select(
         "word", weight.alias("weight")).orderBy(F.desc("weight"), "word").limit(TERMS).collect()
-    terms: dict[str, tuple[float, int]] = {}
-    for r in sorted(rows, key=lambda r: (not r["word"].endswith("*"), len(r["word"]), r["word"])):
-        word = r["word"]
-        if not any(word[:n] + "*" in terms for n in range(4, len(word.rstrip("*")) + (not word.endswith("*")))):
-            terms[word] = (float(r["weight"]), 0 if word.endswith("*") else _edits(len(word)))
+    terms = {r["word"]: (float(r["weight"]), 0 if r["word"].endswith("*") else _edits(len(r["word"]))) for r in rows}
 
     def start():
         lexicon = FuzzyLexicon(terms)
 
         def work(batch):
-            found = [(m, t, c) for w, t, c in zip(batch["word"], batch["toxic"], batch["clean"]) if (m := lexicon.match(w)) and m[1]]
+            found = [(m, t, c) for w, t, c in zip(batch["word"], batch["toxic"], batch["clean"])
+                     if (nearest := lexicon.match(w)) and nearest[1] for m in lexicon.within(w)]
             return {"term": [m[0] for m, *_ in found], "toxic": [t for _, t, _ in found], "clean": [c for *_, c in found]}
         return work
 

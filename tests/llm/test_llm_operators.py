@@ -317,6 +317,17 @@ def test_toxicity_held_out_and_misspelt(spark):
     assert [found[i]["predicted"] for i in (5000, 5001, 5002)] == [1, 0, 0]
 
 
+def test_terms_keep_edits_beside_beginnings_and_when_short(spark):
+    clean = [(i, f"plain words about weather number{i} and slum mist", 0) for i in range(200)]
+    toxic = [(1000 + i, f"row{i} {w}", 1) for i, w in enumerate(["pathetic", "pathetik", "pathetics", "stupid", "zwug", "skum"] * 20)]
+    toxic += [(2000 + i, f"line{i} stup{w}", 1) for i, w in enumerate(["ix", "ox"])]
+    terms = toxicity.lexicon_terms(spark.createDataFrame([*clean, *toxic], "doc_id long, text string, y int"))
+    lexicon = toxicity.FuzzyLexicon(terms)
+    assert terms["pathetic"][1] == 1 and "path*" in terms and "stup*" not in terms
+    assert lexicon.match("puthetic") == ("pathetic", 1) and lexicon.match("pathetical")[1] == 0
+    assert lexicon.match("zwuug") == ("zwug", 1) and lexicon.match("stupendous") is None and lexicon.match("slum") is None
+
+
 # ---- 6
 
 
