@@ -15,6 +15,7 @@ import re
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
+from tallyframe.llm import neardup
 from tallyframe.llm.common import map_batches, remainder
 from tallyframe.llm.learning import labelled_sample, logistic
 from tallyframe.session import materialise
@@ -183,13 +184,14 @@ def features(terms: dict[str, tuple[float, int]], lexicon: FuzzyLexicon, text: s
 def lexicon_terms(sample: DataFrame) -> dict[str, tuple[float, int]]:
     """Entries with their log-odds and the edits they tolerate, from (text, y) rows.
 
-    Documents that open alike are near copies and count once, so that their shared rare words are not
-    taken for evidence. An entry whose neighbours by edits occur in clean documents tolerates no edits, whatever its
+    Of a class of near copies (whole texts, by their fingerprints) one text of each label counts, so that
+    their shared rare words are not taken for evidence. An entry whose neighbours by edits occur in clean documents tolerates no edits, whatever its
     length. Beginnings stand beside the full terms, and each needs evidence without its strongest word. The table of counts stays in Spark; only accepted entries reach the driver.
     """
-    opening = F.xxhash64(F.substring("text", 1, 80))
-    once = sample.groupBy(opening.alias("opening")).agg(F.min_by("text", F.xxhash64("text")).alias("text"), F.max("y").alias("y"))
-    words = once.select("opening", "y", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0)))).alias("word"))
+    keyed = sample.select(F.xxhash64("text").alias("key"), "text", "y")
+    classes = neardup.classes(keyed.dropDuplicates(["key"]), id="key").select(F.col("doc_id").alias("key"), "component_id")
+    once = materialise(keyed.join(classes, "key").groupBy("component_id", "y").agg(F.min_by("text", "key").alias("text")), "once")
+    words = once.select("y", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0)))).alias("word"))
     counts = materialise(words.groupBy("word").agg(F.sum(F.col("y").cast("long")).alias("toxic"), F.sum(1 - F.col("y")).cast("long").alias("clean")), "words")
     totals = once.agg(F.sum(F.col("y").cast("long")), F.sum(1 - F.col("y").cast("long"))).first()
     if not totals[0] or not totals[1]:

@@ -328,6 +328,16 @@ def test_terms_keep_edits_beside_beginnings_and_when_short(spark):
     assert lexicon.match("zwuug") == ("zwug", 1) and lexicon.match("stupendous") is None and lexicon.match("slum") is None
 
 
+def test_texts_of_one_opening_are_no_copies_and_copies_are(spark):
+    random.seed(15)
+    words = ["".join(random.choices("bdfgklmnprst", k=4)) for _ in range(900)]
+    body = lambda *more: " ".join(["header of a hot source that all its documents share and that is long enough to fill the opening"] + random.choices(words, k=60) + [*more])
+    rows = [(i, body(), 0) for i in range(150)] + [(1000 + i, body("wretchling"), 1) for i in range(40)]
+    rows += [(2000 + i, copy, 1) for copy in [body("copiedrareword")] for i in range(40)]
+    terms = toxicity.lexicon_terms(spark.createDataFrame(rows, "doc_id long, text string, y int"))
+    assert "wretchling" in terms and not {"copiedrareword", "header"} & set(terms)
+
+
 # ---- 6
 
 
