@@ -8,7 +8,7 @@ import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyframe.llm import bpe, language, mixing, neardup, pii, quality, rules, sharding, simhash, toxicity
+from tallyframe.llm import bpe, language, mixing, neardup, pii, quality, repair, rules, sharding, simhash, sql, toxicity
 from tallyframe.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -54,14 +54,19 @@ def op10_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.compare(table(spark, folder, "documents"))
 
 
+def op11_repair(spark: SparkSession, folder: str) -> DataFrame:
+    return repair.audit(table(spark, folder, "conversations"))
+
+
 def pipeline(spark: SparkSession, folder: str) -> DataFrame:
     return corpus_pipeline.run(spark, folder)
 
 
 def queries() -> dict[str, Query]:
     return {q.__name__: q for q in (
-        op1_rules, op2_simhash, op3_pii, op4_bpe, op5_toxicity, op6_shards, op7_mix, op8_quality, op9_language, op10_simhash, pipeline)}
+        op1_rules, op2_simhash, op3_pii, op4_bpe, op5_toxicity, op6_shards, op7_mix, op8_quality, op9_language, op10_simhash, op11_repair,
+        pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op11_repair": sql.OP11}
