@@ -65,3 +65,26 @@ select g.conv_id, coalesce(gaps, 0)::bigint as gaps, coalesce(blank, 0)::bigint
     coalesce(best.letters, '') as audit, sha256(coalesce(array_to_string(best.lines, chr(10)), '')) as repaired_sha256
 from (select distinct conv_id from conversations) g
 left join counted c on c.conv_id is not distinct from g.conv_id left join ended e on e.conv_id is not distinct from g.conv_id"""
+
+
+_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+OP12 = f"""
+with recursive {_CRC_TABLE},
+runs as (select coalesce(doc_id::varchar, '') as id, unnest(regexp_extract_all(translate(text, '{_UPPER}', '{_UPPER.lower()}'), '[A-Za-z\\x{{C0}}-\\x{{FF}}]+')) as run
+    from documents),
+hashed as (select id, run, count(*) as times from runs where length(run) >= 7 group by all),
+coded as (select run, times, {_crc("id || ':' || run")} as code from hashed, crc_table),
+words as (select case when code % 31 = 0 then left(run, (code % length(run))::bigint) || substr(run, (code % length(run))::bigint + 2) else run end as word, sum(times)::bigint as n
+    from coded group by 1 having length(word) >= 7 and sum(times) >= 2),
+cuts as (select word, n, unnest(range(1, length(word) + 1)) as place, left(word, place - 1) || substr(word, place + 1) as rest from words),
+near as (
+    select a.word, b.word as other, b.n from cuts a join cuts b on a.place = b.place and a.rest = b.rest and a.word <> b.word
+    union select c.word, w.word, w.n from cuts c join words w on w.word = c.rest
+    union select w.word, c.word, c.n from cuts c join words w on w.word = c.rest),
+best as (select word, count(*) as n_near, min({{'least': -n, 'other': other}}) as top from near group by word),
+formed as (select w.word, w.n, coalesce(n_near, 0) as n_near, case when -top.least >= 10 * w.n then top.other end as form,
+    case when -top.least >= 10 * w.n then -top.least end as form_n from words w left join best b on b.word = w.word),
+chain as (select word, word as here, 0 as depth from formed
+    union all select c.word, f.form, depth + 1 from chain c join formed f on f.word = c.here where f.form is not null),
+ends as (select word, arg_max(here, depth) as root from chain group by word)
+select f.word, n, n_near::bigint as n_near, form, form_n::bigint as form_n, root from formed f join ends e on e.word = f.word"""
