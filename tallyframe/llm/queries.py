@@ -8,7 +8,7 @@ import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyframe.llm import bpe, language, mixing, neardup, pii, quality, repair, rules, sharding, simhash, sql, toxicity, variants
+from tallyframe.llm import bpe, language, mixing, neardup, pii, pitman, quality, repair, rules, sharding, simhash, sql, toxicity, variants
 from tallyframe.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -62,6 +62,10 @@ def op12_variants(spark: SparkSession, folder: str) -> DataFrame:
     return variants.variants(table(spark, folder, "documents"))
 
 
+def op13_pitman(spark: SparkSession, folder: str) -> DataFrame:
+    return pitman.score(table(spark, folder, "documents"))
+
+
 def pipeline(spark: SparkSession, folder: str) -> DataFrame:
     return corpus_pipeline.run(spark, folder)
 
@@ -69,8 +73,7 @@ def pipeline(spark: SparkSession, folder: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     return {q.__name__: q for q in (
         op1_rules, op2_simhash, op3_pii, op4_bpe, op5_toxicity, op6_shards, op7_mix, op8_quality, op9_language, op10_simhash, op11_repair,
-        op12_variants,
-        pipeline)}
+        op12_variants, op13_pitman, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
