@@ -1,23 +1,25 @@
 """Streaming twins of the stateful operators.
 
-Each takes a streaming DataFrame and returns one, except the upsert, which writes. State per
-key is bounded: a session is three numbers, a limiter keeps the accepted times of one window
-and the calls inside the watermark delay, a conversation keeps six turns.
+Each takes a streaming DataFrame and returns one, except the upsert, which writes. A session's state
+is three numbers and a conversation's six turns; a limiter keeps the accepted times of one window, and all
+calls that the watermark has not passed, which after a pause of the stream is the whole backlog.
 """
 
 from __future__ import annotations
 
 import hashlib
+import heapq
 from collections import deque
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from tallyframe.functions.text import redact_turn
 from tallyframe.operators.conversation import MAX_TURNS, TTL_SECONDS
-from tallyframe.operators.ratelimit import MAX_CALLS, WINDOW_SECONDS, decide
+from tallyframe.operators.ratelimit import MAX_CALLS, WINDOW_SECONDS, decide_all
 
 DELAY_SECONDS = 600
 
@@ -36,8 +38,17 @@ def sessions(events: DataFrame, key: str, time: str, ttl_seconds: int = TTL_SECO
         F.col("_last").cast("timestamp_ntz").alias("last_at"), "n_events")
 
 
+#: calls of one caller that are stored and read together
+RUN_CALLS = 4096
+
+
 class _Limiter(StatefulProcessor):
-    """Calls wait in a list until the watermark has passed their slot; a slot is as long as the watermark lags."""
+    """Calls wait in sorted runs until the watermark has passed them.
+
+    A run is stored under its first time, so what is over is read in order, each run once, and only runs that
+    overlap are held together. A caller has one timer, at the end of the slot of its first waiting call; what the
+    watermark has not passed by then is stored again, at most the calls of the time by which it lags.
+    """
 
     def __init__(self, max_calls: int, window: int, slot: int, call_type: str):
         self.max_calls, self.window, self.slot, self.call_type = max_calls, window, slot, call_type
@@ -45,30 +56,59 @@ class _Limiter(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.hits = handle.getValueState("hits", "at array<long>")
-        self.waiting = handle.getListState("waiting", f"at long, id {self.call_type}")
+        self.waiting = handle.getMapState("waiting", "first long, number long", f"at array<long>, id array<{self.call_type}>")
+        # when the timer rings, and how many runs the caller has had
+        self.plan = handle.getValueState("plan", "due long, runs long")
+
+    def _store(self, calls: list[tuple], runs: int) -> int:
+        """Put sorted calls away; the number of runs so far."""
+        for start in range(0, len(calls), RUN_CALLS):
+            at, ids = zip(*calls[start:start + RUN_CALLS])
+            self.waiting.updateValue((at[0], runs), (list(at), list(ids)))
+            runs += 1
+        return runs
+
+    def _wake(self, first: int, due: int, runs: int) -> None:
+        """Set the timer for the first waiting call, unless it rings earlier (-1: it is not set)."""
+        wake = (first // self.slot + 1) * self.slot // 1000
+        if due < 0 or wake < due:
+            if due >= 0:
+                self.handle.deleteTimer(due)
+            self.handle.registerTimer(wake)
+            due = wake
+        self.plan.update((due, runs))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         for chunk in rows:
-            calls = chunk.sort_values("micros")
-            self.waiting.appendList(list(zip(calls["micros"].astype(object).map(int), calls["call_id"].astype(object).map(_bare))))
-            for slot in (calls["micros"] // self.slot).unique():
-                self.handle.registerTimer((int(slot) + 1) * self.slot // 1000)
+            calls = sorted(zip(chunk["micros"].astype(object).map(int), chunk["call_id"].astype(object).map(_bare)))
+            due, runs = map(int, self.plan.get()) if self.plan.exists() else (-1, 0)
+            self._wake(calls[0][0], due, self._store(calls, runs))
         yield _decisions([], [], [])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        end = expiredTimerInfo.getExpiryTimeInMs() * 1000
-        held = [(int(r[0]), r[1]) for r in self.waiting.get()] if self.waiting.exists() else []
-        calls, later = sorted(c for c in held if c[0] < end), [c for c in held if c[0] >= end]
-        if not calls:
-            return
+        passed = max(timerValues.getCurrentWatermarkInMs(), expiredTimerInfo.getExpiryTimeInMs()) * 1000
+        keys = sorted((int(first), int(number)) for first, number in self.waiting.keys())
+        over = [k for k in keys if k[0] < passed]
         hits = deque(self.hits.get()[0] if self.hits.exists() else [])
-        accepted = [decide(hits, at, self.max_calls, self.window) for at, _ in calls]
+        held: list[tuple] = []
+        for k, following in zip(over, [*over[1:], (passed, 0)]):
+            at, ids = self.waiting.getValue(k)
+            self.waiting.removeKey(k)
+            for call in zip(map(int, at), ids):
+                heapq.heappush(held, call)
+            ready = []
+            while held and held[0][0] < following[0]:
+                ready.append(heapq.heappop(held))
+            if ready:
+                accepted = decide_all(hits, np.array([at for at, _ in ready]), self.max_calls, self.window)
+                yield _decisions([key[0]] * len(ready), [call for _, call in ready], accepted.tolist())
         self.hits.update(([int(h) for h in hits],))
-        if later:
-            self.waiting.put(later)
+        runs = self._store(sorted(held), int(self.plan.get()[1]))
+        left = [k[0] for k in keys[len(over):]] + [call[0] for call in held]
+        if left:
+            self._wake(min(left), -1, runs)
         else:
-            self.waiting.clear()
-        yield _decisions([key[0]] * len(calls), [i for _, i in calls], accepted)
+            self.plan.update((-1, runs))
 
     def close(self) -> None:
         pass
@@ -89,8 +129,8 @@ def limit_calls(
 ) -> DataFrame:
     """``(caller, call_id, accepted)`` in event-time order, as the watermark passes the calls.
 
-    Callers and calls keep their types. The state of a caller is the accepted times of one window and
-    the calls of the time that the watermark lags.
+    Callers and calls keep their types. A decision comes once the watermark has passed the call's
+    slot, which is as long as the watermark lags.
     """
     kinds = [calls.schema[c].dataType.simpleString() for c in (caller, call_id)]
     timed = calls.select(
