@@ -26,7 +26,11 @@ def _row_key() -> list[Column]:
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops the documents that the base rules or the outlier estimate of their language and source reject."""
+    """Drops the documents that the base rules or the outlier estimate of their language and source reject.
+
+    Null and empty texts fail the base rules; equal rows share their verdict, as do a null language or source
+    among themselves; an empty table stays empty.
+    """
     keyed = docs.select(*COLUMNS, *_row_key())
     judged = rules.judge(keyed, keep=["_key", "_crc"])
     rejected = judged.where(~F.col("kept")).select("_key", "_crc").distinct()
@@ -34,26 +38,21 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document of least id in each class of near copies; rows without an id are kept."""
-    classes = neardup.classes(docs)
-    first = classes.where("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.where("doc_id is not null").join(first, "doc_id", "left_semi")
-    # an id that is repeated is one document: its least text stays
-    repeated = docs.groupBy("doc_id").count().where("doc_id is not null and count > 1").select("doc_id")
-    if not repeated.isEmpty():
-        least = kept.join(repeated, "doc_id", "left_semi").groupBy("doc_id").agg(
-            F.min_by(F.struct(*COLUMNS[1:]), F.xxhash64("text", "lang", "source")).alias("row")).select("doc_id", "row.*")
-        kept = kept.join(repeated, "doc_id", "left_anti").unionByName(least)
-    return kept.select(*COLUMNS).unionByName(docs.where("doc_id is null").select(*COLUMNS))
+    """Keeps one document of each class of near copies, as ``neardup.keep_one`` says: also of rows without an id."""
+    return neardup.keep_one(docs, COLUMNS)
 
 
 def private_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Replaces personal data by its kind in brackets."""
+    """Replaces personal data by its kind in brackets; null texts stay null, with a null n_chars, and every row stays."""
     return pii.redact(docs.select(*COLUMNS)).withColumn("n_chars", F.char_length("text").cast("long"))
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Takes every document as often as the mix of its source's target does."""
+    """Takes every document as often as the mix of its source's target does.
+
+    Texts without words are never taken; a null source is one of its own; ties of the random numbers go by
+    id, and equal rows are taken as often as all of them together; an empty table stays empty.
+    """
     taken = mixing.mix(docs).groupBy("doc_id", "number").agg(F.sum("copies").cast("int").alias("copies"), F.count(F.lit(1)).alias("rows"))
     taken = materialise(taken.where("copies > 0"), "taken").withColumnsRenamed({"doc_id": "_id", "number": "_number"})
     rows = docs.select(*COLUMNS, mixing.number().alias("_row"))
@@ -64,7 +63,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, lang, source, ids and n_tokens of every row."""
+    """doc_id, lang, source, ids and n_tokens of every row; null and empty texts have no ids, repeated rows are encoded each."""
     encoded = bpe.encode(docs.select("doc_id", "lang", "source", "text"), public_tokenizers.path("byte_bpe_50k.json"))
     return encoded.select("doc_id", "lang", "source", "ids", F.size("ids").cast("long").alias("n_tokens"))
 

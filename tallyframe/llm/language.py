@@ -2,8 +2,8 @@
 
 Both directions read windows of bytes; every position gets a probability for each language from the
 two states that meet there, and a document's probabilities are the means over all its positions. The
-network is trained in numpy by backpropagation through time on a bounded set of windows; scoring reads
-every window of every text, many windows at a time.
+network is trained in numpy by backpropagation through time on windows from anywhere in a bounded set of
+texts; scoring reads every window of every text, many windows at a time.
 """
 
 from __future__ import annotations
@@ -17,10 +17,9 @@ from tallyframe.llm.common import map_batches, remainder
 from tallyframe.session import materialise
 
 PARTS, HELD = 3, 1
-#: documents that are learnt from at most, windows from each of them, and languages
+#: distinct texts that are learnt from, about, shared equally by the languages; of each language at least so many
 TRAINING_ROWS = 3_000
-WINDOWS = 4
-LANGUAGES = 256
+LANGUAGE_ROWS = 60
 #: bytes the network reads as one sequence, units per direction, windows computed together
 WINDOW = 96
 UNITS = 10
@@ -195,16 +194,26 @@ def _gradients(network: Network, windows: np.ndarray, truth: np.ndarray, weight:
     return loss, gradients
 
 
-def fit(windows: np.ndarray, truth: np.ndarray, languages: list[str], steps: int = STEPS) -> Network:
-    """A network trained by Adam on full windows; languages weigh the same however often they occur."""
+def drawn(texts: list[bytes], which: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+    """A full window of each chosen text, from anywhere in it; a shorter text is repeated."""
+    out = np.empty((len(which), WINDOW), dtype=np.uint8)
+    for row, i in enumerate(which):
+        text = np.frombuffer(texts[i], dtype=np.uint8)
+        at = rng.integers(0, max(1, len(text) - WINDOW + 1))
+        out[row] = text[at:at + WINDOW] if len(text) >= WINDOW else np.resize(text, WINDOW)
+    return out
+
+
+def fit(texts: list[bytes], truth: np.ndarray, languages: list[str], steps: int = STEPS) -> Network:
+    """A network trained by Adam on windows of whole texts; languages weigh the same however many texts they have."""
     rng = np.random.default_rng(SEED)
     network = _new(languages, rng)
     counts = np.bincount(truth, minlength=len(languages)).astype(np.float32)
     weights = (counts.sum() / (len(languages) * np.maximum(counts, 1))).astype(np.float32)
     first, second = [[np.zeros_like(p) for p in network.parts] for _ in range(2)]
     for step in range(1, steps + 1):
-        chosen = rng.integers(0, len(windows), BATCH)
-        _, gradients = _gradients(network, windows[chosen], truth[chosen], np.minimum(weights[truth[chosen]], 20))
+        chosen = rng.integers(0, len(texts), BATCH)
+        _, gradients = _gradients(network, drawn(texts, chosen, rng), truth[chosen], np.minimum(weights[truth[chosen]], 20))
         norm = np.sqrt(sum(float((g * g).sum()) for g in gradients))
         rate = RATE * min(1.0, 2 * (1 - step / (steps + 1)) + 0.05)
         for p, g, m, v in zip(network.parts, gradients, first, second):
@@ -215,43 +224,33 @@ def fit(windows: np.ndarray, truth: np.ndarray, languages: list[str], steps: int
     return network
 
 
-def train(documents: DataFrame, rows: int = TRAINING_ROWS) -> Network | None:
-    """A network learnt from windows of at most about ``rows`` documents outside the held-out fold."""
+def training_texts(documents: DataFrame, rows: int = TRAINING_ROWS, least: int = LANGUAGE_ROWS) -> DataFrame:
+    """(lang, text) of distinct texts outside the held-out fold, chosen by their hash, a bounded number of each language."""
     known = documents.where(F.col("lang").isNotNull() & (F.coalesce(F.octet_length("text"), F.lit(0)) > 0) & (remainder("doc_id", PARTS) != HELD))
-    share = rows / max(known.count(), 1)
-    if share < 1:
-        known = known.where(F.pmod(F.xxhash64(F.col("doc_id"), F.lit("sample")), F.lit(1 << 30)) < int(share * (1 << 30)))
+    hashed = known.select("lang", "text", F.xxhash64("text").alias("hash"))
+    sizes = hashed.select("lang", "hash").distinct().groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    sizes = materialise(sizes, "languages")
+    quota = max(least, rows // max(1, sizes.count()))
+    shares = sizes.select("lang", F.floor(F.least(F.lit(1.0), F.lit(float(quota)) / F.col("n")) * float(1 << 30)).alias("share"))
+    picked = hashed.join(shares, "lang").where(F.pmod(F.xxhash64("hash", F.lit("sample")), F.lit(1 << 30)) < F.col("share"))
+    return picked.groupBy("lang", "hash").agg(F.first("text").alias("text")).select("lang", "text")
 
-    def start():
-        def work(batch):
-            out = {"lang": [], "window": []}
-            for lang, text in zip(batch["lang"], batch["text"]):
-                raw = text.encode("utf-8", "surrogatepass")
-                raw = raw * -(-WINDOW // len(raw)) if len(raw) < WINDOW else raw
-                rng = np.random.default_rng(len(raw))
-                for at in rng.integers(0, len(raw) - WINDOW + 1, WINDOWS):
-                    out["lang"].append(lang)
-                    out["window"].append(raw[at:at + WINDOW])
-            return out
-        return work
 
-    found = materialise(map_batches(known.select("lang", "text"), "lang string, window binary", start), "windows").collect()
-    found = sorted((r["lang"], bytes(r["window"])) for r in found)
+def train(documents: DataFrame, rows: int = TRAINING_ROWS) -> Network | None:
+    """A network learnt from whole texts of about ``rows`` documents, or a few of each language if those are more."""
+    found = sorted((r["lang"], r["text"].encode("utf-8", "surrogatepass")) for r in training_texts(documents, rows).collect())
     if not found:
         return None
-    common: dict[str, int] = {}
-    for lang, _ in found:
-        common[lang] = common.get(lang, 0) + 1
-    languages = sorted(sorted(common, key=lambda x: (-common[x], x))[:LANGUAGES])
+    languages = sorted({lang for lang, _ in found})
     number = {x: i for i, x in enumerate(languages)}
-    found = [(number[x], w) for x, w in found if x in number]
-    return fit(np.array([np.frombuffer(w, dtype=np.uint8) for _, w in found]), np.array([n for n, _ in found]), languages)
+    return fit([text for _, text in found], np.array([number[lang] for lang, _ in found]), languages)
 
 
 def identify(documents: DataFrame, *, id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
     """doc_id, held_out, lang_pred and score of every row.
 
-    Null texts and texts without a letter are ``und`` with score 0, as is everything if no row has a
+    Only text and lang of rows outside the fold are learnt from, every language that has such rows, and
+    repeated texts once. Null texts and texts without a letter are ``und`` with score 0, as is everything if no row has a
     language to learn from; repeated rows get the same result; an empty table gives an empty result;
     other columns are ignored.
     """

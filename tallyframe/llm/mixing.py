@@ -7,6 +7,8 @@ divided by inclusion odds, and the lowest ranks are taken until the source's wor
 
 from __future__ import annotations
 
+import math
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -22,6 +24,9 @@ MOST_COPIES = 2
 USUAL_WORDS = 400.0
 SEED = 20
 _BITS, _STEP = 50, 10
+_PARTS = float(1 << 20)
+#: equal rows are returned in runs of so many
+_RUN = 10_000
 #: a rank interval is refined until it holds at most this many documents of a source
 LAST_ROWS = 1000
 
@@ -65,7 +70,8 @@ def mix(documents: DataFrame, *, id: str = "doc_id", text: str = "text", source:
         F.greatest(F.lit(0.8), F.least(F.lit(1.25), F.pow(F.lit(USUAL_WORDS) / F.greatest(word_count(text), F.lit(1)), F.lit(0.125)))).alias("liking"),
     ), "mixrows")
     targets = source_targets(rows)
-    liked = rows.groupBy("source").agg(F.sum(F.col("size") * F.col("liking")).alias("liked"))
+    # whole numbers add up alike in any order
+    liked = rows.groupBy("source").agg((F.sum(F.floor(F.col("size") * F.col("liking") * _PARTS).cast("decimal(38,0)")).cast("double") / _PARTS).alias("liked"))
     rates = targets.join(liked, targets["source"].eqNullSafe(liked["source"])).select(
         targets["source"].alias("from"), "source_size", "target", (F.col("target") / F.when(F.col("liked") > 0, F.col("liked"))).alias("rate"))
     expected = F.least(F.lit(float(MOST_COPIES)), F.coalesce(F.col("rate"), F.lit(0.0)) * F.col("liking"))
@@ -89,8 +95,12 @@ def mix(documents: DataFrame, *, id: str = "doc_id", text: str = "text", source:
     inside = F.coalesce(F.col("digit") == F.col("prefix"), F.lit(False))
     sure = found.where(~inside).withColumn("extra", F.coalesce((F.col("digit") < F.col("prefix")).cast("long"), F.lit(0)))
     edge = found.where(inside).withColumn("extra", F.lit(0).cast("long"))
-    # the ranks at which a source's words run out: at most LAST_ROWS documents but for repeated rows
-    edge = edge.groupBy("from").applyInPandas(_until_full, edge.schema)
+    # the ranks at which a source's words run out: at most LAST_ROWS different documents; equal rows are counted
+    like = [c for c in edge.columns if c != "extra"]
+    counted = edge.groupBy(*like).agg(F.count(F.lit(1)).alias("equal"))
+    settled = counted.groupBy("from").applyInPandas(_until_full, ", ".join(
+        [*(f"`{f.name}` {f.dataType.simpleString()}" for f in counted.schema.fields), "extra long"]))
+    edge = _apart(settled).select(*edge.columns)
     copies = F.col("whole") + F.col("extra")
     return sure.unionByName(edge).select("doc_id", "size", "source_size", "target", (copies * F.col("size")).alias("taken"), copies.alias("copies"), "number")
 
@@ -108,10 +118,20 @@ def _narrower(parted: DataFrame, state: DataFrame) -> DataFrame:
 
 
 def _until_full(rows: pd.DataFrame) -> pd.DataFrame:
-    """In rank order, take each document that brings the words nearer to what is left."""
+    """In rank order, take each document that brings the words nearer to what is left; of equal rows as many as do."""
     rows = rows.sort_values(["rank", "number", "doc_id"], kind="stable")
     left, extra = float(rows["left"].iloc[0]), []
-    for size in rows["size"]:
-        extra.append(int(2 * left > size))
+    for size, equal in zip(rows["size"].astype(int), rows["equal"].astype(int)):
+        extra.append(min(equal, max(0, math.ceil(left / size - 0.5))))
         left -= size * extra[-1]
     return rows.assign(extra=extra)
+
+
+def _apart(settled: DataFrame) -> DataFrame:
+    """Equal rows one by one again, in runs that any task may take; the first of them have the extra copy."""
+    runs = settled.withColumn("run", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("equal") - 1) / _RUN))))
+    if not settled.where(F.col("equal") > _RUN).isEmpty():
+        runs = runs.repartition("from", "number", "run")
+    first = F.col("run") * _RUN
+    here = F.sequence(first, F.least(F.col("equal"), first + _RUN) - 1)
+    return runs.withColumn("place", F.explode(here)).withColumn("extra", (F.col("place") < F.col("extra")).cast("long"))

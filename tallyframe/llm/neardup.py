@@ -203,3 +203,25 @@ def classes(documents: DataFrame, *, id: str = "doc_id", text: str = "text") ->
     named = members.join(roots, "root").select("number", "component_id")
     return rows.join(named, "number").select(
         "doc_id", F.lower(F.lpad(F.hex("number"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def keep_one(documents: DataFrame, columns: list[str], *, id: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row of each class of near copies: that of the least id, of rows without an id or with one id the least by hash.
+
+    Rows are told apart by all ``columns``, so different texts under one id are judged apart, rows without an
+    id are members like any other, and rows that are equal in all columns are one. Null and empty texts and those without words are one
+    class. An empty table gives an empty result; other columns are dropped.
+    """
+    values = [x for c in columns for x in (F.col(c), F.col(c).isNull())]
+    key = F.concat_ws("-", F.hex(F.xxhash64(*values)), F.hex(F.crc32(F.coalesce(F.col(text), F.lit("")).cast("binary"))))
+    keyed = documents.select(*columns, key.alias("_key"))
+    named = classes(keyed, id="_key", text=text).select(F.col("doc_id").alias("_key"), "component_id")
+    ids = materialise(keyed.groupBy("_key").agg(F.first(id).alias("_id"), F.count(F.lit(1)).alias("_n")), "rowkeys")
+    best = named.distinct().join(ids, "_key").groupBy("component_id").agg(
+        F.min(F.struct(F.col("_id").isNull().alias("none"), "_id", "_key", "_n")).alias("best"))
+    kept = materialise(best.select("best._key", "best._n"), "kept")
+    once = keyed.join(kept.where("_n = 1"), "_key", "left_semi").select(*columns)
+    if kept.where("_n > 1").isEmpty():
+        return once
+    repeated = keyed.join(kept.where("_n > 1"), "_key", "left_semi")
+    return once.unionByName(repeated.groupBy("_key").agg(F.first(F.struct(*columns)).alias("_row")).select("_row.*"))

@@ -15,7 +15,9 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
@@ -136,8 +138,14 @@ def _pattern(text: str, kind: int, start: int, end: int, base: bool) -> int:
 
 def candidates(documents: DataFrame, *, id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id and, as flat lists of (kind, start, end), base spans and other candidates with their patterns."""
-    rows = documents.select(F.col(id).alias("doc_id"), F.col(text).alias("text"))
-    schema = f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, base array<int>, others array<int>, patterns array<int>"
+    return _with_candidates(documents.select(F.col(id).alias("doc_id"), F.col(text).alias("_text")), ["doc_id"])
+
+
+def _with_candidates(rows: DataFrame, keep: list[str], mark: str = "") -> DataFrame:
+    """The columns to keep, and the candidates of ``_text`` in columns whose names begin with ``mark``."""
+    kinds = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in keep)
+    names = [mark + n for n in ("base", "others", "patterns")]
+    schema = ", ".join([kinds, *(f"{n} array<int>" for n in names)])
 
     def start():
         def one(value: str | None) -> tuple[list[int], list[int], list[int]]:
@@ -148,8 +156,8 @@ def candidates(documents: DataFrame, *, id: str = "doc_id", text: str = "text")
                     [_pattern(value, *s) for s in sorted(found, key=lambda s: s[3])])
 
         def work(batch):
-            found = [one(t) for t in batch["text"]]
-            return {"doc_id": batch["doc_id"], "base": [f[0] for f in found], "others": [f[1] for f in found], "patterns": [f[2] for f in found]}
+            found = [one(t) for t in batch["_text"]]
+            return {c: batch[c] for c in keep} | {n: [f[i] for f in found] for i, n in enumerate(names)}
         return work
 
     return map_batches(rows, schema, start)
@@ -214,11 +222,14 @@ def _all_spans(base: list[int], others: list[int], patterns: list[int], accepted
     spans = [(base[i], base[i + 1], base[i + 2], True) for i in range(0, len(base), 3)]
     if others:
         taken = sorted(s[1:3] for s in spans)
+        starts, reach = [a for a, _ in taken], [0, *accumulate((b for _, b in taken), max)]
+        free = 0  # where the last added span ends
         for i in sorted(range(0, len(others), 3), key=lambda i: (others[i + 1], -others[i + 2])):
             kind, start, end = others[i : i + 3]
-            if patterns[i // 3] in accepted and not any(a < end and start < b for a, b in taken):
+            # of the base spans that begin before this one ends, none reaches beyond its start
+            if patterns[i // 3] in accepted and start >= free and reach[bisect_left(starts, end)] <= start:
                 spans.append((kind, start, end, False))
-                taken.append((start, end))
+                free = end
     return sorted(spans)
 
 
@@ -262,20 +273,21 @@ def redacted(text: str, spans: list[tuple[int, int, int, bool]]) -> str:
 
 
 def redact(documents: DataFrame, *, text: str = "text") -> DataFrame:
-    """The rows with their texts redacted; a null text stays null, other columns stay as they are."""
-    bare = documents.select(F.lit(0).alias("id"), F.col(text).alias("text"))
-    accepted = fit(candidates(bare, id="id"))
+    """The rows with their texts redacted, each text searched once.
+
+    A null text stays null, an empty one empty; equal texts are redacted alike, whatever their rows; an
+    empty table gives an empty result; other columns stay as they are.
+    """
+    columns = documents.columns
+    found = materialise(_with_candidates(documents.withColumn("_text", F.col(text)), columns, "_"), "candidates")
+    accepted = fit(found.select(F.col("_patterns").alias("patterns")))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in documents.schema.fields)
 
     def start():
-        def one(value: str | None) -> str | None:
-            if not value:
-                return value
-            base = base_spans(value)
-            others = [s for s in _candidates(value, base) if not s[3]]
-            return redacted(value, _all_spans([x for s in base for x in s], [x for s in others for x in s[:3]],
-                                              [_pattern(value, *s) for s in others], accepted))
+        def one(value: str | None, base: list[int], others: list[int], patterns: list[int]) -> str | None:
+            return redacted(value, _all_spans(base, others, patterns, accepted)) if value else value
 
-        return lambda batch: batch | {text: [one(t) for t in batch[text]]}
+        return lambda batch: {c: batch[c] for c in columns} | {
+            text: [one(*row) for row in zip(batch[text], batch["_base"], batch["_others"], batch["_patterns"])]}
 
-    return map_batches(documents, schema, start)
+    return map_batches(found, schema, start)

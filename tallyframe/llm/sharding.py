@@ -1,6 +1,6 @@
 """Shards of near-equal bytes by histogram sort.
 
-Rows are ordered by (hash of the text, hash of the id). Candidate boundaries are probed: every
+Rows are ordered by (hash of the text, hash of the id, where it was read). Candidate boundaries are probed: every
 partition counts its bytes between the probes, the sums show between which probes each splitter
 lies, and the next probes refine that interval until the bytes below a probe meet the tolerance.
 Only then do rows move, once, to their shard.
@@ -27,6 +27,8 @@ PIECE_ROWS = 100_000
 
 #: an interval with at most this many documents is settled from its documents
 LAST_ROWS = 256
+#: what rows are ordered by: hashes of the text, of the id, and of where a row was read
+ORDER = ("key", "tie", "copy")
 
 _LEAST, _END = -(1 << 63), 1 << 63
 
@@ -92,54 +94,52 @@ def _refine(spans: list[_Span], rows: DataFrame, column: str, tolerance: float)
             span.settle(tolerance)
 
 
-def splitters(rows: DataFrame, shards: int, tolerance: float) -> list[tuple[int, int]]:
-    """The first (key, tie) of shards 1, 2, ...; rows: key, tie, size."""
+def splitters(rows: DataFrame, shards: int, tolerance: float) -> list[tuple[int, ...]]:
+    """The first (key, tie, copy) of shards 1, 2, ...; rows: key, tie, copy, size."""
     total = rows.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("t")).first()["t"]
     slack = tolerance * total / shards
-    spans = [_Span(total * j // shards, 0, total) for j in range(1, shards)]
-    _refine(spans, rows, "key", slack)
-    inner = {}
-    # a group of equal texts that is heavier than the tolerance is cut at a document
-    for group in sorted({s.low for s in spans if s.key is None and s.rows > LAST_ROWS}):
-        mine = [s for s in spans if s.key is None and s.rows > LAST_ROWS and s.low == group]
-        cuts = [_Span(s.goal, s.below, s.upto) for s in mine]
-        _refine(cuts, rows.where(F.col("key") == group), "tie", 0.0)
-        inner |= {id(s): c for s, c in zip(mine, cuts)}
-    few = [(s, inner.get(id(s))) for s in spans if s.key is None and (id(s) not in inner or inner[id(s)].key is None)]
-    wanted = F.lit(False)
-    for span, cut in few:
-        wanted |= (F.col("key") == span.low) & F.col("tie").between(cut.low, cut.high - 1) if cut else F.col("key").between(span.low, span.high - 1)
-    left = sorted((r["key"], r["tie"], r["size"]) for r in rows.where(wanted).select("key", "tie", "size").collect()) if few else []
-    out = []
-    for span in spans:
-        cut = inner.get(id(span))
-        if span.key is not None:
-            out.append((span.key, _LEAST))
-        elif cut is not None and cut.key is not None:
-            out.append((span.low, cut.key))
-        else:
-            out.append(_nearest(span, cut, left, slack))
-    return out
-
-
-def _nearest(span: _Span, cut: _Span | None, left: list[tuple[int, int, int]], slack: float) -> tuple[int, int]:
-    """The boundary nearest the goal, between texts if one of those is near enough."""
-    low, high = ((span.low, cut.low), (span.low, cut.high)) if cut else ((span.low, _LEAST), (span.high, _LEAST))
-    below, places = (cut or span).below, {}
-    for key, tie, size in left[bisect.bisect_left(left, (*low, 0)):]:
-        if (key, tie) >= high:
+    return _cut(rows, list(ORDER), [_Span(total * j // shards, 0, total) for j in range(1, shards)], slack)
+
+
+def _cut(rows: DataFrame, columns: list[str], spans: list[_Span], slack: float) -> list[tuple[int, ...]]:
+    """The boundary of each span, by as many columns as it takes.
+
+    A group of equal values that is heavier than the slack is cut by the next column; an interval of
+    few rows is settled from its groups, of which there are as few.
+    """
+    _refine(spans, rows, columns[0], slack)
+    rest = (_LEAST,) * (len(columns) - 1)
+    out = {id(s): (s.key, *rest) for s in spans if s.key is not None}
+    heavy = [s for s in spans if s.key is None and s.rows > LAST_ROWS and len(columns) > 1]
+    for group in sorted({s.low for s in heavy}):
+        mine = [s for s in heavy if s.low == group]
+        inner = _cut(rows.where(F.col(columns[0]) == group), columns[1:], [_Span(s.goal, s.below, s.upto) for s in mine], 0.0)
+        out |= {id(s): (group, *place) for s, place in zip(mine, inner)}
+    few = [s for s in spans if id(s) not in out]
+    if few:
+        wanted = F.lit(False)
+        for low, high in sorted({(s.low, s.high) for s in few}):
+            wanted |= F.col(columns[0]).between(low, high - 1)
+        sums = rows.where(wanted).groupBy(*columns).agg(F.sum("size").alias("size")).collect()
+        left = sorted((*(r[c] for c in columns), r["size"]) for r in sums)
+        out |= {id(s): _nearest(s, left, slack) for s in few}
+    return [out[id(s)] for s in spans]
+
+
+def _nearest(span: _Span, left: list[tuple[int, ...]], slack: float) -> tuple[int, ...]:
+    """The boundary nearest the goal, between values of the first column if one of those is near enough."""
+    depth = len(left[0]) - 1 if left else 1
+    below, places, firsts = span.below, {}, {}
+    for *place, size in left[bisect.bisect_left(left, (span.low,)):]:
+        if place[0] >= span.high:
             break
-        places.setdefault((key, tie), below)
+        places.setdefault(tuple(place), below)
+        firsts.setdefault((place[0], *(_LEAST,) * (depth - 1)), below)
         below += size
-    places[high] = below
-    texts, last = {}, None
-    for place, found in places.items():
-        if place[0] != last:
-            texts[place[0], _LEAST] = found
-        last = place[0]
-    if not cut and texts:
-        best = min(texts, key=lambda p: abs(texts[p] - span.goal))
-        if abs(texts[best] - span.goal) <= slack:
+    places[(span.high, *(_LEAST,) * (depth - 1))] = below
+    if firsts:
+        best = min(firsts, key=lambda p: abs(firsts[p] - span.goal))
+        if abs(firsts[best] - span.goal) <= slack:
             return best
     return min(places, key=lambda p: abs(places[p] - span.goal))
 
@@ -150,38 +150,39 @@ def shard_by_bytes(documents: DataFrame, shards: int = SHARDS, *, id: str = "doc
 
     A row weighs the UTF-8 bytes of its text plus 8. Equal texts lie together, and are only parted
     where a shard's share would be missed by more than ``tolerance``, so a group of any size is
-    spread. Null text is empty, a null id is allowed, repeated rows with one id and text stay
-    together, an empty table gives an empty result, other columns are ignored.
+    spread. Rows with one text and one id, or none, are told apart by where they were read, so any number of
+    them is parted as well; which of them lies where changes nothing else. Null text is empty, an empty table
+    gives an empty result, other columns are ignored.
     """
     rows = materialise(documents.select(
         F.col(id).alias("doc_id"), (F.octet_length(whole_text(text)) + 8).cast("long").alias("size"),
         F.crc32(whole_text(text).cast("binary")).alias("text_crc32"),
-        F.xxhash64(whole_text(text)).alias("key"), F.xxhash64(F.col(id).cast("string"), F.lit("order")).alias("tie")), "sizes")
+        F.xxhash64(whole_text(text)).alias("key"), F.xxhash64(F.col(id).cast("string"), F.lit("order")).alias("tie"),
+        F.xxhash64(F.monotonically_increasing_id(), F.lit("copy")).alias("copy")), "sizes")
     cuts = splitters(rows, shards, tolerance)
 
     def locate():
-        order = [k * _END * 2 + t for k, t in cuts]
-        keys = np.array([k if k < _END else _END - 1 for k, _ in cuts], dtype=np.int64)
+        keys = np.array([min(k, _END - 1) for k, *_ in cuts], dtype=np.int64)
 
         def find(batch):
             key = np.array(batch["key"], dtype=np.int64)
             low, high = np.searchsorted(keys, key, side="left"), np.searchsorted(keys, key, side="right")
             shard = high.copy()
             for i in np.flatnonzero(low < high):  # a cut runs through this text's group
-                at = int(key[i]) * _END * 2 + batch["tie"][i]
-                shard[i] = low[i] + sum(order[j] <= at for j in range(low[i], high[i]))
-            return {**{n: batch[n] for n in ("doc_id", "size", "text_crc32", "tie")}, "shard": shard.tolist()}
+                at = tuple(batch[c][i] for c in ORDER)
+                shard[i] = low[i] + sum(cuts[j] <= at for j in range(low[i], high[i]))
+            return {**{n: batch[n] for n in ("doc_id", "size", "text_crc32", "tie", "copy")}, "shard": shard.tolist()}
         return find
 
     kind = rows.schema["doc_id"].dataType.simpleString()
-    placed = map_batches(rows, f"doc_id {kind}, size long, text_crc32 long, tie long, shard int", locate)
+    placed = map_batches(rows, f"doc_id {kind}, size long, text_crc32 long, tie long, copy long, shard int", locate)
     pieces = max(1, rows.count() // (shards * PIECE_ROWS))
-    placed = placed.withColumn("piece", F.pmod(F.col("tie"), F.lit(pieces)).cast("int"))
+    placed = placed.withColumn("piece", F.pmod(F.col("copy"), F.lit(pieces)).cast("int"))
     piece = Window.partitionBy("shard", "piece")
     counts = placed.groupBy("shard", "piece").count()
     starts = counts.select("shard", "piece", (F.sum("count").over(
         Window.partitionBy("shard").orderBy("piece")) - F.col("count")).alias("start"))
-    numbered = placed.withColumn("place", F.row_number().over(piece.orderBy("tie", "doc_id", "text_crc32")) - 1)
+    numbered = placed.withColumn("place", F.row_number().over(piece.orderBy("tie", "doc_id", "text_crc32", "copy")) - 1)
     return numbered.join(starts, ["shard", "piece"]).select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard",
         (F.col("start") + F.col("place")).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))

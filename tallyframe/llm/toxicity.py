@@ -22,8 +22,6 @@ from tallyframe.session import materialise
 
 #: labelled documents that are learnt from at most
 TRAINING_ROWS = 12_000
-#: lexicon entries at most
-TERMS = 5_000
 #: a term must be this unlikely (as a negative logarithm) to gather in toxic documents by chance
 SURPRISE = 12.0
 PURITY = 0.8
@@ -186,7 +184,7 @@ def lexicon_terms(sample: DataFrame) -> dict[str, tuple[float, int]]:
 
     Of a class of near copies (whole texts, by their fingerprints) one text of each label counts, so that
     their shared rare words are not taken for evidence. An entry whose neighbours by edits occur in clean documents tolerates no edits, whatever its
-    length. Beginnings stand beside the full terms, and each needs evidence without its strongest word. The table of counts stays in Spark; only accepted entries reach the driver.
+    length. Beginnings stand beside the full terms, and each needs evidence without its strongest word. The table of counts stays in Spark; only accepted entries reach the driver, which the bounded sample bounds.
     """
     keyed = sample.select(F.xxhash64("text").alias("key"), "text", "y")
     classes = neardup.classes(keyed.dropDuplicates(["key"]), id="key").select(F.col("doc_id").alias("key"), "component_id")
@@ -211,7 +209,7 @@ def lexicon_terms(sample: DataFrame) -> dict[str, tuple[float, int]]:
     weight = F.log((F.col("toxic") + 0.1) / (F.col("clean") + 0.1) * (1 - base) / base)
     full = counts.where(F.char_length("word") >= LEAST_LETTERS)
     rows = full.unionByName(begins).where(gathers(F.col("toxic"), F.col("clean"))).select(
-        "word", weight.alias("weight")).orderBy(F.desc("weight"), "word").limit(TERMS).collect()
+        "word", weight.alias("weight")).collect()
     terms = {r["word"]: (float(r["weight"]), 0 if r["word"].endswith("*") else _edits(len(r["word"]))) for r in rows}
 
     def start():

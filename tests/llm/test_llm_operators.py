@@ -552,4 +552,4 @@ def test_pipeline_stages_take_awkward_tables(spark, awkward, empty):
 
 def test_one_query_per_operator():
     names = list(queries.queries())
-    assert [n.split("_")[0] for n in names if n != "pipeline"] == [f"op{i}" for i in range(1, 11)] and "pipeline" in names
+    assert [n.split("_")[0] for n in names if n != "pipeline"] == [f"op{i}" for i in range(1, 14)] and "pipeline" in names
