@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tallyframe.plans import registry
 
-_MODULES = ("measures", "access", "conversions", "checks", "files", "retrieval", "texts", "dialogue", "streams")
+_MODULES = ("measures", "governed", "access", "conversions", "checks", "files", "retrieval", "texts", "dialogue", "streams")
 
 for _module in _MODULES:
     importlib.import_module(f"tallyframe.plans.{_module}")
