@@ -20,6 +20,8 @@ DEFAULT_TOP_K = 5
 DEFAULT_THRESHOLD = 0.35
 #: queries, ids included, are sent to the tasks only up to this many bytes
 MAX_SENT_BYTES = 32 * 1024 * 1024
+#: rows of either side that meet in one task
+BLOCK_ROWS = 50_000
 #: scores a task computes at a time
 MAX_CELLS = 2 * 1024 * 1024
 
@@ -103,7 +105,7 @@ def _sides(queries, catalog, k, size, threshold, names):
     return q, c, f"query_id {types[0]}, item_id {types[1]}, score double"
 
 
-def _cut(candidates: DataFrame, k: int, threshold: float | None) -> DataFrame:
+def cut_to_k(candidates: DataFrame, k: int, threshold: float | None) -> DataFrame:
     window = Window.partitionBy("query_id").orderBy(F.desc("score"), "item_id")
     best = candidates.withColumn("rank", F.row_number().over(window)).where(F.col("rank") <= k)
     return best if threshold is None else best.where(F.col("score") >= threshold)
@@ -120,27 +122,38 @@ def top_k(
     sides, as ``upsert`` keeps them. ``names`` may rename query_id, query_vector, item_id and item_vector.
     """
     q, c, schema = _sides(queries, catalog, k, size, threshold, names)
+    return cut_to_k(_scan(_sent(q, size, max_bytes), c, k, schema), k, threshold)
+
+
+def _sent(queries: DataFrame, size: int, max_bytes: int) -> pa.Table:
     # no more rows than could fit are fetched before the bytes are looked at
-    sent = q.limit(max_bytes // (4 * size) + 1).toArrow()
+    sent = queries.limit(max_bytes // (4 * size) + 1).toArrow()
     if sent.nbytes > max_bytes or sent.num_rows > max_bytes // (4 * size):
         raise ValueError(f"The queries take more than {max_bytes} bytes; use top_k_by_blocks")
-    return _cut(_scan(sent, c, k, schema), k, threshold)
+    return sent
+
+
+def few_queries(queries: DataFrame, query_id: str, vector: str, size: int, max_bytes: int) -> tuple[DataFrame, pa.Table]:
+    """Queries as (query_id, vector), and the same fetched to be sent to the tasks; refused beyond ``max_bytes``."""
+    q = queries.select(F.col(query_id).alias("query_id"), require_size(F.col(vector), size).alias("vector"))
+    return q, _sent(q, size, max_bytes)
 
 
 def top_k_by_blocks(
-    queries: DataFrame, catalog: DataFrame, k: int, *, size: int, query_blocks: int, item_blocks: int,
+    queries: DataFrame, catalog: DataFrame, k: int, *, size: int, block_rows: int = BLOCK_ROWS,
     threshold: float | None = None, **names: str,
 ) -> DataFrame:
-    """As ``top_k`` for any number of queries: both sides are cut into the given numbers of blocks that meet pairwise.
+    """As ``top_k`` for any number of queries: both sides are cut into blocks of about ``block_rows`` that meet pairwise.
 
     A task holds one block of either side, and only ``k`` candidates per query and block survive. Every
     row is sent once per opposite block, so choose blocks as large as a task can hold.
     """
     q, c, schema = _sides(queries, catalog, k, size, threshold, names)
-    return _cut(_by_blocks(q, c, k, schema, query_blocks, item_blocks), k, threshold)
+    query_blocks, item_blocks = (max(1, -(-side.count() // block_rows)) for side in (q, c))
+    return cut_to_k(_by_blocks(q, c, k, schema, query_blocks, item_blocks), k, threshold)
 
 
-def _matrix(column: pa.ChunkedArray | pa.Array, rows: int) -> np.ndarray:
+def matrix_of(column: pa.ChunkedArray | pa.Array, rows: int) -> np.ndarray:
     values = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     flat = values.flatten().to_numpy(zero_copy_only=False).astype("float64")
     return flat.reshape(rows, len(flat) // rows) if rows else np.zeros((0, 0))
@@ -150,7 +163,7 @@ def _norms(matrix: np.ndarray) -> np.ndarray:
     return np.sqrt((matrix * matrix).sum(axis=1))
 
 
-class _Best:
+class Best:
     """The best ``k`` items per query over any number of item batches."""
 
     def __init__(self, ids: list, matrix: np.ndarray, k: int):
@@ -159,27 +172,28 @@ class _Best:
         self.floor = np.full(len(ids), -np.inf)
         self.kept: list[list[tuple]] = [[] for _ in ids]
 
-    def add(self, items: list, matrix: np.ndarray) -> None:
-        """Scores are made for a bounded number of query-item cells at a time."""
-        step = max(1, MAX_CELLS // max(1, len(self.ids)))
+    def add(self, items: list, matrix: np.ndarray, which: np.ndarray | None = None) -> None:
+        """Items for all queries or those at some places; scores are made for a bounded number of cells at a time."""
+        which = np.arange(len(self.ids)) if which is None else which
+        step = max(1, MAX_CELLS // max(1, len(which)))
         for start in range(0, len(items), step):
-            self._add(items[start:start + step], matrix[start:start + step])
+            self._add(items[start:start + step], matrix[start:start + step], which)
 
-    def _add(self, items: list, matrix: np.ndarray) -> None:
+    def _add(self, items: list, matrix: np.ndarray, which: np.ndarray) -> None:
         norms = _norms(matrix)
         with np.errstate(divide="ignore", invalid="ignore"):
-            rough = (self.matrix @ matrix.T) / self.norms[:, None] / norms[None, :]
+            rough = (self.matrix[which] @ matrix.T) / self.norms[which, None] / norms[None, :]
         rough = np.where(np.isfinite(rough), rough, 0.0)
         count = len(items)
         if count > self.k:
             cut = np.partition(rough, count - self.k, axis=1)[:, count - self.k]
         else:
-            cut = np.full(len(self.ids), -np.inf)
+            cut = np.full(len(which), -np.inf)
         # the product is used to preselect only; scores below are summed the same way for every
         # row, so equal vectors always get equal scores wherever they are stored
-        cut = np.maximum(cut, self.floor) - 1e-9
-        for i in np.flatnonzero((rough >= cut[:, None]).any(axis=1)):
-            chosen = np.flatnonzero(rough[i] >= cut[i])
+        cut = np.maximum(cut, self.floor[which]) - 1e-9
+        for place in np.flatnonzero((rough >= cut[:, None]).any(axis=1)):
+            i, chosen = which[place], np.flatnonzero(rough[place] >= cut[place])
             scale = self.norms[i] * norms[chosen]
             dots = (matrix[chosen] * self.matrix[i]).sum(axis=1)
             scores = np.divide(dots, scale, out=np.zeros(len(chosen)), where=scale != 0.0)
@@ -187,7 +201,7 @@ class _Best:
             merged.sort()
             self.kept[i] = merged[:self.k]
             if len(self.kept[i]) == self.k:
-                self.floor[i] = -self.kept[i][-1][0]
+                self.floor[i] = max(self.floor[i], -self.kept[i][-1][0])
 
     def rows(self) -> tuple[list, list, list]:
         flat = [(q, item, -s) for q, kept in zip(self.ids, self.kept) for s, item in kept]
@@ -197,7 +211,7 @@ class _Best:
 def _scan(queries: pa.Table, catalog: DataFrame, k: int, schema: str) -> DataFrame:
     """One pass over the catalogue; the queries (checked to be few) travel with the task."""
     ids = queries.column("query_id").to_pylist()
-    matrix = _matrix(queries.column("vector"), len(ids))
+    matrix = matrix_of(queries.column("vector"), len(ids))
     sent = catalog.sparkSession.sparkContext.broadcast((ids, matrix))
     layout = T._parse_datatype_string(schema)
     from pyspark.sql.pandas.types import to_arrow_schema
@@ -205,10 +219,10 @@ def _scan(queries: pa.Table, catalog: DataFrame, k: int, schema: str) -> DataFra
     arrow = to_arrow_schema(layout)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best = _Best(*sent.value, k)
+        best = Best(*sent.value, k)
         for batch in batches:
             if batch.num_rows and best.ids:
-                best.add(batch.column("item_id").to_pylist(), _matrix(batch.column("vector"), batch.num_rows))
+                best.add(batch.column("item_id").to_pylist(), matrix_of(batch.column("vector"), batch.num_rows))
         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(best.rows(), arrow)], schema=arrow)
 
     return catalog.mapInArrow(run, layout)
@@ -224,7 +238,7 @@ def _by_blocks(queries: DataFrame, catalog: DataFrame, k: int, schema: str, quer
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if left.empty or right.empty:
             return pd.DataFrame({"query_id": [], "item_id": [], "score": []})
-        best = _Best(left["query_id"].tolist(), np.stack(left["vector"]).astype("float64"), k)
+        best = Best(left["query_id"].tolist(), np.stack(left["vector"]).astype("float64"), k)
         best.add(right["item_id"].tolist(), np.stack(right["vector"]).astype("float64"))
         return pd.DataFrame(dict(zip(("query_id", "item_id", "score"), best.rows())))
 

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window, functions as F
 
 from tallyframe.functions.text import point_id
-from tallyframe.operators import access, answers, documents as corpus, vectors
+from tallyframe.operators import access, answers, documents as corpus, vector_index, vectors
 from tallyframe.plans import star
 from tallyframe.plans.registry import query
 from tallyframe.session import fresh_path, materialise
@@ -58,7 +58,15 @@ def vec_topk_threshold(spark, folder):
 def vec_topk_blocks(spark, folder):
     """Both sides in blocks, the way for queries that are too many to be sent."""
     return _shown(vectors.top_k_by_blocks(
-        centroids(spark, folder), catalog(spark, folder), 3, size=SIZE, query_blocks=3, item_blocks=4))
+        centroids(spark, folder), catalog(spark, folder), 3, size=SIZE, block_rows=500))
+
+
+@query("vec_topk_pruned", _CENTROIDS + """
+    select query_id, item_id, round(score, 6) as score, rank from ranked where rank <= 5""")
+def vec_topk_pruned(spark, folder):
+    """The catalogue stored in clusters; those that cannot hold one of the best are not opened."""
+    store = vector_index.build(catalog(spark, folder), fresh_path(spark, "vector-store"), size=SIZE, block_rows=100)
+    return _shown(vector_index.search(store, centroids(spark, folder), 5)[0])
 
 
 def _payloads(spark, folder) -> DataFrame:
@@ -320,3 +328,35 @@ def _corpus(spark, folder) -> tuple[DataFrame, DataFrame]:
         "doc_id", F.col("lang").alias("category"), F.concat("source", F.lit("; "), "lang", F.lit(" ;")).alias("entities"),
         F.concat(F.lit("About "), "lang").alias("summary"))
     return texts, manifest
+
+
+# A caller who may see the chunks of some labels asks with each label's mean vector and three words.
+_SCOPES = ["team-0", "team-1", "team-2", "team-3"]
+
+
+@query("scoped_search", _CENTROIDS + """,
+    chunks as (
+        select e.vec_id as item_id, e.embedding, coalesce(d.text, '') as text from embeddings e left join documents d on d.doc_id = e.vec_id
+        where e.label in (0, 1, 2, 3) and e.embedding[1] > -1 and e.embedding[2] > -1),
+    near as (
+        select q.query_id, c.item_id, c.text, list_cosine_similarity(q.v, c.embedding::double[]) as score from q, chunks c
+        qualify row_number() over (partition by q.query_id order by score desc, c.item_id) <= 30),
+    again as (
+        select query_id, item_id, score, len(list_intersect(['the', 'und', 'que'],
+            string_split(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13),
+                                   'abcdefghijklmnopqrstuvwxyz     '), ' '))) / 3.0::double as lexical from near)
+    select query_id, item_id, round(score, 6) as score, round(lexical, 6) as lexical, round(0.7 * score + 0.3 * lexical, 6) as final, rank from (
+        select *, row_number() over (partition by query_id order by (1 - 0.3::double) * score + 0.3::double * lexical desc, item_id) as rank from again)
+    where rank <= 8""")
+def scoped_search(spark, folder):
+    """Scope, status and version first, as pruned folders; then exact search; then a second ranking of thirty."""
+    texts = star.table(spark, folder, "documents").select(F.col("doc_id").alias("item_id"), "text")
+    chunks = star.table(spark, folder, "embeddings").select(
+        F.col("vec_id").alias("item_id"), F.col("embedding").alias("vector"),
+        F.concat(F.lit("team-"), F.col("label").cast("string")).alias("access_scope"),
+        F.when(F.col("embedding")[0] > -1, "active").otherwise("withdrawn").alias("status"), (F.col("embedding")[1] > -1).alias("is_current"))
+    store = corpus.store_chunks(
+        chunks.join(texts, "item_id", "left").withColumn("text", F.coalesce("text", F.lit(""))), fresh_path(spark, "chunks"), size=SIZE, block_rows=200)
+    questions = centroids(spark, folder).withColumn("words", F.array(F.lit("the"), F.lit("und"), F.lit("que")))
+    found = corpus.scoped_search(store, questions, _SCOPES, 8, candidates=30)
+    return _shown(found).withColumn("lexical", F.round("lexical", 6)).withColumn("final", F.round("final", 6))

@@ -105,7 +105,7 @@ def test_top_k_ways_agree_with_ties_and_zero_vectors(spark):
     c = spark.createDataFrame(rows, "item_id long, vector array<float>").repartition(5)
     q = c.where("item_id % 7 = 0 or item_id = 450").withColumnRenamed("item_id", "query_id")
     scanned = vectors.top_k(q, c, 6, size=4)
-    blocked = vectors.top_k_by_blocks(q, c, 6, size=4, query_blocks=3, item_blocks=8)
+    blocked = vectors.top_k_by_blocks(q, c, 6, size=4, block_rows=40)
     key = lambda df: sorted((r.query_id, r.rank, r.item_id, round(r.score, 9)) for r in df.collect())
     assert key(scanned) == key(blocked)
 
@@ -122,12 +122,12 @@ def test_top_k_without_queries_with_many_and_with_too_many(spark, monkeypatch):
     items = spark.createDataFrame([(i, [float(i % 7), float(i % 5), 1.0]) for i in range(500)], "item_id long, vector array<float>")
     none = items.limit(0).withColumnRenamed("item_id", "query_id")
     assert vectors.top_k(none, items, 3, size=3).collect() == []
-    assert vectors.top_k_by_blocks(none, items, 3, size=3, query_blocks=2, item_blocks=2).collect() == []
+    assert vectors.top_k_by_blocks(none, items, 3, size=3, block_rows=100).collect() == []
     many = spark.range(20_000).select(F.col("id").alias("query_id"), F.array(*[(F.col("id") % n).cast("float") for n in (7, 5, 2)]).alias("vector"))
     sizes = []
-    real = vectors._Best._add
-    monkeypatch.setattr(vectors._Best, "_add", lambda self, items, matrix: (sizes.append(len(self.ids) * len(items)), real(self, items, matrix)))
-    best = vectors._Best(list(range(20_000)), np.ones((20_000, 3)), 2)
+    real = vectors.Best._add
+    monkeypatch.setattr(vectors.Best, "_add", lambda self, items, matrix, which: (sizes.append(len(which) * len(items)), real(self, items, matrix, which)))
+    best = vectors.Best(list(range(20_000)), np.ones((20_000, 3)), 2)
     best.add(list(range(500)), np.ones((500, 3)))
     assert max(sizes) <= vectors.MAX_CELLS and sum(sizes) == 20_000 * 500
     assert vectors.top_k(many, items, 2, size=3).count() == 40_000
