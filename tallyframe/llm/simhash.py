@@ -26,8 +26,6 @@ AGREEING = 3
 #: bits of an id that are ordered at once when each document's successor is looked up
 _ORDER_BITS = 16
 _PAIR = (1 << 32) | 1
-#: the key of rows without an id, and over how many salts they are spread
-_NO_ID, _SALTS = -(1 << 63), 1 << 20
 
 
 def _words(text: Column) -> Column:
@@ -114,29 +112,29 @@ def within(numbers: DataFrame, queries: DataFrame, radius: int = RADIUS, agreein
 
 
 def edited(documents: DataFrame, *, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, key, salt, text, edited, next: the last quarter of a text replaced by the start of the next document's.
+    """doc_id, key, text, edited, next: the last quarter of a text replaced by the start of the next document's.
 
     Null text is empty. Rows with a null id have no next document and lose their last quarter. Where an
     id is repeated, its rows share the next document, and the text of least hash is its predecessor's next.
     """
     # Both joins take the same three columns by the same key, so texts are dealt out once, and sums per document
     # can be made where they lie. The key stands in for the id because it is never null, which keeps filters on
-    # null ids out of one of the two branches. Rows without an id need no other row, so a salt by text spreads them.
-    salt = F.when(F.col(id).isNull(), F.pmod(F.xxhash64(whole_text(text)), F.lit(_SALTS)) + 1).otherwise(F.lit(0).cast("long"))
-    rows = documents.select(F.col(id).alias("doc_id"), F.coalesce(F.col(id), F.lit(_NO_ID)).alias("key"), salt.alias("salt"), whole_text(text).alias("text"))
+    # null ids out of one of the two branches. Rows without an id need no other row, so their texts' hashes spread them.
+    spread = F.concat(F.lit("none "), F.xxhash64(whole_text(text)).cast("string"))
+    rows = documents.select(F.col(id).alias("doc_id"), F.coalesce(F.col(id).cast("string"), spread).alias("key"), whole_text(text).alias("text"))
     quarter = F.floor(F.char_length("text") / 4).cast("int")
     sizes = materialise(rows.select("doc_id", quarter.alias("quarter")), "quarters").where("doc_id is not null")
     needs = sizes.groupBy("doc_id").agg(F.max("quarter").alias("quarter"), F.count(F.lit(1)).alias("n"))
     follows = materialise(successors(needs.select("doc_id")), "successors")
     ends = needs.agg(F.min("doc_id"), F.max("n")).first()
     follows = follows.select("doc_id", F.coalesce("next", F.lit(ends[0]).cast("long")).alias("next"))
-    wanted = needs.join(follows, "doc_id").select(F.col("doc_id").alias("before"), F.col("next").alias("key"), F.lit(0).cast("long").alias("salt"), "quarter")
-    starts = rows.join(wanted, ["key", "salt"]).select(F.col("before").alias("key"), "salt", F.col("doc_id").alias("next"), F.expr("substr(text, 1, quarter)").alias("start"), F.xxhash64("text").alias("own"))
+    wanted = needs.join(follows, "doc_id").select(F.col("doc_id").alias("before"), F.col("next").cast("string").alias("key"), "quarter")
+    starts = rows.join(wanted, "key").select(F.col("before").cast("string").alias("key"), F.col("doc_id").alias("next"), F.expr("substr(text, 1, quarter)").alias("start"), F.xxhash64("text").alias("own"))
     if (ends[1] or 0) > 1:
-        starts = starts.groupBy("key", "salt", "next").agg(F.min_by("start", "own").alias("start"))
+        starts = starts.groupBy("key", "next").agg(F.min_by("start", "own").alias("start"))
     kept = F.expr("substr(text, 1, char_length(text) - cast(floor(char_length(text) / 4) as int))")
     end = F.expr("substr(start, 1, cast(floor(char_length(text) / 4) as int))")
-    return rows.join(starts, ["key", "salt"], "left").select("doc_id", "key", "salt", "text", F.concat(kept, F.coalesce(end, F.lit(""))).alias("edited"), "next")
+    return rows.join(starts, "key", "left").select("doc_id", "key", "text", F.concat(kept, F.coalesce(end, F.lit(""))).alias("edited"), "next")
 
 
 def compare(documents: DataFrame, *, id: str = "doc_id", text: str = "text", every: int = 50) -> DataFrame:
@@ -149,8 +147,8 @@ def compare(documents: DataFrame, *, id: str = "doc_id", text: str = "text", eve
     of several rows that the next id has, the text of least hash is meant. An empty table gives an empty result; other columns are ignored.
     """
     rows = edited(documents, id=id, text=text)
-    keys = ["key", "salt", "doc_id", "next", "n_chars", "edited_sha256", "own"]
-    both = rows.select("key", "salt", "doc_id", "next", F.char_length("text").cast("long").alias("n_chars"),
+    keys = ["key", "doc_id", "next", "n_chars", "edited_sha256", "own"]
+    both = rows.select("key", "doc_id", "next", F.char_length("text").cast("long").alias("n_chars"),
                        F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), F.xxhash64("text").alias("own"),
                        F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("text").alias("t")),
                                          F.struct(F.lit(1).alias("side"), F.col("edited").alias("t")))).alias("s"))
