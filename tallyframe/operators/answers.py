@@ -78,7 +78,9 @@ def check_answer(answer: Column) -> Column:
     texts, numbers, booleans and nothing; only such a reader settles quotes inside quotes.
     """
     serialised = F.pandas_udf(_serialised, "boolean")
-    return F.when(serialised(answer), F.lit(FALLBACK_ANSWER)).otherwise(answer)
+    # a condition does not spare Python, but what cannot be a literal travels there as null
+    bracketed = F.when(F.substring(answer, 1, 1).isin("[", "{"), answer)
+    return F.when(serialised(bracketed), F.lit(FALLBACK_ANSWER)).otherwise(answer)
 
 
 def result_digest(result: DataFrame, order: list[Column]) -> DataFrame:

@@ -60,7 +60,10 @@ def _citations_differ() -> Column:
 
 
 def checks() -> dict[str, Column]:
-    """Name of the failure -> condition, over a case joined with its result."""
+    """Name of the failure -> condition, over a case joined with its result.
+
+    Fixed values: the names are results, and must read as they do.
+    """
     executions = F.coalesce("executions", F.when(F.col("sql").isNotNull(), 1).otherwise(0))
     suggested = F.coalesce("suggested_questions", F.array().cast("array<string>"))
     approved = F.col("approved_suggested_questions")

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -46,26 +45,17 @@ def metric(name: str) -> Column:
     return METRICS[name]().alias(name)
 
 
-#: counted apart, as one distinct count makes Spark shuffle every other sum once per distinct value
-DISTINCT = ("transacting_customer_count",)
-
-
 def metrics(df: DataFrame, names: list[str]) -> DataFrame:
     return metrics_by(df, names, [])
 
 
 def metrics_by(df: DataFrame, names: list[str], dimensions: list[Column | str]) -> DataFrame:
-    """Metrics recomputed at the asked grain; non-additive ones are never rolled up."""
-    apart, summed = [n for n in names if n in DISTINCT], [n for n in names if n not in DISTINCT]
-    if not apart or not summed:
-        return df.groupBy(*dimensions).agg(*[metric(name) for name in names])
-    left, right = (df.groupBy(*dimensions).agg(*[metric(n) for n in part]) for part in (summed, apart))
-    keys = [c for c in left.columns if c not in summed]
-    if not keys:  # two single rows
-        return left.withColumn("_one", F.lit(1)).join(right.withColumn("_one", F.lit(1)), "_one").select(*names)
-    other = right.withColumnsRenamed({k: f"_{k}" for k in keys})
-    same = reduce(lambda a, b: a & b, [left[k].eqNullSafe(other[f"_{k}"]) for k in keys])
-    return left.join(other, same).select(*keys, *names)
+    """Metrics recomputed at the asked grain in one pass; non-additive ones are never rolled up.
+
+    With distinct customers Spark groups by dimension and customer first, map-side, and then by dimension: a
+    customer's rows are one row by then, so what is shuffled follows customers, not transactions.
+    """
+    return df.groupBy(*dimensions).agg(*[metric(name) for name in names])
 
 
 def identity_holds(df: DataFrame) -> DataFrame:

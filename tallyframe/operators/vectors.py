@@ -274,10 +274,8 @@ def recall_by_query(retrieved: DataFrame, expected: DataFrame, by: str = "query_
     return joined.groupBy(by).agg(F.count(F.lit(1)).alias("expected"), F.count("_hit").alias("found"))
 
 
-def recall(retrieved: DataFrame, expected: DataFrame, by: str = "query_id", item: str = "item_id") -> DataFrame:
-    """Share of queries with every source found, and pooled source recall; NULL without queries."""
-    per_query = recall_by_query(retrieved, expected, by, item)
-    return per_query.agg(
+def _shares(per_query: DataFrame, *by: str) -> DataFrame:
+    return per_query.groupBy(*by).agg(
         F.count(F.lit(1)).alias("questions"),
         (F.count_if(F.col("found") == F.col("expected")).cast("double") / F.nullif(F.count(F.lit(1)), F.lit(0)))
         .alias("all_sources_found"),
@@ -285,6 +283,19 @@ def recall(retrieved: DataFrame, expected: DataFrame, by: str = "query_id", item
     )
 
 
+def recall(retrieved: DataFrame, expected: DataFrame, by: str = "query_id", item: str = "item_id") -> DataFrame:
+    """Share of queries with every source found, and pooled source recall; NULL without queries."""
+    return _shares(recall_by_query(retrieved, expected, by, item))
+
+
+def recall_at(ranked: DataFrame, expected: DataFrame, ks: list[int], by: str = "query_id", item: str = "item_id") -> DataFrame:
+    """``recall`` after the first ``k`` ranks, one row per ``k``: each expected item's rank is looked up once."""
+    ranks = ranked.groupBy(by, item).agg(F.min("rank").alias("rank"))
+    joined = expected.select(by, item).distinct().join(ranks, [by, item], "left").withColumn(
+        "k", F.explode(F.array(*[F.lit(k).cast("long") for k in ks])))
+    return _shares(joined.groupBy(by, "k").agg(F.count(F.lit(1)).alias("expected"), F.count_if(F.col("rank") <= F.col("k")).alias("found")), "k")
+
+
 def misses(retrieved: DataFrame, expected: DataFrame, by: str = "query_id", item: str = "item_id") -> DataFrame:
     """Expected items that were not retrieved."""
     return expected.select(by, item).distinct().join(retrieved.select(by, item), [by, item], "left_anti")

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, Window, functions as F
 
 from tallyframe.functions.text import point_id
@@ -164,8 +162,7 @@ def retrieval_recall(spark, folder):
     best = Window.partitionBy("label").orderBy(F.desc(F.col("embedding")[0]), "vec_id")
     expected = star.table(spark, folder, "embeddings").withColumn("n", F.row_number().over(best)).where("n <= 4").select(
         F.col("label").alias("query_id"), F.col("vec_id").alias("item_id"))
-    at = [vectors.recall(retrieved.where(F.col("rank") <= k), expected).withColumn("k", F.lit(k).cast("long")) for k in (4, 6, 8)]
-    return reduce(DataFrame.unionByName, at)
+    return vectors.recall_at(retrieved, expected, [4, 6, 8])
 
 
 @query("retrieval_misses", _CENTROIDS + """
