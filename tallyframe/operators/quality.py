@@ -88,16 +88,21 @@ def relationship_report(transactions: DataFrame, cards: DataFrame, users: DataFr
     see one row per combination however many rows it has; each dimension key must be unique. A card
     without an owner is known, and owned by nobody.
     """
+    return relationship_counts(
+        transactions.groupBy("client_id", "card_id").agg(F.count(F.lit(1)).alias("n")),
+        transactions.groupBy("mcc").agg(F.count(F.lit(1)).alias("n")), cards, users, mcc_codes)
+
+
+def relationship_counts(per_pair: DataFrame, per_mcc: DataFrame, cards: DataFrame, users: DataFrame, mcc_codes: DataFrame) -> DataFrame:
+    """The reference counters from how many transactions (``n``) each pair of client and card, and each category, has."""
     owners = cards.select("card_id", F.col("client_id").alias("owner_id"), F.lit(True).alias("known_card"))
     known = users.select("client_id", F.lit(True).alias("known_user"))
-    per_pair = transactions.groupBy("client_id", "card_id").agg(F.count(F.lit(1)).alias("n"))
     by_pair = per_pair.join(owners, "card_id", "left").join(known, "client_id", "left").agg(
         _sum_where(F.col("known_user").isNull()).alias("transactions_without_users"),
         _sum_where(F.col("known_card").isNull()).alias("transactions_without_cards"),
         _sum_where(F.col("known_card").isNotNull() & ~F.col("client_id").eqNullSafe(F.col("owner_id")))
         .alias("transaction_card_owner_mismatches"),
     )
-    per_mcc = transactions.groupBy("mcc").agg(F.count(F.lit(1)).alias("n"))
     by_mcc = joins.orphans(per_mcc, mcc_codes, "mcc").agg(
         F.coalesce(F.sum("n"), F.lit(0)).alias("transactions_without_mcc_descriptions"))
     per_owner = cards.groupBy("client_id").agg(F.count(F.lit(1)).alias("n"))
@@ -210,11 +215,8 @@ def as_report(row: DataFrame, table: str, check: str | None = None) -> DataFrame
     )
 
 
-def _table_report(df: DataFrame, table: Table) -> DataFrame:
-    """Counts, signature, null counts and, for the facts, the profile from one scan; keys from another.
-
-    The second scan reads the key column only and shuffles nothing but keys.
-    """
+def table_checks(table: Table) -> dict[tuple[str, str], Column]:
+    """Counts, signature, null counts and, for the facts, the profile, by (check, column); all merge over parts of a table."""
     checks = {
         ("row_count", ""): F.count(F.lit(1)),
         ("null_keys", ""): F.count_if(F.col(table.key).isNull()),
@@ -225,11 +227,20 @@ def _table_report(df: DataFrame, table: Table) -> DataFrame:
         raw = {c.canonical: F.col(c.raw) for c in table.exposed}
         checks |= {(name, ""): value for name, value in
                    _profile(raw["transaction_at"], raw["amount"], raw["errors"]).items()}
-    counted = df.agg(*[value.cast("string").alias(f"c{i}") for i, value in enumerate(checks.values())])
-    rows = counted.select(F.inline(F.array(*[
+    return checks
+
+
+def check_rows(counted: DataFrame, table: Table) -> DataFrame:
+    """Report rows from one row that has the checks of a table as c0, c1, ... in their order."""
+    return counted.select(F.inline(F.array(*[
         F.struct(F.lit(table.source).alias("table_name"), F.lit(check).alias("check_name"),
-                 F.lit(column).alias("column_name"), F.col(f"c{i}").alias("value"))
-        for i, (check, column) in enumerate(checks)])))
+                 F.lit(column).alias("column_name"), F.col(f"c{i}").cast("string").alias("value"))
+        for i, (check, column) in enumerate(table_checks(table))])))
+
+
+def _table_report(df: DataFrame, table: Table) -> DataFrame:
+    """The checks from one scan and distinct keys from another, which reads and shuffles nothing but keys."""
+    rows = check_rows(df.agg(*[value.alias(f"c{i}") for i, value in enumerate(table_checks(table).values())]), table)
     return rows.unionByName(as_report(df.agg(F.count_distinct(table.key).alias("distinct_keys")), table.source))
 
 

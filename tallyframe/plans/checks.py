@@ -6,13 +6,14 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F
 
-from tallyframe.contract import CARDS as CARD_TABLE, USERS as USER_TABLE
+from tallyframe.contract import CARDS as CARD_TABLE, TABLES, TRANSACTIONS as TRANSACTION_TABLE, USERS as USER_TABLE
 from tallyframe.functions.convert import convert
-from tallyframe.operators import quality, warehouse
+from tallyframe.operators import increments, quality, warehouse
 from tallyframe.plans import star
-from tallyframe.plans.raw import cards_source, users_source
+from tallyframe.plans.raw import cards_source, transactions_source, users_source
 from tallyframe.plans.registry import query
 from tallyframe.plans.star import CARD_TX, CARDS, MCC, TX, USERS, sql
+from tallyframe.session import fresh_path
 
 
 def _cell(text: str) -> str:
@@ -250,3 +251,45 @@ def validate_source_types(spark, folder):
     """Layout of the whole typed card source, private columns included."""
     typed = convert(cards_source(spark, folder), CARD_TABLE)
     return quality.type_report(typed, CARD_TABLE.source_schema())
+
+
+_AMOUNT_SQL = "cast(o_totalprice as decimal(18,2))"
+_REFRESHED = {
+    ("row_count", ""): "count(*)", ("null_keys", ""): "count(*) filter (where o_orderkey is null)", ("distinct_keys", ""): "count(distinct o_orderkey)",
+    **{("null_count", c.canonical): {"merchant_state": "count(*)", "errors": "count(*) filter (where o_orderstatus <> 'F')"}.get(c.canonical, "count(*) filter (where false)")
+       for c in TRANSACTION_TABLE.exposed},
+    ("first_timestamp", ""): "strftime(min(o_orderdate), '%Y-%m-%d %H:%M:%S')", ("last_timestamp", ""): "strftime(max(o_orderdate), '%Y-%m-%d %H:%M:%S')",
+    ("net_amount", ""): f"cast(sum({_AMOUNT_SQL}) as decimal(38,2))",
+    ("positive_amount_total", ""): f"cast(sum({_AMOUNT_SQL}) filter (where {_AMOUNT_SQL} > 0) as decimal(38,2))",
+    ("negative_amount_magnitude", ""): f"cast(sum(-{_AMOUNT_SQL}) filter (where {_AMOUNT_SQL} < 0) as decimal(38,2))",
+    ("negative_count", ""): f"count(*) filter (where {_AMOUNT_SQL} < 0)", ("zero_count", ""): f"count(*) filter (where {_AMOUNT_SQL} = 0)",
+    ("error_count", ""): "count(*) filter (where o_orderstatus = 'F')"}
+
+
+@query("report_incremental", " union all ".join(
+    f"select 'transactions_data' as table_name, '{check}' as check_name, '{column}' as column_name, cast({value} as varchar) as value from orders"
+    for (check, column), value in _REFRESHED.items()) + """
+    union all select 'relationships', 'cards_without_users', '', '0'
+    union all select 'relationships', 'transaction_card_owner_mismatches', '', '0'""")
+def report_incremental(spark, folder):
+    """A file comes, one changes and one is emptied; the second report reads these three only."""
+    root = fresh_path(spark, "snapshot")
+    facts = convert(transactions_source(spark, folder), TRANSACTION_TABLE)
+    wrong = facts.withColumns({"amount": -F.col("amount"), "client_id": F.lit(None).cast("long")})
+    folders = {name: f"{root}/{name}" for name in TABLES}
+
+    def put(part: str, rows: DataFrame) -> None:
+        rows.write.mode("overwrite").parquet(f"{folders['transactions']}/{part}")
+
+    convert(cards_source(spark, folder), CARD_TABLE).write.parquet(folders["cards"])
+    convert(users_source(spark, folder), USER_TABLE).write.parquet(folders["users"])
+    facts.select("mcc", F.lit("some category").alias("description")).distinct().write.parquet(folders["mcc_codes"])
+    for part, rows in (("p0", facts.where("id % 4 = 0")), ("p1", facts.where("id % 4 = 1")), ("p2", wrong.where("id % 4 = 2")), ("p4", facts.where("id % 4 = 0"))):
+        put(part, rows)
+    store = increments.ReportStore(spark, fresh_path(spark, "report-states"))
+    store.refresh(folders)
+    for part, rows in (("p2", facts.where("id % 4 = 2")), ("p3", facts.where("id % 4 = 3")), ("p4", facts.limit(0))):
+        put(part, rows)
+    report, _ = store.refresh(folders)
+    shown = (F.col("table_name") == "transactions_data") & (F.col("check_name") != "signature")
+    return report.where(shown | F.col("check_name").isin("cards_without_users", "transaction_card_owner_mismatches"))
