@@ -12,7 +12,7 @@ from tallyframe.plans.dialogue import (
 from tallyframe.plans.registry import query
 from tallyframe.plans.retrieval import _COUNTS, _LETTERS, _POINT_ID, _vector_text
 from tallyframe.session import fresh_path
-from tallyframe.streaming import jobs
+from tallyframe.streaming import jobs, versions
 from tallyframe.streaming.run import run_available, run_to_end
 
 
@@ -70,7 +70,7 @@ def last_turns_stream(spark, folder):
     from documents""")
 def vec_upsert_stream(spark, folder):
     """A first run stores all but the French documents, English ones in an old wording; a second one, in
-    several batches, brings the English ones as they are and the French ones."""
+    several batches, brings the English ones as they are and the French ones. In between the table is compacted."""
     documents = star.table(spark, folder, "documents").select(F.col("doc_id").cast("string").alias("doc_id"), "lang", "text")
     path, first, second = fresh_path(spark, "vectors"), fresh_path(spark, "documents"), fresh_path(spark, "documents")
     documents.where("lang <> 'fr'").withColumn("text", F.when(F.col("lang") == "en", "outdated").otherwise(F.col("text"))).write.parquet(first)
@@ -83,4 +83,6 @@ def vec_upsert_stream(spark, folder):
     for run, source in enumerate((first, second)):
         arriving = spark.readStream.schema(documents.schema).option("maxFilesPerTrigger", 2).parquet(source)
         jobs.upsert_versions(arriving, prepare, path, run=run, checkpoint=fresh_path(spark, "stream-checkpoint"))
+        if run == 0:
+            versions.VersionedTable(spark, path, prepare(documents).schema).compact()
     return jobs.current_versions(spark, path).select("point_id", "payload.doc_id", _vector_text("vector").alias("vector"))

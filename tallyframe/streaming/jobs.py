@@ -20,6 +20,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from tallyframe.functions.text import redact_turn
 from tallyframe.operators.conversation import MAX_TURNS, TTL_SECONDS
 from tallyframe.operators.ratelimit import MAX_CALLS, WINDOW_SECONDS, decide_all
+from tallyframe.streaming.versions import VersionedTable
 
 DELAY_SECONDS = 600
 
@@ -212,8 +213,6 @@ def upsert_versions(
 
 
 def current_versions(spark: SparkSession, path: str, key: str = "point_id") -> DataFrame:
-    """The newest version of every key."""
-    stored = spark.read.parquet(path)
-    others = [c for c in stored.columns if c not in (key, "version", "writer")]
-    newest = stored.groupBy(key).agg(F.max_by(F.struct(*others), F.struct("version", "writer")).alias("_row"))
-    return newest.select(key, *[F.col(f"_row.{c}").alias(c) for c in others])
+    """The newest version of every key, from the base that the last compaction made and the batches since."""
+    schema = spark.read.option("basePath", path).parquet(f"{path}/version=*").schema
+    return VersionedTable(spark, path, schema, key).rows()
