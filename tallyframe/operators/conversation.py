@@ -9,6 +9,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from tallyframe.functions.text import sanitise_filters
+
 TTL_SECONDS = 1800
 MAX_TURNS = 6
 MAX_QUESTIONS = 3
@@ -96,3 +98,17 @@ def merge_filters(turns: DataFrame, key: str, order: str, filters: str) -> DataF
     # wrapped, because max_by skips nothing but a bare NULL value must also be able to win
     last = entries.groupBy(key, "filter_key").agg(F.max_by(F.struct("filter_value"), order).alias("_last"))
     return last.select(key, "filter_key", F.col("_last.filter_value").alias("filter_value"))
+
+
+def current_facts(rows: DataFrame, key: str, time: str, order: str, filters: str, ttl_seconds: int = TTL_SECONDS) -> DataFrame:
+    """``(key, filter_key, filter_value)``: the facts of each conversation since it last expired.
+
+    Rows are turns (null filters) and updates of facts; both put the expiry off, which a gap of the TTL reaches.
+    The last session is found from slot rows, so no conversation is walked row by row.
+    """
+    started = sessions(rows, key, time, ttl_seconds).groupBy(key).agg(F.max("started_at").alias("_since"))
+    names = {key: "_key"}
+    since = started.withColumnsRenamed(names)
+    inside = rows.join(since, F.col(key) == F.col("_key")).where(F.col(time).cast("timestamp_ntz") >= F.col("_since"))
+    updates = inside.where(F.col(filters).isNotNull()).select(key, F.struct(time, order).alias("_order"), sanitise_filters(F.col(filters)).alias("_filters"))
+    return merge_filters(updates, key, "_order", "_filters")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from tallyframe.operators import vectors
+from tallyframe.operators import conversation, vectors
 from tallyframe.plans import star
 from tallyframe.plans.dialogue import (
     LIMIT_CALLS, LIMIT_SECONDS, SESSION_COLUMNS, SESSIONS_SQL, limiter_sql, shown_times,
@@ -65,6 +65,49 @@ def last_turns_stream(spark, folder):
     return kept.select("conv_id", "turn", "role", F.md5(F.col("text").cast("binary")).alias("digest"))
 
 
+# Views are turns; other events update facts, and two days without either end a conversation.
+FACTS_TTL = 2 * 86_400
+_FACTS_SQL = f"""
+    with given as (select *, lag(ts) over (partition by user_id order by ts, event_id) as before from events),
+    numbered as (select *, sum(case when before is null or epoch_us(ts) - epoch_us(before) >= {FACTS_TTL * 1_000_000} then 1 else 0 end)
+        over (partition by user_id order by ts, event_id) as context from given),
+    last_context as (select * from numbered qualify context = max(context) over (partition by user_id)),
+    entries as (
+        select user_id, ts, event_id, 'last_' || event_type as filter_key, md5(props)[1:6] as filter_value from last_context where event_type <> 'view'
+        union all select user_id, ts, event_id, 'kind', event_type from last_context where event_type <> 'view'
+        union all select user_id, ts, event_id, 'open', case when event_type = 'error' then null else 'yes' end from last_context where event_type <> 'view')
+    select user_id, filter_key, filter_value from entries
+    qualify row_number() over (partition by user_id, filter_key order by ts desc, event_id desc) = 1"""
+
+
+def fact_rows(events: DataFrame) -> DataFrame:
+    """Events as turns and updates of facts; a forbidden name and a personal value are among them."""
+    kind = F.col("event_type")
+    given = F.create_map(
+        F.concat(F.lit("last_"), kind), F.substring(F.md5(F.col("props").cast("binary")), 1, 6), F.lit("kind"), kind,
+        F.lit("open"), F.when(kind != "error", "yes"), F.lit("SQL"), F.col("props"))
+    return events.select("user_id", "ts", "event_id", F.when(kind != "view", given).alias("filters"))
+
+
+@query("facts_current", _FACTS_SQL)
+def facts_current(spark, folder):
+    return conversation.current_facts(fact_rows(star.table(spark, folder, "events")), "user_id", "ts", "event_id", "filters", FACTS_TTL)
+
+
+@query("facts_stream", _FACTS_SQL)
+def facts_stream(spark, folder):
+    """The same facts from three batches in order of time."""
+    path, events = fresh_path(spark, "facts"), star.table(spark, folder, "events")
+    events.limit(0).write.parquet(path)
+    checkpoint, output = fresh_path(spark, "stream-checkpoint"), fresh_path(spark, "stream-output")
+    arriving = jobs.facts(fact_rows(spark.readStream.schema(events.schema).parquet(path)), "user_id", "ts", "event_id", "filters", FACTS_TTL)
+    day = F.dayofmonth("ts")
+    for part in (day <= 10, (day > 10) & (day <= 20), day > 20):
+        events.where(part).write.mode("append").parquet(path)
+        run_available(arriving, output, checkpoint, advance_watermark=False)
+    return jobs.newest_facts(spark.read.schema(arriving.schema).parquet(output), "user_id")
+
+
 @query("vec_upsert_stream", f"""
     select {_POINT_ID.format('cast(doc_id as varchar)')} as point_id, cast(doc_id as varchar) as doc_id, {_COUNTS} as vector
     from documents""")

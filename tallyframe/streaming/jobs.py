@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from tallyframe.functions.text import redact_turn
+from tallyframe.functions.text import redact_turn, sanitise_filters
 from tallyframe.operators.conversation import MAX_TURNS, TTL_SECONDS
 from tallyframe.operators.ratelimit import MAX_CALLS, WINDOW_SECONDS, decide_all
 from tallyframe.streaming.versions import VersionedTable
@@ -183,6 +183,56 @@ def newest_turns(output: DataFrame, conversation: str = "conv_id") -> DataFrame:
     return newest.select(F.col("conversation").alias(conversation), F.inline("turns"))
 
 
+class _Facts(StatefulProcessor):
+    """A conversation's facts and when they expire. Every row puts the end off; one that comes at or after it finds nothing."""
+
+    def __init__(self, ttl_seconds: int):
+        self.ttl = ttl_seconds * 1_000_000
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        # what nobody writes to for the same time of the clock is dropped as well
+        self.kept = handle.getValueState("kept", "names array<string>, held array<string>, expires long, updates long", self.ttl // 1000)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        names, held, expires, updates = self.kept.get() if self.kept.exists() else ([], [], 0, 0)
+        facts = dict(zip(names, held))
+        arrived = [r for chunk in rows for r in zip(chunk["micros"].astype(object), chunk["position"].astype(object), chunk["names"], chunk["held"])]
+        for micros, _, given, values in sorted(arrived, key=lambda r: r[:2]):
+            if int(micros) >= expires:
+                facts = {}
+            facts |= {} if given is None else dict(zip(given, values))
+            expires = max(int(expires), int(micros) + self.ttl)
+        self.kept.update((list(facts), list(facts.values()), int(expires), int(updates) + 1))
+        yield pd.DataFrame({"conversation": [key[0]], "update": [int(updates) + 1], "facts": [[{"filter_key": k, "filter_value": v} for k, v in facts.items()]]})
+
+    def close(self) -> None:
+        pass
+
+
+_FACTS = "array<struct<filter_key:string,filter_value:string>>"
+
+
+def facts(rows: DataFrame, conversation: str, time: str, order: str, filters: str, ttl_seconds: int = TTL_SECONDS) -> DataFrame:
+    """``(conversation, update, facts)`` of every conversation that changed.
+
+    A row is a turn (null ``filters``) or an update of facts (a map); either extends the conversation by the TTL from its
+    own time. Later values override earlier ones, also by null; a row exactly one TTL after the last
+    one starts anew. Rows of one batch go by time and ``order``; across batches a conversation's rows arrive in order.
+    """
+    given = sanitise_filters(F.col(filters))
+    entered = rows.select(F.col(conversation).alias("conversation"), F.unix_micros(F.col(time).cast("timestamp")).alias("micros"), F.col(order).alias("position"),
+                          F.map_keys(given).alias("names"), F.map_values(given).alias("held"))
+    kind = entered.schema["conversation"].dataType.simpleString()
+    return entered.groupBy("conversation").transformWithStateInPandas(
+        statefulProcessor=_Facts(ttl_seconds), outputStructType=f"conversation {kind}, update long, facts {_FACTS}", outputMode="Append", timeMode="ProcessingTime")
+
+
+def newest_facts(output: DataFrame, conversation: str = "conv_id") -> DataFrame:
+    """``(conversation, filter_key, filter_value)`` of the latest update, from everything ``facts`` wrote."""
+    newest = output.groupBy("conversation").agg(F.max_by("facts", "update").alias("facts"))
+    return newest.select(F.col("conversation").alias(conversation), F.inline("facts"))
+
+
 def upsert_versions(
     documents: DataFrame, prepare: Callable[[DataFrame], DataFrame], path: str, *, run: int, checkpoint: str,
     on_batch: Callable[[int], None] | None = None,

@@ -10,7 +10,7 @@ from datetime import datetime, timedelta
 import pandas as pd
 import pytest
 
-from tallyframe.operators import ratelimit
+from tallyframe.operators import conversation, ratelimit
 from tallyframe.streaming import jobs
 from tallyframe.streaming.run import run_to_end
 
@@ -156,3 +156,69 @@ def test_limiter_stream_equals_batch_over_several_batches(spark):
     decided = run_to_end(folder, jobs.limit_calls(stream, "caller", "t", "i", max_calls=3, window_seconds=60, delay_seconds=5_000), "t", {"caller": "end", "i": -1})
     batch = ratelimit.limit_calls(spark.createDataFrame(rows, schema), "caller", "t", "i", max_calls=3, window_seconds=60)
     assert {(r["call_id"], r["accepted"]) for r in decided.collect()} == {(r["i"], r["accepted"]) for r in batch.collect()}
+
+
+# ---- facts
+
+class _FactsHandle(_Handle):
+    def getValueState(self, name, schema, ttl=None):
+        return _Value()
+
+
+def _fold(rows, ttl):
+    """The rule for one conversation: (micros, order, filters or None) in order."""
+    facts, expires = {}, 0
+    for micros, _, given in sorted(rows, key=lambda r: r[:2]):
+        facts = {} if micros >= expires else facts
+        facts = facts | (given or {})
+        expires = micros + ttl
+    return facts
+
+
+def _facts_after(batches, ttl_seconds):
+    keeper = jobs._Facts(ttl_seconds)
+    keeper.init(_FactsHandle())
+    found = {}
+    for batch in batches:
+        frame = pd.DataFrame([(m, o, None if f is None else list(f), None if f is None else list(f.values())) for m, o, f in batch], columns=["micros", "position", "names", "held"])
+        for out in keeper.handleInputRows(("c",), iter([frame]), None):
+            found = {x["filter_key"]: x["filter_value"] for x in out["facts"].iloc[0]}
+    return found
+
+
+def test_facts_expire_exactly_at_the_ttl():
+    second = 1_000_000
+    at = lambda s, filters=None: (s * second, s, filters)
+    kept = _facts_after([[at(0, {"a": "1"})], [at(59)], [at(118)]], 60)
+    assert kept == {"a": "1"}  # turns put the end off
+    assert _facts_after([[at(0, {"a": "1"})], [at(60)]], 60) == {}
+    assert _facts_after([[at(0, {"a": "1"})], [(60 * second - 1, 1, None)]], 60) == {"a": "1"}
+    assert _facts_after([[at(0, {"a": "1"}), at(59, {"b": "2"})], [at(118, {"a": None})]], 60) == {"a": None, "b": "2"}  # so do facts
+
+
+@pytest.mark.parametrize("seed", range(5))
+def test_facts_state_folds_like_the_rule(seed):
+    rng = random.Random(seed)
+    time, rows = 0, []
+    for i in range(80):
+        time += rng.choice([1, 20, 59, 60, 61, 90]) * 1_000_000
+        rows.append((time, i, None if rng.random() < 0.3 else {rng.choice("abc"): rng.choice([None, "x", "y"]) for _ in range(rng.randrange(3))}))
+        cut = [rows[i:i + 9] for i in range(0, len(rows), 9)]
+        if i % 13 == 0:
+            assert _facts_after([rng.sample(b, len(b)) for b in cut], 60) == _fold(rows, 60 * 1_000_000)
+
+
+def test_facts_in_batch_fold_like_the_rule(spark):
+    rng, rows = random.Random(9), []
+    for c in range(25):
+        time = START
+        for i in range(rng.randrange(1, 12)):
+            time += timedelta(seconds=rng.choice([1, 59, 60, 61]))
+            rows.append((c, time, i, None if rng.random() < 0.4 else {rng.choice("abc"): rng.choice([None, "x", "y"])}))
+    frame = spark.createDataFrame(rows, "c int, t timestamp_ntz, i int, f map<string,string>")
+    found = {}
+    for r in conversation.current_facts(frame, "c", "t", "i", "f", 60).collect():
+        found.setdefault(r["c"], {})[r["filter_key"]] = r["filter_value"]
+    micros = lambda t: int((t - datetime(1970, 1, 1)) / timedelta(microseconds=1))
+    wanted = {c: _fold([(micros(t), i, f) for x, t, i, f in rows if x == c], 60 * 1_000_000) for c in range(25)}
+    assert found == {c: f for c, f in wanted.items() if f}
