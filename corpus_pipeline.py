@@ -50,7 +50,7 @@ def private_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Takes every document as often as the mix of its source's target does.
 
-    Texts without words are never taken; a null source is one of its own; ties of the random numbers go by
+    Texts without words keep their whole copies, which weigh nothing; a null source is one of its own; ties of the random numbers go by
     id, and equal rows are taken as often as all of them together; an empty table stays empty.
     """
     taken = mixing.mix(docs).groupBy("doc_id", "number").agg(F.sum("copies").cast("int").alias("copies"), F.count(F.lit(1)).alias("rows"))

@@ -61,9 +61,10 @@ def number(id: str = "doc_id", text: str = "text", source: str = "source", seed:
 def mix(documents: DataFrame, *, id: str = "doc_id", text: str = "text", source: str = "source", seed: int = SEED) -> DataFrame:
     """(doc_id, size, source_size, target, taken, copies, number): how many words of each row the mix takes.
 
-    Null text and empty text have no words and are never taken; a null source is a source of its
-    own; repeated rows (one id, text and source) share their random number and so lie side by side in the ranking; an empty table gives an empty
-    result; other columns are ignored. Reruns agree, as random numbers are hashes of the rows.
+    Null text and empty text have no words: they keep their whole copies, which take nothing. A null source is a
+    source of its own; repeated rows (one id, text and source) share their random number, so they lie side by side in
+    the ranking and are drawn by their count; an empty table gives an empty result; other columns are ignored. Reruns
+    agree, as random numbers are hashes of the rows and sums are of whole numbers.
     """
     rows = materialise(documents.select(
         F.col(id).alias("doc_id"), F.col(source).alias("source"), word_count(text).alias("size"), number(id, text, source, seed).alias("number"),

@@ -143,7 +143,7 @@ def compare(documents: DataFrame, *, id: str = "doc_id", text: str = "text", eve
     Queries are the rows whose id is divisible by ``every``; for them n_near counts the rows with another
     fingerprint within the radius, nearest_bits and nearest_id name the nearest (null for other rows).
     Null and empty texts have fingerprint zero and keep it when edited with nothing; a row with a null id has
-    no next document, so near_next is null; repeated rows are returned each, and share the next document;
+    no next document, so near_next is 0; repeated rows are returned each, and share the next document;
     of several rows that the next id has, the text of least hash is meant. An empty table gives an empty result; other columns are ignored.
     """
     rows = edited(documents, id=id, text=text)
