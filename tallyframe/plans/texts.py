@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tallyframe.contract import AMOUNT_WORDS, GLOSSARY, METRIC_LABELS, TABLES
 from tallyframe.functions import text as tx
-from tallyframe.operators import access, answers, linking
+from tallyframe.operators import access, answers, linking, term_index
 from tallyframe.operators.documents import complaint_documents, current_chunks
 from tallyframe.plans import star
 from tallyframe.plans.registry import query
@@ -410,3 +410,17 @@ def current_chunks_query(spark, folder):
         (F.col("embedding")[1] > 0).alias("is_current"))
     return current_chunks(chunks, ["team-1", "team-2"]).select("vec_id")
 
+
+
+@query("terms_in_texts", """
+    with words as (select distinct unnest(regexp_extract_all(text, '[A-Za-z]+')) as term from documents),
+    terms as (select term from words where md5(term) like '00%' union select term || ' ' from words where md5(term) like '01%')
+    select term, cast(count(*) as bigint) as documents from terms t join documents d on contains(d.text, t.term) group by term""")
+def terms_in_texts(spark, folder):
+    """A vocabulary that grows with the texts: how many documents contain each term, also inside words."""
+    documents = star.table(spark, folder, "documents").select("doc_id", "text")
+    words = documents.select(F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z]+"), F.lit(0))).alias("term")).distinct()
+    digest = F.md5(F.col("term").cast("binary"))
+    terms = words.where(digest.startswith("00")).unionByName(words.where(digest.startswith("01")).select(F.concat("term", F.lit(" ")).alias("term")))
+    found = term_index.contained_terms(documents, terms, id="doc_id")
+    return found.groupBy("term").agg(F.count(F.lit(1)).alias("documents"))
