@@ -10,7 +10,7 @@ columns that say who may see a row are folders too, and are pruned before any cl
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, fields
 
 import numpy as np
 import pyarrow as pa
@@ -168,10 +168,13 @@ def _read(rows: DataFrame, plan: _Plan, k: int, schema: str, first: dict[int, np
     """Candidates from the rows' clusters: of the queries that read a cluster first, or else of all others that may need it."""
     layout = T._parse_datatype_string(schema)
     arrow = to_arrow_schema(layout)
-    sent = rows.sparkSession.sparkContext.broadcast((plan, first, limits, floors))
+    # plain values only: broadcast values are pickled without this package's code
+    values = tuple(getattr(plan, f.name) for f in fields(plan))
+    sent = rows.sparkSession.sparkContext.broadcast((values, first, limits, floors))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        plan, first, limits, floors = sent.value
+        values, first, limits, floors = sent.value
+        plan = _Plan(*values)
         best, readers = Best(plan.ids, plan.matrix, k), {}
         if floors is not None:
             best.floor = floors.copy()
