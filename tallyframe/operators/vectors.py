@@ -163,6 +163,14 @@ def _norms(matrix: np.ndarray) -> np.ndarray:
     return np.sqrt((matrix * matrix).sum(axis=1))
 
 
+def _directions(matrix: np.ndarray) -> np.ndarray:
+    """The same directions, whole numbers without their common divisor, so that multiples of a vector become one vector."""
+    whole = (np.abs(matrix) < 2.0**53).all(axis=1) & (matrix == np.trunc(matrix)).all(axis=1)
+    divisor = np.ones(len(matrix))
+    divisor[whole] = np.maximum(np.gcd.reduce(matrix[whole].astype("int64"), axis=1), 1)
+    return matrix / divisor[:, None]
+
+
 class Best:
     """The best ``k`` items per query over any number of item batches."""
 
@@ -189,13 +197,14 @@ class Best:
             cut = np.partition(rough, count - self.k, axis=1)[:, count - self.k]
         else:
             cut = np.full(len(which), -np.inf)
-        # the product is used to preselect only; scores below are summed the same way for every
-        # row, so equal vectors always get equal scores wherever they are stored
+        # the product is used to preselect only; scores below are summed the same way for every row, from vectors
+        # without a common divisor, so equal vectors and multiples always get equal scores wherever they are stored
         cut = np.maximum(cut, self.floor[which]) - 1e-9
         for place in np.flatnonzero((rough >= cut[:, None]).any(axis=1)):
             i, chosen = which[place], np.flatnonzero(rough[place] >= cut[place])
-            scale = self.norms[i] * norms[chosen]
-            dots = (matrix[chosen] * self.matrix[i]).sum(axis=1)
+            near = _directions(matrix[chosen])
+            scale = self.norms[i] * _norms(near)
+            dots = (near * self.matrix[i]).sum(axis=1)
             scores = np.divide(dots, scale, out=np.zeros(len(chosen)), where=scale != 0.0)
             merged = self.kept[i] + [(-s, items[j]) for s, j in zip(scores.tolist(), chosen)]
             merged.sort()

@@ -118,6 +118,13 @@ def test_top_k_ways_agree_with_ties_and_zero_vectors(spark):
     assert [i for _, i in best] == [r.item_id for r in scanned.where("query_id = 301").orderBy("rank").collect()]
 
 
+def test_top_k_multiples_of_a_vector_are_ties(spark):
+    q = spark.createDataFrame([("q", [18.0, 20.0, 30.0, 38.0, 1.0, 5.0, 32.0, 37.0])], "query_id string, vector array<float>")
+    c = spark.createDataFrame([(10 - n, [float(n * x) for x in (2, 3, 10, 5, 3, 9, 3, 4)]) for n in range(1, 10)], "item_id int, vector array<float>")
+    for ranked in (vectors.top_k(q, c, 9, size=8), vectors.top_k_by_blocks(q, c, 9, size=8, block_rows=4)):
+        assert [r.item_id for r in ranked.orderBy("rank").collect()] == list(range(1, 10))
+
+
 def test_top_k_without_queries_with_many_and_with_too_many(spark, monkeypatch):
     items = spark.createDataFrame([(i, [float(i % 7), float(i % 5), 1.0]) for i in range(500)], "item_id long, vector array<float>")
     none = items.limit(0).withColumnRenamed("item_id", "query_id")
