@@ -419,8 +419,8 @@ def current_chunks_query(spark, folder):
 def terms_in_texts(spark, folder):
     """A vocabulary that grows with the texts: how many documents contain each term, also inside words."""
     documents = star.table(spark, folder, "documents").select("doc_id", "text")
-    words = documents.select(F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z]+"), F.lit(0))).alias("term")).distinct()
-    digest = F.md5(F.col("term").cast("binary"))
-    terms = words.where(digest.startswith("00")).unionByName(words.where(digest.startswith("01")).select(F.concat("term", F.lit(" ")).alias("term")))
+    words = documents.select(F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit("[A-Za-z]+"), F.lit(0)))).alias("term")).distinct()
+    start = F.substring(F.md5(F.col("term").cast("binary")), 1, 2)
+    terms = words.where(start.isin("00", "01")).select(F.when(start == "00", F.col("term")).otherwise(F.concat("term", F.lit(" "))).alias("term"))
     found = term_index.contained_terms(documents, terms, id="doc_id")
     return found.groupBy("term").agg(F.count(F.lit(1)).alias("documents"))

@@ -31,3 +31,20 @@ def test_fifty_thousand_terms(spark):
     texts = [" ".join(word(rng.randrange(2, 9)) for _ in range(30)) for _ in range(60)]
     assert len(terms) == 50_000
     assert found(spark, texts, terms) == {(i, x) for i, t in enumerate(texts) for x in terms if x in t}
+
+
+def test_both_ways_agree_and_refuse_nothing(spark):
+    texts = ["abcabcabd", "naïve café\nnext line", "aaaa", "x.y*z", "😀ok😀", "\x00a\x00", "", None]
+    terms = ["a", "ab", "abca", "abcabcabd", "fé\nnext", "aaaaa", "😀ok", "\x00a", "ok😀", "y*z"]
+    expected = {(i, x) for i, t in enumerate(texts) for x in terms if t and x in t}
+    assert found(spark, texts, terms) == found(spark, texts, terms, max_bytes=1) == expected
+
+
+def test_few_candidates_though_terms_share_their_runs(spark):
+    """Every term shares its runs with every text, which used to make each pair a candidate."""
+    texts = [f"{n:02d}" + "abcd" * 3 + "efgh" * 3 for n in range(40)]
+    terms = [f"abcd{n:05d}efgh" for n in range(20_000)] + ["cdab", "efghefgh"]
+    t, v = spark.createDataFrame(list(enumerate(texts)), "id int, text string"), spark.createDataFrame([(x,) for x in terms], "term string")
+    result = contained_terms(t, v)
+    assert "Join" not in result._jdf.queryExecution().executedPlan().toString()
+    assert {tuple(r) for r in result.collect()} == {(i, x) for i in range(40) for x in terms[-2:]}
