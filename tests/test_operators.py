@@ -118,6 +118,15 @@ def test_top_k_ways_agree_with_ties_and_zero_vectors(spark):
     assert [i for _, i in best] == [r.item_id for r in scanned.where("query_id = 301").orderBy("rank").collect()]
 
 
+def test_equal_copies_are_read_once_and_nulls_have_their_place(spark, monkeypatch):
+    a = spark.createDataFrame([(1, None, "x", 1.5, None), (None, 1, "x", 1.5, [1])], "a int, b int, c string, d double, e array<int>")
+    assert "Join" not in publish.copy_differences(a, a)._jdf.queryExecution().executedPlan().toString()
+    swapped = a.selectExpr("b as a", "a as b", "c", "d", "e")
+    monkeypatch.setattr(publish, "_BUCKETS", 1 << 30)
+    assert tuple(publish.copy_differences(a, swapped).first()) == (2, 2)
+    assert tuple(publish.copy_differences(a, a.limit(0)).first()) == (2, 0)
+
+
 def test_top_k_multiples_of_a_vector_are_ties(spark):
     q = spark.createDataFrame([("q", [18.0, 20.0, 30.0, 38.0, 1.0, 5.0, 32.0, 37.0])], "query_id string, vector array<float>")
     c = spark.createDataFrame([(10 - n, [float(n * x) for x in (2, 3, 10, 5, 3, 9, 3, 4)]) for n in range(1, 10)], "item_id int, vector array<float>")
