@@ -9,12 +9,15 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F, types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from tallyframe.functions.text import point_id
 from tallyframe.functions.vector import require_size
 from tallyframe.session import materialise
 
 BATCH_SIZE = 16
+#: calls whose rows are passed on together
+CALLS = 32
 MAX_TOP_K = 10
 DEFAULT_TOP_K = 5
 DEFAULT_THRESHOLD = 0.35
@@ -48,24 +51,29 @@ def embed(
     A factory may be given instead of an embedder; it then builds one client per task. A
     transient failure of a call is retried once, which is safe because embedding has no effect.
     """
-    schema = T.StructType([*documents.schema.fields, T.StructField("vector", T.ArrayType(T.FloatType()))])
+    kept = [f for f in documents.schema.fields if f.name != "vector"]
+    schema = T.StructType([*kept, T.StructField("vector", T.ArrayType(T.FloatType()))])
+    arrow = to_arrow_schema(schema, prefers_large_types=False)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         client = embedder if hasattr(embedder, "embed") else embedder()
         for batch in batches:
-            texts, vectors = batch[text].tolist(), []
-            for start in range(0, len(texts), batch_size):
-                part = texts[start:start + batch_size]
-                try:
-                    found = client.embed(part)
-                except TimeoutError:
-                    found = client.embed(part)
-                if len(found) != len(part):
-                    raise ValueError("the embedder must return exactly one vector per text")
-                vectors.extend(np.asarray(v, dtype="float32") for v in found)
-            yield batch.assign(vector=vectors)
-
-    return documents.mapInPandas(run, schema)
+            for place in range(0, batch.num_rows, CALLS * batch_size):
+                rows, vectors = batch.slice(place, CALLS * batch_size), []
+                for start in range(0, rows.num_rows, batch_size):
+                    # only the texts of one call are Python values, as those of a whole batch may take gigabytes
+                    part = rows.column(text).slice(start, batch_size).to_pylist()
+                    try:
+                        found = client.embed(part)
+                    except TimeoutError:
+                        found = client.embed(part)
+                    if len(found) != len(part):
+                        raise ValueError("the embedder must return exactly one vector per text")
+                    vectors.extend(np.asarray(v, dtype="float32") for v in found)
+                columns = [rows.column(f.name).cast(arrow.field(f.name).type) for f in kept]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(vectors, arrow.field("vector").type)], schema=arrow)
+
+    return documents.mapInArrow(run, schema)
 
 
 def dimension_violations(vectors: DataFrame, vector: str, size: int) -> DataFrame:
@@ -223,8 +231,6 @@ def _scan(queries: pa.Table, catalog: DataFrame, k: int, schema: str) -> DataFra
     matrix = matrix_of(queries.column("vector"), len(ids))
     sent = catalog.sparkSession.sparkContext.broadcast((ids, matrix))
     layout = T._parse_datatype_string(schema)
-    from pyspark.sql.pandas.types import to_arrow_schema
-
     arrow = to_arrow_schema(layout)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -127,6 +127,18 @@ def test_equal_copies_are_read_once_and_nulls_have_their_place(spark, monkeypatc
     assert tuple(publish.copy_differences(a, a.limit(0)).first()) == (2, 0)
 
 
+def test_embed_holds_the_texts_of_one_call(spark):
+    class Counting:
+        def embed(self, texts):
+            import gc
+
+            return [[float(sum(type(x) is str and x.startswith("held-") for o in gc.get_objects() if type(o) is list for x in o if type(x) is str))] for _ in texts]
+
+    df = spark.range(600).coalesce(1).selectExpr("id", "concat('held-', id) as t")
+    found = vectors.embed(df, Counting(), "t", batch_size=4).select(F.max(F.col("vector")[0]), F.count("t")).first()
+    assert found[0] <= 8 and found[1] == 600
+
+
 def test_top_k_multiples_of_a_vector_are_ties(spark):
     q = spark.createDataFrame([("q", [18.0, 20.0, 30.0, 38.0, 1.0, 5.0, 32.0, 37.0])], "query_id string, vector array<float>")
     c = spark.createDataFrame([(10 - n, [float(n * x) for x in (2, 3, 10, 5, 3, 9, 3, 4)]) for n in range(1, 10)], "item_id int, vector array<float>")
