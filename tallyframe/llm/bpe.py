@@ -1,6 +1,6 @@
 """Byte-level BPE by backtracking over longest token matches, and decoding through an offset table.
 
-The Aho-Corasick automaton of the vocabulary finds the longest token at every byte of a piece. Encoding
+The Aho-Corasick automaton of the vocabulary finds the longest token at every byte that the walk comes to. Encoding
 walks from left to right with the longest match; a token is kept if the merges would really leave it
 and its left neighbour as two tokens (the pair-compatibility table), else its next shorter prefix is
 tried, and when none is left the walk steps back by one token. A byte position from which no way leads
@@ -86,28 +86,25 @@ class Encoder:
 
         self._parts, special = vocabulary.parts, set(vocabulary.special.values())
         self._pairs = {p: i for i, p in enumerate(vocabulary.parts) if p is not None}
-        self._ids = {t: i for i, t in enumerate(vocabulary.tokens) if t and i not in special}
-        self._matches = ahocorasick.Automaton()
+        self._ids = {t.decode("latin-1"): i for i, t in enumerate(vocabulary.tokens) if t and i not in special}
+        self._lengths, self._most = [len(t) for t in vocabulary.tokens], max(map(len, self._ids), default=0)
+        self._matches = ahocorasick.Automaton(ahocorasick.STORE_INTS)
         for token, number in self._ids.items():
-            self._matches.add_word(token.decode("latin-1"), (len(token), number))
+            self._matches.add_word(token, number)
         self._matches.make_automaton()
-        self._shorter: dict[int, int] = {}
+        # the longest token that each beginning of a token begins with, or -1
+        self._best = {"": -1}
+        for token in self._ids:
+            for n in range(1, len(token) + 1):
+                if (start := token[:n]) not in self._best:
+                    self._best[start] = self._ids.get(start, self._best[token[:n - 1]])
         self._compatible: dict[int, bool] = {}
-        self._tokens, self._special = vocabulary.tokens, vocabulary.special
+        self._tokens, self._special = [t.decode("latin-1") for t in vocabulary.tokens], vocabulary.special
         self._cut = re.compile("(" + "|".join(map(re.escape, sorted(self._special, key=len, reverse=True))) + ")") if self._special else None
         self._runs, self._pieces = re.compile(_RUNS), regex.compile(_PIECES)
         self._seen: dict[str, bytes] = {}
         self._ids_of: dict[str, bytes] = {}
 
-    def _next_shorter(self, token: int) -> int:
-        """The longest token that is a proper prefix of this one, or -1."""
-        found = self._shorter.get(token)
-        if found is None:
-            text = self._tokens[token]
-            found = next((self._ids[text[:n]] for n in range(len(text) - 1, 0, -1) if text[:n] in self._ids), -1)
-            self._shorter[token] = found
-        return found
-
     def _stay_apart(self, left: int, right: int) -> bool:
         """Whether merging leaves the two tokens as they are.
 
@@ -137,33 +134,39 @@ class Encoder:
 
     def _piece(self, piece: str) -> list[int]:
         letters = piece if piece.isascii() else piece.encode().decode("latin-1")
-        size, tokens, known = len(letters), self._tokens, self._compatible
-        longest = [-1] * size
-        for end, (length, number) in self._matches.iter(letters):
-            longest[end + 1 - length] = number  # ends ascend, so the longest match from a start comes last
-        dead, out, place, token, last = bytearray(size + 1), [], 0, longest[0], -1
+        whole = self._ids.get(letters)
+        if whole is not None:
+            return [whole]
+        size, most, tokens, lengths, known, best, reach = len(letters), self._most, self._tokens, self._lengths, self._compatible, self._best, self._matches.longest_prefix
+        # the automaton says how far tokens reach from a place
+        dead, out, place, token, last = set(), [], 0, best[letters[:reach(letters[:most])]], -1
         while token >= 0:
-            end = place + len(tokens[token])
-            if not dead[end]:
+            end = place + lengths[token]
+            if end not in dead:
                 apart = last < 0 or known.get(last << 32 | token)
                 if self._stay_apart(last, token) if apart is None else apart:
                     out.append(token)
-                    last, place, token = token, end, longest[end] if end < size else -1
+                    if end == size:
+                        return out
+                    last, place, token = token, end, best[letters[end:end + reach(letters[end:end + most])]]
                     continue
-            token = self._next_shorter(token)
+            token = best[tokens[token][:-1]]  # the next shorter one
             if token < 0:
                 # no way leads on from here: the token before is tried again and, its end being dead, shortened
-                dead[place] = 1
+                dead.add(place)
                 if not out:
                     raise ValueError("The vocabulary lacks single bytes")
                 token = out.pop()
-                place -= len(tokens[token])
+                place -= lengths[token]
                 last = out[-1] if out else -1
         return out
 
     def _run(self, run: str) -> bytes:
         """One run; its pieces are looked up too, as a word occurs with many marks behind it."""
-        found = b"".join(self._ids_of.get(piece) or self._new(piece) for piece in self._pieces.findall(run))
+        if run.isascii() and run[run[0] == " ":].isalpha():  # one piece, as most runs are
+            found = self._ids_of.get(run) or self._new(run)
+        else:
+            found = b"".join([self._ids_of.get(piece) or self._new(piece) for piece in self._pieces.findall(run)])
         if len(run) <= REMEMBERED_CHARS:
             if len(self._seen) >= REMEMBERED:
                 self._seen.clear()
@@ -180,13 +183,12 @@ class Encoder:
 
     def encode(self, text: str | None) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
-        out, seen = [], self._seen
+        out, seen = [], self._seen.get
         for i, part in enumerate(self._cut.split(text or "") if self._cut else [text or ""]):
             if i % 2:
                 out.append(np.array([self._special[part]], dtype="<u4").tobytes())
             else:
-                for run in self._runs.findall(part):
-                    out.append(seen.get(run) or self._run(run))
+                out += [seen(run) or self._run(run) for run in self._runs.findall(part)]
         return b"".join(out)
 
 
