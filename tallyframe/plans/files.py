@@ -14,7 +14,7 @@ from tallyframe.plans import star
 from tallyframe.plans.raw import cards_source, transactions_source, users_source
 from tallyframe.plans.registry import query
 from tallyframe.plans.star import CARDS, sql
-from tallyframe.session import fresh_path
+from tallyframe.session import fresh_path, materialise
 from tallyframe.sources import files, publish, readers
 
 
@@ -248,7 +248,7 @@ def prepare_warehouse(spark, folder):
     lookup = star.table(spark, folder, "part").groupBy(codes.alias("mcc")).agg(F.min("p_name").alias("description"))
     lookup.agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("mcc", "description")))).alias("value")).coalesce(1).write.text(
         warehouse.source_path(base, "mcc_codes"))
-    approved = warehouse.source_fingerprints(spark, base)
+    approved = materialise(warehouse.source_fingerprints(spark, base), "approved")
     counts = spark.createDataFrame([("users_data", star.table(spark, folder, "customer").count())], "table_name string, row_count long")
     stale = approved.withColumn("sha256", F.reverse("sha256"))
     try:
