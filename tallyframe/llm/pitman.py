@@ -1,17 +1,19 @@
 """Language model scores: a hierarchical Pitman-Yor model of words after their predecessor.
 
-Every frequent word is a context with a restaurant of its own; their tables are the customers of one shared
-parent, where words behind rarer predecessors sit directly, over a uniform base. Seating is drawn by Gibbs
-sweeps, and a text is scored by predictive probabilities averaged over several drawn seatings.
-
-Texts are read once. A batch's occurrences of (context, word) go, packed, to the bucket of the word, which
-counts the training ones and remembers which text had which. A sweep changes all buckets at once; between
-sweeps only sums travel: tables of each context and of each frequent word, both bounded lists as they are chosen
-by their share of all tokens. At the end each bucket returns its part of every text's score.
+Every word is a context with a restaurant of its own; their tables are the customers of one shared
+parent over a uniform base. Seating is drawn by Gibbs sweeps, and a text is scored by predictive probabilities
+averaged over several drawn seatings.
+
+Texts are read once. A batch's occurrences of (context, word) go, packed, to the bucket of the word, or of the context
+if only the word is frequent; it counts the training ones and remembers which text had which. A sweep changes all
+buckets at once; between sweeps only sums travel. Those of frequent words, a list bounded by their share of all tokens,
+are known to every task. Those of rarer contexts go by shards: each bucket sends its tables of the contexts it has to
+the shard of the context, and gets their sums back. At the end each bucket returns its part of every text's score.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass, field, replace
 
@@ -22,28 +24,27 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from tallyframe.llm.common import remainder
-from tallyframe.llm.seating import discount_of, draw_strength, draw_tables, stirling
+from tallyframe.llm.seating import discount_of, draw_strength, draw_tables, stirling, strength_parts
 from tallyframe.llm.tokens import Hasher, mixed, pack, unpack
 from tallyframe.session import materialise
 
 PARTS, HELD = 7, 2
-#: words with at least this share of the training tokens are contexts, so there are 10,000 at most
-CONTEXT_SHARE = 1e-4
-#: words with at least this share are known to every task, so there are 100,000 at most
+#: words with at least this share of the training tokens, and their restaurants, are known to every task, so there are 100,000 at most
 WORD_SHARE = 1e-5
 #: sweeps before seatings count, and seatings that are averaged
 BURN, SAMPLES, SEED = 2, 3, 13
 #: tokens of a bucket, on average; bytes of text that are read at once; distinct words held before they are passed on
-BUCKET_TOKENS, BATCH_BYTES, HELD_WORDS = 1_500_000, 2 << 20, 1 << 20
+BUCKET_TOKENS, BATCH_BYTES, HELD_WORDS = 800_000, 2 << 20, 1 << 20
+#: buckets' worth of tokens whose rarer contexts share a shard
+SHARD_BUCKETS = 16
 
 
 @dataclass
 class Shared:
-    """What every task knows: the frequent words by number, those that are contexts, and the state of the restaurants."""
+    """What every task knows: the frequent words by number, which are contexts as well, and the state of their restaurants."""
 
     words: np.ndarray
     counts: np.ndarray
-    contexts: np.ndarray
     total: int
     vocabulary: int
     buckets: int
@@ -60,6 +61,14 @@ class Shared:
     parent_strength: float = 1.0
     parent_discount: float = 0.75
 
+    @property
+    def contexts(self) -> np.ndarray:
+        return self.words
+
+    @property
+    def shards(self) -> int:
+        return 1 + self.buckets // SHARD_BUCKETS
+
     @property
     def base(self) -> float:
         return 1 / (self.vocabulary + 1)
@@ -128,14 +137,13 @@ def survey(training: DataFrame) -> Shared:
     found = {r["word"]: r["n"] for r in counts.where(F.col("n") >= least).collect()} if total else {}
     words = np.array(sorted(np.array(list(found), dtype=np.int64).view(np.uint64)), dtype=np.uint64)
     n = np.array([found[int(w)] for w in words.view(np.int64)], dtype=np.int64)
-    return Shared(words, n, words[n >= CONTEXT_SHARE * total], int(total), int(vocabulary), int(1 + total // BUCKET_TOKENS))
+    return Shared(words, n, int(total), int(vocabulary), int(1 + total // BUCKET_TOKENS))
 
 
 def occurrences(documents: DataFrame, shared: Shared) -> DataFrame:
     """Packed occurrences per batch and bucket, and one row in bucket -1 per batch for its texts.
 
-    That row has the rows' ids, their number of tokens, what frequent words add to the base score, and which frequent
-    words follow no context, as those need no bucket.
+    That row has the rows' ids, their number of tokens and what frequent words add to the base score.
     """
     kind = documents.schema["doc_id"].dataType.simpleString()
     ddl = f"bucket int, batch long, ids array<{kind}>, payload binary"
@@ -150,31 +158,28 @@ def occurrences(documents: DataFrame, shared: Shared) -> DataFrame:
             context, common = _find(shared.contexts, before), _find(shared.words, words)
             inside, known = np.bincount(rows, minlength=len(learn)), np.bincount(rows[common >= 0], minlength=len(learn))
             logs = np.bincount(rows[common >= 0], np.log10(shared.counts[common[common >= 0]] + 1.0), len(learn))
-            own = (context < 0) & (common >= 0)
-            pairs, times = np.unique(rows[own] * (len(shared.words) + 1) + common[own], return_counts=True)
-            texts, which = np.divmod(pairs, len(shared.words) + 1)
             out = {"bucket": [-1], "batch": [number], "ids": [piece.column("doc_id").to_pylist()],
-                   "payload": [pack(learn.astype(np.int8), inside, known, logs.view(np.int64), texts.astype(np.int32), which.astype(np.int32), times.astype(np.int32))]}
-            sent = ~own
-            words, rows, context, common = words[sent], rows[sent], context[sent], common[sent]
-            # a frequent word is spread by its contexts
+                   "payload": [pack(learn.astype(np.int8), inside, known, logs.view(np.int64))]}
+            # a frequent word is spread by its contexts, and goes with the context if that is rarer
             salt = np.where(common >= 0, context + 2, 0).astype(np.uint64)
-            bucket = (mixed(words + salt * np.uint64(0x9E3779B97F4A7C15)) % np.uint64(shared.buckets)).astype(np.int32)
+            key = np.where((common >= 0) & (context < 0), before, words)
+            bucket = (mixed(key + salt * np.uint64(0x9E3779B97F4A7C15)) % np.uint64(shared.buckets)).astype(np.int32)
             code = rows * 2 + learn[rows]
-            order = np.lexsort((code, context, words, bucket))
-            bucket, words, context, code = bucket[order], words[order], context[order], code[order]
-            fresh = np.r_[True, (words[1:] != words[:-1]) | (context[1:] != context[:-1]) | (bucket[1:] != bucket[:-1])] if len(words) else np.zeros(0, dtype=bool)
+            order = np.lexsort((code, before, words, bucket))
+            bucket, words, before, context, code = bucket[order], words[order], before[order], context[order], code[order]
+            fresh = np.r_[True, (words[1:] != words[:-1]) | (before[1:] != before[:-1]) | (bucket[1:] != bucket[:-1])] if len(words) else np.zeros(0, dtype=bool)
             single = np.flatnonzero(fresh | np.r_[True, code[1:] != code[:-1]]) if len(words) else np.zeros(0, dtype=np.int64)
-            times, bucket, words, context, code, fresh = np.diff(np.r_[single, len(order)]), bucket[single], words[single], context[single], code[single], fresh[single]
+            times = np.diff(np.r_[single, len(order)])
+            bucket, words, before, context, code, fresh = bucket[single], words[single], before[single], context[single], code[single], fresh[single]
             edges = np.searchsorted(bucket, np.arange(shared.buckets + 1))
             for b in np.flatnonzero(np.diff(edges)):
                 part = slice(edges[b], edges[b + 1])
                 heads = np.flatnonzero(fresh[part])
-                steps = np.diff(words[part][heads], prepend=np.uint64(0))
+                steps, known_by = np.diff(words[part][heads], prepend=np.uint64(0)), context[part][heads]
                 out["bucket"].append(int(b))
                 out["batch"].append(number)
                 out["ids"].append(None)
-                out["payload"].append(pack(steps, context[part][heads].astype(np.int16), np.diff(np.r_[heads, part.stop - part.start]).astype(np.int32),
+                out["payload"].append(pack(steps, known_by.astype(np.int32), before[part][heads][known_by < 0], np.diff(np.r_[heads, part.stop - part.start]).astype(np.int32),
                                            code[part].astype(np.int32), times[part].astype(np.int32)))
             number += 1
             yield pa.RecordBatch.from_pydict(out, schema=schema)
@@ -197,7 +202,8 @@ def _grouped(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[tuple[int,
         yield now, held
 
 
-_BUCKET = "bucket int, state binary, texts binary, tables array<struct<id:int,n:bigint,c:bigint>>, words array<struct<id:int,n:bigint>>, rare array<bigint>"
+_BUCKET = "bucket int, state binary, texts binary, tables array<struct<id:int,n:bigint,c:bigint>>, words array<struct<id:int,n:bigint>>, rare array<bigint>, sent array<struct<shard:int,payload:binary>>"
+_SUMS = "shard int, bucket int, payload binary"
 
 
 def _sums(number: np.ndarray, *values: np.ndarray, names: tuple[str, ...] = ("n",)) -> list[dict]:
@@ -208,9 +214,10 @@ def _sums(number: np.ndarray, *values: np.ndarray, names: tuple[str, ...] = ("n"
 
 @dataclass
 class Bucket:
-    """The pairs of a bucket in order of words: context (-1: the parent itself), training customers, tables, and
-    per word how many pairs it has, its place among the frequent words and its tables in the parent; ``mean`` adds up
-    predictive probabilities."""
+    """The pairs of a bucket in order of words: context (from -1 downwards: the rarer ones of this bucket), training
+    customers, tables, and per word how many pairs it has, its place among the frequent words and its tables in the parent;
+    ``mean`` adds up predictive probabilities. Of its rarer contexts, which lie in order of their shards, a bucket has the
+    shard and the customers and tables in all buckets."""
 
     context: np.ndarray
     customers: np.ndarray
@@ -219,30 +226,59 @@ class Bucket:
     common: np.ndarray
     word_tables: np.ndarray
     mean: np.ndarray
+    shard: np.ndarray
+    rare_customers: np.ndarray
+    rare_tables: np.ndarray
 
     def packed(self) -> bytes:
-        return pack(self.context.astype(np.int16), self.customers, self.tables.astype(np.int64), self.pairs.astype(np.int32), self.common.astype(np.int32),
-                    self.word_tables.astype(np.int64), self.mean.astype(np.float64).view(np.int64))
+        return pack(self.context.astype(np.int32), self.customers, self.tables.astype(np.int64), self.pairs.astype(np.int32), self.common.astype(np.int32),
+                    self.word_tables.astype(np.int64), self.mean.astype(np.float64).view(np.int64),
+                    self.shard.astype(np.int32), self.rare_customers.astype(np.int64), self.rare_tables.astype(np.int64))
 
     @classmethod
     def opened(cls, data: bytes) -> Bucket:
-        *parts, mean = unpack(data)
-        return cls(*(p.astype(np.int64) for p in parts), mean.view(np.float64))
+        parts = [p.astype(np.int64) for p in unpack(data)]
+        parts[6] = parts[6].view(np.float64)
+        return cls(*parts)
 
     @property
     def word(self) -> np.ndarray:
         return np.repeat(np.arange(len(self.pairs)), self.pairs)
 
     def word_customers(self) -> np.ndarray:
-        """Customers in the parent: tables of the contexts and those who sit there directly; only for rarer words."""
-        return np.bincount(self.word, np.where(self.context < 0, self.customers, self.tables), len(self.pairs)).astype(np.int64)
-
-    def row(self, number: int, texts: bytes | None) -> dict:
+        """Customers in the parent, which are tables of the contexts; only for rarer words."""
+        return np.bincount(self.word, self.tables, len(self.pairs)).astype(np.int64)
+
+    def own_sums(self, values: np.ndarray) -> np.ndarray:
+        """Sums over this bucket's pairs of its rarer contexts."""
+        low = self.context < 0
+        return np.bincount(-1 - self.context[low], values[low], len(self.shard)).astype(np.int64)
+
+    def sent(self, *values: np.ndarray) -> list[dict]:
+        """Values of the rarer contexts by shard."""
+        shards = np.unique(self.shard)
+        edges = np.r_[np.searchsorted(self.shard, shards), len(self.shard)]
+        return [{"shard": int(s), "payload": pack(*[v[a:b] for v in values])} for s, a, b in zip(shards, edges, edges[1:])]
+
+    def received(self, payloads: list[bytes]) -> None:
+        """Sums over all buckets, in order of shards: tables, the first time after customers."""
+        parts = [unpack(p) for p in payloads]
+        if parts and len(parts[0]) == 2:
+            self.rare_customers = np.concatenate([p[0] for p in parts]).astype(np.int64)
+        if parts:
+            self.rare_tables = np.concatenate([p[-1] for p in parts]).astype(np.int64)
+
+    def restaurants(self, shared: Shared) -> tuple[np.ndarray, np.ndarray]:
+        """Customers and tables of contexts, to be looked up by their numbers, negative ones from the end."""
+        return np.r_[shared.customers, self.rare_customers[::-1]], np.r_[shared.tables, self.rare_tables[::-1]]
+
+    def row(self, number: int, texts: bytes | None, sent: list[dict]) -> dict:
         pair_common = self.common[self.word]
-        seated, low = (self.context >= 0) & (self.customers > 0), self.common < 0
+        seated, low = self.customers > 0, self.common < 0
+        shown = seated & (self.context >= 0)
         counts = self.word_customers()[low]
-        return {"bucket": number, "state": self.packed(), "texts": texts,
-                "tables": _sums(self.context[seated], self.tables[seated], self.customers[seated], names=("n", "c")),
+        return {"bucket": number, "state": self.packed(), "texts": texts, "sent": sent,
+                "tables": _sums(self.context[shown], self.tables[shown], self.customers[shown], names=("n", "c")),
                 "words": _sums(pair_common[seated & (pair_common >= 0)], self.tables[seated & (pair_common >= 0)]),
                 "rare": [int(counts.sum()), int(self.word_tables[low].sum()), int((counts == 1).sum()), int((counts == 2).sum()),
                          int((self.customers[seated] == 1).sum()), int((self.customers[seated] == 2).sum())]}
@@ -259,17 +295,14 @@ class Bucket:
     def predictive(self, shared: Shared) -> np.ndarray:
         """The probability of every pair's word in its context."""
         above = self.parents(shared)[self.word]
-        inner, at = self.context >= 0, np.maximum(self.context, 0)
-        if not len(shared.customers):
-            return above
-        spare = shared.strength + shared.discount * shared.tables[at]
-        return np.where(inner, (self.customers - shared.discount * self.tables + spare * above) / (shared.strength + shared.customers[at]), above)
+        customers, tables = (v[self.context] for v in self.restaurants(shared))
+        return (self.customers - shared.discount * self.tables + (shared.strength + shared.discount * tables) * above) / (shared.strength + customers)
 
     def sweep(self, shared: Shared, ways: tuple[np.ndarray, np.ndarray], rng: np.random.Generator) -> None:
         """New tables in every context, then in the parent."""
-        seated = np.flatnonzero((self.context >= 0) & (self.customers > 0))
+        seated = np.flatnonzero(self.customers > 0)
         above = self.parents(shared)[self.word[seated]]
-        others = np.maximum(shared.tables[self.context[seated]] - self.tables[seated], 0) if len(seated) else seated
+        others = np.maximum(self.restaurants(shared)[1][self.context[seated]] - self.tables[seated], 0)
         self.tables[seated] = draw_tables(self.customers[seated], others, above, shared.strength, shared.discount, ways[0], rng)
         low = np.flatnonzero(self.common < 0)
         counts = self.word_customers()[low]
@@ -287,49 +320,109 @@ def _gather(parts: DataFrame, shared: Shared) -> DataFrame:
             place = {b: i for i, b in enumerate(owners)}
             while rows:  # what is unpacked is let go, as a bucket fills a good part of a task's memory
                 row = rows.pop()
-                step, context, length, code, n = unpack(row["payload"])
-                parts.append((np.repeat(np.cumsum(step, dtype=np.uint64), length), np.repeat(context, length), code, n,
+                step, context, rarer, length, code, n = unpack(row["payload"])
+                before = np.empty(len(context), dtype=np.uint64)
+                before[context >= 0], before[context < 0] = shared.contexts[context[context >= 0]], rarer
+                parts.append((np.repeat(np.cumsum(step, dtype=np.uint64), length), np.repeat(before, length), code, n,
                               np.full(len(code), place[row["batch"]], dtype=np.int32)))
             columns = [np.concatenate([p[i] for p in parts]) for i in range(5)]
             del parts
             order = np.lexsort((columns[2], columns[4], columns[1], columns[0]))
             for i in range(5):
                 columns[i] = columns[i][order]
-            words, contexts, codes, times, places = columns
+            words, before, codes, times, places = columns
             new_word = np.r_[True, words[1:] != words[:-1]]
-            heads = np.flatnonzero(new_word | np.r_[True, contexts[1:] != contexts[:-1]])
+            heads = np.flatnonzero(new_word | np.r_[True, before[1:] != before[:-1]])
             customers = np.add.reduceat(np.where(codes & 1, times, 0), heads, dtype=np.int64)
-            context = contexts[heads].astype(np.int64)
+            before = before[heads]
+            context = _find(shared.contexts, before)
+            rarer = np.unique(before[context < 0])
+            shard = (mixed(rarer) % np.uint64(shared.shards)).astype(np.int64)
+            order = np.argsort(shard, kind="stable")
+            place_of = np.empty(len(order), dtype=np.int64)
+            place_of[order] = np.arange(len(order))
+            context[context < 0] = -1 - place_of[np.searchsorted(rarer, before[context < 0])]
             firsts = np.flatnonzero(new_word[heads])
-            tables = np.where(context >= 0, np.minimum(customers, 1), 0)
-            bucket = Bucket(context, customers, tables, np.diff(np.r_[firsts, len(heads)]), _find(shared.words, words[heads][firsts]),
-                            np.zeros(len(firsts), dtype=np.int64), np.zeros(len(heads)))
+            bucket = Bucket(context, customers, np.minimum(customers, 1), np.diff(np.r_[firsts, len(heads)]), _find(shared.words, words[heads][firsts]),
+                            np.zeros(len(firsts), dtype=np.int64), np.zeros(len(heads)), shard[order], *np.zeros((2, len(order)), dtype=np.int64))
             bucket.word_tables = np.where(bucket.common < 0, np.minimum(bucket.word_customers(), 1), 0)
+            sent = bucket.sent(rarer[order], bucket.own_sums(customers), bucket.own_sums(bucket.tables))
             texts = pack(np.array(owners, dtype=np.int64), np.diff(np.r_[heads, len(codes)]).astype(np.int32), places.astype(np.int32), (codes >> 1).astype(np.int32), times.astype(np.int32))
-            yield pa.RecordBatch.from_pylist([bucket.row(number, texts)], schema=arrow)
+            yield pa.RecordBatch.from_pylist([bucket.row(number, texts, sent)], schema=arrow)
 
     dealt = parts.where("bucket >= 0").select("bucket", "batch", "payload").repartition("bucket").sortWithinPartitions("bucket", "batch")
     return materialise(dealt.mapInArrow(run, _BUCKET), "buckets")
 
 
-def _swept(buckets: DataFrame, shared: Shared, number: int, counts: bool) -> DataFrame:
+def _linked(buckets: DataFrame) -> DataFrame:
+    """Per shard which bucket has which of its contexts, in a row of bucket -1, and per bucket their customers and tables."""
+    arrow = to_arrow_schema(T.StructType.fromDDL(_SUMS))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for shard, rows in _grouped(batches, "shard"):
+            owners, parts = [r["bucket"] for r in rows], [unpack(r.pop("payload")) for r in rows]
+            lengths = np.array([len(p[0]) for p in parts], dtype=np.int64)
+            ids, customers, tables = (np.concatenate(c) for c in zip(*parts))
+            del parts
+            found, which = np.unique(ids, return_inverse=True)
+            totals = [np.bincount(which, v, len(found)).astype(np.int64) for v in (customers, tables)]
+            index = pack(np.array(owners, dtype=np.int32), lengths.astype(np.int32), which.astype(np.int32), totals[0])
+            yield pa.RecordBatch.from_pylist([{"shard": shard, "bucket": -1, "payload": index}], schema=arrow)
+            for owner, part in zip(owners, np.split(which, np.cumsum(lengths)[:-1])):
+                yield pa.RecordBatch.from_pylist([{"shard": shard, "bucket": owner, "payload": pack(*[t[part] for t in totals])}], schema=arrow)
+
+    sent = buckets.select("bucket", F.inline("sent")).repartition("shard").sortWithinPartitions("shard", "bucket")
+    return materialise(sent.select("shard", "bucket", "payload").mapInArrow(run, _SUMS), "links")
+
+
+def _exchanged(buckets: DataFrame, links: DataFrame, shared: Shared, number: int) -> DataFrame:
+    """Per bucket the tables of its rarer contexts in all buckets, and per shard, in a row of bucket -1, what they say of the strength."""
+    arrow = to_arrow_schema(T.StructType.fromDDL(_SUMS))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for shard, (head, *rows) in _grouped(batches, "shard"):
+            owners, lengths, which, customers = unpack(head["payload"])
+            if owners.tolist() != [r["bucket"] for r in rows]:
+                raise ValueError("A shard lacks a bucket's tables")
+            tables = np.bincount(which, np.concatenate([unpack(r["payload"])[0] for r in rows]), len(customers)).astype(np.int64)
+            found = strength_parts(shared.strength, shared.discount, customers, tables, np.random.default_rng([SEED, number, shard, 1]))
+            yield pa.RecordBatch.from_pylist([{"shard": shard, "bucket": -1, "payload": pack(np.array(found).view(np.int64))}], schema=arrow)
+            for owner, part in zip(owners.tolist(), np.split(which, np.cumsum(lengths)[:-1])):
+                yield pa.RecordBatch.from_pylist([{"shard": shard, "bucket": owner, "payload": pack(tables[part])}], schema=arrow)
+
+    sent = buckets.select("bucket", F.inline("sent")).unionByName(links.where("bucket < 0"))
+    dealt = sent.select("shard", "bucket", "payload").repartition("shard").sortWithinPartitions("shard", "bucket")
+    return materialise(dealt.mapInArrow(run, _SUMS), "sums")
+
+
+def _met(states: DataFrame, sums: DataFrame | None, texts: DataFrame | None = None) -> DataFrame:
+    """(shard, bucket, payload): the rows of a bucket together, its texts as shard -2, its state as -1, then the sums by shard."""
+    rows = states.select(F.lit(-1).alias("shard"), "bucket", F.col("state").alias("payload"))
+    if texts is not None:
+        rows = rows.unionByName(texts.select(F.lit(-2).alias("shard"), "bucket", F.col("texts").alias("payload")))
+    if sums is not None:
+        rows = rows.unionByName(sums.where("bucket >= 0"))
+    return rows.repartition("bucket").sortWithinPartitions("bucket", "shard")
+
+
+def _swept(buckets: DataFrame, shared: Shared, number: int, counts: bool, sums: DataFrame | None = None) -> DataFrame:
     """Buckets after one more sweep; ``counts``: their seatings before it are part of the mean."""
     arrow = to_arrow_schema(T.StructType.fromDDL(_BUCKET))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ways = stirling(shared.discount), stirling(shared.parent_discount)
-        for batch in batches:
-            for row in batch.to_pylist():
-                bucket = Bucket.opened(row["state"])
-                if counts:
-                    bucket.mean = bucket.mean + bucket.predictive(shared)
-                bucket.sweep(shared, ways, np.random.default_rng([SEED, number, row["bucket"]]))
-                yield pa.RecordBatch.from_pylist([bucket.row(row["bucket"], None)], schema=arrow)
+        for number_, (head, *rows) in _grouped(batches, "bucket"):
+            bucket = Bucket.opened(head["payload"])
+            bucket.received([r["payload"] for r in rows])
+            if counts:
+                bucket.mean = bucket.mean + bucket.predictive(shared)
+            bucket.sweep(shared, ways, np.random.default_rng([SEED, number, number_]))
+            yield pa.RecordBatch.from_pylist([bucket.row(number_, None, bucket.sent(bucket.own_sums(bucket.tables)))], schema=arrow)
 
-    return materialise(buckets.select("bucket", "state").mapInArrow(run, _BUCKET), "sweep")
+    return materialise(_met(buckets, sums).mapInArrow(run, _BUCKET), "sweep")
 
 
-def _total(buckets: DataFrame, shared: Shared, direct: np.ndarray, rng: np.random.Generator, first: bool) -> Shared:
+def _total(buckets: DataFrame, shared: Shared, direct: np.ndarray, rng: np.random.Generator, first: bool, sums: DataFrame | None = None) -> Shared:
     """The shared state after a sweep: sums over buckets, then tables of the frequent words in the parent."""
     customers, tables = (np.zeros(len(shared.contexts), dtype=np.int64) for _ in range(2))
     whole = direct.copy()
@@ -343,48 +436,50 @@ def _total(buckets: DataFrame, shared: Shared, direct: np.ndarray, rng: np.rando
     else:
         others = np.maximum(shared.parent_tables - shared.word_tables, 0)
         drawn = draw_tables(whole, others, np.full(len(whole), shared.base), shared.parent_strength, shared.parent_discount, stirling(shared.parent_discount), rng)
-        strength = draw_strength(shared.strength, shared.discount, customers, tables, rng)
+        shown = sums.where("bucket < 0").select("payload").collect() if sums is not None else []  # two numbers a shard
+        rarer = [unpack(r["payload"])[0].view(np.float64) for r in shown]
+        strength = draw_strength(shared.strength, shared.discount, customers, tables, rng, tuple(math.fsum(r[i] for r in rarer) for i in range(2)))
         above = draw_strength(shared.parent_strength, shared.parent_discount, np.array([shared.parent_customers]), np.array([shared.parent_tables]), rng)
         shared = replace(shared, word_tables=drawn, strength=strength, parent_strength=above)
     return replace(shared, customers=customers, tables=tables, word_customers=whole, parent_customers=int(rare[0] + whole.sum()),
                    parent_tables=int(rare[1] + shared.word_tables.sum()))
 
 
-def _returned(buckets: DataFrame, states: DataFrame, shared: Shared) -> DataFrame:
+def _returned(buckets: DataFrame, states: DataFrame, shared: Shared, sums: DataFrame) -> DataFrame:
     """(bucket, batch, payload): per text what a bucket adds to its base score, known words and score."""
     ddl = "bucket int, batch long, payload binary"
     schema = to_arrow_schema(T.StructType.fromDDL(ddl))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                bucket = Bucket.opened(row["state"])
-                owners, length, place, text, times = unpack(row["texts"])
-                mean = (bucket.mean + bucket.predictive(shared)) / SAMPLES
-                # all customers of a rarer word are in this bucket
-                count = np.bincount(bucket.word, bucket.customers, len(bucket.pairs))[bucket.word]
-                rarer = (bucket.common < 0)[bucket.word]
-                pair = np.repeat(np.arange(len(length)), length)
-                score = times * np.log10(mean)[pair]
-                base = np.where(rarer, np.log10(count + 1), 0.0)[pair] * times
-                known = np.where(rarer & (count > 0), 1, 0)[pair] * times
-                order = np.lexsort((text, place))
-                place, text = place[order], text[order]
-                heads = np.flatnonzero(np.r_[True, (place[1:] != place[:-1]) | (text[1:] != text[:-1])])
-                added = [np.add.reduceat(x[order], heads) for x in (base, known, score)]
-                edges = np.searchsorted(place[heads], np.arange(len(owners) + 1))
-                out = {"bucket": [], "batch": [], "payload": []}
-                for i, owner in enumerate(owners.tolist()):
-                    part = slice(edges[i], edges[i + 1])
-                    out["bucket"].append(row["bucket"])
-                    out["batch"].append(owner)
-                    out["payload"].append(pack(text[heads][part], added[0][part].view(np.int64), added[1][part].astype(np.int32), added[2][part].view(np.int64)))
-                yield pa.RecordBatch.from_pydict(out, schema=schema)
-
-    return buckets.select("bucket", "texts").join(states.select("bucket", "state"), "bucket").mapInArrow(run, ddl)
-
-
-def _scored(parts: DataFrame, returned: DataFrame, shared: Shared, own_mean: np.ndarray) -> DataFrame:
+        for number, (told, head, *rows) in _grouped(batches, "bucket"):
+            bucket = Bucket.opened(head["payload"])
+            bucket.received([r["payload"] for r in rows])
+            owners, length, place, text, times = unpack(told["payload"])
+            mean = (bucket.mean + bucket.predictive(shared)) / SAMPLES
+            # all customers of a rarer word are in this bucket
+            count = np.bincount(bucket.word, bucket.customers, len(bucket.pairs))[bucket.word]
+            rarer = (bucket.common < 0)[bucket.word]
+            pair = np.repeat(np.arange(len(length)), length)
+            score = times * np.log10(mean)[pair]
+            base = np.where(rarer, np.log10(count + 1), 0.0)[pair] * times
+            known = np.where(rarer & (count > 0), 1, 0)[pair] * times
+            order = np.lexsort((text, place))
+            place, text = place[order], text[order]
+            heads = np.flatnonzero(np.r_[True, (place[1:] != place[:-1]) | (text[1:] != text[:-1])])
+            added = [np.add.reduceat(x[order], heads) for x in (base, known, score)]
+            edges = np.searchsorted(place[heads], np.arange(len(owners) + 1))
+            out = {"bucket": [], "batch": [], "payload": []}
+            for i, owner in enumerate(owners.tolist()):
+                part = slice(edges[i], edges[i + 1])
+                out["bucket"].append(number)
+                out["batch"].append(owner)
+                out["payload"].append(pack(text[heads][part], added[0][part].view(np.int64), added[1][part].astype(np.int32), added[2][part].view(np.int64)))
+            yield pa.RecordBatch.from_pydict(out, schema=schema)
+
+    return _met(states, sums, buckets).mapInArrow(run, ddl)
+
+
+def _scored(parts: DataFrame, returned: DataFrame, shared: Shared) -> DataFrame:
     """One row per text from its batch's row and what the buckets returned, in the order of buckets."""
     kind = parts.schema["ids"].dataType.elementType.simpleString()
     ddl = f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
@@ -393,9 +488,9 @@ def _scored(parts: DataFrame, returned: DataFrame, shared: Shared, own_mean: np.
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, rows in _grouped(batches, "batch"):
             head, *rest = rows
-            learn, inside, known, logs, texts, which, times = unpack(head["payload"])
+            learn, inside, known, logs = unpack(head["payload"])
             known, base = known.astype(np.int64), logs.view(np.float64) - inside * np.log10(shared.total + shared.vocabulary + 1.0)
-            score = np.bincount(texts, times * np.log10(own_mean[which]) if len(which) else None, len(learn)).astype(np.float64)
+            score = np.zeros(len(learn))
             for row in rest:
                 text, more, n, gained = unpack(row["payload"])
                 base[text] += more.view(np.float64)
@@ -421,34 +516,16 @@ def score(documents: DataFrame, *, id: str = "doc_id", text: str = "text") -> Da
     parts = materialise(occurrences(rows, shared), "occurrences")
     direct = _direct(parts, shared)
     buckets = states = _gather(parts, shared)
+    links = sums = _linked(buckets)
     rng = np.random.default_rng(SEED)
     shared = _total(states, shared, direct, rng, True)
-    own = np.zeros(len(shared.words))
     for number in range(BURN + SAMPLES):
-        counts = number > BURN
-        if counts:
-            own += shared.parent_probability(shared.word_customers, shared.word_tables)
-        states = _swept(states, shared, number, counts)
-        shared = _total(states, shared, direct, rng, False)
-    own += shared.parent_probability(shared.word_customers, shared.word_tables)
-    return _scored(parts, _returned(buckets, states, shared), shared, own / SAMPLES)
+        states = _swept(states, shared, number, number > BURN, sums)
+        sums = _exchanged(states, links, shared, number)
+        shared = _total(states, shared, direct, rng, False, sums)
+    return _scored(parts, _returned(buckets, states, shared, sums), shared)
 
 
 def _direct(parts: DataFrame, shared: Shared) -> np.ndarray:
-    """How often each frequent word follows no context in training."""
-    ddl = "id int, n long"
-    schema = to_arrow_schema(T.StructType.fromDDL(ddl))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = np.zeros(len(shared.words), dtype=np.int64)
-        for batch in batches:
-            for data in batch.column("payload"):
-                learn, *_, texts, which, times = unpack(data.as_py())
-                found += np.bincount(which, times * learn[texts], len(found)).astype(np.int64) if len(which) else 0
-        used = np.flatnonzero(found)
-        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(found[used])], schema=schema)
-
-    out = np.zeros(len(shared.words), dtype=np.int64)
-    for r in parts.where("bucket < 0").select("payload").mapInArrow(run, ddl).groupBy("id").agg(F.sum("n").alias("n")).collect():
-        out[r["id"]] = r["n"]
-    return out
+    """How often each frequent word follows no context in training: never, as every word is a context."""
+    return np.zeros(len(shared.words), dtype=np.int64)

@@ -62,13 +62,20 @@ def discount_of(once: int, twice: int) -> float:
     return min(0.95, max(0.1, once / (once + 2 * twice))) if once else 0.5
 
 
-def draw_strength(strength: float, discount: float, customers: np.ndarray, tables: np.ndarray, rng: np.random.Generator) -> float:
-    """A new strength of restaurants that share it, by auxiliary variables, under a Gamma(1, 1) prior."""
+def strength_parts(strength: float, discount: float, customers: np.ndarray, tables: np.ndarray, rng: np.random.Generator) -> tuple[float, float]:
+    """What restaurants say of the strength they share: expected tables it opened, and minus the logs of their auxiliary variables."""
     used = customers > 1
-    if not used.any():
-        return strength
     customers, tables = customers[used].astype(float), tables[used].astype(float)
     # how many tables the strength rather than the discount opened: a sum of chances, taken as its integral
     opened = strength / discount * np.log((strength + discount * tables) / (strength + discount))
     spread = -np.log(np.maximum(rng.beta(strength + 1, customers - 1), 1e-300))
-    return max(1e-3, float(rng.gamma(1 + rng.poisson(np.maximum(opened, 0)).sum(), 1 / (1 + spread.sum()))))
+    return float(np.maximum(opened, 0).sum()), float(spread.sum())
+
+
+def draw_strength(strength: float, discount: float, customers: np.ndarray, tables: np.ndarray, rng: np.random.Generator,
+                  more: tuple[float, float] = (0.0, 0.0)) -> float:
+    """A new strength of restaurants that share it, by auxiliary variables, under a Gamma(1, 1) prior; ``more``: parts of further ones."""
+    if not (customers > 1).any() and not any(more):
+        return strength
+    opened, spread = (a + b for a, b in zip(strength_parts(strength, discount, customers, tables, rng), more))
+    return max(1e-3, float(rng.gamma(1 + rng.poisson(opened), 1 / (1 + spread))))

@@ -354,6 +354,58 @@ def _model(spark, rows):
     return shared, [pitman.Bucket.opened(r["state"]) for r in states.select("state").collect()]
 
 
+def test_every_predecessor_has_a_restaurant(spark, monkeypatch):
+    """Rarer ones too, whose pairs lie in many buckets: customers and tables as counted over all, probabilities that add up."""
+    monkeypatch.setattr(pitman, "WORD_SHARE", 0.02)
+    monkeypatch.setattr(pitman, "BUCKET_TOKENS", 100)
+    monkeypatch.setattr(pitman, "SHARD_BUCKETS", 4)
+    rng, number = random.Random(12), lambda w: int(tokens.Hasher().words(pa.array([w]))[0][0])
+    words = [f"w{i}" for i in range(60)]
+    rows = [(i, " ".join(rng.choice(words[:1 + (i * 7) % 60]) for _ in range(8))) for i in range(200)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    after, pairs = Counter(), set()
+    for i, text in rows:
+        for a, b in itertools.pairwise([None, *text.split(), None]):
+            pairs.add((a, b))
+            after[a, b] += crc(str(i)) % 7 != 2
+    shared = pitman.survey(frame.where("crc32(cast(doc_id as string)) % 7 <> 2"))
+    known = {int(w): i for i, w in enumerate(shared.words)}
+    rare = [w for w in words if number(w) not in known]
+    assert shared.buckets > 8 and shared.shards > 2 and len(rare) > 20 and len(known) > 5
+    states = pitman._gather(pitman.materialise(pitman.occurrences(frame, shared), "occurrences"), shared)
+    links = sums = pitman._linked(states)
+    rng = np.random.default_rng(1)
+    shared = pitman._total(states, shared, np.zeros(len(known), dtype=np.int64), rng, True)
+    for step in range(3):
+        states = pitman._swept(states, shared, step, False, sums)
+        sums = pitman._exchanged(states, links, shared, step)
+        shared = pitman._total(states, shared, np.zeros(len(known), dtype=np.int64), rng, False, sums)
+    assert sum(len(tokens.unpack(r["payload"])[3]) for r in links.where("bucket < 0").collect()) == len(rare)
+    met = defaultdict(list)
+    for r in pitman._met(states, sums).orderBy("bucket", "shard").collect():
+        met[r["bucket"]].append(r["payload"])
+    whole, seen = defaultdict(list), 0
+    for state, *payloads in met.values():
+        b = pitman.Bucket.opened(state)
+        b.received(payloads)
+        customers, tables = (v[b.context] for v in b.restaurants(shared))
+        seen += len(b.context)
+        for i in np.flatnonzero(b.context < 0):
+            whole[int(customers[i]), int(tables[i])].append((int(b.customers[i]), int(b.tables[i]), float(b.predictive(shared)[i]), float(b.parents(shared)[b.word[i]])))
+    assert seen == len(pairs)
+    # contexts with equal sums lie together, so many times their customers and tables
+    wanted = Counter()
+    for (a, _), n in after.items():
+        wanted[a] += n
+    assert sorted(k[0] for k, v in whole.items() for _ in range(round(sum(c for c, *_ in v) / k[0]) if k[0] else 0)) == sorted(wanted[w] for w in rare if wanted[w])
+    for (customers, tables), found in whole.items():
+        n = round(sum(c for c, *_ in found) / customers) if customers else 0
+        assert sum(c for c, *_ in found) == n * customers and sum(t for _, t, *_ in found) == n * tables
+        spare = (shared.strength + shared.discount * tables) / (shared.strength + customers)
+        if n:
+            assert abs(sum(p for *_, p, _ in found) + spare * (n - sum(up for *_, up in found)) - n) < 1e-9
+
+
 def test_held_out_texts_are_likelier_than_by_the_base(spark):
     found = pitman.score(spark.read.parquet(f"{FOLDER}/documents.parquet")).where("held_out").collect()
     assert sum(r["score"] for r in found) > sum(r["base_score"] for r in found)
