@@ -131,13 +131,13 @@ def join_tx_mcc(spark, folder):
     from tx t join cards c on t.card_id = c.card_id and t.client_id = c.client_id
     join users u on t.client_id = u.client_id join mcc m on t.mcc = m.mcc group by 1, 2""")
 def join_star_inner(spark, folder):
-    """Rows sharing card, client and code are combined first; each join then sees them once."""
-    facts = star.transactions(spark, folder).groupBy("card_id", "client_id", "mcc").agg(F.sum("amount").alias("amount"))
-    cards, users = star.cards(spark, folder), star.users(spark, folder)
-    joined = joins.enrich(facts, cards, "transaction_card", [], "inner")
-    joined = joins.enrich(joined, users, "transaction_customer", ["segment"], "inner")
-    joined = joins.enrich(joined, star.mcc_codes(spark, folder), "transaction_category", ["description"], "inner")
-    return joined.groupBy("description", "segment").agg(F.sum("amount").cast("decimal(38,2)").alias("total"))
+    """Rows hardly share card, client and code, so the joins on card and client, which sort and merge, see them as they
+    are; a hot key is split by adaptive execution. What is left are segments, so rows are combined by code before its join."""
+    joined = joins.enrich(star.transactions(spark, folder), star.cards(spark, folder), "transaction_card", [], "inner")
+    joined = joins.enrich(joined, star.users(spark, folder), "transaction_customer", ["segment"], "inner")
+    totals = joined.groupBy("mcc", "segment").agg(F.sum("amount").alias("amount"))
+    described = joins.enrich(totals, star.mcc_codes(spark, folder), "transaction_category", ["description"], "inner")
+    return described.groupBy("description", "segment").agg(F.sum("amount").cast("decimal(38,2)").alias("total"))
 
 
 @query("join_mcc_inner", sql(TX, MCC) + """
