@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F,
 
 from tallyframe.contract import TABLES, Table
 from tallyframe.operators import quality
+from tallyframe.session import compiled_in_parts
 
 #: what a stamp is made of
 _PARTS = ("file_path", "file_size", "file_modification_time")
@@ -62,7 +63,8 @@ class ReportStore:
 
     def _write(self, rows: DataFrame, kind: str, table: Table) -> None:
         """A refresh that failed half way is written over, stamp by stamp."""
-        rows.write.partitionBy("stamp").mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(self._folder(kind, table))
+        with compiled_in_parts(self.spark):  # the checks of a table are one wide aggregate
+            rows.write.partitionBy("stamp").mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(self._folder(kind, table))
 
     def _schemas(self, table: Table) -> dict[str, T.StructType]:
         empty = self.spark.createDataFrame([], table.source_schema())

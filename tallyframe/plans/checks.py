@@ -13,7 +13,7 @@ from tallyframe.plans import star
 from tallyframe.plans.raw import cards_source, transactions_source, users_source
 from tallyframe.plans.registry import query
 from tallyframe.plans.star import CARD_TX, CARDS, MCC, TX, USERS, sql
-from tallyframe.session import fresh_path
+from tallyframe.session import compiled_in_parts, fresh_path
 
 
 def _cell(text: str) -> str:
@@ -279,10 +279,12 @@ def report_incremental(spark, folder):
     folders = {name: f"{root}/{name}" for name in TABLES}
 
     def put(part: str, rows: DataFrame) -> None:
-        rows.write.mode("overwrite").parquet(f"{folders['transactions']}/{part}")
+        with compiled_in_parts(spark):
+            rows.write.mode("overwrite").parquet(f"{folders['transactions']}/{part}")
 
-    convert(cards_source(spark, folder), CARD_TABLE).write.parquet(folders["cards"])
-    convert(users_source(spark, folder), USER_TABLE).write.parquet(folders["users"])
+    with compiled_in_parts(spark):
+        convert(cards_source(spark, folder), CARD_TABLE).write.parquet(folders["cards"])
+        convert(users_source(spark, folder), USER_TABLE).write.parquet(folders["users"])
     facts.select("mcc", F.lit("some category").alias("description")).distinct().write.parquet(folders["mcc_codes"])
     for part, rows in (("p0", facts.where("id % 4 = 0")), ("p1", facts.where("id % 4 = 1")), ("p2", wrong.where("id % 4 = 2")), ("p4", facts.where("id % 4 = 0"))):
         put(part, rows)

@@ -6,6 +6,8 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -32,6 +34,19 @@ def build_session(master: str | None = None, app_name: str = "tallyframe", **set
     return builder.getOrCreate()
 
 
+@contextmanager
+def compiled_in_parts(spark: SparkSession) -> Iterator[None]:
+    """For jobs over wide rows that run inside: one method for a whole stage is too long for the JVM to compile it, so it
+    would be interpreted; with this limit Spark makes a method per part instead."""
+    key, least = "spark.sql.codegen.hugeMethodLimit", 8000
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(min(int(before), least)))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder every executor can reach, as named by ``spark.checkpoint.dir``.
 

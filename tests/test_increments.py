@@ -111,3 +111,13 @@ def test_a_refresh_that_failed_half_way_is_repeated(spark, snapshot, monkeypatch
         store.refresh(snapshot.folders)
     report, _ = ReportStore(spark, store.path).refresh(snapshot.folders)
     assert listed(report) == snapshot.full()
+
+
+def test_states_are_written_by_methods_the_jvm_compiles(spark, snapshot, monkeypatch):
+    """The wide aggregate of a table is not one method of a stage, and the session's own limit is back afterwards."""
+    store, key, seen = ReportStore(spark, tempfile.mkdtemp() + "/states"), "spark.sql.codegen.hugeMethodLimit", []
+    folder, before = store._folder, spark.conf.get(key)
+    monkeypatch.setattr(store, "_folder", lambda kind, table: seen.append((kind, spark.conf.get(key))) or folder(kind, table))
+    report, _ = store.refresh(snapshot.folders)
+    assert ("states", "8000") in seen and spark.conf.get(key) == before
+    assert listed(report) == snapshot.full()
