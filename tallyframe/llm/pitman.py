@@ -9,6 +9,8 @@ if only the word is frequent; it counts the training ones and remembers which te
 buckets at once; between sweeps only sums travel. Those of frequent words, a list bounded by their share of all tokens,
 are known to every task. Those of rarer contexts go by shards: each bucket sends its tables of the contexts it has to
 the shard of the context, and gets their sums back. At the end each bucket returns its part of every text's score.
+On disk are the buckets, the last sweep and the job that runs: occurrences are dealt to buckets as they are found, a
+sweep's tables go when the next has read them, and a bucket keeps the few tables of a seating that counts, not its mean.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from tallyframe.llm.common import remainder
 from tallyframe.llm.seating import discount_of, draw_strength, draw_tables, stirling, strength_parts
 from tallyframe.llm.tokens import Hasher, mixed, pack, unpack
-from tallyframe.session import materialise
+from tallyframe.session import materialise, release, shuffles_dropped
 
 PARTS, HELD = 7, 2
 #: words with at least this share of the training tokens, and their restaurants, are known to every task, so there are 100,000 at most
@@ -34,7 +36,7 @@ WORD_SHARE = 1e-5
 #: sweeps before seatings count, and seatings that are averaged
 BURN, SAMPLES, SEED = 2, 3, 13
 #: tokens of a bucket, on average; bytes of text that are read at once; distinct words held before they are passed on
-BUCKET_TOKENS, BATCH_BYTES, HELD_WORDS = 800_000, 2 << 20, 1 << 20
+BUCKET_TOKENS, BATCH_BYTES, HELD_WORDS = 800_000, 8 << 20, 1 << 20
 #: buckets' worth of tokens whose rarer contexts share a shard
 SHARD_BUCKETS = 16
 
@@ -86,6 +88,12 @@ def _find(sorted_: np.ndarray, values: np.ndarray) -> np.ndarray:
     return np.where(sorted_[at] == values, at, -1)
 
 
+def _narrow(values: np.ndarray) -> np.ndarray:
+    """The same whole numbers in as few bytes as hold them all."""
+    least, most = (int(values.min()), int(values.max())) if len(values) else (0, 0)
+    return values.astype(next(t for t in (np.int8, np.int16, np.int32, np.int64) if np.iinfo(t).min <= least and most <= np.iinfo(t).max))
+
+
 def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Runs of rows with about so many bytes of text."""
     for batch in batches:
@@ -140,6 +148,27 @@ def survey(training: DataFrame) -> Shared:
     return Shared(words, n, int(total), int(vocabulary), int(1 + total // BUCKET_TOKENS))
 
 
+def _changes(*columns: np.ndarray) -> np.ndarray:
+    """Where a row differs from the one before it."""
+    out = np.ones(len(columns[0]), dtype=bool)
+    out[1:] = False
+    for c in columns:
+        out[1:] |= c[1:] != c[:-1]
+    return out
+
+
+def _singles(word: np.ndarray, before: np.ndarray, code: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct rows of three columns of numbers from 0, in order, and how often each occurs."""
+    wide, high = (max(1, *(int(x.max(initial=0)).bit_length() for x in columns)) for columns in ((word, before), (code,)))
+    if 2 * wide + high > 63:  # one text of very many words
+        order = np.lexsort((code, before, word))
+        word, before, code = word[order], before[order], code[order]
+        single = np.flatnonzero(_changes(word, before, code))
+        return word[single], before[single], code[single], np.diff(np.r_[single, len(order)])
+    key, times = np.unique(((word << wide | before) << high) | code, return_counts=True)
+    return key >> (wide + high), key >> high & ((1 << wide) - 1), key & ((1 << high) - 1), times
+
+
 def occurrences(documents: DataFrame, shared: Shared) -> DataFrame:
     """Packed occurrences per batch and bucket, and one row in bucket -1 per batch for its texts.
 
@@ -154,33 +183,35 @@ def occurrences(documents: DataFrame, shared: Shared) -> DataFrame:
         for piece in _pieces(batches):
             words, rows = hasher.words(piece.column("text"))
             learn = piece.column("learn").to_numpy(zero_copy_only=False).astype(np.int64)
-            before = np.r_[words[:0], words[-1:], words[:-1]]  # a text begins behind an end
-            context, common = _find(shared.contexts, before), _find(shared.words, words)
+            distinct, word = np.unique(words, return_inverse=True)
+            place = _find(shared.words, distinct)
+            common = place[word]
             inside, known = np.bincount(rows, minlength=len(learn)), np.bincount(rows[common >= 0], minlength=len(learn))
             logs = np.bincount(rows[common >= 0], np.log10(shared.counts[common[common >= 0]] + 1.0), len(learn))
             out = {"bucket": [-1], "batch": [number], "ids": [piece.column("doc_id").to_pylist()],
                    "payload": [pack(learn.astype(np.int8), inside, known, logs.view(np.int64))]}
+            before = np.r_[word[:0], word[-1:], word[:-1]]  # a text begins behind an end
+            word, before, code, times = _singles(word, before, rows * 2 + learn[rows])
+            common, context = place[word], place[before]
             # a frequent word is spread by its contexts, and goes with the context if that is rarer
             salt = np.where(common >= 0, context + 2, 0).astype(np.uint64)
-            key = np.where((common >= 0) & (context < 0), before, words)
+            key = distinct[np.where((common >= 0) & (context < 0), before, word)]
             bucket = (mixed(key + salt * np.uint64(0x9E3779B97F4A7C15)) % np.uint64(shared.buckets)).astype(np.int32)
-            code = rows * 2 + learn[rows]
-            order = np.lexsort((code, before, words, bucket))
-            bucket, words, before, context, code = bucket[order], words[order], before[order], context[order], code[order]
-            fresh = np.r_[True, (words[1:] != words[:-1]) | (before[1:] != before[:-1]) | (bucket[1:] != bucket[:-1])] if len(words) else np.zeros(0, dtype=bool)
-            single = np.flatnonzero(fresh | np.r_[True, code[1:] != code[:-1]]) if len(words) else np.zeros(0, dtype=np.int64)
-            times = np.diff(np.r_[single, len(order)])
-            bucket, words, before, context, code, fresh = bucket[single], words[single], before[single], context[single], code[single], fresh[single]
+            # in a bucket frequent words come first; they go by number, rarer ones by hash
+            order = np.argsort(_narrow(bucket * 2 + (common < 0)), kind="stable")
+            bucket, word, before, common, context, code, times = (x[order] for x in (bucket, word, before, common, context, code, times))
+            fresh = _changes(word, before, bucket)
             edges = np.searchsorted(bucket, np.arange(shared.buckets + 1))
             for b in np.flatnonzero(np.diff(edges)):
                 part = slice(edges[b], edges[b + 1])
-                heads = np.flatnonzero(fresh[part])
-                steps, known_by = np.diff(words[part][heads], prepend=np.uint64(0)), context[part][heads]
+                heads = np.flatnonzero(fresh[part]) + part.start
+                numbers, hashes = common[heads[common[heads] >= 0]], distinct[word[heads[common[heads] < 0]]]
+                known_by = context[heads]
                 out["bucket"].append(int(b))
                 out["batch"].append(number)
                 out["ids"].append(None)
-                out["payload"].append(pack(steps, known_by.astype(np.int32), before[part][heads][known_by < 0], np.diff(np.r_[heads, part.stop - part.start]).astype(np.int32),
-                                           code[part].astype(np.int32), times[part].astype(np.int32)))
+                out["payload"].append(pack(_narrow(np.diff(numbers, prepend=0)), np.diff(hashes, prepend=np.uint64(0)), _narrow(known_by), distinct[before[heads[known_by < 0]]],
+                                           _narrow(np.diff(np.r_[heads, part.stop])), _narrow(code[part]), _narrow(times[part])))
             number += 1
             yield pa.RecordBatch.from_pydict(out, schema=schema)
 
@@ -206,18 +237,26 @@ _BUCKET = "bucket int, state binary, texts binary, tables array<struct<id:int,n:
 _SUMS = "shard int, bucket int, payload binary"
 
 
-def _sums(number: np.ndarray, *values: np.ndarray, names: tuple[str, ...] = ("n",)) -> list[dict]:
+def _sums(number: np.ndarray, names: str, *values: np.ndarray) -> pa.ListArray:
+    """One list of structs: each number, as id, with its sums of the values."""
     ids = np.unique(number)
-    columns = [np.bincount(number, v, int(ids[-1]) + 1)[ids] if len(ids) else [] for v in values]
-    return [{"id": int(i), **{n: int(x) for n, x in zip(names, row)}} for i, *row in zip(ids, *columns)]
+    columns = [np.bincount(number, v, int(ids[-1]) + 1)[ids].astype(np.int64) if len(ids) else np.zeros(0, dtype=np.int64) for v in values]
+    structs = pa.StructArray.from_arrays([pa.array(ids.astype(np.int32)), *map(pa.array, columns)], ["id", *names])
+    return pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), structs)
+
+
+def _batch(row: dict, schema: pa.Schema) -> pa.RecordBatch:
+    """One row, of which some values are columns already; what it lacks is null."""
+    values = [row.get(f.name) for f in schema]
+    return pa.RecordBatch.from_arrays([v.cast(f.type) if isinstance(v, pa.Array) else pa.array([v], f.type) for v, f in zip(values, schema)], schema=schema)
 
 
 @dataclass
 class Bucket:
     """The pairs of a bucket in order of words: context (from -1 downwards: the rarer ones of this bucket), training
-    customers, tables, and per word how many pairs it has, its place among the frequent words and its tables in the parent;
-    ``mean`` adds up predictive probabilities. Of its rarer contexts, which lie in order of their shards, a bucket has the
-    shard and the customers and tables in all buckets."""
+    customers, tables, and per word how many pairs it has, its place among the frequent words and its tables in the parent.
+    Of its rarer contexts, which lie in order of their shards, a bucket has the shard and the customers and tables in all
+    buckets. ``kept`` are the seatings that count: tables, the words' tables in the parent, and the rarer contexts' tables."""
 
     context: np.ndarray
     customers: np.ndarray
@@ -225,21 +264,30 @@ class Bucket:
     pairs: np.ndarray
     common: np.ndarray
     word_tables: np.ndarray
-    mean: np.ndarray
     shard: np.ndarray
     rare_customers: np.ndarray
     rare_tables: np.ndarray
+    kept: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = field(default_factory=list)
 
     def packed(self) -> bytes:
-        return pack(self.context.astype(np.int32), self.customers, self.tables.astype(np.int64), self.pairs.astype(np.int32), self.common.astype(np.int32),
-                    self.word_tables.astype(np.int64), self.mean.astype(np.float64).view(np.int64),
-                    self.shard.astype(np.int32), self.rare_customers.astype(np.int64), self.rare_tables.astype(np.int64))
+        own = (self.context, self.customers, self.tables, self.pairs, self.common, self.word_tables, self.shard, self.rare_customers, self.rare_tables)
+        return pack(*map(_narrow, own), *(_narrow(x) for seating in self.kept for x in seating))
 
     @classmethod
     def opened(cls, data: bytes) -> Bucket:
         parts = [p.astype(np.int64) for p in unpack(data)]
-        parts[6] = parts[6].view(np.float64)
-        return cls(*parts)
+        return cls(*parts[:9], kept=list(zip(*(parts[i::3] for i in range(9, 12)))))
+
+    def keep(self) -> None:
+        """The present seating counts."""
+        self.kept.append((self.tables.copy(), self.word_tables.copy(), self.rare_tables))
+
+    def mean(self, shareds: list[Shared]) -> np.ndarray:
+        """The probability of every pair's word in its context, averaged over the seatings that count, each with what was shared then."""
+        total = np.zeros(len(self.context))
+        for shared, (tables, word_tables, rare_tables) in zip(shareds, self.kept, strict=True):
+            total = total + replace(self, tables=tables, word_tables=word_tables, rare_tables=rare_tables).predictive(shared)
+        return total / len(shareds)
 
     @property
     def word(self) -> np.ndarray:
@@ -275,11 +323,11 @@ class Bucket:
     def row(self, number: int, texts: bytes | None, sent: list[dict]) -> dict:
         pair_common = self.common[self.word]
         seated, low = self.customers > 0, self.common < 0
-        shown = seated & (self.context >= 0)
+        shown, known = seated & (self.context >= 0), seated & (pair_common >= 0)
         counts = self.word_customers()[low]
         return {"bucket": number, "state": self.packed(), "texts": texts, "sent": sent,
-                "tables": _sums(self.context[shown], self.tables[shown], self.customers[shown], names=("n", "c")),
-                "words": _sums(pair_common[seated & (pair_common >= 0)], self.tables[seated & (pair_common >= 0)]),
+                "tables": _sums(self.context[shown], "nc", self.tables[shown], self.customers[shown]),
+                "words": _sums(pair_common[known], "n", self.tables[known]),
                 "rare": [int(counts.sum()), int(self.word_tables[low].sum()), int((counts == 1).sum()), int((counts == 2).sum()),
                          int((self.customers[seated] == 1).sum()), int((self.customers[seated] == 2).sum())]}
 
@@ -311,30 +359,40 @@ class Bucket:
 
 
 def _gather(parts: DataFrame, shared: Shared) -> DataFrame:
-    """One row per bucket: its pairs with every customer of a pair at one table, and which text of which batch has which pair."""
-    arrow = to_arrow_schema(T.StructType.fromDDL(_BUCKET))
+    """One row per bucket: its pairs with every customer of a pair at one table, and which text of which batch has which pair.
+
+    The batches' own rows, of bucket -1, come along as they are, so that occurrences need not be kept as well.
+    """
+    ddl = f"{_BUCKET}, batch long, ids {parts.schema['ids'].dataType.simpleString()}, payload binary"
+    arrow = to_arrow_schema(T.StructType.fromDDL(ddl))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for number, rows in _grouped(batches, "bucket"):
-            parts, owners = [], sorted({r["batch"] for r in rows})
-            place = {b: i for i, b in enumerate(owners)}
+            if number < 0:
+                for row in rows:
+                    yield _batch(row, arrow)
+                continue
+            parts, owners = [], [r["batch"] for r in rows]
+            rows.reverse()
             while rows:  # what is unpacked is let go, as a bucket fills a good part of a task's memory
-                row = rows.pop()
-                step, context, rarer, length, code, n = unpack(row["payload"])
+                numbers, steps, context, rarer, length, code, n = unpack(rows.pop()["payload"])
                 before = np.empty(len(context), dtype=np.uint64)
                 before[context >= 0], before[context < 0] = shared.contexts[context[context >= 0]], rarer
-                parts.append((np.repeat(np.cumsum(step, dtype=np.uint64), length), np.repeat(before, length), code, n,
-                              np.full(len(code), place[row["batch"]], dtype=np.int32)))
-            columns = [np.concatenate([p[i] for p in parts]) for i in range(5)]
+                parts.append((np.r_[shared.words[np.cumsum(numbers, dtype=np.int64)], np.cumsum(steps, dtype=np.uint64)], before, length.astype(np.int32),
+                              code.astype(np.int32), n.astype(np.int32), np.full(len(context), len(parts), dtype=np.int32)))
+            words, before, length, codes, times, places = (np.concatenate([p[i] for p in parts]) for i in range(6))
             del parts
-            order = np.lexsort((columns[2], columns[4], columns[1], columns[0]))
-            for i in range(5):
-                columns[i] = columns[i][order]
-            words, before, codes, times, places = columns
-            new_word = np.r_[True, words[1:] != words[:-1]]
-            heads = np.flatnonzero(new_word | np.r_[True, before[1:] != before[:-1]])
+            # pairs in order, those of a pair by batch, each with its singles, which lie in order of texts
+            order = _order(words, before)
+            begin = np.r_[0, np.cumsum(length)[:-1]][order]
+            words, before, length, places = words[order], before[order], length[order], places[order]
+            inner = np.repeat(begin - np.r_[0, np.cumsum(length)[:-1]], length) + np.arange(len(codes))
+            codes, times, places = codes[inner], times[inner], np.repeat(places, length)
+            del inner
+            firsts = np.flatnonzero(_changes(words, before))
+            heads = np.r_[0, np.cumsum(length)][firsts]
+            words, before = words[firsts], before[firsts]
             customers = np.add.reduceat(np.where(codes & 1, times, 0), heads, dtype=np.int64)
-            before = before[heads]
             context = _find(shared.contexts, before)
             rarer = np.unique(before[context < 0])
             shard = (mixed(rarer) % np.uint64(shared.shards)).astype(np.int64)
@@ -342,16 +400,22 @@ def _gather(parts: DataFrame, shared: Shared) -> DataFrame:
             place_of = np.empty(len(order), dtype=np.int64)
             place_of[order] = np.arange(len(order))
             context[context < 0] = -1 - place_of[np.searchsorted(rarer, before[context < 0])]
-            firsts = np.flatnonzero(new_word[heads])
-            bucket = Bucket(context, customers, np.minimum(customers, 1), np.diff(np.r_[firsts, len(heads)]), _find(shared.words, words[heads][firsts]),
-                            np.zeros(len(firsts), dtype=np.int64), np.zeros(len(heads)), shard[order], *np.zeros((2, len(order)), dtype=np.int64))
+            firsts = np.flatnonzero(_changes(words))
+            bucket = Bucket(context, customers, np.minimum(customers, 1), np.diff(np.r_[firsts, len(heads)]), _find(shared.words, words[firsts]),
+                            np.zeros(len(firsts), dtype=np.int64), shard[order], *np.zeros((2, len(order)), dtype=np.int64))
             bucket.word_tables = np.where(bucket.common < 0, np.minimum(bucket.word_customers(), 1), 0)
             sent = bucket.sent(rarer[order], bucket.own_sums(customers), bucket.own_sums(bucket.tables))
-            texts = pack(np.array(owners, dtype=np.int64), np.diff(np.r_[heads, len(codes)]).astype(np.int32), places.astype(np.int32), (codes >> 1).astype(np.int32), times.astype(np.int32))
-            yield pa.RecordBatch.from_pylist([bucket.row(number, texts, sent)], schema=arrow)
+            texts = pack(np.array(owners, dtype=np.int64), *map(_narrow, (np.diff(np.r_[heads, len(codes)]), places, codes >> 1, times)))
+            yield _batch(bucket.row(number, texts, sent), arrow)
+
+    dealt = parts.repartition("bucket", F.when(F.col("bucket") < 0, F.col("batch"))).sortWithinPartitions("bucket", "batch")
+    return materialise(dealt.mapInArrow(run, ddl), "buckets")
+
 
-    dealt = parts.where("bucket >= 0").select("bucket", "batch", "payload").repartition("bucket").sortWithinPartitions("bucket", "batch")
-    return materialise(dealt.mapInArrow(run, _BUCKET), "buckets")
+def _order(words: np.ndarray, before: np.ndarray) -> np.ndarray:
+    """The stable order by word, then by context."""
+    (_, first), (found, second) = (np.unique(x, return_inverse=True) for x in (words, before))
+    return np.argsort(first * len(found) + second, kind="stable")
 
 
 def _linked(buckets: DataFrame) -> DataFrame:
@@ -397,16 +461,16 @@ def _exchanged(buckets: DataFrame, links: DataFrame, shared: Shared, number: int
 
 def _met(states: DataFrame, sums: DataFrame | None, texts: DataFrame | None = None) -> DataFrame:
     """(shard, bucket, payload): the rows of a bucket together, its texts as shard -2, its state as -1, then the sums by shard."""
-    rows = states.select(F.lit(-1).alias("shard"), "bucket", F.col("state").alias("payload"))
+    rows = states.where("bucket >= 0").select(F.lit(-1).alias("shard"), "bucket", F.col("state").alias("payload"))
     if texts is not None:
-        rows = rows.unionByName(texts.select(F.lit(-2).alias("shard"), "bucket", F.col("texts").alias("payload")))
+        rows = rows.unionByName(texts.where("bucket >= 0").select(F.lit(-2).alias("shard"), "bucket", F.col("texts").alias("payload")))
     if sums is not None:
         rows = rows.unionByName(sums.where("bucket >= 0"))
     return rows.repartition("bucket").sortWithinPartitions("bucket", "shard")
 
 
 def _swept(buckets: DataFrame, shared: Shared, number: int, counts: bool, sums: DataFrame | None = None) -> DataFrame:
-    """Buckets after one more sweep; ``counts``: their seatings before it are part of the mean."""
+    """Buckets after one more sweep; ``counts``: their seatings before it are kept for the mean."""
     arrow = to_arrow_schema(T.StructType.fromDDL(_BUCKET))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -415,9 +479,9 @@ def _swept(buckets: DataFrame, shared: Shared, number: int, counts: bool, sums:
             bucket = Bucket.opened(head["payload"])
             bucket.received([r["payload"] for r in rows])
             if counts:
-                bucket.mean = bucket.mean + bucket.predictive(shared)
+                bucket.keep()
             bucket.sweep(shared, ways, np.random.default_rng([SEED, number, number_]))
-            yield pa.RecordBatch.from_pylist([bucket.row(number_, None, bucket.sent(bucket.own_sums(bucket.tables)))], schema=arrow)
+            yield _batch(bucket.row(number_, None, bucket.sent(bucket.own_sums(bucket.tables))), arrow)
 
     return materialise(_met(buckets, sums).mapInArrow(run, _BUCKET), "sweep")
 
@@ -445,8 +509,8 @@ def _total(buckets: DataFrame, shared: Shared, direct: np.ndarray, rng: np.rando
                    parent_tables=int(rare[1] + shared.word_tables.sum()))
 
 
-def _returned(buckets: DataFrame, states: DataFrame, shared: Shared, sums: DataFrame) -> DataFrame:
-    """(bucket, batch, payload): per text what a bucket adds to its base score, known words and score."""
+def _returned(buckets: DataFrame, states: DataFrame, shareds: list[Shared], sums: DataFrame) -> DataFrame:
+    """(bucket, batch, payload): per text what a bucket adds to its base score, known words and score; ``shareds``: what was shared at each seating that counts."""
     ddl = "bucket int, batch long, payload binary"
     schema = to_arrow_schema(T.StructType.fromDDL(ddl))
 
@@ -455,7 +519,8 @@ def _returned(buckets: DataFrame, states: DataFrame, shared: Shared, sums: DataF
             bucket = Bucket.opened(head["payload"])
             bucket.received([r["payload"] for r in rows])
             owners, length, place, text, times = unpack(told["payload"])
-            mean = (bucket.mean + bucket.predictive(shared)) / SAMPLES
+            bucket.keep()
+            mean = bucket.mean(shareds)
             # all customers of a rarer word are in this bucket
             count = np.bincount(bucket.word, bucket.customers, len(bucket.pairs))[bucket.word]
             rarer = (bucket.common < 0)[bucket.word]
@@ -463,9 +528,10 @@ def _returned(buckets: DataFrame, states: DataFrame, shared: Shared, sums: DataF
             score = times * np.log10(mean)[pair]
             base = np.where(rarer, np.log10(count + 1), 0.0)[pair] * times
             known = np.where(rarer & (count > 0), 1, 0)[pair] * times
-            order = np.lexsort((text, place))
+            place, text = place.astype(np.int64), text.astype(np.int64)
+            order = np.argsort(place * (text.max(initial=0) + 1) + text, kind="stable")
             place, text = place[order], text[order]
-            heads = np.flatnonzero(np.r_[True, (place[1:] != place[:-1]) | (text[1:] != text[:-1])])
+            heads = np.flatnonzero(_changes(place, text))
             added = [np.add.reduceat(x[order], heads) for x in (base, known, score)]
             edges = np.searchsorted(place[heads], np.arange(len(owners) + 1))
             out = {"bucket": [], "batch": [], "payload": []}
@@ -473,7 +539,7 @@ def _returned(buckets: DataFrame, states: DataFrame, shared: Shared, sums: DataF
                 part = slice(edges[i], edges[i + 1])
                 out["bucket"].append(number)
                 out["batch"].append(owner)
-                out["payload"].append(pack(text[heads][part], added[0][part].view(np.int64), added[1][part].astype(np.int32), added[2][part].view(np.int64)))
+                out["payload"].append(pack(_narrow(text[heads][part]), added[0][part].view(np.int64), added[1][part].astype(np.int32), added[2][part].view(np.int64)))
             yield pa.RecordBatch.from_pydict(out, schema=schema)
 
     return _met(states, sums, buckets).mapInArrow(run, ddl)
@@ -512,18 +578,23 @@ def score(documents: DataFrame, *, id: str = "doc_id", text: str = "text") -> Da
     empty table gives an empty result; other columns are ignored. Words that training lacks share one part of the base.
     """
     rows = documents.select(F.col(id).alias("doc_id"), F.col(text).alias("text"))
-    shared = survey(rows.where(remainder("doc_id", PARTS) != HELD))
-    parts = materialise(occurrences(rows, shared), "occurrences")
-    direct = _direct(parts, shared)
-    buckets = states = _gather(parts, shared)
-    links = sums = _linked(buckets)
-    rng = np.random.default_rng(SEED)
-    shared = _total(states, shared, direct, rng, True)
-    for number in range(BURN + SAMPLES):
-        states = _swept(states, shared, number, number > BURN, sums)
-        sums = _exchanged(states, links, shared, number)
-        shared = _total(states, shared, direct, rng, False, sums)
-    return _scored(parts, _returned(buckets, states, shared, sums), shared)
+    with shuffles_dropped(documents.sparkSession):
+        shared = survey(rows.where(remainder("doc_id", PARTS) != HELD))
+        parts = occurrences(rows, shared)
+        direct = _direct(parts, shared)
+        buckets = states = _gather(parts, shared)
+        links = sums = _linked(buckets)
+        rng, shareds = np.random.default_rng(SEED), []
+        shared = _total(states, shared, direct, rng, True)
+        for number in range(BURN + SAMPLES):
+            past = [x for x in (states, sums) if x is not buckets and x is not links]
+            states = _swept(states, shared, number, number > BURN, sums)
+            sums = _exchanged(states, links, shared, number)
+            shared = _total(states, shared, direct, rng, False, sums)
+            shareds = [*shareds, shared][-SAMPLES:]
+            for x in past:  # a sweep reads only the one before it
+                release(x)
+    return _scored(buckets, _returned(buckets, states, shareds, sums), shared)
 
 
 def _direct(parts: DataFrame, shared: Shared) -> np.ndarray:

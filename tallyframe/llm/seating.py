@@ -29,8 +29,13 @@ def draw_tables(customers: np.ndarray, others: np.ndarray, parent: np.ndarray, s
     opening them costs in the restaurant, times the parent's probability of the dish for each.
     """
     tables = np.minimum(customers, 1)
-    for c in np.unique(customers[(customers > 1) & (customers <= SMALL)]):
-        rows = np.flatnonzero(customers == c)
+    size = np.where(customers <= SMALL, customers, 0).astype(np.uint8)
+    by_size = np.argsort(size, kind="stable")
+    edges = np.searchsorted(size[by_size], np.arange(SMALL + 2))
+    for c in range(2, SMALL + 1):
+        rows = by_size[edges[c]:edges[c + 1]]
+        if not len(rows):
+            continue
         opened = np.log(strength + discount * (others[rows, None] + np.arange(c)))
         weight = ways[c, 1:c + 1] + np.cumsum(opened + np.log(parent[rows])[:, None], axis=1)
         chance = np.cumsum(np.exp(weight - weight.max(axis=1, keepdims=True)), axis=1)
@@ -43,18 +48,23 @@ def draw_tables(customers: np.ndarray, others: np.ndarray, parent: np.ndarray, s
 
 def _seat_groups(customers: np.ndarray, opening: np.ndarray, parent: np.ndarray, discount: float, rng: np.random.Generator) -> np.ndarray:
     """Tables after customers came in groups; of several parties one is kept by the weight of its seating."""
-    goal = np.repeat(customers[:, None], PARTIES, axis=1)
-    seated, tables, weight = np.ones_like(goal), np.ones_like(goal), np.zeros(goal.shape)
-    while (seated < goal).any():
-        group = np.minimum(goal - seated, np.maximum(1, (seated * GROUP).astype(np.int64)))
-        new = (opening[:, None] + discount * tables) * parent[:, None]
-        all_ = new + np.maximum(seated + group / 2 - discount * tables, 1e-9)
-        weight += group * np.log(all_)
-        tables += rng.binomial(group, np.minimum(new / all_, 1.0))
-        seated += group
+    tables, weight = np.ones((len(customers), PARTIES), dtype=np.int64), np.zeros((len(customers), PARTIES))
+    goal, seated, going = customers, np.ones_like(customers), np.arange(len(customers))
+    now, log = tables.copy(), weight.copy()
+    while len(going):
+        group = np.minimum(goal - seated, np.maximum(1, (seated * GROUP).astype(np.int64)))[:, None]
+        new = (opening[:, None] + discount * now) * parent[:, None]
+        all_ = new + np.maximum(seated[:, None] + group / 2 - discount * now, 1e-9)
+        log += group * np.log(all_)
+        now += rng.binomial(group, np.minimum(new / all_, 1.0))
+        seated = seated + group[:, 0]
+        open_ = seated < goal
+        if not open_.all():  # dishes whose customers all sit leave
+            tables[going[~open_]], weight[going[~open_]] = now[~open_], log[~open_]
+            goal, seated, going, now, log, opening, parent = (x[open_] for x in (goal, seated, going, now, log, opening, parent))
     chance = np.cumsum(np.exp(weight - weight.max(axis=1, keepdims=True)), axis=1)
-    chosen = (chance < (rng.random(len(goal)) * chance[:, -1])[:, None]).sum(axis=1)
-    return tables[np.arange(len(goal)), np.minimum(chosen, PARTIES - 1)]
+    chosen = (chance < (rng.random(len(customers)) * chance[:, -1])[:, None]).sum(axis=1)
+    return tables[np.arange(len(customers)), np.minimum(chosen, PARTIES - 1)]
 
 
 def discount_of(once: int, twice: int) -> float:

@@ -7,8 +7,8 @@ import pyarrow as pa
 
 #: the number of the end of a text
 END = np.uint64(1)
-#: bytes that are hashed together; a longer word extends its piece
-PIECE = 1 << 20
+#: bytes that are hashed together, so few that their sums stay in a core's cache; a longer word extends its piece
+PIECE = 1 << 15
 
 _RNG = np.random.default_rng(20)
 _LETTERS = _RNG.integers(1, 1 << 63, (2, 256), dtype=np.uint64) * np.uint64(2) + np.uint64(1)

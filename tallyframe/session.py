@@ -47,6 +47,19 @@ def compiled_in_parts(spark: SparkSession) -> Iterator[None]:
         spark.conf.set(key, before)
 
 
+@contextmanager
+def shuffles_dropped(spark: SparkSession) -> Iterator[None]:
+    """For jobs that are each run once and keep their rows in a table: the files of a job's shuffles go when it ends,
+    instead of staying on the executors' disks until the driver happens to collect its garbage."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, "false")
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder every executor can reach, as named by ``spark.checkpoint.dir``.
 
@@ -77,3 +90,15 @@ def materialise(df: DataFrame, purpose: str) -> DataFrame:
     path = fresh_path(spark, purpose)
     df.write.mode("errorifexists").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def release(df: DataFrame) -> None:
+    """Delete the table of a materialised frame that nothing reads any more."""
+    spark = df.sparkSession
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    shared = hadoop.Path(shared_folder(spark))
+    system = shared.getFileSystem(spark._jsc.hadoopConfiguration())
+    for folder in {hadoop.Path(f).getParent().toString() for f in df.inputFiles()}:
+        path = hadoop.Path(folder)
+        if system.makeQualified(path.getParent()).equals(system.makeQualified(shared)):
+            system.delete(path, True)

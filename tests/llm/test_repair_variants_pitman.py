@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
+from tallyframe import session
 from tallyframe.llm import pitman, repair, seating, sql, tokens, variants
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -406,6 +407,62 @@ def test_every_predecessor_has_a_restaurant(spark, monkeypatch):
             assert abs(sum(p for *_, p, _ in found) + spare * (n - sum(up for *_, up in found)) - n) < 1e-9
 
 
+def test_scores_leave_the_last_sweep_only(spark, monkeypatch, tmp_path):
+    """A sweep's tables go once the next has read them, occurrences are not kept beside their buckets, and no job leaves its shuffles."""
+    monkeypatch.setattr(pitman, "BUCKET_TOKENS", 400)
+    monkeypatch.setattr(session, "shared_folder", lambda _: str(tmp_path))
+    frame = spark.createDataFrame([(i, " ".join(f"w{i * j % 60}" for j in range(i % 40))) for i in range(200)], "doc_id long, text string")
+    setting = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before, seen, swept = spark.conf.get(setting), [], pitman._swept
+
+    def watched(*args):
+        seen.append((spark.conf.get(setting), Counter(f.name.split("-")[0] for f in tmp_path.iterdir())))
+        return swept(*args)
+
+    monkeypatch.setattr(pitman, "_swept", watched)
+    found = pitman.score(frame)
+    left = Counter(f.name.split("-")[0] for f in tmp_path.iterdir())
+    assert left == {"wordcounts": 1, "buckets": 1, "links": 1, "sweep": 1, "sums": 1}
+    assert len(seen) == pitman.BURN + pitman.SAMPLES and all(on == "true" and n["sweep"] <= 1 and n["sums"] <= 1 for on, n in seen)
+    assert spark.conf.get(setting) == before
+    assert found.count() == 200
+
+
+def test_only_tables_of_the_shared_folder_are_released(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(session, "shared_folder", lambda _: str(tmp_path / "shared"))
+    kept, gone = tmp_path / "other", session.materialise(spark.range(3), "gone")
+    spark.range(3).write.parquet(str(kept))
+    session.release(spark.read.parquet(str(kept)))
+    session.release(gone)
+    assert spark.read.parquet(str(kept)).count() == 3 and list((tmp_path / "shared").iterdir()) == []
+
+
+def test_kept_seatings_give_the_mean():
+    """Each seating counts with what was shared at its time, also after a bucket was packed and opened."""
+    words = np.array([5, 9], dtype=np.uint64)
+    shareds = [pitman.Shared(words, np.array([4, 4]), 8, 3, 1, np.array([6, 5]), np.array([2, 2 + i]), np.array([3, 2]), np.array([1, 1 + i]), 6 + i, 3) for i in range(3)]
+    bucket = pitman.Bucket(*(np.array(x) for x in ([0, 1, -1, 0], [3, 5, 400, 0], [1, 2, 9, 0], [2, 2], [1, -1], [0, 3], [0], [70_000], [9])))
+    wanted = np.zeros(4)
+    for i, shared in enumerate(shareds):
+        bucket.tables[:2], bucket.word_tables[1], bucket.rare_tables = [1 + i, 2 + i], 3 + i, np.array([9 + i])
+        wanted += bucket.predictive(shared) / 3
+        bucket.keep()
+        bucket = pitman.Bucket.opened(bucket.packed())
+    assert np.allclose(bucket.mean(shareds), wanted, rtol=1e-12)
+    with pytest.raises(ValueError):
+        bucket.mean(shareds[:2])
+
+
+def test_singles_of_a_text_of_very_many_words_are_the_same():
+    """Numbers too wide for one key are sorted by columns."""
+    rng = np.random.default_rng(4)
+    word, before, code = rng.integers(0, 40, 500), rng.integers(0, 40, 500), rng.integers(0, 6, 500)
+    wide = 1 << 29
+    narrow, far = pitman._singles(word, before, code), pitman._singles(word * wide, before * wide, code)
+    assert all((a * n == b).all() for a, b, n in zip(narrow, far, (wide, wide, 1, 1)))
+    assert sorted(zip(*map(list, narrow))) == sorted((*k, n) for k, n in Counter(zip(word, before, code)).items())
+
+
 def test_held_out_texts_are_likelier_than_by_the_base(spark):
     found = pitman.score(spark.read.parquet(f"{FOLDER}/documents.parquet")).where("held_out").collect()
     assert sum(r["score"] for r in found) > sum(r["base_score"] for r in found)
