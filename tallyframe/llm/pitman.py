@@ -36,7 +36,7 @@ WORD_SHARE = 1e-5
 #: sweeps before seatings count, and seatings that are averaged
 BURN, SAMPLES, SEED = 2, 3, 13
 #: tokens of a bucket, on average; bytes of text that are read at once; distinct words held before they are passed on
-BUCKET_TOKENS, BATCH_BYTES, HELD_WORDS = 800_000, 8 << 20, 1 << 20
+BUCKET_TOKENS, BATCH_BYTES, HELD_WORDS = 800_000, 4 << 20, 1 << 20
 #: buckets' worth of tokens whose rarer contexts share a shard
 SHARD_BUCKETS = 16
 
@@ -192,6 +192,7 @@ def occurrences(documents: DataFrame, shared: Shared) -> DataFrame:
                    "payload": [pack(learn.astype(np.int8), inside, known, logs.view(np.int64))]}
             before = np.r_[word[:0], word[-1:], word[:-1]]  # a text begins behind an end
             word, before, code, times = _singles(word, before, rows * 2 + learn[rows])
+            del words, rows
             common, context = place[word], place[before]
             # a frequent word is spread by its contexts, and goes with the context if that is rarer
             salt = np.where(common >= 0, context + 2, 0).astype(np.uint64)
